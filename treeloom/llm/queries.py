@@ -10,6 +10,14 @@ from . import oracles
 from .common import table
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode_documents, load_model
+
+    return encode_documents(table(spark, sf_dir, "documents"), load_model(public_tokenizers.path("piece_bpe_32k.model")), digest=True)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -23,7 +31,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_quality_rules, op10_url_filters)
+    f.__name__: f for f in (op4_sentencepiece, op7_quality_rules, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {"op7_quality_rules": oracles.OP7, "op10_url_filters": oracles.OP10}
