@@ -10,6 +10,12 @@ from . import oracles
 from .common import table
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +37,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sentencepiece, op7_quality_rules, op10_url_filters)
+    f.__name__: f for f in (op2_simhash_near_dedup, op4_sentencepiece, op7_quality_rules, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {"op7_quality_rules": oracles.OP7, "op10_url_filters": oracles.OP10}
