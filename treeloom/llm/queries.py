@@ -30,6 +30,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge_urls
 
@@ -37,7 +43,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op4_sentencepiece, op7_quality_rules, op10_url_filters)
+    f.__name__: f for f in (op2_simhash_near_dedup, op4_sentencepiece, op7_quality_rules, op9_html_extraction, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {"op7_quality_rules": oracles.OP7, "op10_url_filters": oracles.OP10}
