@@ -220,7 +220,7 @@ def _heavy_pairs(probes: DataFrame, entries: DataFrame, heavy: DataFrame, radius
     left = probes.join(sizes, ["part", "key"]).withColumn("p", own("pb")).withColumn("e", spread("eb")).withColumn("probe", F.lit(True)).select(columns)
     right = entries.join(sizes, ["part", "key"]).withColumn("e", own("eb")).withColumn("p", spread("pb")).withColumn("probe", F.lit(False)).select(columns)
 
-    def forest(block: pa.Table) -> pa.Table:
+    def forest(block):
         fps, reps = block["fp"].to_numpy().view(np.uint64), block["rep"].to_numpy()
         asks = block["probe"].to_numpy()
         a, b, x, y = fps[asks], fps[~asks], reps[asks], reps[~asks]
