@@ -5,8 +5,8 @@ part is taken as it is, the fraction is an inclusion probability. The flight pha
 probabilities through the null space of two constraints (words and documents), three documents
 at a time, until each is 0 or 1, so both totals stay where they were. Blocks of a source fly
 apart; what they leave undecided (two documents each at most) flies again in fewer blocks,
-until two documents a source remain for the landing. Long documents fly first, so that the last
-ones, which miss the total, are the shortest.
+until two documents a source remain for the landing. Long documents fly first; what the landing
+misses the words by is then settled within the last block.
 """
 
 from __future__ import annotations
@@ -112,6 +112,25 @@ def land(chance: list[float], open_: list[int], draw: float) -> list[float]:
     return chance
 
 
+def settle(size: list[int], before: list[float], chance: list[float]) -> list[float]:
+    """After the landing: flips those decisions that best cancel what the words now miss by.
+
+    Only documents whose decision was open take part, so none is taken too often. Each flip is
+    the best there is, and the last is the one after which none helps.
+    """
+    size_, x = np.array(size, np.int64), np.array(chance).round().astype(np.int64)
+    was_open = np.array([_ZERO <= b <= 1 - _ZERO for b in before], bool)
+    missed = float(size_ @ x - np.dot(size_, before))
+    while was_open.any():
+        after = np.where(was_open, np.abs(missed + np.where(x == 0, size_, -size_)), np.inf)
+        i = int(after.argmin())
+        if after[i] >= abs(missed) - 0.5:
+            break
+        missed += float(size_[i] if x[i] == 0 else -size_[i])
+        x[i] = 1 - x[i]
+    return x.astype(float).tolist()
+
+
 def _round(units: DataFrame, landing: bool, turn: int, seed: int) -> DataFrame:
     """One flight of every block of ``units(doc_id, source, size, whole, chance, block)``."""
 
@@ -120,9 +139,11 @@ def _round(units: DataFrame, landing: bool, turn: int, seed: int) -> DataFrame:
         data = block.select(["doc_id", "size", "chance", "whole"]).to_pydict()
         order = sorted(range(len(data["size"])), key=lambda i: (-data["size"][i], _draw(seed, turn, data["doc_id"][i]), data["chance"][i]))
         size = [data["size"][i] for i in order]
-        chance = fly(size, [data["chance"][i] for i in order], (seed, turn, source, number))
+        before = [data["chance"][i] for i in order]
+        chance = fly(size, before, (seed, turn, source, number))
         if landing:
             chance = land(chance, [i for i, x in enumerate(chance) if 0 < x < 1], _draw(seed, "land", source))
+            chance = settle(size, before, chance)
         return pa.table({"doc_id": pa.array([data["doc_id"][i] for i in order], pa.int64()), "source": pa.array([source] * len(order), pa.string()), "size": pa.array(size, pa.int64()), "whole": pa.array([data["whole"][i] for i in order], pa.int64()), "chance": pa.array(chance, pa.float64())})
 
     return units.groupBy("source", "block").applyInArrow(run, "doc_id long, source string, size long, whole long, chance double")
