@@ -56,6 +56,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import main_texts
 
@@ -69,7 +75,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece, op5_source_mixing, op6_training_order, op7_quality_rules, op9_html_extraction, op10_url_filters)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece, op5_source_mixing, op6_training_order, op7_quality_rules, op8_licence_scan, op9_html_extraction, op10_url_filters)
 }
 
 ORACLES: dict[str, str] = {"op7_quality_rules": oracles.OP7, "op10_url_filters": oracles.OP10}
