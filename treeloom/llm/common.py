@@ -34,7 +34,7 @@ class Staged:
     def __init__(self, df: DataFrame, label: str) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/treeloom-{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def release(self) -> None:

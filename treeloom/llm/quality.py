@@ -175,11 +175,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they came, that ``quality_rules`` keeps.
 
-    The fences come from staged counts; the rows are then counted again beside their text, so
-    that no text is shuffled: only the counts of a row travel with its columns.
+    Rows are staged once beside their counts; fences and filter work on that table, so no text
+    is counted twice or shuffled.
     """
-    narrow = stage(with_features(docs.select("lang", "source", "text")).drop("text"), "quality").df
-    fences = stage(thresholds(narrow), "fences").df
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source", "text")
-    judged = verdicts(with_features(nested).drop("text"), fences)
-    return judged.where("kept").select("row.*")
+    made = stage(with_features(nested).drop("text"), "quality").df
+    fences = stage(thresholds(made.drop("row")), "fences").df
+    return verdicts(made, fences).where("kept").select("row.*")
