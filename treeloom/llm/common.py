@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,7 @@ def stage(df: DataFrame, label: str) -> Staged:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

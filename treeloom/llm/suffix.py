@@ -40,11 +40,15 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays as one compressed value; ids, which mostly ascend, as differences."""
+    if "id" in arrays:
+        arrays["id"] = np.diff(arrays["id"], prepend=0)
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    arrays = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return arrays | {"id": np.cumsum(arrays["id"])}
 
 
 def _words(data: np.ndarray, n: int) -> np.ndarray:
@@ -174,24 +178,32 @@ def _grams(docs: Docs, n: int) -> Iterator[tuple[int, bytes]]:
     h, d = h[fresh], d[fresh]
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     count = np.diff(np.append(starts, len(h)))
-    ids, keys = np.array(docs.ids, np.int64), np.array(docs.keys, np.int64)
-    one = h[starts]
-    yield from _dealt((one % np.uint64(n)).astype(np.int64), 0, h=one, n=count.astype(np.int32), id=ids[d[starts]], key=keys[d[starts]])
-    again = np.repeat(count > 1, count)
-    yield from _dealt(_doc_bucket(ids[d[again]], n), n, h=h[again].astype(np.uint32), id=ids[d[again]], key=keys[d[again]])
+    ids = np.array(docs.ids, np.int64)
+    order = np.lexsort((h[starts], d[starts]))  # by document, for short differences
+    one, of, count_of = h[starts][order], d[starts][order], count[order]
+    low, high = one.astype(np.uint32), (one >> np.uint64(32)).astype(np.uint16)
+    yield from _dealt((one % np.uint64(n)).astype(np.int64), 0, low=low, high=high, n=count_of.astype(np.int32), id=ids[of])
+    again = np.flatnonzero(np.repeat(count > 1, count))
+    again = again[np.argsort(d[again], kind="stable")]
+    yield from _dealt(_doc_bucket(ids[d[again]], n), n, h=h[again].astype(np.uint32), id=ids[d[again]])
 
 
 def _recurring(blobs: list[bytes], n: int) -> list[tuple[int, bytes]]:
-    """Anchors of two documents or more, to the documents that are alone with them in their batch; and the hot ones."""
+    """Anchors of two documents or more, to the documents that are alone with them in their batch; and the hot ones.
+
+    Anchors are told apart by 48 bits here: a chance agreement costs a needless look, no result.
+    """
     parts = [_unpack(b) for b in blobs]
-    h, count, ids, keys = (np.concatenate([p[k] for p in parts]) for k in ("h", "n", "id", "key"))
+    low, high, count, ids = (np.concatenate([p[k] for p in parts]) for k in ("low", "high", "n", "id"))
+    h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
     _, inverse = np.unique(h, return_inverse=True)
     total = np.bincount(inverse, weights=count).astype(np.int64)[inverse]
-    on = (total > 1) & (count == 1)
-    rows = [*_dealt(_doc_bucket(ids[on], n), n, h=h[on].astype(np.uint32), id=ids[on], key=keys[on])]
+    on = np.flatnonzero((total > 1) & (count == 1))
+    on = on[np.argsort(ids[on], kind="stable")]
+    rows = [*_dealt(_doc_bucket(ids[on], n), n, h=low[on], id=ids[on])]
     hot, at = np.unique(h[total > HOT], return_index=True)
     if len(hot):
-        rows.append((2 * n, _pack(h=hot.astype(np.uint32), id=hot.view(np.int64), key=total[total > HOT][at])))
+        rows.append((2 * n, _pack(id=hot.view(np.int64), n=total[total > HOT][at])))
     return rows
 
 
@@ -214,7 +226,7 @@ def _stretches(docs: Docs, hot: np.ndarray, n: int) -> Iterator[tuple[int, bytes
             on[lo:hi] = known[np.minimum(spot, len(known) - 1)] == x
         h, d, first, last, shift = (x[on] for x in (h, d, first, last, shift))
         size, bucket = last - first + LENGTH, h % np.uint64(n)
-        apart = np.isin(h, hot)
+        apart = np.isin(h & np.uint64((1 << 48) - 1), hot)
         if apart.any():  # every window by itself, dealt by its content
             each = np.repeat(np.flatnonzero(apart), (last - first + 1)[apart])
             step = np.arange(len(each)) - np.repeat(np.cumsum((last - first + 1)[apart]) - (last - first + 1)[apart], (last - first + 1)[apart])
@@ -234,7 +246,7 @@ def _stretches(docs: Docs, hot: np.ndarray, n: int) -> Iterator[tuple[int, bytes
     if not got:
         return
     rows, size, d, start, bucket = (np.concatenate(x) for x in zip(*got, strict=True))
-    ids, keys = np.array(docs.ids, np.int64), np.array(docs.keys, np.int64)
+    ids, keys = np.array(docs.ids, np.int64), np.array(docs.keys, np.int32)
     same = _alike(rows, size)
     order = np.lexsort((start, ids[d], same))
     heads = order[np.concatenate([[True], same[order][1:] != same[order][:-1]])]
@@ -384,13 +396,13 @@ def _routed(df: DataFrame, n: int, work: Callable[[list[bytes], int], list[tuple
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").cast("binary").alias("_text"))
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.hash("text").alias("_key"), F.col("text").cast("binary").alias("_text"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """``(_id, _key, _starts, _ends)``: the maximal covered runs of each document that has any, in bytes.
 
-    ``_key`` is the text's XXH64, which tells rows apart that repeat a doc_id with another text.
+    ``_key`` is a hash of the text, which tells rows apart that repeat a doc_id with another text.
     """
     spark, n = docs.sparkSession, buckets(docs.sparkSession)
     keyed = _keyed(docs).where("_id is not null and _text is not null")
@@ -402,19 +414,20 @@ def spans(docs: DataFrame) -> DataFrame:
     def known(group):
         if group["bucket"][0].as_py() == 2 * n:
             parts = [_unpack(b) for b in group["blob"].to_pylist()]
-            return _known_table([(int(i), int(k), None) for p in parts for i, k in zip(p["id"], p["key"], strict=True)])
+            return _known_table([(int(i), int(k), None) for p in parts for i, k in zip(p["id"], p["n"], strict=True)])
         parts = [_unpack(b) for b in group["blob"].to_pylist()]
-        h, ids, keys = (np.concatenate([p[k] for p in parts]) for k in ("h", "id", "key"))
-        order, starts = _by_document(ids, keys)
-        return _known_table([(int(ids[order[lo]]), int(keys[order[lo]]), np.unique(h[order[lo:hi]]).tobytes()) for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True)])
+        h, ids = (np.concatenate([p[k] for p in parts]) for k in ("h", "id"))
+        order, starts = _by_document(ids, np.zeros_like(ids))
+        return _known_table([(int(ids[order[lo]]), None, np.unique(h[order[lo:hi]]).tobytes()) for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True)])
 
     counted = _routed(keyed.mapInArrow(grams, "bucket int, blob binary"), n, _recurring)
-    candidates = stage(counted.groupBy("bucket").applyInArrow(known, "cid long, ckey long, grams binary"), "suffix-candidates")
+    candidates = stage(counted.groupBy("bucket").applyInArrow(known, "cid long, seen long, grams binary"), "suffix-candidates")
+    del counted
     free_shuffles(spark)
-    hot_rows = candidates.df.where("grams is null").orderBy(F.desc("ckey"), "cid").limit(HOT_ANCHORS).select("cid").toPandas()
+    hot_rows = candidates.df.where("grams is null").orderBy(F.desc("seen"), "cid").limit(HOT_ANCHORS).select("cid").toPandas()
     hot = np.sort(hot_rows["cid"].to_numpy(np.int64).view(np.uint64)) if len(hot_rows) else np.empty(0, np.uint64)
     with_grams = candidates.df.where("grams is not null")
-    told = keyed.join(with_grams, (F.col("_id") == F.col("cid")) & (F.col("_key") == F.col("ckey"))).select("_id", "_key", "_text", "grams")
+    told = keyed.join(with_grams, F.col("_id") == F.col("cid")).select("_id", "_key", "_text", "grams")
 
     def stretches(stream):
         for batch in _batches(stream, 4):
@@ -429,19 +442,20 @@ def spans(docs: DataFrame) -> DataFrame:
             a, b = _union(start[order[lo:hi]], end[order[lo:hi]])
             rows.append((int(ids[order[lo]]), int(keys[order[lo]]), a.tolist(), b.tolist()))
         columns = [*zip(*rows, strict=True)] or [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(["_id", "_key", "_starts", "_ends"], columns, kinds, strict=True)})
 
     covered = _routed(told.mapInArrow(stretches, "bucket int, blob binary"), n, _covered)
-    made = stage(covered.groupBy("bucket").applyInArrow(joined, "_id long, _key long, _starts array<long>, _ends array<long>"), "suffix-spans")
+    made = stage(covered.groupBy("bucket").applyInArrow(joined, "_id long, _key int, _starts array<long>, _ends array<long>"), "suffix-spans")
     candidates.release()
+    del told, covered
     free_shuffles(spark)
     return made.df
 
 
 def _known_table(rows: list[tuple]) -> pa.Table:
     columns = [*zip(*rows, strict=True)] or [[], [], []]
-    return pa.table({k: pa.array(c, t) for k, c, t in zip(["cid", "ckey", "grams"], columns, [pa.int64(), pa.int64(), pa.binary()], strict=True)})
+    return pa.table({k: pa.array(c, t) for k, c, t in zip(["cid", "seen", "grams"], columns, [pa.int64(), pa.int64(), pa.binary()], strict=True)})
 
 
 def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -464,7 +478,7 @@ def cut(text: bytes, starts: list[int], ends: list[int]) -> bytes:
 def _with_spans(docs: DataFrame, *columns) -> DataFrame:
     """``columns`` of ``docs`` beside its text in bytes and its covered runs (null if none)."""
     found = spans(docs)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").cast("binary").alias("_text"), *columns)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.hash("text").alias("_key"), F.col("text").cast("binary").alias("_text"), *columns)
     found = found.withColumnsRenamed({"_id": "_sid", "_key": "_skey"})
     return keyed.join(found, (F.col("_id") == F.col("_sid")) & (F.col("_key") == F.col("_skey")), "left")
 
