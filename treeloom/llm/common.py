@@ -32,10 +32,10 @@ class Staged:
     the disk as soon as later steps no longer need it.
     """
 
-    def __init__(self, df: DataFrame, label: str) -> None:
+    def __init__(self, df: DataFrame, label: str, **options: str) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/treeloom-{label}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.options(compression="zstd", **options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def release(self) -> None:
@@ -44,8 +44,8 @@ class Staged:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, label: str) -> Staged:
-    return Staged(df, label)
+def stage(df: DataFrame, label: str, **options: str) -> Staged:
+    return Staged(df, label, **options)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -25,6 +25,10 @@ HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")])
 #: Fills records beyond their tokens; the vocabulary leaves it free.
 PAD = 65_535
 ROUNDS = 6
+#: Packed ids don't repeat as whole values, so no dictionary is tried.
+_PLAIN = {"parquet.enable.dictionary": "false"}
+#: Documents tokenised between two yields.
+STEP = 500
 
 
 def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -70,7 +74,7 @@ def sequences(docs: DataFrame, vocabulary: bytes, pattern: str, length: int = LE
 
     def run(batches):
         encoding = _encoding(shipped.value, pattern)
-        for batch in batches:
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, len(whole), STEP)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoding.encode_to_numpy((text.as_py() or b"").decode("utf-8", "replace"), disallowed_special=()).astype("<u2")
@@ -91,7 +95,7 @@ def materialise(docs: DataFrame, vocabulary: bytes, pattern: str, key: int = 202
     it and not the numbering. Null and empty texts have no sequence; a null doc_id is written as
     -1; repeated rows are sequences of their own; other columns are ignored.
     """
-    made = stage(sequences(docs, vocabulary, pattern, length), "sequences")
+    made = stage(sequences(docs, vocabulary, pattern, length), "sequences", **_PLAIN)
     placed = made.df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     files = stage(placed.groupBy("file").agg(F.count("*").alias("rows")), "sequence-files").df
     total = files.agg(F.sum("rows")).first()[0] or 0
@@ -119,7 +123,7 @@ def materialise(docs: DataFrame, vocabulary: bytes, pattern: str, key: int = 202
             out["ids"][i, : len(got)] = got
         return pa.table({"shard": pa.array([shard], pa.int64()), "first_slot": pa.array([shard * per_shard], pa.int64()), "n": pa.array([len(out)], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    shards = stage(slotted.groupBy("shard").applyInArrow(pack, "shard long, first_slot long, n long, data binary"), "shards")
+    shards = stage(slotted.groupBy("shard").applyInArrow(pack, "shard long, first_slot long, n long, data binary"), "shards", **_PLAIN)
     made.release()
     return shards
 
