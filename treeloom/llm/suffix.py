@@ -166,7 +166,7 @@ def _doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
     return ((ids.astype(np.uint64) * _ODD[1]) >> np.uint64(40)).astype(np.int64) % n
 
 
-def _grams(docs: Docs, n: int) -> Iterator[tuple[int, bytes]]:
+def _grams(docs: Docs, n: int, m: int) -> Iterator[tuple[int, bytes]]:
     """Distinct anchors of a batch with their documents counted; those of two documents here go to these at once."""
     found = [(h, d) for _, h, d, *_ in docs.scan()]
     if not found:
@@ -185,10 +185,10 @@ def _grams(docs: Docs, n: int) -> Iterator[tuple[int, bytes]]:
     yield from _dealt((one % np.uint64(n)).astype(np.int64), 0, low=low, high=high, n=count_of.astype(np.int32), id=ids[of])
     again = np.flatnonzero(np.repeat(count > 1, count))
     again = again[np.argsort(d[again], kind="stable")]
-    yield from _dealt(_doc_bucket(ids[d[again]], n), n, h=h[again].astype(np.uint32), id=ids[d[again]])
+    yield from _dealt(_doc_bucket(ids[d[again]], m), n, h=h[again].astype(np.uint32), id=ids[d[again]])
 
 
-def _recurring(blobs: list[bytes], n: int) -> list[tuple[int, bytes]]:
+def _recurring(blobs: list[bytes], n: int, m: int) -> list[tuple[int, bytes]]:
     """Anchors of two documents or more, to the documents that are alone with them in their batch; and the hot ones.
 
     Anchors are told apart by 48 bits here: a chance agreement costs a needless look, no result.
@@ -200,10 +200,10 @@ def _recurring(blobs: list[bytes], n: int) -> list[tuple[int, bytes]]:
     total = np.bincount(inverse, weights=count).astype(np.int64)[inverse]
     on = np.flatnonzero((total > 1) & (count == 1))
     on = on[np.argsort(ids[on], kind="stable")]
-    rows = [*_dealt(_doc_bucket(ids[on], n), n, h=low[on], id=ids[on])]
+    rows = [*_dealt(_doc_bucket(ids[on], m), n, h=low[on], id=ids[on])]
     hot, at = np.unique(h[total > HOT], return_index=True)
     if len(hot):
-        rows.append((2 * n, _pack(id=hot.view(np.int64), n=total[total > HOT][at])))
+        rows.append((n + m, _pack(id=hot.view(np.int64), n=total[total > HOT][at])))
     return rows
 
 
@@ -213,7 +213,7 @@ def _by_document(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])]))
 
 
-def _stretches(docs: Docs, hot: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+def _stretches(docs: Docs, hot: np.ndarray, n: int, m: int) -> Iterator[tuple[int, bytes]]:
     """The distinct stretches of a batch around recurring anchors, each with its least document; other documents
     that hold the same stretch are covered at once."""
     got: list[tuple[np.ndarray, ...]] = []
@@ -257,7 +257,7 @@ def _stretches(docs: Docs, hot: np.ndarray, n: int) -> Iterator[tuple[int, bytes
     kept = np.flatnonzero(mine)
     yield from _dealt(bucket[kept], 0, rows=rows[kept], size=size[kept], id=ids[d[kept]], key=keys[d[kept]], start=start[kept])
     later = np.flatnonzero(~mine)
-    yield from _dealt(_doc_bucket(ids[d[later]], n), n, id=ids[d[later]], key=keys[d[later]], start=start[later], end=start[later] + size[later])
+    yield from _dealt(_doc_bucket(ids[d[later]], m), n, id=ids[d[later]], key=keys[d[later]], start=start[later], end=start[later] + size[later])
 
 
 def _alike(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -354,7 +354,7 @@ class Shard:
         return out.reshape(self.shape)
 
 
-def _covered(blobs: list[bytes], n: int) -> list[tuple[int, bytes]]:
+def _covered(blobs: list[bytes], n: int, m: int) -> list[tuple[int, bytes]]:
     """What the stretches of a bucket cover, to the documents' buckets."""
     parts = [_unpack(b) for b in blobs]
     rows, size, ids, keys, start = (np.concatenate([p[k] for p in parts]) for k in ("rows", "size", "id", "key", "start"))
@@ -382,15 +382,15 @@ def _covered(blobs: list[bytes], n: int) -> list[tuple[int, bytes]]:
     begin = np.where(later, start, start + low[same])
     end = np.where(later, start + size, start + high[same])
     on = later | (low[same] >= 0)
-    return [*_dealt(_doc_bucket(ids[on], n), n, id=ids[on], key=keys[on], start=begin[on], end=end[on])]
+    return [*_dealt(_doc_bucket(ids[on], m), n, id=ids[on], key=keys[on], start=begin[on], end=end[on])]
 
 
-def _routed(df: DataFrame, n: int, work: Callable[[list[bytes], int], list[tuple[int, bytes]]]) -> DataFrame:
+def _routed(df: DataFrame, n: int, m: int, work: Callable[[list[bytes], int, int], list[tuple[int, bytes]]]) -> DataFrame:
     """Buckets below n are worked; the others hold results already and pass."""
 
     def run(group):
         bucket, blobs = group["bucket"][0].as_py(), group["blob"].to_pylist()
-        return _table([(bucket, b) for b in blobs] if bucket >= n else work(blobs, n))
+        return _table([(bucket, b) for b in blobs] if bucket >= n else work(blobs, n, m))
 
     return df.groupBy("bucket").applyInArrow(run, "bucket int, blob binary")
 
@@ -404,15 +404,16 @@ def spans(docs: DataFrame) -> DataFrame:
 
     ``_key`` is a hash of the text, which tells rows apart that repeat a doc_id with another text.
     """
-    spark, n = docs.sparkSession, buckets(docs.sparkSession)
+    spark = docs.sparkSession
+    n, m = buckets(spark), max(8, buckets(spark) // 8)  # for content and for documents, whose rows are few
     keyed = _keyed(docs).where("_id is not null and _text is not null")
 
     def grams(stream):
         for batch in _batches(stream, 3):
-            yield from _rows(_grams(batch, n))
+            yield from _rows(_grams(batch, n, m))
 
     def known(group):
-        if group["bucket"][0].as_py() == 2 * n:
+        if group["bucket"][0].as_py() == n + m:
             parts = [_unpack(b) for b in group["blob"].to_pylist()]
             return _known_table([(int(i), int(k), None) for p in parts for i, k in zip(p["id"], p["n"], strict=True)])
         parts = [_unpack(b) for b in group["blob"].to_pylist()]
@@ -420,7 +421,7 @@ def spans(docs: DataFrame) -> DataFrame:
         order, starts = _by_document(ids, np.zeros_like(ids))
         return _known_table([(int(ids[order[lo]]), None, np.unique(h[order[lo:hi]]).tobytes()) for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True)])
 
-    counted = _routed(keyed.mapInArrow(grams, "bucket int, blob binary"), n, _recurring)
+    counted = _routed(keyed.mapInArrow(grams, "bucket int, blob binary"), n, m, _recurring)
     candidates = stage(counted.groupBy("bucket").applyInArrow(known, "cid long, seen long, grams binary"), "suffix-candidates")
     del counted
     free_shuffles(spark)
@@ -431,7 +432,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     def stretches(stream):
         for batch in _batches(stream, 4):
-            yield from _rows(_stretches(batch, hot, n))
+            yield from _rows(_stretches(batch, hot, n, m))
 
     def joined(group):
         parts = [_unpack(b) for b in group["blob"].to_pylist()]
@@ -445,7 +446,7 @@ def spans(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(["_id", "_key", "_starts", "_ends"], columns, kinds, strict=True)})
 
-    covered = _routed(told.mapInArrow(stretches, "bucket int, blob binary"), n, _covered)
+    covered = _routed(told.mapInArrow(stretches, "bucket int, blob binary"), n, m, _covered)
     made = stage(covered.groupBy("bucket").applyInArrow(joined, "_id long, _key int, _starts array<long>, _ends array<long>"), "suffix-spans")
     candidates.release()
     del told, covered
