@@ -1,4 +1,6 @@
 """The registered queries over the reference's operators and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
