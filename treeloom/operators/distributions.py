@@ -60,9 +60,12 @@ def chi_square(rows: list[Column]) -> dict[str, Column]:
     total = add(columns)
     filled = F.size(F.filter(columns, lambda x: x > 0))
     chi2, least, small = F.lit(0.0), F.lit(float("inf")), F.lit(0)
+
+    def expected_of(size: Column) -> Column:
+        return F.transform(columns, lambda c: c * size / total)
+
     for r in rows:
-        size = add(r)
-        expected = F.transform(columns, lambda c, size=size: c * size / total)
+        expected = expected_of(add(r))
         parts = F.zip_with(r, expected, lambda o, e: F.when(e > 0, (o - e) * (o - e) / e).otherwise(0.0))
         positive = F.filter(expected, lambda e: e > 0)
         chi2, least = chi2 + add(parts), F.least(least, F.array_min(positive))
@@ -92,7 +95,7 @@ def pairs(wide: DataFrame, group: str) -> DataFrame:
     """
     gathered = wide.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), vector().alias("x")))).alias("all"))
     first = gathered.select("all", F.posexplode("all").alias("i", "a"))
-    both = first.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    both = first.select("a", F.explode_outer(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b")).where("b is not null")
     return both.select(F.col("a.g").alias("group_a"), F.col("b.g").alias("group_b"), F.col("a.x").alias("a"), F.col("b.x").alias("b"))
 
 

@@ -36,7 +36,8 @@ def sentences(documents: DataFrame, *keep: str) -> DataFrame:
         return F.struct((i + 1).alias("id"), form.alias("form"), upos(form).alias("upos"), F.when(root, 0).otherwise(verb).alias("head"), deprel.alias("deprel"))
 
     tokens = F.filter(F.transform("w", token), lambda t: t["form"] != "")
-    return blocks.select("doc_id", *keep, "line_no", "n_places", tokens.alias("tokens"))
+    # Generated, not projected: what filters on tokens then works on them as they are, and doesn't derive them again.
+    return blocks.select("doc_id", *keep, "line_no", "n_places", F.explode_outer(F.array(tokens)).alias("tokens"))
 
 
 def tokens(documents: DataFrame, *keep: str) -> DataFrame:
