@@ -53,9 +53,17 @@ def variants(rows: DataFrame, identity: str, *order: str) -> DataFrame:
 
 def variants_json(kinds: DataFrame, identity: str) -> DataFrame:
     """The variants of each identity as one JSON array."""
-    counts = F.map_from_arrays(F.array(*[F.lit(p) for p in PATTERNS]), F.col("vector"))
-    item = F.struct("occurrences", F.col("retained").alias("retained_occurrences"), counts.alias("counts"))
-    return kinds.groupBy(identity).agg(F.to_json(F.sort_array(F.collect_list(F.struct("vector", item.alias("item")))).getField("item")).alias("variants"))
+    names = F.array(*[F.lit(p) for p in PATTERNS])
+    ordered = F.sort_array(F.collect_list(F.struct("vector", "occurrences", "retained")))
+
+    def item(x):
+        excess = F.transform(x["vector"], lambda n: n * (x["occurrences"] - x["retained"]))
+        return F.struct(
+            x["occurrences"].alias("occurrences"), x["retained"].alias("retained_occurrences"),
+            F.map_from_arrays(names, x["vector"]).alias("counts"), F.map_from_arrays(names, excess).alias("excess_counts"),
+        )
+
+    return kinds.groupBy(identity).agg(ordered.alias("_all")).select(identity, F.to_json(F.transform("_all", item)).alias("variants"))
 
 
 def concentration(audited: DataFrame, *tops: int) -> DataFrame:

@@ -390,7 +390,7 @@ def _margins(spark, d):
     low = lambda c: F.array_min(F.transform(rest, lambda o: o[c]))
     return each.select(
         F.col("t.lang").alias("lang"),
-        F.inline(F.array(F.struct(F.lit("highest").alias("claim"), (F.col("t.b") - top("b")).alias("before"), (F.col("t.a") - top("a")).alias("after")), F.struct(F.lit("lowest"), low("b") - F.col("t.b"), low("a") - F.col("t.a")))),
+        F.inline(F.array(F.struct(F.lit("highest").alias("claim"), (F.col("t.b") - top("b")).alias("before"), (F.col("t.a") - top("a")).alias("after")), F.struct(F.lit("lowest").alias("claim"), (low("b") - F.col("t.b")).alias("before"), (low("a") - F.col("t.a")).alias("after")))),
     )
 
 
