@@ -170,3 +170,29 @@ def test_distribution_contract(spark):
     assert {r.rule for r in distribution_violations(good.where("pattern <> 'SVO'"), "g").collect()} == {"patterns", "sum"}
     grid = D.patterns_of(spark.createDataFrame([("g",)], "g string"))
     assert grid_violations(good, grid).count() == 0 and grid_violations(good.where("pattern <> 'SVO'"), grid).first().rule == "missing"
+
+#: Published counts of four genres, and chi-square, seed and permutation p of four pairs.
+PROFESSIONAL, PUBLICISTIC, LITERARY, SPOKEN = [831, 50, 46, 17, 20, 141], [2035, 193, 102, 51, 46, 410], [112, 8, 6, 4, 4, 28], [108, 18, 16, 4, 4, 18]
+PUBLISHED = [
+    (PROFESSIONAL, LITERARY, 20260715, 4.054349, 0.546773),
+    (PROFESSIONAL, SPOKEN, 20260716, 22.788332, 0.000950),
+    (PUBLICISTIC, LITERARY, 20260717, 2.823065, 0.724414),
+    (PUBLICISTIC, SPOKEN, 20260718, 21.284946, 0.001800),
+]
+
+
+@pytest.mark.parametrize("a,b,seed,chi2,p", PUBLISHED)
+def test_published_permutations(a, b, seed, chi2, p):
+    table = np.array([a, b])
+    assert round(I.chi_square_of(table), 6) == chi2
+    assert round(I.permuted_labels(table, seed), 6) == p
+
+
+def test_published_distributions(spark):
+    rows = [("professional", *PROFESSIONAL), ("publicistic", *PUBLICISTIC), ("literary", *LITERARY)]
+    wide = spark.createDataFrame(rows, "g string, " + ", ".join(f"n_{p} long" for p in PATTERNS)).withColumn("total", sum(F.col(f"n_{p}") for p in PATTERNS))
+    assert round(I.chi_square_of(np.array([r[1:] for r in rows])), 6) == 13.765731
+    v = D.chi_square([F.col("a"), F.col("b")])
+    got = {(r.group_a, r.group_b): round(r.v, 4) for r in D.pairs(wide, "g").select("group_a", "group_b", v["cramers_v"].alias("v")).collect()}
+    assert got == {("literary", "professional"): 0.0566, ("literary", "publicistic"): 0.0307, ("professional", "publicistic"): 0.0524}
+    assert {r.g: (r.dominant_order, r.dominant) for r in D.dominance(wide).collect()} == dict.fromkeys(("professional", "publicistic", "literary"), ("SVO", True))

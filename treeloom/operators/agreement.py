@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 KEYS = ["doc_id", "line_no", "v"]
 
@@ -10,34 +12,42 @@ KEYS = ["doc_id", "line_no", "v"]
 def align(gold: DataFrame, auto: DataFrame) -> DataFrame:
     """Aligns instances ``(doc_id, line_no, s, v, o, pattern)`` of two annotations: kind, gold and auto pattern.
 
-    In stages, each over what the ones before left: the same three tokens (``same``); subject and
-    object exchanged (``changed``); a shared argument, unique both ways (``unclear``); what still
-    shares an argument (``unclear``, one record a verb); the rest is in one annotation alone.
+    The instances of a verb meet in one row, and each stage works on what the ones before left:
+    the same three tokens (``same``); subject and object exchanged (``changed``); any shared
+    argument (``unclear``, one record a verb, with a pattern where one side has just one
+    instance); the rest is in one annotation alone.
     """
-    g = gold.select(*KEYS, "s", "o", F.col("pattern").alias("gold"))
-    a = auto.select(*KEYS, "s", "o", F.col("pattern").alias("auto"))
-    exact = g.join(a, [*KEYS, "s", "o"]).select(F.lit("same").alias("kind"), "gold", "auto")
-    g1, a1 = g.join(a.select(*KEYS, "s", "o"), [*KEYS, "s", "o"], "left_anti"), a.join(g.select(*KEYS, "s", "o"), [*KEYS, "s", "o"], "left_anti")
-    turned = a1.select(*KEYS, F.col("s").alias("o"), F.col("o").alias("s"), "auto")
-    swapped = g1.join(turned, [*KEYS, "s", "o"])
-    swap_keys = swapped.select(*KEYS, "s", "o")
-    g2 = g1.join(swap_keys, [*KEYS, "s", "o"], "left_anti")
-    a2 = a1.join(swap_keys.select(*KEYS, F.col("o").alias("s"), F.col("s").alias("o")), [*KEYS, "s", "o"], "left_anti")
-    x, y = g2.alias("x"), a2.alias("y")
-    touch = (F.col("x.s") == F.col("y.s")) | (F.col("x.o") == F.col("y.o")) | (F.col("x.s") == F.col("y.o")) | (F.col("x.o") == F.col("y.s"))
-    near = x.join(y, [*[F.col(f"x.{k}") == F.col(f"y.{k}") for k in KEYS], touch])
-    near = near.select(*[F.col(f"x.{k}").alias(k) for k in KEYS], F.col("x.s").alias("gs"), F.col("x.o").alias("go"), F.col("y.s").alias("as"), F.col("y.o").alias("ao"), "gold", "auto")
-    overlaps = near.groupBy(*KEYS).agg(F.count_distinct("gs", "go").alias("ng"), F.count_distinct("as", "ao").alias("na"), F.min("gold").alias("gold"), F.min("auto").alias("auto"))
-    unclear = overlaps.select(F.lit("unclear").alias("kind"), F.when(F.col("ng") == 1, F.col("gold")).alias("gold"), F.when(F.col("na") == 1, F.col("auto")).alias("auto"))
-    gone = g2.join(near.select(*KEYS, F.col("gs").alias("s"), F.col("go").alias("o")), [*KEYS, "s", "o"], "left_anti")
-    new = a2.join(near.select(*KEYS, F.col("as").alias("s"), F.col("ao").alias("o")), [*KEYS, "s", "o"], "left_anti")
-    none = F.lit(None).cast("string")
-    return (
-        exact.union(swapped.select(F.lit("changed"), "gold", "auto"))
-        .union(unclear)
-        .union(gone.select(F.lit("gold_only"), "gold", none))
-        .union(new.select(F.lit("auto_only"), none, "auto"))
+    none = F.array().cast("array<struct<s:int,o:int,pattern:string>>")
+    by_verb = lambda df, name: df.groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("o").cast("int").alias("o"), "pattern")).alias(name))
+    df = by_verb(gold, "g").join(by_verb(auto, "a"), KEYS, "full_outer").select(F.coalesce("g", none).alias("g"), F.coalesce("a", none).alias("a"))
+    alike = lambda x, y: (x["s"] == y["s"]) & (x["o"] == y["o"])
+    turned = lambda x, y: (x["s"] == y["o"]) & (x["o"] == y["s"])
+    touching = lambda x, y: (x["s"] == y["s"]) | (x["o"] == y["o"]) | (x["s"] == y["o"]) | (x["o"] == y["s"])
+
+    def meets(of: str, test) -> Callable[[Column], Column]:
+        return lambda x: F.exists(of, lambda y: test(x, y))
+
+    def without(of: str, test) -> Callable[[Column], Column]:
+        return lambda x: ~F.exists(of, lambda y: test(x, y))
+
+    def records(kind: str, mine: Column, of: str | None = None, test=None) -> Column:
+        other = (lambda x: F.get(F.filter(of, lambda y: test(x, y)), F.lit(0))["pattern"]) if of else (lambda x: F.lit(None).cast("string"))
+        return F.transform(mine, lambda x: F.struct(F.lit(kind).alias("kind"), x["pattern"].alias("gold"), other(x).alias("auto")))
+
+    df = df.select("g", "a", F.filter("g", without("a", alike)).alias("g1"), F.filter("a", without("g", alike)).alias("a1"))
+    df = df.select("g", "a", "g1", "a1", F.filter("g1", without("a1", turned)).alias("g2"), F.filter("a1", without("g1", turned)).alias("a2"))
+    df = df.select("*", F.filter("g2", meets("a2", touching)).alias("gn"), F.filter("a2", meets("g2", touching)).alias("an"))
+    only = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0))["pattern"])
+    unclear = F.when(F.size("gn") > 0, F.array(F.struct(F.lit("unclear").alias("kind"), only("gn").alias("gold"), only("an").alias("auto")))).otherwise(F.array().cast("array<struct<kind:string,gold:string,auto:string>>"))
+    new = F.transform(F.filter("a2", without("g2", touching)), lambda x: F.struct(F.lit("auto_only").alias("kind"), F.lit(None).cast("string").alias("gold"), x["pattern"].alias("auto")))
+    found = F.concat(
+        records("same", F.filter("g", meets("a", alike)), "a", alike),
+        records("changed", F.filter("g1", meets("a1", turned)), "a1", turned),
+        unclear,
+        records("gold_only", F.filter("g2", without("a2", touching))),
+        new,
     )
+    return df.select(F.explode_outer(found).alias("r")).where("r is not null").select("r.*")
 
 
 def matrix(aligned: DataFrame) -> DataFrame:

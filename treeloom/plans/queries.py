@@ -495,7 +495,7 @@ def manifest_pair_join(spark, d):
 @query
 def pair_alignment(spark, d):
     c = load(spark, d, "conversations").where("role in ('user', 'assistant')")
-    p = c.groupBy("conv_id").pivot("role", ["user", "assistant"]).agg(F.count("*"))
+    p = c.groupBy("conv_id").pivot("role", ["user", "assistant"]).agg(F.count(F.lit(1)))
     n = lambda k: F.coalesce(F.col(k), F.lit(0))
     return p.select("conv_id", n("user").alias("n_user"), n("assistant").alias("n_assistant"), ((n("user") > 0) & (n("assistant") > 0)).alias("complete"), ((n("user") > 0) | (n("assistant") > 0)).alias("informative"))
 
