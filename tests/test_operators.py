@@ -62,7 +62,7 @@ def test_linear_trees(spark):
 
 
 def test_metrics(spark):
-    rows = [("u", [5.0] * 6), ("one", [3.0, 0, 0, 0, 0, 0])]
+    rows = [("u", [5.0] * 6), ("one", [3.0, 0.0, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "k string, x array<double>").select("k", D.entropy(D.shares_of(F.col("x"))).alias("e"))
     got = {r.k: r.e for r in df.collect()}
     assert got["u"] == pytest.approx(math.log(6)) and got["one"] == 0

@@ -7,6 +7,7 @@ run together, are read by line and put into blocks by a running count within eac
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Substrings of a ``# term =`` line that name a genre, first match wins (fixed values of the corpus format).
@@ -29,7 +30,7 @@ def blocks(spark: SparkSession, path: str | list[str], plain: bool = False, recu
         raw = reader.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("ord"), "value")
         cut = raw.select("file", F.struct("at", "ord").alias("ord"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
         return cut.where(F.size("lines") > 0).select("file", F.to_json("ord").alias("ord"), "lines")
-    whole = reader.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     text = F.regexp_replace("value", r"\r\n?", "\n")
     parts = whole.select("file", F.posexplode(F.split(text, r"\n(?:[ \t\f\x0B]*\n)+")).alias("ord", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
@@ -147,32 +148,27 @@ def block_ids(lines: DataFrame, separator: Column, by: list[str], order: list[st
     return flagged.withColumn("block", running.cast("long")).where(~F.col("_sep")).drop("_sep")
 
 
+def rendered() -> Column:
+    """A sentence as a block of lines."""
+    cells = lambda t: F.concat_ws("\t", *[F.coalesce(t[c].cast("string"), F.lit("_")) for c in ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")])
+    return F.array_join(F.concat("comments", F.transform("tokens", cells)), "\n")
+
+
 def render(sentences: DataFrame) -> DataFrame:
     """``value``: each sentence as a block, for ``write.text`` with ``lineSep`` of two line ends."""
-    cells = lambda t: F.concat_ws("\t", *[F.coalesce(t[c].cast("string"), F.lit("_")) for c in ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")])
-    return sentences.select(F.array_join(F.concat("comments", F.transform("tokens", cells)), "\n").alias("value"))
+    return sentences.select(rendered().alias("value"))
 
 
 def write_conllu(sentences: DataFrame, path: str, by: str | None = None) -> None:
     """Writes blocks, one directory for each value of ``by`` if given; rows without one are left out."""
-    out = render(sentences) if by is None else sentences.where(F.col(by).isNotNull())
     if by is None:
-        out.write.option("lineSep", "\n\n").text(path)
+        render(sentences).write.option("lineSep", "\n\n").text(path)
     else:
-        keyed = out.select(by, "comments", "tokens")
-        text = render(keyed).columns[0]
-        keyed.select(by, *[render_column().alias(text)]).write.partitionBy(by).option("lineSep", "\n\n").text(path)
-
-
-def render_column() -> Column:
-    cells = lambda t: F.concat_ws("\t", *[F.coalesce(t[c].cast("string"), F.lit("_")) for c in ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")])
-    return F.array_join(F.concat("comments", F.transform("tokens", cells)), "\n")
+        sentences.where(F.col(by).isNotNull()).select(by, rendered().alias("value")).write.partitionBy(by).option("lineSep", "\n\n").text(path)
 
 
 def annotate(sentences: DataFrame, tagger, batch: int = 2000) -> DataFrame:
     """Gives tokens NER items from ``tagger(list of form lists) -> list of tag lists`` of the same lengths."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def tags(forms: pd.Series) -> pd.Series:
         out: list = []
