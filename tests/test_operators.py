@@ -196,3 +196,34 @@ def test_published_distributions(spark):
     got = {(r.group_a, r.group_b): round(r.v, 4) for r in D.pairs(wide, "g").select("group_a", "group_b", v["cramers_v"].alias("v")).collect()}
     assert got == {("literary", "professional"): 0.0566, ("literary", "publicistic"): 0.0307, ("professional", "publicistic"): 0.0524}
     assert {r.g: (r.dominant_order, r.dominant) for r in D.dominance(wide).collect()} == dict.fromkeys(("professional", "publicistic", "literary"), ("SVO", True))
+
+
+def test_reports(spark, tmp_path):
+    from treeloom.operators import reports
+
+    df = spark.createDataFrame([(1, "I", "a_b", 1234.56), (2, "II", "c", None)], "row int, part string, name string, share double")
+    tex = reports.latex_table(df, "part", "row", {"name": "Name", "share": "%"})
+    assert r"a\_b & 1.234,6 \\" in tex and tex.count("multicolumn") == 2
+    assert "a_b\t1234.56" in reports.text_report([("Top", df.select("name", "share"))])
+    (tmp_path / "x").write_text("1")
+    assert reports.write_checksums(files.digests(spark, str(tmp_path / "x")), str(tmp_path / "sums")) and (tmp_path / "sums").read_text().endswith("  x\n")
+
+    def work(name):
+        if name == "bad":
+            raise ValueError("no such corpus")
+        return df
+
+    states = {r.name: (r.status, r.error) for r in reports.run_each(spark, ["good", "bad"], work, str(tmp_path / "out")).collect()}
+    assert states == {"good": ("ok", None), "bad": ("error", "no such corpus")} and spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert reports.percentages_add_up(spark.createDataFrame([(50.0, 50.1), (50.0, 49.0)], "a double, b double"), ["a", "b"]).count() == 1
+
+
+def test_splits_and_chunks(spark, tmp_path):
+    for k, name in enumerate(("train", "dev", "test")):
+        (tmp_path / f"x-{name}.conllu").write_text(f"{k}\ta\n\n{k}\tb\n")
+    got = conllu.merge_splits(spark, str(tmp_path)).orderBy("split", "ord")
+    assert [r.lines[0] for r in got.collect()] == ["0\ta", "0\tb", "1\ta", "1\tb", "2\ta", "2\tb"]
+    assert sorted(r.chunk for r in conllu.chunk_ids(got, 5, ["ord"]).collect()) == [0, 0, 0, 1, 1, 1]
+    (tmp_path / "y-dev.conllu").write_text("1\ta\n")
+    with pytest.raises(ValueError, match="2 files"):
+        conllu.merge_splits(spark, str(tmp_path))

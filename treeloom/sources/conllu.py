@@ -184,3 +184,22 @@ def annotate(sentences: DataFrame, tagger, batch: int = 2000) -> DataFrame:
 
     tagged = sentences.withColumn("_tags", tags(F.transform("tokens", lambda t: t["form"])))
     return tagged.withColumn("tokens", F.zip_with("tokens", "_tags", lambda t, x: t.withField("misc", misc_upsert(t["misc"], x)))).drop("_tags")
+
+
+def merge_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
+    """The blocks of a treebank's splits in that order, as ``(split, file, ord, lines)``; each must have just one file."""
+    out = None
+    for i, split in enumerate(splits):
+        part = blocks(spark, f"{folder}/*-{split}.conllu").withColumn("split", F.lit(i))
+        names = [r[0] for r in part.select("file").distinct().limit(2).collect()]
+        if len(names) != 1:
+            raise ValueError(f"{folder}: {split} has {len(names)} files")
+        out = part if out is None else out.unionByName(part)
+    return out.select("split", "file", "ord", "lines")
+
+
+def chunk_ids(blocks_: DataFrame, most_bytes: int, order: list[str], by: str = "file") -> DataFrame:
+    """Blocks with the number of the chunk each falls into: a chunk closes at the block that fills it."""
+    size = F.octet_length(F.array_join("lines", "\n")) + 2
+    before = F.coalesce(F.sum(size).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks_.withColumn("chunk", F.floor(before / most_bytes).cast("long"))
