@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,11 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or (tests only) a fresh local one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="treeloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@lru_cache(1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="treeloom-")
+
+
+_STAGED: list[Staged] = []
+
+
+@atexit.register
+def _release_all() -> None:
+    """Staged tables serve one application: what is still there goes when it ends."""
+    for made in _STAGED:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            made.release()
 
 
 class Staged:
@@ -37,6 +52,7 @@ class Staged:
         self.path = f"{shared_dir(self.spark)}/treeloom-{label}-{uuid.uuid4().hex}"
         df.write.options(compression="zstd", **options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _STAGED.append(self)
 
     def release(self) -> None:
         jvm = self.spark.sparkContext._jvm
