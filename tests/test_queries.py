@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 from treeloom.plans import registry
-from treeloom.plans.treebank import load
+from treeloom.sources.tables import load
 from treeloom.streaming import counts
 
 DATA = "/root/testdata/sf0.001"

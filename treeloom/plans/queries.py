@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.special import chi2_tail, fisher_tail, sign_tail
 from ..operators import agreement, distributions as D, inference as I, matching as M, repetition as R
 from ..schema import PATTERNS, pattern_rank
+from ..sources.tables import load
 from . import treebank
-from .treebank import load
 
 QUERIES: dict = {}
 
