@@ -11,12 +11,14 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.tables import load
+
 #: The white space that separates words: space, tab, LF, VT, FF, CR.
 WHITE = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return load(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
