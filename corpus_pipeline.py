@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least doc_id, of each SimHash near-duplicate group."""
-    from treeloom.llm.simhash import keep_first
+    """One document, the one of least doc_id, of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    from treeloom.llm.jaccard import keep_first
 
     return keep_first(docs)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from treeloom.llm import ann, common, components, html, licences, mixing, pieces, quality, shards, simhash, suffix, urls
+from treeloom.llm import ann, common, components, html, jaccard, licences, mixing, pieces, quality, shards, simhash, suffix, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, ids string, row string"
 
@@ -149,6 +149,38 @@ def test_dense_fingerprints(spark, monkeypatch):
     assert sum(len(p) for p in plan.parts) == 64 and (plan.thresholds(np.array(list(distinct), np.uint64)).sum(axis=1) == 4 - len(plan.parts) + 1).all()
 
 
+@pytest.mark.parametrize("heavy,block,sample", [(64, 256, 8), (3, 8, 1)])
+def test_similar_texts(spark, texts, heavy, block, sample, monkeypatch):
+    import corpus_pipeline
+
+    for name, value in (("HEAVY", heavy), ("BLOCK", block), ("SAMPLE", sample), ("WIDTH", 50)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    made = [*texts]
+    for k in range(30):
+        base = [rng.choice(words) for _ in range(rng.randrange(60, 300))]
+        made.append(" ".join(base))
+        for _ in range(12 if k == 0 else 3):
+            made.append(" ".join(rng.choice(words) if rng.random() < 0.02 * (k % 3) else w for w in base))
+    runs = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set()
+    sets, group = [runs(t) for t in made], list(range(len(made)))
+    linked = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for j in range(len(made)) for i in range(j) if linked(sets[i], sets[j])]
+    for i, j in pairs:
+        low, high = sorted((group[i], group[j]))
+        group = [low if g == high else g for g in group]
+    want = [i for i in range(len(made)) if group[i] == i]
+    near = sum(sets[i] != sets[j] and (simhash.fingerprint(made[i].encode()) ^ simhash.fingerprint(made[j].encode())).bit_count() > 4 for i, j in pairs if made[i] and made[j])
+    assert near > 20  # copies that four bits do not link
+    df = documents(spark, made)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == want
+    again = documents(spark, ["one two three four five six", "quite another text of seven words", "one two three four five six"], ids=[1, 1, 2])
+    assert sorted(r.text for r in jaccard.keep_first(again).collect()) == ["one two three four five six", "quite another text of seven words"]
+    assert jaccard.keep_first(df.where("doc_id < 0")).count() == 0
+
+
 # op3
 
 

@@ -1,0 +1,172 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+
+With the shingles of all texts in one order, two sets of similarity s or more share one of the
+first n - ceil(s n) + 1 shingles of each, n being the set's size; so texts that share such a
+shingle are all the candidates there are, and each is verified on the whole sets. Any order
+gives the same links. Shingles seen often in a sample of the texts go last, which keeps what
+candidates share rare.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .common import free_shuffles, stage
+from .components import connected_components
+
+SHINGLE, SEED = 5, 42
+#: Least similarity, as a fraction.
+OVER, UNDER = 4, 5
+#: One of so many texts is counted for the order; shingles of at least OFTEN such texts, the MOST frequent ones, go to every task.
+SAMPLE, OFTEN, MOST = 8, 3, 200_000
+#: Texts under one shingle beyond which they are compared in blocks of so many.
+HEAVY = 64
+BLOCK = 256
+#: Shared shingles of a block counted at a time.
+WIDTH = 4096
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 of a text's runs of ``size`` words, sorted; shorter texts are one run, no words give none."""
+    words = text.lower().split()
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes) + np.arange(len(words))
+    spans = map(slice, (ends - sizes)[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(SEED)), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles by which a set is looked up: its first in the order of (count in the sample, value)."""
+    if not len(found):
+        return found
+    if len(often):
+        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+        found = found[np.lexsort((found, np.where(often[at] == found, counts[at], 0)))]
+    return found[: len(found) - -(-OVER * len(found) // UNDER) + 1]
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of the sample, sorted, and their counts."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py() or b"").view(np.int64))], ["h"])
+
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("text"))
+    rows = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(MOST).toArrow()
+    often = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(often)
+    return often[order], rows["n"].to_numpy().astype(np.int64)[order]
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """``(_id, row, node, n, prefix)``: node is a digest of the set of shingles, n its size."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+
+    def run(batches):
+        often, counts = frequent.value
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for text in batch.column("_text"):
+                found = shingles(text.as_py() or b"")
+                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                prefixes.append(prefix(found, often, counts).view(np.int64))
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("row"), *made], ["_id", "row", "node", "n", "prefix"])
+
+    nested = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return nested.mapInArrow(run, f"_id long, row {nested.schema['row'].dataType.simpleString()}, node long, n int, prefix array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(k) for k in range(4)]
+            keep = [similar(shingles(a.as_py() or b""), shingles(b.as_py() or b"")) for a, b in zip(columns[2], columns[3], strict=True)]
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in columns[:2]], ["src", "dst"])
+
+    first, second = (texts.select(F.col("node").alias(k), F.col("_text").alias(f"{k}_text")) for k in ("src", "dst"))
+    return pairs.join(first, "src").join(second, "dst").select("src", "dst", "src_text", "dst_text").mapInArrow(run, "src long, dst long")
+
+
+def _block_links(heavy: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links under frequent shingles: each two blocks of texts meet in a task, which gives a spanning forest of the links."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = heavy.select("h", "node", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node").join(texts, "node")
+
+    def forest(block: pa.Table) -> pa.Table:
+        nodes, sets = block["node"].to_numpy(), [shingles(x.as_py() or b"") for x in block["_text"]]
+        n = np.array([len(x) for x in sets])
+        values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        rank = np.cumsum(times > 1) - 1  # only what two texts share adds to an intersection
+        row, place = row[times[place] > 1], rank[place[times[place] > 1]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        both = np.zeros((len(sets), len(sets)), np.int64)
+        for at in range(0, int((times > 1).sum()), WIDTH):
+            lo, hi = np.searchsorted(place, [at, at + WIDTH])
+            cells = np.zeros((len(sets), WIDTH), np.float32)
+            cells[row[lo:hi], place[lo:hi] - at] = 1
+            both += (cells @ cells.T).astype(np.int64)
+        near = UNDER * both >= OVER * (n[:, None] + n[None, :] - both)
+        low = nodes.copy()
+        while True:
+            new = np.minimum(low, np.where(near, low[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if (new == low).all():
+                break
+            low = new
+        return pa.table({"src": nodes[nodes != low], "dst": low[nodes != low]})
+
+    return dealt.groupBy("h", "lo", "hi").applyInArrow(forest, "src long, dst long")
+
+
+def _links(signed: DataFrame) -> DataFrame:
+    """``(src, dst)`` of nodes, enough to connect all that are similar."""
+    sets = signed.select("node", "n", "prefix").dropDuplicates(["node"])
+    postings = sets.select("node", "n", F.explode("prefix").alias("h"))
+    shared = stage(postings.withColumn("m", F.count("*").over(Window.partitionBy("h"))).where("m > 1"), "jaccard-shared").df
+    free_shuffles(signed.sparkSession)
+    light, heavy = shared.where(F.col("m") <= HEAVY), shared.where(F.col("m") > HEAVY)
+    fits = (F.col("a.n") * UNDER >= F.col("b.n") * OVER) & (F.col("b.n") * UNDER >= F.col("a.n") * OVER)
+    pairs = light.alias("a").join(light.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & fits)
+    pairs = stage(pairs.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct(), "jaccard-pairs").df
+    wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).union(heavy.select("node")).distinct()
+    texts = stage(signed.select("node", F.col("row.text").cast("binary").alias("_text")).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-texts").df
+    return _verified(pairs, texts).union(_block_links(heavy, texts))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of ``docs(doc_id, text, ...)``, that of the least doc_id, for each group linked by similarity.
+
+    Texts of the same set of shingles count as one, texts without words too. Of rows that agree in
+    doc_id and shingles one stays; rows that share a doc_id only are told apart. Rows without a
+    doc_id stay. Columns are returned as they came.
+    """
+    spark = docs.sparkSession
+    signed = stage(_signed(docs), "jaccard-signed").df
+    named = signed.where("_id is not null")
+    edges = stage(_links(named).distinct(), "jaccard-edges").df
+    free_shuffles(spark)
+    least = named.groupBy("node").agg(F.min("_id").alias("_id"))
+    merged = connected_components(edges).withColumnRenamed("node", "member")
+    first = least.join(merged, least.node == merged.member, "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct("_id", "node")).alias("first"))
+    kept = named.join(first.select("first.*"), ["_id", "node"], "left_semi").dropDuplicates(["_id", "node"])
+    return kept.select("row.*").unionByName(signed.where("_id is null").select("row.*"))
