@@ -4,6 +4,7 @@ empty tables and further columns with clashing names."""
 import hashlib
 import html as html_lib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -395,6 +396,19 @@ def test_licences(spark):
     assert {g[0] for g in every} >= set(licences.TEMPLATES) - {"Apache-2.0"}
 
 
+@pytest.mark.parametrize("name", licences.TEMPLATES)
+def test_licences_with_one_word_changed(name):
+    index = licences.Index.build()
+    words = re.findall(r"[0-9a-z]+", licences.TEMPLATES[name].lower())
+    edits = [[*words[:i], *new, *words[i + cut :]] for i in range(len(words)) for cut, new in ((1, ["zzz"]), (1, []), (0, ["zzz"]))]
+    for edit in edits:
+        at = "once upon a time " + " ".join(edit) + " there lived a poet"
+        assert any(g[0] == name or g[1] > licences.COVERAGE * len(words) for g in licences.scan(index, at.encode())), edit
+    if name == "MIT":
+        for text in ("Licensed under the MIT License.", "Released under MIT License."):
+            assert [g[:3] for g in licences.scan(index, text.encode())] == [("MIT", 4, 0.8)]
+
+
 # op9
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>

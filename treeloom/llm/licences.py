@@ -1,9 +1,13 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
 Templates are cut into words; hashes of GRAM successive words are winnowed (the least of each
-WINDOW successive ones) into an inverted index. A text's winnowed hashes that the index knows
-name template and offset; hits on nearby diagonals form a candidate, and a banded local
-alignment of its neighbourhood gives the words matched and the span in the text.
+WINDOW successive ones) into an inverted index. A text's hashes that the index knows name
+template and offset; hits on nearby diagonals form a candidate, and a banded local alignment
+of its neighbourhood gives the words matched and the span in the text.
+
+Winnowing finds every common run of GRAM + WINDOW - 1 words. An alignment without two adjacent
+matches scores no more than one match (each further match costs a gap), so the runs that have
+to be found are of RUN = 2 words, whatever the edits and the template's length.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-GRAM, WINDOW = 3, 3
+RUN = 2
+GRAM, WINDOW = RUN, 1
 #: Half the band's width in words, and words beside a candidate that the alignment may reach into.
 BAND, MARGIN = 8, 4
 #: Least share of a template's words that a report needs.
@@ -74,7 +79,7 @@ def winnow(ids: np.ndarray) -> list[tuple[int, int]]:
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int, int, int]:
     """Best local alignment within BAND of a diagonal (text place less template place): score, matched words,
-    first and last+1 word of the text, words of the template spanned."""
+    first and last+1 word of the text, words of the template spanned. Of equal scores the one of more words."""
     best = (0, 0, 0, 0, 0)
     width = 2 * BAND + 1
     nothing = (0, 0, -1, -1)  # score, matched, text start, template start
@@ -88,17 +93,17 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
                 continue
             hit = text[j] == want
             score, matched, start, first = above[b]
-            if score <= 0:
+            if not matched:
                 score, matched, start, first = 0, 0, j, i
             options = [(score + (MATCH if hit else MISMATCH), matched + hit, start, first)]
             for old in (above[b + 1], left):
                 if old[0] > 0:
                     options.append((old[0] + GAP, *old[1:]))
             left = max(options, key=lambda x: (x[0], x[1]))
-            if left[0] <= 0:
+            if left[0] < 0 or not left[1]:
                 left = nothing
             row[b] = left
-            if left[0] > best[0]:
+            if left[:2] > best[:2]:
                 best = (left[0], left[1], left[2], j + 1, i + 1 - left[3])
         above = row
     return best
@@ -119,11 +124,14 @@ def scan(index: Index, text: bytes) -> list[tuple[str, int, float, int, int]]:
             candidates.setdefault((t, (place - offset) // BAND), []).append(place - offset)
     spans, found = None, []
     for (t, _), diagonals in sorted(candidates.items()):
-        template, middle = index.texts[t], int(np.median(diagonals))
+        template, middle = index.texts[t], (min(diagonals) + max(diagonals)) // 2
         lo, hi = max(0, middle - MARGIN - BAND), min(len(ids), middle + len(template) + MARGIN + BAND)
+        nearby = set(ids[lo:hi].tolist())
+        if sum(w in nearby for w in template.tolist()) < COVERAGE * len(template):  # more can't match
+            continue
         score, matched, first, end, _ = align(template, ids[lo:hi], middle - lo)
         coverage = matched / len(template)
-        if coverage >= COVERAGE:
+        if coverage >= COVERAGE and score > MATCH:
             if spans is None:
                 spans = [m.span() for m in _WORD.finditer(lower)]
             found.append((index.names[t], matched, coverage, spans[lo + first][0], spans[lo + end - 1][1]))
@@ -132,7 +140,7 @@ def scan(index: Index, text: bytes) -> list[tuple[str, int, float, int, int]]:
 
 def _grams(ids: np.ndarray) -> list[tuple[int, int]]:
     """(place, hash) of the grams of template words; a text's own winnowing could only lose some of them."""
-    whole = (ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)
+    whole = np.lib.stride_tricks.sliding_window_view(ids > 0, GRAM).all(axis=1)
     return [(i, xxhash.xxh64_intdigest(ids[i : i + GRAM].astype("<i4").tobytes())) for i in np.flatnonzero(whole).tolist()]
 
 
