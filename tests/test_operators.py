@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from treeloom.functions.special import chi2_sf, fisher_two_sided, sign_test, wilcoxon
 from treeloom.operators import distributions as D, inference as I, matching as M, repetition as R
 from treeloom.operators.contracts import distribution_violations, grid_violations
+from treeloom.plans import registry
 from treeloom.schema import PATTERNS
 from treeloom.sources import conllu, files
 
@@ -188,6 +189,14 @@ def test_published_permutations(a, b, seed, chi2, p):
     assert round(I.permuted_labels(table, seed), 6) == p
 
 
+def test_every_published_pair_is_tested(spark):
+    got = {(r.group_a, r.group_b): r for r in registry.QUERIES["perm_chi2_exact_rng"](spark, "").collect()}
+    assert len(got) == 10
+    names = [("suk-professional", "suk-literary"), ("suk-professional", "sst"), ("suk-publicistic", "suk-literary"), ("suk-publicistic", "sst")]
+    for pair, (_, _, _, chi2, p) in zip(names, PUBLISHED, strict=True):
+        assert (round(got[pair].chi2, 6), round(got[pair].p, 6)) == (chi2, p)
+
+
 def test_published_distributions(spark):
     rows = [("professional", *PROFESSIONAL), ("publicistic", *PUBLICISTIC), ("literary", *LITERARY)]
     wide = spark.createDataFrame(rows, "g string, " + ", ".join(f"n_{p} long" for p in PATTERNS)).withColumn("total", sum(F.col(f"n_{p}") for p in PATTERNS))
