@@ -1,8 +1,8 @@
 """CoNLL-U: one parameterised reader, block-level repairs and a writer.
 
-Files are read as blocks. With ``\\n`` line ends and empty separator lines, Spark's own text
-source splits them (``lineSep``); files with CRLF or white-space separators, which that would
-run together, are read by line and put into blocks by a running count within each file.
+Files are read by line, in splits, whatever their size; lines are put into blocks by counts of
+block starts within each split and a small table of the splits. Files that are known to have LF
+ends and empty separators can be read by block (``plain``), which Spark's own text source does.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.rows import generated
+
 #: Substrings of a ``# term =`` line that name a genre, first match wins (fixed values of the corpus format).
 GENRES = (
     ("zvrst / umetnostna", "leposlovno"),
@@ -19,22 +21,41 @@ GENRES = (
 _ID = r"^[0-9]+$"
 
 
+BLANK = " \t\x0b\x0c\r"
+
+
+def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """``(file, start, id, value)``: lines with LF or CRLF ends, told apart and ordered by their split's offset and their place in it."""
+    raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+
+
 def blocks(spark: SparkSession, path: str | list[str], plain: bool = False, recursive: bool = False) -> DataFrame:
-    """``(file, ord, lines)``: the lines of each block in order.
+    """``(file, ord, lines)``: the lines of each block; ``ord`` orders the blocks of a file.
 
-    ``plain`` promises LF ends and empty separators and reads splittable blocks; otherwise a file
-    is one task's work until its blocks are known. gz files are decompressed by extension.
+    Lines of white space part blocks. A line opens a block if the line before it parts, also
+    across splits; what a task orders is one split. gz files are decompressed by extension and
+    are one split each. ``plain`` promises LF ends and empty separators.
     """
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if plain:
-        raw = reader.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("ord"), "value")
-        cut = raw.select("file", F.struct("at", "ord").alias("ord"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-        return cut.where(F.size("lines") > 0).select("file", F.to_json("ord").alias("ord"), "lines")
-    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace("value", r"\r\n?", "\n")
-    parts = whole.select("file", F.posexplode(F.split(text, r"\n(?:[ \t\f\x0B]*\n)+")).alias("ord", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
-    return parts.select("file", F.format_string("%012d", "ord").alias("ord"), lines.alias("lines")).where(F.size("lines") > 0)
+        raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n\n").text(path)
+        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("ord"), "value")
+        cut = raw.select("file", F.format_string("%016d-%020d", "at", "ord").alias("ord"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+        return cut.where(F.size("lines") > 0)
+    lines = read_lines(spark, path, recursive).withColumn("blank", F.btrim("value", F.lit(BLANK)) == "")
+    own = Window.partitionBy("file", "start").orderBy("id")
+    opens = ~F.col("blank") & F.coalesce(F.lag("blank").over(own), F.lit(False))
+    lines = lines.withColumn("opened", F.sum(opens.cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    splits = lines.groupBy("file", "start").agg(F.max("opened").alias("inner"), F.min_by("blank", "id").alias("blank_first"), F.max_by("blank", "id").alias("blank_last"))
+    order = Window.partitionBy("file").orderBy("start")  # of a file's splits
+    at_edge = ~F.col("blank_first") & F.coalesce(F.lag("blank_last").over(order), F.lit(True))
+    splits = splits.withColumn("edge", at_edge.cast("long"))
+    before = F.coalesce(F.sum(F.col("inner") + F.col("edge")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("file").alias("_file"), F.col("start").alias("_start"), (before + F.col("edge")).alias("_base"))
+    placed = lines.where("not blank").join(splits, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
+    placed = placed.withColumn("ord", F.format_string("%012d", F.col("_base") + F.col("opened")))
+    held = placed.groupBy("file", "ord").agg(F.sort_array(F.collect_list(F.struct("start", "id", "value"))).alias("held"))
+    return held.select("file", "ord", F.col("held.value").alias("lines"))
 
 
 def strip_bom(lines: Column) -> Column:
@@ -55,27 +76,30 @@ def token(line: Column) -> Column:
     )
 
 
-def read_conllu(spark: SparkSession, path: str | list[str], min_cols: int = 8, exact_cols: int | None = None, keep_bom: bool = False, plain: bool = False, recursive: bool = False) -> DataFrame:
+def read_conllu(spark: SparkSession, path: str | list[str], min_cols: int = 8, exact_cols: int | None = None, keep_bom: bool = False, plain: bool = False, recursive: bool = False, strict: bool = False) -> DataFrame:
     """One row a sentence: file, ord, comments, tokens (last row of a repeated id wins), text, is_fallback.
 
     Rows count as tokens if their ID is a whole number and they have ``min_cols`` columns (or
     exactly ``exact_cols``); ranges, empty nodes and other rows are left out. ``text`` is the
-    ``# text =`` comment as it stands, or else the forms joined by spaces.
+    ``# text =`` comment as it stands, or else the forms joined by spaces. With ``strict`` a
+    sentence of two different texts is an error.
     """
     b = blocks(spark, path, plain, recursive)
     lines = F.col("lines") if keep_bom else strip_bom(F.col("lines"))
     b = b.withColumn("lines", lines)
-    comments = F.filter("lines", lambda x: x.startswith("#"))
     wide_enough = (lambda n: n == exact_cols) if exact_cols else (lambda n: n >= min_cols)
     numbered = F.filter("lines", lambda x: ~x.startswith("#") & F.get(fields(x), F.lit(0)).rlike(_ID))
-    b = b.select("file", "ord", comments.alias("comments"), numbered.alias("numbered"))
+    b = generated(b, ["file", "ord"], comments=F.filter("lines", lambda x: x.startswith("#")), numbered=numbered).where(F.size("numbered") > 0)
     rows = F.transform(F.filter("numbered", lambda x: wide_enough(F.size(fields(x)))), token)
-    b = b.withColumn("rows", rows)
-    last = F.filter("rows", lambda t, i: ~F.exists("rows_at", lambda u: (u["id"] == t["id"]) & (u["i"] > i)))
-    b = b.withColumn("rows_at", F.transform("rows", lambda t, i: F.struct(t["id"].alias("id"), i.alias("i")))).withColumn("tokens", F.array_sort(last))
-    said = F.get(F.filter("comments", lambda x: x.startswith("# text = ")), F.lit(0))
+    placed = F.array_sort(F.transform(rows, lambda t, i: F.struct(t["id"].alias("id"), i.alias("i"), t.alias("t"))))
+    texts = F.array_distinct(F.filter("comments", lambda x: x.startswith("# text = ")))
     forms = F.array_join(F.transform("numbered", lambda x: F.get(fields(x), F.lit(1))), " ")
-    return b.where(F.size("numbered") > 0).select("file", "ord", "comments", "tokens", F.coalesce(F.substring(said, 10, 1_000_000_000), forms).alias("text"), said.isNull().alias("is_fallback"))
+    b = generated(b, ["file", "ord", "comments"], placed=placed, texts=texts, forms=forms)
+    last = F.filter("placed", lambda x, i: F.coalesce(F.get("placed", i + 1)["id"] != x["id"], F.lit(True)))
+    said = F.get("texts", F.lit(0))
+    if strict:
+        said = F.when(F.size("texts") > 1, F.raise_error(F.concat(F.lit("two texts in one sentence: "), F.array_join("texts", " / ")))).otherwise(said)
+    return b.select("file", "ord", "comments", F.transform(last, lambda x: x["t"]).alias("tokens"), F.coalesce(F.substring(said, 10, 1_000_000_000), "forms").alias("text"), said.isNull().alias("is_fallback"))
 
 
 def violations(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -113,6 +137,28 @@ def unattached(tokens: str) -> Column:
     return F.exists(tokens, lambda t: t["head"] == "_")
 
 
+def wrong_width(lines: str, width: int = 10) -> Column:
+    """Whether any row of a block that is no comment has another number of columns: such sentences are dropped."""
+    return F.exists(lines, lambda x: ~x.startswith("#") & (F.size(fields(x)) != width))
+
+
+def structural(line: Column) -> Column:
+    """A row's first nine columns: all but MISC."""
+    return F.slice(fields(line), 1, 9)
+
+
+def genre_counts(sentences: DataFrame, genre: str, has_syntax: Column | None = None) -> DataFrame:
+    """``(genre, n)`` of the sentences kept, and under ``(no genre)`` and ``(no syntax)`` those skipped for it."""
+    syntax = F.lit(True) if has_syntax is None else has_syntax
+    name = F.when(F.col(genre).isNull(), "(no genre)").when(~syntax, "(no syntax)").otherwise(F.col(genre))
+    return sentences.groupBy(name.alias("genre")).agg(F.count("*").alias("n"))
+
+
+def labelled(sentences: DataFrame, genre: str, label: str | None = None) -> DataFrame:
+    """The group each sentence counts under: ``label`` for all if given, else its genre."""
+    return sentences.withColumn(genre, F.lit(label) if label is not None else F.col(genre))
+
+
 def sanitise(tokens: str) -> Column:
     """FEATS without ``=`` and DEPS without ``:`` become ``_``."""
     fix = lambda x, mark: F.when(x.contains(mark), x).otherwise("_")
@@ -183,7 +229,8 @@ def annotate(sentences: DataFrame, tagger, batch: int = 2000) -> DataFrame:
     from ..operators.matching import misc_upsert
 
     tagged = sentences.withColumn("_tags", tags(F.transform("tokens", lambda t: t["form"])))
-    return tagged.withColumn("tokens", F.zip_with("tokens", "_tags", lambda t, x: t.withField("misc", misc_upsert(t["misc"], x)))).drop("_tags")
+    keys = [c for c in sentences.columns if c != "tokens"]
+    return generated(tagged, keys, tokens=F.zip_with("tokens", "_tags", lambda t, x: t.withField("misc", misc_upsert(t["misc"], x)))).select(*sentences.columns)
 
 
 def merge_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
@@ -198,8 +245,32 @@ def merge_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("t
     return out.select("split", "file", "ord", "lines")
 
 
-def chunk_ids(blocks_: DataFrame, most_bytes: int, order: list[str], by: str = "file") -> DataFrame:
-    """Blocks with the number of the chunk each falls into: a chunk closes at the block that fills it."""
+#: Rows of a range whose running sums one task makes.
+RANGE = 65_536
+
+
+def running_before(rows: DataFrame, value: Column, by: str, place: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of ``by`` at lesser places (whole numbers, one row each).
+
+    Ranges of places are summed first, so that no task walks a whole group.
+    """
+    made = rows.withColumn("_place", place.cast("long")).withColumn("_value", value).withColumn("_range", F.expr(f"_place div {RANGE}"))
+    sums = made.groupBy(by, "_range").agg(F.sum("_value").alias("_sum"))
+    first = F.coalesce(F.sum("_sum").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), first.alias("_first"))
+    inner = F.coalesce(F.sum("_value").over(Window.partitionBy(by, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    made = made.withColumn("_inner", inner).join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return made.withColumn(name, F.col("_first") + F.col("_inner")).drop("_place", "_value", "_range", "_by", "_of", "_first", "_inner")
+
+
+def chunk_ids(blocks_: DataFrame, most_bytes: int, by: str = "file") -> DataFrame:
+    """Blocks, as ``blocks`` numbers them, with the number of the chunk each falls into: a chunk closes at the block that fills it."""
     size = F.octet_length(F.array_join("lines", "\n")) + 2
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocks_.withColumn("chunk", F.floor(before / most_bytes).cast("long"))
+    return running_before(blocks_, size, by, F.col("ord"), "_before").withColumn("chunk", F.floor(F.col("_before") / most_bytes).cast("long")).drop("_before")
+
+
+def write_chunks(blocks_: DataFrame, path: str, most_bytes: int = 50 << 20, by: str = "file") -> None:
+    """Writes a file of at least ``most_bytes`` (the last of a file may have less) for each chunk, as ``name=.../chunk=n/``, blocks in order."""
+    named = chunk_ids(blocks_, most_bytes, by).withColumn("name", F.regexp_extract(by, r"([^/]*?)(\.conllu)?(\.gz)?$", 1))
+    rows = named.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ord")
+    rows.select("name", "chunk", F.array_join("lines", "\n").alias("value")).write.partitionBy("name", "chunk").option("lineSep", "\n\n").text(path)

@@ -14,7 +14,7 @@ MANIFEST = (
     "prepared_sha256", "syntax_layer", "ner_layer", "ner_family", "analyses", "compute_note", "notes",
 )
 REQUIRED = tuple(c for c in MANIFEST if c not in ("expected_sentences", "prepared_sha256"))
-NER_FAMILIES = ("manual", "automatic", "none")
+NER_FAMILIES = ("manual_ner", "automatic_ner", "not_used")
 
 
 def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
@@ -42,8 +42,9 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.coalesce(1).write.mode(mode).csv(path, sep="\t", header=True, emptyValue="", nullValue="", quote="", lineSep="\n")
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """JSON documents, or with ``multi_line`` off a document a line (which splits)."""
+    reader = spark.read.option("multiLine", str(multi_line).lower())
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -65,6 +66,34 @@ def manifest_violations(manifest: DataFrame, rows: int = 18) -> DataFrame:
     return out
 
 
+def read_engine_result(spark: SparkSession, path: str) -> DataFrame:
+    """``(pattern, n, trees)`` of an engine's table of linearised trees and their frequencies; '' for those that are no order."""
+    from ..operators.matching import classify_linear
+
+    rows = read_tsv(spark, path).select(classify_linear(F.col("Tree")).alias("pattern"), F.col("Absolute frequency").cast("long").alias("n"))
+    return rows.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("trees"))
+
+
+#: The columns of cached counts.
+CACHED = ("corpus_id", "corpus", "pattern", "count", "total", "proportion")
+
+
+def read_cached_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``(corpus_id, corpus, pattern, n, total, proportion)`` of cached counts, typed; the header must be as it should."""
+    rows = read_tsv(spark, path, CACHED)
+    return rows.select("corpus_id", "corpus", "pattern", F.col("count").cast("long").alias("n"), F.col("total").cast("long").alias("total"), F.col("proportion").cast("double").alias("proportion"))
+
+
+def cache_violations(cached: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(corpus_id, rule)``: corpora the manifest lacks or names otherwise, and distributions that don't hold."""
+    from ..operators.contracts import distribution_violations
+
+    names = cached.select("corpus_id", "corpus").distinct().join(manifest.select("corpus_id", "display_name"), "corpus_id", "left")
+    foreign = names.where("display_name is null").select("corpus_id", F.lit("unexpected corpus").alias("rule"))
+    other = names.where("display_name <> corpus").select("corpus_id", F.lit("display name"))
+    return foreign.union(other).union(distribution_violations(cached, "corpus_id"))
+
+
 def with_analysis(manifest: DataFrame, tag: str) -> DataFrame:
     return manifest.where(F.array_contains(F.transform(F.split("analyses", ","), lambda x: F.trim(x)), tag))
 
@@ -77,7 +106,7 @@ def inside(base: str, path: str) -> str:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, length, sha256)`` of each file; contents stay on the executors."""
+    """``(name, length, sha256)`` of each file of 2 GB at most; contents stay on the executors. ``digest_local`` has no limit."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
