@@ -54,3 +54,28 @@ def repetition_violations(audited: DataFrame, variants: DataFrame, identity: str
     v = variants.groupBy(F.col(identity).alias("_i")).agg(F.sum("occurrences").alias("seen"), F.sum("retained").alias("kept"))
     j = audited.join(v, F.col(identity).eqNullSafe(F.col("_i")), "full_outer")
     return j.where(~(F.col("seen").eqNullSafe(F.col("occurrences")) & F.col("kept").eqNullSafe(F.lit(1))))
+
+
+def digest_violations(found: DataFrame, pinned: DataFrame) -> DataFrame:
+    """``(name, expected, sha256)`` of files whose digest isn't the one pinned for their name, or that are missing; unpinned ones pass."""
+    want = pinned.where("expected is not null and expected <> ''").select("name", "expected")
+    return want.join(found.select("name", "sha256"), "name", "left").where(~F.col("expected").eqNullSafe(F.col("sha256")))
+
+
+def profile_violations(profiles: DataFrame, expected: DataFrame) -> DataFrame:
+    """``(name, rule)`` of prepared corpora that break ``expected(name, sentences, ner)``: blocks, at least one token, NER where needed."""
+    j = expected.join(profiles, "name", "left")
+    rules = {
+        "missing": F.col("blocks").isNull(),
+        "sentences": F.col("sentences").isNotNull() & (F.col("blocks") != F.col("sentences")),
+        "no tokens": F.col("tokens") == 0,
+        "no NER tags": F.col("ner") & (F.col("ner_tokens") == 0),
+    }
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    return j.select("name", F.explode(broken).alias("rule"))
+
+
+def checked(checks: DataFrame) -> DataFrame:
+    """One row ``(checks, failed, labels)`` of ``checks(label, ok)``: how many were made and which failed (null counts as failed)."""
+    bad = ~F.coalesce("ok", F.lit(False))
+    return checks.agg(F.count("*").alias("checks"), F.count_if(bad).alias("failed"), F.sort_array(F.collect_list(F.when(bad, F.col("label")))).alias("labels"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.special import wilcoxon
+from ..functions.special import signed_rank_tail
 from ..schema import PATTERNS
 
 REPLICATES = 20_000
@@ -20,16 +22,17 @@ def chi_square_of(table: np.ndarray) -> float:
 
 
 def permuted_labels(table: np.ndarray, seed: int, replicates: int = REPLICATES) -> float:
-    """Permutation p of groups x categories: the pooled labels are shuffled and cut at the group sizes."""
-    table = np.asarray(table, np.int64)[:, np.sum(table, axis=0) > 0]
-    pool = np.repeat(np.arange(table.shape[1]), table.sum(axis=0))
-    cuts = np.cumsum(table.sum(axis=1))[:-1]
-    expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0) / table.sum()
-    seen, hits, rng = ((table - expected) ** 2 / expected).sum(), 0, np.random.default_rng(seed)
+    """Permutation p of groups x categories: every count is one labelled draw; draws are shuffled and cut at the group sizes."""
+    table = np.asarray(table, np.int64)
+    table = table[:, table.any(axis=0)]
+    sizes, kinds = table.sum(axis=1), table.sum(axis=0)
+    labels = np.concatenate([np.full(n, k) for k, n in enumerate(kinds)])
+    cuts, expected = np.cumsum(sizes)[:-1], np.outer(sizes, kinds) / table.sum()
+    statistic = lambda t: ((t - expected) ** 2 / expected).sum()
+    seen, hits, rng = statistic(table), 0, np.random.default_rng(seed)
     for _ in range(replicates):
-        rng.shuffle(pool)
-        drawn = np.stack([np.bincount(part, minlength=table.shape[1]) for part in np.split(pool, cuts)])
-        hits += ((drawn - expected) ** 2 / expected).sum() >= seen
+        rng.shuffle(labels)
+        hits += statistic(np.stack([np.bincount(x, minlength=len(kinds)) for x in np.split(labels, cuts)])) >= seen
     return (hits + 1) / (replicates + 1)
 
 
@@ -77,52 +80,131 @@ def exact_pair_tests(pairs: DataFrame, replicates: int = REPLICATES) -> DataFram
     return pairs.groupBy("group_a", "group_b").applyInPandas(run, "group_a string, group_b string, chi2 double, p double")
 
 
+def exact_group_tests(tables: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """``(name, chi2, p)`` of ``tables(name, cells, seed)``, ``cells`` an array of count vectors: any number of groups."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(r.name_, chi_square_of(np.stack(list(r.cells))), permuted_labels(np.stack(list(r.cells)), int(r.seed), replicates)) for r in rows.rename(columns={"name": "name_"}).itertuples()]
+        return pd.DataFrame(out, columns=["name", "chi2", "p"])
+
+    return tables.groupBy("name").applyInPandas(run, "name string, chi2 double, p double")
+
+
+def _vectors(rows: pd.DataFrame, prefix: str = "n_") -> np.ndarray:
+    return rows[[f"{prefix}{p}" for p in PATTERNS]].to_numpy(np.int64)
+
+
+def exact_cluster_tests(clusters: DataFrame, families: DataFrame, unit: str, group: str, replicates: int = REPLICATES) -> DataFrame:
+    """``(name, clusters, chi2, p)`` for each row of ``families(name, members, seed)``: whole clusters of two groups or more are permuted.
+
+    ``clusters`` has six counts ``n_*`` for each unit. numpy's stream is over the family's clusters
+    in the order of members, then units, so a family is one task's work and its clusters must fit
+    there (48 bytes each).
+    """
+    member = families.select("name", "seed", F.posexplode("members").alias("place", "_group"))
+    rows = clusters.join(F.broadcast(member), F.col(group) == F.col("_group"))  # a few rows of families
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", unit])
+        sizes = rows.groupby("place").size().tolist()
+        counts = _vectors(rows)
+        total = np.stack([x.sum(axis=0) for x in np.split(counts, np.cumsum(sizes)[:-1])])
+        return pd.DataFrame([(rows["name"].iloc[0], len(rows), chi_square_of(total), permuted_clusters(counts, sizes, int(rows["seed"].iloc[0]), replicates))], columns=["name", "clusters", "chi2", "p"])
+
+    kept = rows.select("name", "seed", "place", unit, *[f"n_{p}" for p in PATTERNS])
+    return kept.groupBy("name").applyInPandas(run, "name string, clusters long, chi2 double, p double")
+
+
+def exact_swap_test(pairs: DataFrame, unit: str, a: list[str], b: list[str], seed: int, replicates: int = REPLICATES) -> DataFrame:
+    """``(pairs, chi2, p)``: the sides of each pair, counts in the columns ``a`` and ``b``, change places by numpy's stream in the order of units."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(unit)
+        x, y = rows[a].to_numpy(np.int64), rows[b].to_numpy(np.int64)
+        return pd.DataFrame([(len(rows), chi_square_of(np.stack([x.sum(axis=0), y.sum(axis=0)])), swapped_pairs(x, y, seed, replicates))], columns=["pairs", "chi2", "p"])
+
+    one = pairs.select(unit, *a, *b).withColumn("_all", F.lit(0))
+    return one.groupBy("_all").applyInPandas(run, "pairs long, chi2 double, p double")
+
+
+def exact_bootstrap(clusters: DataFrame, groups: tuple[str, ...], unit: str, group: str, seed: int, replicates: int = REPLICATES) -> DataFrame:
+    """``(group, clusters, svo_lo, svo_hi, entropy_lo, entropy_hi)``: groups in the given order share one of numpy's streams."""
+    names = ["svo_lo", "svo_hi", "entropy_lo", "entropy_hi"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rng, out = np.random.default_rng(seed), []
+        for g in groups:
+            own = rows[rows[group] == g].sort_values(unit)
+            if len(own):
+                found = bootstrap(_vectors(own), rng, replicates)
+                out.append((g, len(own), *[found[k] for k in names]))
+        return pd.DataFrame(out, columns=[group, "clusters", *names])
+
+    one = clusters.where(F.col(group).isin(*groups)).select(unit, group, *[f"n_{p}" for p in PATTERNS]).withColumn("_all", F.lit(0))
+    return one.groupBy("_all").applyInPandas(run, f"{group} string, clusters long, {', '.join(f'{k} double' for k in names)}")
+
+
 def signed_ranks(differences: DataFrame, group: str, d: str) -> DataFrame:
-    """``(group, n, w_plus, w_minus, w)``: ranks of absolute differences, ties averaged, zeros dropped."""
-    rows = differences.where(F.col(d) != 0).withColumn("_size", F.abs(d))
-    order = Window.partitionBy(group).orderBy("_size")
-    ties = Window.partitionBy(group, "_size")
-    ranked = rows.withColumn("_rank", F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
+    """``(group, n, w_plus, w_minus, w, ties)``: ranks of absolute differences, ties averaged, zeros dropped.
+
+    Equal sizes are counted before anything is ordered, so what a group's window holds is its distinct sizes.
+    """
+    sizes = differences.where(F.col(d) != 0).groupBy(group, F.abs(d).alias("_size")).agg(F.count("*").alias("k"), F.count_if(F.col(d) > 0).alias("up"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(group).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("_rank", before + (F.col("k") + 1) / 2)
+    k = F.col("k").cast("double")
     out = ranked.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col(d) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col(d) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"),
-    )
+        F.sum("k").alias("n"), F.sum(F.col("_rank") * F.col("up")).alias("w_plus"), F.sum(F.col("_rank") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum(k * k * k - k).alias("ties")
+    )
     return out.withColumn("w", F.least("w_plus", "w_minus"))
 
 
 def wilcoxon_p(differences: DataFrame, group: str, d: str) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        w, p = wilcoxon(rows[d].to_numpy())
-        return pd.DataFrame({group: [rows[group].iloc[0]], "w": [w], "p": [p]})
-
-    return differences.select(group, d).groupBy(group).applyInPandas(run, f"{group} string, w double, p double")
+    """``(group, w, p)`` of the signed-rank test by its normal approximation."""
+    return signed_ranks(differences, group, d).select(group, "w", signed_rank_tail("w", "n", "ties").alias("p"))
 
 
 def hash_order(replicate: Column, unit: Column) -> Column:
     return F.md5(F.concat_ws("-", replicate.cast("string"), unit.cast("string")).cast("binary"))
 
 
-def hash_permuted(units: DataFrame, unit: str, group: str, replicates: int) -> DataFrame:
+#: Hexadecimal digits of a hash by which units are dealt before they are ordered.
+DIGITS = 3
+
+
+def hash_permuted(units: DataFrame, unit: str, group: str, replicates: int = REPLICATES, by: tuple[str, ...] = ()) -> DataFrame:
     """``units`` under each replicate with ``drawn``: the group's labels in the order of hashes of (replicate, unit).
 
-    Replicate 0 is the observed assignment. Replicates are independent partitions; units are
-    clusters, whose number is what a replicate sorts.
+    Replicate 0 is the observed assignment; with ``by``, units are permuted within each value of
+    these columns. A unit's place is the number of units in lesser buckets of the hash (16 to the
+    power of DIGITS of them, counted) and its place within its own, so no task orders all units
+    of a replicate; its label is the one whose share of places that place falls into.
     """
     each = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(hash_order(F.col("replicate"), F.col(unit)), unit))
-    slots = F.row_number().over(Window.partitionBy("replicate").orderBy(group, unit))
-    drawn = each.withColumn("_place", place)
-    labels = each.select("replicate", F.col(group).alias("drawn"), slots.alias("_place"))
-    return drawn.join(labels, ["replicate", "_place"]).drop("_place").unionByName(units.select("*", F.lit(0).alias("replicate"), F.col(group).alias("drawn")))
-
-
-def permutation_p(statistics: DataFrame, value: str) -> DataFrame:
-    """``(chi2, hits, replicates, p)`` from statistics by replicate, 0 being the observed; compared at 9 places."""
-    seen = F.max(F.when(F.col("replicate") == 0, F.round(value, 9)))
-    gathered = statistics.agg(seen.alias("chi2"), F.collect_list(F.when(F.col("replicate") > 0, F.round(value, 9))).alias("all"))
-    hits = F.size(F.filter("all", lambda x: x >= F.col("chi2")))
-    return gathered.select("chi2", hits.cast("long").alias("hits"), F.size("all").cast("long").alias("replicates"), ((hits + 1) / (F.size("all") + 1)).alias("p"))
+    h = hash_order(F.col("replicate"), F.col(unit))
+    each = each.select("*", h.alias("_h")).withColumn("_bucket", F.conv(F.substring("_h", 1, DIGITS), 16, 10).cast("int"))
+    keys = [*by, "replicate"]
+    sizes = each.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_h", unit))
+    placed = each.withColumn("_within", place).join(sizes.select(*keys, "_bucket", before.alias("_before")), [*keys, "_bucket"])
+    labels = units.groupBy(*by, group).agg(F.count("*").alias("_n"))  # a few rows
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(group))
+    cuts = labels.withColumn("_upto", upto).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_upto", F.col(group).alias("_label")))).alias("_cuts"))
+    placed = placed.join(F.broadcast(cuts), list(by)) if by else placed.crossJoin(F.broadcast(cuts))  # one row for each value of ``by``
+    at = F.col("_before") + F.col("_within")
+    drawn = F.get(F.filter("_cuts", lambda c: at <= c["_upto"]), F.lit(0))["_label"]
+    return placed.select(*units.columns, "replicate", drawn.alias("drawn")).unionByName(units.select("*", F.lit(0).alias("replicate"), F.col(group).alias("drawn")))
+
+
+def permutation_p(statistics: DataFrame, value: str, *by: str) -> DataFrame:
+    """``(by..., chi2, hits, replicates, p)`` from statistics by replicate, 0 being the observed; compared at 9 places."""
+    x = F.round(value, 9)
+    seen = statistics.where("replicate = 0").select(*by, x.alias("chi2"))  # one row for each value of ``by``
+    drawn = statistics.where("replicate > 0").select(*by, x.alias("_x"))
+    drawn = drawn.join(F.broadcast(seen), list(by)) if by else drawn.crossJoin(F.broadcast(seen))
+    out = drawn.groupBy(*by, "chi2").agg(F.count_if(F.col("_x") >= F.col("chi2")).alias("hits"), F.count("*").alias("replicates"))
+    return out.select(*by, "chi2", "hits", "replicates", ((F.col("hits") + 1) / (F.col("replicates") + 1)).alias("p"))
 
 
 def table_chi2(cells: DataFrame, by: list[str], row: str, column: str, n: str = "n") -> DataFrame:
@@ -136,11 +218,17 @@ def table_chi2(cells: DataFrame, by: list[str], row: str, column: str, n: str =
     return grid.where("_r > 0 and _c > 0").groupBy(*by).agg(F.sum((o - e) * (o - e) / e).alias("chi2"))
 
 
-def hash_bootstrap(clusters: DataFrame, unit: str, replicates: int) -> DataFrame:
-    """``(replicate, n_SVO ...)``: as many clusters as there are, drawn with replacement by hashes of (replicate, draw)."""
-    number = F.row_number().over(Window.orderBy(unit)) - 1
-    numbered = clusters.select(number.alias("_i"), *[F.col(f"n_{p}") for p in PATTERNS])
-    m = numbered.agg(F.count("*").alias("m"))
-    draws = m.select("m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("m", "replicate", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))).alias("draw"))
-    picked = F.pmod(F.conv(F.substring(hash_order(F.col("replicate"), F.col("draw")), 1, 8), 16, 10).cast("long"), F.col("m"))
-    return draws.select("replicate", picked.alias("_i")).join(numbered, "_i").groupBy("replicate").agg(*[F.sum(f"n_{p}").alias(f"n_{p}") for p in PATTERNS])
+#: P(X <= k) of a Poisson distribution of mean 1, k = 0 .. 9.
+POISSON = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+def hash_bootstrap(clusters: DataFrame, unit: str, *by: str, replicates: int = REPLICATES) -> DataFrame:
+    """``(by..., replicate, n_SVO ...)``: the sums of a Poisson bootstrap, each cluster taken as often as its hash with the replicate says.
+
+    Clusters need no numbers and no place among one another, so sums are made where the rows lie.
+    """
+    each = clusters.select(unit, *by, *[f"n_{p}" for p in PATTERNS], F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    u = F.conv(F.substring(hash_order(F.col("replicate"), F.col(unit)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    taken = sum((F.when(F.col("_u") >= x, 1).otherwise(0) for x in POISSON), F.lit(0))
+    each = each.withColumn("_u", u).withColumn("_k", taken)
+    return each.groupBy(*by, "replicate").agg(*[F.sum(F.col(f"n_{p}") * F.col("_k")).alias(f"n_{p}") for p in PATTERNS])

@@ -1,8 +1,9 @@
 """Tree patterns: a verb with a subject and an object child, classified by surface order.
 
-Sentences are rows with an array of token structs, so a match needs no join: the children of a
-verb are found inside the row. Very long sentences, for which that would be quadratic, take an
-equi-join of arguments by (sentence, head) instead; both give the same instances.
+Sentences are rows with an array of token structs, so a match needs no join and no second scan:
+candidates are sifted once a row and dealt by their head into about as many lists as each list
+is long, so that a sentence of n tokens takes n to the power of 1.5 at worst. ``match_by_join``
+finds the same by an equi-join on (sentence, head).
 """
 
 from __future__ import annotations
@@ -13,11 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import generated
 from ..schema import PATTERNS
 
-#: Tokens beyond which a sentence is matched by join.
-LONG_SENTENCE = 400
-
 
 @dataclass(frozen=True)
 class TreeQuery:
@@ -74,29 +73,49 @@ def _is(token: Column, tags: frozenset[str]) -> Column:
     return token["upos"].isin(*sorted(tags)) if tags else F.lit(True)
 
 
-def match_in_row(sentences: DataFrame, query: TreeQuery = NOUNS, tokens: str = "tokens", most: int | None = None) -> DataFrame:
-    """One row for each instance: the other columns of ``sentences``, then s, v, o (token structs) and pattern.
+def with_matches(sentences: DataFrame, query: TreeQuery = NOUNS, tokens: str = "tokens") -> DataFrame:
+    """The other columns of ``sentences`` and ``matches``: an array of ``(s, v, o)`` token structs, empty if there are none.
 
-    Candidates are sifted once a sentence, before verbs look for their children; sentences longer than ``most``
-    give nothing.
+    Null sentences have no matches; a token whose head is in no list is no one's child; of verbs
+    that share an id each has the children.
     """
     keys = [c for c in sentences.columns if c != tokens]
     side = lambda rel, tags: F.filter(tokens, lambda t: (query.relation(t["deprel"]) == rel) & _is(t, tags))
-    sifted = sentences.select(
-        *keys, F.filter(tokens, lambda t: _is(t, query.head)).alias("_verbs"), side(query.subject_rel, query.subject).alias("_subjects"), side(query.object_rel, query.object).alias("_objects"), (F.col("n_places") if "n_places" in keys else F.size(tokens)).alias("_size")
-    )
-
-    def pairs(v: Column) -> Column:
-        of = lambda c: F.filter(c, lambda t: t["head"] == v["id"])
-        return F.flatten(F.transform(of("_subjects"), lambda s: F.transform(of("_objects"), lambda o: F.struct(s.alias("s"), v.alias("v"), o.alias("o")))))
-
-    matches = F.flatten(F.transform("_verbs", pairs))
-    if most is not None:
-        matches = F.when(F.col("_size") <= most, matches)
-    found = sifted.select(*keys, F.explode_outer(matches).alias("m")).where("m is not null")
+    verbs = F.filter(tokens, lambda t: _is(t, query.head))
+    sifted = generated(sentences, keys, _verbs=verbs, _subjects=side(query.subject_rel, query.subject), _objects=side(query.object_rel, query.object))
+    whole = (F.size("_verbs") > 0) & (F.size("_subjects") > 0) & (F.size("_objects") > 0)
+    none = F.slice("_subjects", 1, 0)
+    lists = F.ceil(F.sqrt(F.greatest(F.size("_verbs"), F.size("_objects")))).cast("int")
+    deal = lambda of, key: F.transform(F.sequence(F.lit(0), lists - 1), lambda k: F.filter(of, lambda t: F.pmod(t[key], lists) == k))
+    dealt = generated(
+        sifted, keys, _subjects=F.when(whole, F.col("_subjects")).otherwise(none), _lists=lists, _by_id=F.when(whole, deal("_verbs", "id")), _by_head=F.when(whole, deal("_objects", "head"))
+    )
+
+    def of(s: Column) -> Column:
+        at = F.pmod(s["head"], F.col("_lists"))
+        mine = F.filter(F.get("_by_head", at), lambda o: o["head"] == s["head"])
+        heads = F.filter(F.get("_by_id", at), lambda v: v["id"] == s["head"])
+        return F.flatten(F.transform(heads, lambda v: F.transform(mine, lambda o: F.struct(s.alias("s"), v.alias("v"), o.alias("o")))))
+
+    return dealt.select(*keys, F.coalesce(F.flatten(F.transform("_subjects", of)), F.array()).alias("matches"))
+
+
+def match(sentences: DataFrame, query: TreeQuery = NOUNS, tokens: str = "tokens") -> DataFrame:
+    """One row for each instance: the other columns of ``sentences``, then s, v, o (token structs) and pattern."""
+    keys = [c for c in sentences.columns if c != tokens]
+    found = with_matches(sentences, query, tokens).select(*keys, F.explode_outer("matches").alias("m")).where("m is not null")
     return found.select(*keys, "m.s", "m.v", "m.o", order_of(F.col("m.s.id"), F.col("m.v.id"), F.col("m.o.id")).alias("pattern"))
 
 
+def count_in_row(sentences: DataFrame, query: TreeQuery = NOUNS, tokens: str = "tokens") -> DataFrame:
+    """The other columns of ``sentences`` and its six counts ``n_SVO ... n_OVS``, without leaving the row."""
+    keys = [c for c in sentences.columns if c != tokens]
+    orders = F.transform("matches", lambda m: order_of(m["s"]["id"], m["v"]["id"], m["o"]["id"]))
+    found = generated(with_matches(sentences, query, tokens), keys, _orders=orders)
+    count = lambda p: F.size(F.filter("_orders", lambda x: x == p)).cast("long")
+    return found.select(*keys, *[count(p).alias(f"n_{p}") for p in PATTERNS])
+
+
 def match_by_join(sentences: DataFrame, query: TreeQuery = NOUNS, tokens: str = "tokens") -> DataFrame:
     """The same instances by an equi-join on sentence and head; ``sentences`` needs keys that tell its rows apart."""
     keys = [c for c in sentences.columns if c != tokens]
@@ -113,19 +132,6 @@ def match_by_join(sentences: DataFrame, query: TreeQuery = NOUNS, tokens: str =
     return found.select(*keys, "s", "v", "o", order_of(F.col("s.id"), F.col("v.id"), F.col("o.id")).alias("pattern"))
 
 
-def match(sentences: DataFrame, query: TreeQuery = NOUNS, tokens: str = "tokens", keyed: bool = True) -> DataFrame:
-    """Instances of ``query``; with ``keyed`` the long sentences go by join.
-
-    Where sentences have a column ``n_places``, it tells their length; a filter on derived tokens
-    would be pushed below what derives them and derive them once more.
-    """
-    if not keyed:
-        return match_in_row(sentences, query, tokens)
-    size = F.col("n_places") if "n_places" in sentences.columns else F.size(tokens)
-    long = sentences.where(size > LONG_SENTENCE)
-    return match_in_row(sentences, query, tokens, LONG_SENTENCE).union(match_by_join(long, query, tokens))
-
-
 def order_counts(instances: DataFrame, *groups: str) -> DataFrame:
     """``(groups..., pattern, n)``."""
     return instances.groupBy(*groups, "pattern").agg(F.count("*").alias("n"))
@@ -155,19 +161,25 @@ def misc_upsert(misc: Column, tag: Column) -> Column:
     return F.array_join(F.concat(rest, F.array(F.concat(F.lit("NER="), tag))), "|")
 
 
+#: What marks the relation of a word in a linearised tree, and the letter it stands for; anything else is a word.
+MARKS = {"<nsubj": "S", ">nsubj": "S", "<obj": "O", ">obj": "O"}
+
+
 def classify_linear(tree: Column) -> Column:
     """The order of a linearised tree such as ``A <nsubj B >obj C``; '' unless it has one S, V and O.
 
-    ``>rel`` names the word after it, ``<rel`` the word before it; an unmarked word is the verb.
+    ``>rel`` names the next word, ``<rel`` the word before it (none: ''); an unnamed word is the verb.
     """
     parts = F.filter(F.split(F.trim(tree), r"\s+"), lambda x: x != "")
-    letter = lambda rel: F.when(rel.isin("nsubj"), "S").when(rel.isin("obj"), "O").otherwise("?")
-    is_mark = lambda x: F.coalesce(x.startswith("<") | x.startswith(">"), F.lit(False)) & (F.length(x) > 1)
-
-    def role(x: Column, i: Column) -> Column:
-        before, after = F.get(parts, i - 1), F.get(parts, i + 1)
-        named = F.when((i > 0) & is_mark(before) & before.startswith(">"), letter(F.substring(before, 2, 1000)))
-        return F.when(is_mark(x), "").otherwise(F.coalesce(named, F.when(is_mark(after) & after.startswith("<"), letter(F.substring(after, 2, 1000))), F.lit("V")))
-
-    roles = F.array_join(F.transform(parts, role), "")
-    return F.when(roles.isin(*PATTERNS), roles).otherwise("")
+    letter = lambda x: F.coalesce(*[F.when(x == m, c) for m, c in MARKS.items()])
+    state = lambda said, waiting, ok: F.struct(said.alias("said"), waiting.alias("waiting"), ok.alias("ok"))
+    nothing = F.lit(None).cast("string")
+
+    def step(s: Column, x: Column) -> Column:
+        word = state(F.concat(s["said"], F.coalesce(s["waiting"], F.lit("V"))), nothing, s["ok"])
+        ahead = state(s["said"], letter(x), s["ok"])
+        behind = state(F.concat(F.substring(s["said"], F.lit(1), F.length(s["said"]) - 1), letter(x)), s["waiting"], s["ok"] & (s["said"] != ""))
+        return F.when(letter(x).isNull(), word).when(x.startswith(">"), ahead).otherwise(behind)
+
+    end = F.aggregate(parts, state(F.lit(""), nothing, F.lit(True)), step)
+    return F.when(end["ok"] & end["said"].isin(*PATTERNS), end["said"]).otherwise("")

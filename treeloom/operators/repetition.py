@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import PATTERNS
 
@@ -10,13 +10,31 @@ from ..schema import PATTERNS
 def first_occurrence(rows: DataFrame, identity: str, *order: str, scope: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``is_first``: the row of least order among those of one identity (bytes as they are) in its scope.
 
-    Only the least order per identity crosses a join, so a hot identity is aggregated before it
-    is shuffled.
+    The least order of an identity is aggregated before it is shuffled, and the rows are joined
+    to these by their order alone, so no identity's rows meet in one task; ``order`` tells the
+    rows of a scope apart. Null identities are one identity.
     """
-    keys = [*scope, identity]
-    least = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_least"))
-    joined = rows.join(least.withColumnsRenamed({k: f"_k_{k}" for k in keys}), [rows[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return joined.withColumn("is_first", F.struct(*order) == F.col("_least")).drop("_least", *[f"_k_{k}" for k in keys])
+    keys = [*scope, *order]
+    first = rows.groupBy(*scope, digest(F.col(identity)).alias("_d")).agg(F.min(F.struct(*order)).alias("_o"))
+    first = first.select(F.lit(True).alias("_first"), *[F.col(k).alias(f"_k_{k}") for k in scope], *[F.col(f"_o.{k}").alias(f"_k_{k}") for k in order])
+    joined = rows.join(first, [rows[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+    return joined.withColumn("is_first", F.coalesce("_first", F.lit(False))).drop("_first", *[f"_k_{k}" for k in keys])
+
+
+def digest(identity: Column) -> Column:
+    """16 bytes that stand for a text of any length as a key (null for null)."""
+    return F.unhex(F.md5(identity.cast("binary")))
+
+
+def counts_before_after(rows: DataFrame, identity: str, *order: str, scope: tuple[str, ...] = ()) -> DataFrame:
+    """``(scope..., before_SVO ..., after_SVO ...)``: the sums of the six counts over all rows and over first occurrences.
+
+    One shuffle: an identity's sums and its first row's counts are aggregated together, the text by its digest.
+    """
+    sums = [F.sum(f"n_{p}").alias(f"all_{p}") for p in PATTERNS]
+    kinds = rows.groupBy(*scope, digest(F.col(identity)).alias("_d")).agg(*sums, F.min(F.struct(F.struct(*order).alias("at"), *[F.col(f"n_{p}") for p in PATTERNS])).alias("_first"))
+    parts = [(f"before_{p}", F.col(f"all_{p}")) for p in PATTERNS] + [(f"after_{p}", F.col(f"_first.n_{p}")) for p in PATTERNS]
+    return kinds.groupBy(*scope).agg(*[F.sum(c).cast("long").alias(k) for k, c in parts])
 
 
 def repetition_counts(rows: DataFrame, identity: str, *groups: str) -> DataFrame:
@@ -77,7 +95,30 @@ def concentration(audited: DataFrame, *tops: int) -> DataFrame:
     return held.crossJoin(total).select(F.inline(rows))  # one row by one row
 
 
-def verdict(margin_before, margin_after, tolerance: float = 1e-12):
+#: How a claim's margin is named and what it needs beyond nought.
+TOLERANCE = 1e-12
+
+
+def highest(values: Column, target: Column) -> Column:
+    """The margin by which ``target`` exceeds all of ``values`` (an array without it)."""
+    return target - F.array_max(values)
+
+
+def lowest(values: Column, target: Column) -> Column:
+    return F.array_min(values) - target
+
+
+def more_than_half(values: Column, target: Column) -> Column:
+    """The number of ``values`` that ``target`` exceeds, less half of them."""
+    return F.size(F.filter(values, lambda v: target > v)) - F.size(values) / 2
+
+
+def beyond_range(values: Column, gap: Column) -> Column:
+    """The margin by which a gap exceeds the range of ``values``."""
+    return gap - (F.array_max(values) - F.array_min(values))
+
+
+def verdict(margin_before, margin_after, tolerance: float = TOLERANCE):
     """STABLE while a claim's margin keeps its sign; a margin that vanishes is UNRESOLVED; absent: INCOMPLETE."""
     return (
         F.when(margin_before.isNull() | margin_after.isNull(), "INCOMPLETE")
@@ -85,3 +126,13 @@ def verdict(margin_before, margin_after, tolerance: float = 1e-12):
         .when(margin_after <= tolerance, "NOT STABLE")
         .otherwise("STABLE")
     )
+
+
+def overall(claims: DataFrame, *by: str) -> DataFrame:
+    """``(by..., claims, unsupported, lost, verdict)`` of ``claims(before, after)``: INCOMPLETE if a margin is missing, else UNRESOLVED
+    if one was none before, else NOT STABLE if one is lost, else STABLE."""
+    v = verdict(F.col("before"), F.col("after"))
+    n = lambda name: F.count_if(v == name)
+    said = F.when(F.col("_i") > 0, "INCOMPLETE").when(F.col("unsupported") > 0, "UNRESOLVED").when(F.col("lost") > 0, "NOT STABLE").otherwise("STABLE")
+    lost = F.count_if(F.col("after") <= TOLERANCE)
+    return claims.groupBy(*by).agg(F.count("*").alias("claims"), n("INCOMPLETE").alias("_i"), n("UNRESOLVED").alias("unsupported"), lost.alias("lost")).select(*by, "claims", "unsupported", "lost", said.alias("verdict"))

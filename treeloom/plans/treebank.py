@@ -12,14 +12,16 @@ def upos(form: Column) -> Column:
     return F.when(n % 3 == 0, "VERB").when(n % 3 == 1, "NOUN").when(n % 2 == 0, "NOUN").otherwise("PROPN")
 
 
-def sentences(documents: DataFrame, *keep: str) -> DataFrame:
-    """``(doc_id, keep..., line_no, n_places, tokens)``, all within the row.
+def sentences(documents: DataFrame, *keep: str, text: bool = False) -> DataFrame:
+    """``(doc_id, keep..., line_no, tokens)``, all within the row, with ``text`` also the line itself.
 
     A block of six places hangs on its first verb; the parity of a word's first letter makes it
     its object or subject.
     """
     lines = documents.select("doc_id", *keep, F.posexplode_outer(F.split("text", "\n")).alias("i", "line")).where("line is not null")
-    words = lines.select("doc_id", *keep, (F.col("i") + 1).alias("line_no"), F.split("line", " ").alias("w"))
+    own = ["line"] if text else []
+    words = lines.select("doc_id", *keep, *own, (F.col("i") + 1).alias("line_no"), F.split("line", " ").alias("w"))
+    keep = (*keep, *own)
 
     def first_verb(block: Column) -> Column:
         base = block * BLOCK
@@ -27,7 +29,7 @@ def sentences(documents: DataFrame, *keep: str) -> DataFrame:
         return F.coalesce(*[F.when(is_verb(F.get("w", base + k)), base + k + 1) for k in range(BLOCK)])
 
     verbs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / BLOCK).cast("int")), first_verb)
-    blocks = words.select("doc_id", *keep, "line_no", "w", F.size("w").alias("n_places"), verbs.alias("verbs"))
+    blocks = words.select("doc_id", *keep, "line_no", "w", verbs.alias("verbs"))
 
     def token(form: Column, i: Column) -> Column:
         verb = F.get("verbs", F.floor(i / BLOCK).cast("int"))
@@ -37,7 +39,7 @@ def sentences(documents: DataFrame, *keep: str) -> DataFrame:
 
     tokens = F.filter(F.transform("w", token), lambda t: t["form"] != "")
     # Generated, not projected: what filters on tokens then works on them as they are, and doesn't derive them again.
-    return blocks.select("doc_id", *keep, "line_no", "n_places", F.explode_outer(F.array(tokens)).alias("tokens"))
+    return blocks.select("doc_id", *keep, "line_no", F.explode_outer(F.array(tokens)).alias("tokens"))
 
 
 def tokens(documents: DataFrame, *keep: str) -> DataFrame:

@@ -14,14 +14,27 @@ def document_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def first_seen(stream: DataFrame, *identity: str) -> DataFrame:
-    """Rows whose identity has not come before; the state is keyed and kept by Spark's state store."""
-    return stream.dropDuplicates(list(identity))
+def on_disk_state(spark: SparkSession) -> None:
+    """Keeps the state of queries started from now on in RocksDB: it may outgrow an executor's heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def first_seen(stream: DataFrame, *identity: str, time: str | None = None, horizon: str | None = None) -> DataFrame:
+    """Rows whose identity has not come before.
+
+    Without a horizon the state has one key for each identity ever seen, as an exact answer over
+    all time needs; use ``on_disk_state``. With ``time`` and ``horizon`` (such as "7 days") keys
+    older than the horizon behind the watermark are dropped, and a repeat after it counts as new.
+    """
+    if horizon is None:
+        return stream.dropDuplicates(list(identity))
+    return stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark(list(identity))
 
 
 def running_order_counts(stream: DataFrame, group: str = "lang", query: TreeQuery = NOUNS) -> DataFrame:
     """Order counts that grow with the stream: matching is within the row, so the only state is the counts."""
-    return order_counts(match(sentences(stream, group), query, keyed=False), group)
+    return order_counts(match(sentences(stream, group), query), group)
 
 
 def start(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
