@@ -19,9 +19,11 @@ def sentence(*rows):
 def orders(spark, *sentences, query=M.NOUNS):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sentences)], "k long, tokens array<struct<id:int,form:string,upos:string,head:int,deprel:string>>")
     found = {}
-    for f in (M.match, M.match_in_row, M.match_by_join):
+    for f in (M.match, M.match_by_join):
         found[f.__name__] = sorted((r.k, r.s.id, r.v.id, r.o.id, r.pattern) for r in f(df, query).collect())
-    assert found["match"] == found["match_in_row"] == found["match_by_join"]
+    assert found["match"] == found["match_by_join"]
+    counted = {(r.k, p): r[f"n_{p}"] for r in M.count_in_row(df, query).collect() for p in PATTERNS}
+    assert counted == {(k, p): sum(x[0] == k and x[4] == p for x in found["match"]) for k in range(len(sentences)) for p in PATTERNS}
     return found["match"]
 
 
@@ -42,6 +44,13 @@ def test_all_pairs_and_exclusions(spark):
     assert len(orders(spark, rows, query=collapsed)) == 6
 
 
+def test_long_and_odd_sentences(spark):
+    long = [(i, "w", ("NOUN", "VERB", "NOUN")[i % 3], i - i % 3 + 1, ("nsubj", "root", "obj")[i % 3]) for i in range(1, 1500)]
+    twice = sentence((1, "s", "NOUN", 2, "nsubj"), (2, "v", "VERB", 0, "root"), (2, "w", "VERB", 0, "root"), (3, "o", "NOUN", 2, "obj"), (4, "o", "NOUN", -3, "obj"))
+    found = orders(spark, sentence(*long), [], None, twice)
+    assert len(found) == 499 + 2 and {x[4] for x in found if x[0] == 0} == {"SVO"} and M.match(spark.createDataFrame([], "k long, tokens array<struct<id:int,upos:string,head:int,deprel:string>>")).count() == 0
+
+
 def test_query_language():
     assert M.TreeQuery.parse("upos=VERB >nsubj _ >obj _") == M.BROAD
     assert M.TreeQuery.parse("upos=VERB >nsubj upos=NOUN|PROPN >obj upos=NOUN|PROPN") == M.NOUNS_AND_NAMES
@@ -57,7 +66,7 @@ def test_misc(spark):
 
 
 def test_linear_trees(spark):
-    cases = {"A <nsubj B >obj C": "SVO", "A <nsubj C <obj B": "SOV", "B >nsubj A >obj C": "VSO", "B >obj A": "", "A <x B >obj C": "", "": ""}
+    cases = {"A <nsubj B >obj C": "SVO", "A <nsubj C <obj B": "SOV", "B >nsubj A >obj C": "VSO", "B >obj A": "", "A <x B >obj C": "", "": "", "A <nsubj >> >obj C": "SVO", "<nsubj B >obj C A": "", "A >nsubj <obj B C": "OSV", ">nsubj >obj A v B <nsubj": "OVS"}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", M.classify_linear(F.col("t")).alias("p"))
     assert {r.t: r.p for r in df.collect()} == cases
 
@@ -77,7 +86,11 @@ def test_tails():
     assert chi2_sf(10, 2) == pytest.approx(math.exp(-5))
     assert fisher_two_sided(3, 1, 1, 3) == pytest.approx(0.4857142857)
     assert sign_test(249, 361) == pytest.approx(4.309e-13, rel=1e-3)
-    assert sign_test(0, 0) == 1
+    assert sign_test(0, 0) == 1 and sign_test(5, 10) == 1 and sign_test(0, 3) == pytest.approx(0.25)
+    assert fisher_two_sided(0, 5, 0, 7) == 1 and 0 <= fisher_two_sided(10**6, 10**6, 10**6 + 500, 10**6) < 1  # no array as long as the counts
+    for a, b, c, d in ((8, 2, 1, 5), (10, 0, 3, 7), (2, 30, 14, 4)):
+        pmf = {x: math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+        assert fisher_two_sided(a, b, c, d) == pytest.approx(sum(v for v in pmf.values() if v <= pmf[a] * (1 + 1e-7)) / sum(pmf.values()))
     w, p = wilcoxon(np.array([1, 2, -3, 0, 4]))
     assert (w, round(p, 4)) == (3.0, 0.4652)
 
@@ -100,6 +113,119 @@ def test_exact_stream_runs_by_pair(spark):
     assert r.p == I.permuted_labels(np.array([[30, 10], [10, 30]]), 7, 100) and r.chi2 == pytest.approx(20)
 
 
+def test_groups_clusters_and_pairs_by_numpy_streams(spark):
+    r = registry.QUERIES["perm_chi2_three_groups"](spark, "").first()
+    assert (round(r.chi2, 6), round(r.p, 6)) == (13.765731, 0.183991)  # published
+    rng = np.random.default_rng(2)
+    rows = [(i, "abc"[i % 3], *rng.integers(0, 9, 6).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "u long, g string, " + ", ".join(f"n_{p} long" for p in PATTERNS))
+    families = spark.createDataFrame([("a-b", ["a", "b"], 5), ("all", ["c", "a", "b"], 6)], "name string, members array<string>, seed long")
+    got = {r.name: r for r in I.exact_cluster_tests(df.repartition(3), families, "u", "g", 300).collect()}
+    of = lambda g: np.array([r[2:] for r in rows if r[1] == g])
+    for name, members, seed in (("a-b", "ab", 5), ("all", "cab", 6)):
+        counts = [of(g) for g in members]
+        assert got[name].p == I.permuted_clusters(np.concatenate(counts), [len(c) for c in counts], seed, 300)
+        assert got[name].chi2 == pytest.approx(I.chi_square_of(np.stack([c.sum(axis=0) for c in counts])))
+    swap = I.exact_swap_test(df, "u", ["n_SVO", "n_SOV"], ["n_VSO", "n_VOS"], 7, 300).first()
+    assert (swap.pairs, swap.p) == (60, I.swapped_pairs(np.array([r[2:4] for r in rows]), np.array([r[4:6] for r in rows]), 7, 300))
+    boot, stream = {r.g: r for r in I.exact_bootstrap(df, ("b", "a"), "u", "g", 8, 200).collect()}, np.random.default_rng(8)
+    for g in ("b", "a"):
+        want = I.bootstrap(of(g), stream, 200)
+        assert boot[g].clusters == 20 and [boot[g][k] for k in want] == list(want.values())
+
+
+def test_hashed_permutations_keep_group_sizes(spark, monkeypatch):
+    monkeypatch.setattr(I, "DIGITS", 1)  # many units a bucket
+    import hashlib
+
+    rows = [(i, "xyz"[i % 3], "p" if i < 40 else "q") for i in range(90)]
+    df = spark.createDataFrame(rows, "u long, g string, part string")
+    drawn = I.hash_permuted(df, "u", "g", 5, by=("part",)).collect()
+    got = {(r.replicate, r.u): r.drawn for r in drawn}
+    assert len(drawn) == 6 * 90 and all(got[0, u] == g for u, g, _ in rows)
+    for part in "pq":
+        own = [(u, g) for u, g, x in rows if x == part]
+        for k in range(1, 6):
+            order = sorted((hashlib.md5(f"{k}-{u}".encode()).hexdigest(), u) for u, _ in own)
+            assert [got[k, u] for _, u in order] == sorted(g for _, g in own)
+    b = I.hash_bootstrap(spark.createDataFrame([(i, 1, 0, 0, 0, 0, 0) for i in range(2000)], "u long, " + ", ".join(f"n_{p} long" for p in PATTERNS)), "u", replicates=20).collect()
+    assert len(b) == 20 and abs(np.mean([r.n_SVO for r in b]) - 2000) < 40 and np.std([r.n_SVO for r in b]) > 10
+
+
+def aligned(spark, gold, auto):
+    from treeloom.operators import agreement
+
+    df = lambda rows: spark.createDataFrame([(1, 1, v, s, o, p) for v, s, o, p in rows], "doc_id long, line_no int, v int, s int, o int, pattern string")
+    return agreement.align(df(gold), df(auto))
+
+
+def test_alignment(spark):
+    gold = [(2, 1, 3, "SVO"), (5, 4, 6, "SVO"), (9, 8, 10, "SVO"), (12, 11, 13, "SVO"), (12, 11, 14, "SVO"), (20, 19, 21, "SVO"), (30, 29, 31, "SVO"), (30, 28, 33, "OSV")]
+    auto = [(2, 1, 3, "SVO"), (5, 6, 4, "OVS"), (9, 7, 10, "SVO"), (12, 11, 15, "SVO"), (25, 24, 26, "VSO"), (30, 29, 32, "SVO"), (30, 33, 34, "VSO"), (30, 35, 36, "VSO")]
+    got = sorted((r.v, r.kind, r.gold, r.auto, r.n_gold, r.n_auto, r.s, r.o) for r in aligned(spark, gold, auto).collect())
+    assert got == sorted([
+        (2, "same", "SVO", "SVO", 1, 1, None, None), (5, "changed", "SVO", "OVS", 1, 1, None, None), (9, "unclear", "SVO", "SVO", 1, 1, None, None), (12, "unclear", None, "SVO", 2, 1, None, None),
+        (20, "gold_only", "SVO", None, 1, 0, 19, 21), (25, "auto_only", None, "VSO", 0, 1, 24, 26), (30, "unclear", "SVO", "SVO", 1, 1, None, None), (30, "unclear", "OSV", "VSO", 1, 1, None, None), (30, "auto_only", None, "VSO", 0, 1, 35, 36),
+    ], key=lambda x: x)
+
+
+#: Published counts of two comparisons, and their rates in per cent.
+AGREEMENT = [
+    ({"same": 1780, "changed": 8, "gold_only": 177, "auto_only": 89}, (4, 4, 5), 1969, 1882, 278, 90.80751650584052, 99.55257270693512, 9.598781107160995),
+    ({"same": 2300, "changed": 10, "gold_only": 217, "auto_only": 116}, (15, 15, 19), 2542, 2445, 358, 90.87332808811959, 99.56709956709956, 9.520062942564909),
+]
+
+
+@pytest.mark.parametrize("kinds,unclear,gold_n,auto_n,review,recall,same,lost", AGREEMENT)
+def test_published_agreement(spark, kinds, unclear, gold_n, auto_n, review, recall, same, lost):
+    from treeloom.operators import agreement
+
+    rows = [(k, 1, 1) for k, n in kinds.items() for _ in range(n)]
+    n, g, a = unclear
+    rows += [("unclear", 1, 1 + (i < a - g)) for i in range(n)]
+    r = agreement.rates(spark.createDataFrame(rows, "kind string, n_gold long, n_auto long")).first()
+    assert (r.gold_n, r.auto_n, r.to_review) == (gold_n, auto_n, review)
+    assert [100 * x for x in (r.recall, r.same_among_aligned, r.changed_or_lost)] == pytest.approx([recall, same, lost])
+
+
+#: The published matrix of gold and automatic orders, and both counts.
+MATRIX = {("SVO", "SVO"): 1321, ("SOV", "SOV"): 100, ("VSO", "VSO"): 68, ("VOS", "VOS"): 30, ("OSV", "OSV"): 23, ("OVS", "SVO"): 8, ("OVS", "OVS"): 238}
+GOLD, AUTO = [1406, 132, 80, 37, 32, 282], [1379, 107, 75, 41, 26, 254]
+
+
+def test_published_margins(spark):
+    from treeloom.operators import agreement
+
+    n = lambda xs: spark.createDataFrame(list(zip(PATTERNS, xs, strict=True)), "pattern string, n long")
+    m = {r.pattern: r for r in agreement.margins(spark.createDataFrame([(*k, v) for k, v in MATRIX.items()], "gold string, auto string, n long"), n(GOLD), n(AUTO)).collect()}
+    assert sum(r.diagonal for r in m.values()) == 1780 and {p: r.off_diagonal for p, r in m.items() if r.off_diagonal} == {"OVS": 8}
+    assert all(r.within for r in m.values()) and (m["SVO"].auto_aligned, m["OVS"].gold_aligned) == (1329, 246)
+
+
+def test_reasons(spark):
+    from treeloom.operators import agreement
+
+    one = lambda *rows: spark.createDataFrame([(1, 1, sentence(*rows))], "doc_id long, line_no int, tokens array<struct<id:int,form:string,upos:string,head:int,deprel:string>>")
+    gold = one((1, "s", "NOUN", 2, "nsubj"), (2, "v", "VERB", 0, "root"), (3, "o", "NOUN", 2, "obj"))
+    auto = one((1, "s", "ADJ", 3, "nsubj"), (2, "v", "VERB", 0, "root"), (3, "o", "NOUN", 2, "obl"))
+    inst = lambda s: M.match(s).select("doc_id", "line_no", F.col("s.id").alias("s"), F.col("v.id").alias("v"), F.col("o.id").alias("o"), "pattern")
+    a = agreement.align(inst(gold), inst(auto))
+    got = {r.reason: r.n for r in agreement.reasons(a, gold, auto).collect()}
+    on = {"relevant_dependency_relation_differs", "object_relation_differs", "required_relation_retained_but_head_changes", "any_relevant_pos_mismatch", "subject_pos_mismatch"}
+    assert got == {r: int(r in on) for r in agreement.REASONS}
+    lost = {r.reason: r.n for r in agreement.reasons(a, gold, auto.where("line_no = 2")).collect()}
+    assert lost == {r: int(r == agreement.REASONS[-1]) for r in agreement.REASONS}
+
+
+def test_claims(spark):
+    df = spark.createDataFrame([([1.0, 3.0, 2.0], 4.0)], "v array<double>, t double")
+    m = df.select(R.highest(F.col("v"), F.col("t")).alias("h"), R.lowest(F.col("v"), F.col("t")).alias("l"), R.more_than_half(F.col("v"), F.lit(2.5)).alias("m"), R.beyond_range(F.col("v"), F.col("t")).alias("r")).first()
+    assert tuple(m) == (1.0, -3.0, 0.5, 2.0)
+    rows = [("s", 1.0, 0.5), ("n", 1.0, 0.0), ("n", 1.0, 1.0), ("u", 0.0, 1.0), ("u", 1.0, -1.0), ("i", None, 1.0), ("i", 0.0, 0.0)]
+    got = {r.k: (r.claims, r.verdict) for r in R.overall(spark.createDataFrame(rows, "k string, before double, after double"), "k").collect()}
+    assert got == {"s": (1, "STABLE"), "n": (2, "NOT STABLE"), "u": (2, "UNRESOLVED"), "i": (2, "INCOMPLETE")}
+
+
 def test_repetition(spark):
     cells = {p: 0 for p in PATTERNS}
     rows = [(1, "A", "OVS"), (2, "A", "OVS"), (3, "A", "SVO"), (4, "a", "OVS"), (5, "Z", None), (6, "Z", None)]
@@ -107,6 +233,8 @@ def test_repetition(spark):
     assert sorted(r.i for r in R.first_occurrence(df, "t", "i").where("is_first").collect()) == [1, 4, 5]
     a = {r.t: r for r in R.audit(df, "t", "i").collect()}
     assert set(a) == {"A", "Z"} and (a["A"].occurrences, a["A"].mismatches, a["A"].excess_OVS, a["A"].excess_SVO, a["A"].nominal_OVS) == (3, 1, 2, 1, 4)
+    both = R.counts_before_after(df, "t", "i").first()
+    assert (both.before_OVS, both.after_OVS, both.before_SVO, both.after_SVO) == (6, 4, 1, 0)
     v = R.variants(df, "t", "i")
     assert sorted((r.t, r.occurrences, r.retained) for r in v.collect()) == [("A", 1, 0), ("A", 2, 1), ("Z", 2, 1)]
     assert '"retained_occurrences":1' in R.variants_json(v, "t").where("t = 'A'").first().variants
@@ -128,6 +256,61 @@ def test_conllu_reader(spark, tmp_path, plain, end, bom):
     assert [r.rule for r in conllu.violations(spark, str(path)).collect()] == ["head"]
 
 
+def test_conllu_across_splits(spark, tmp_path):
+    """Blocks are whole wherever a file is split."""
+    rng = np.random.default_rng(5)
+    blocks = [[f"{k}\tw{b}" for k in range(1, rng.integers(2, 9))] for b in range(300)]
+    for name, end, sep in (("a.conllu", "\n", ["\n", "\n\n", " \t\n"]), ("b.conllu", "\r\n", ["\r\n", "\t\r\n\r\n"])):
+        (tmp_path / name).write_bytes("".join(end.join(b) + end + str(rng.choice(sep)) for b in blocks).removesuffix(end).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("97b", "1k", old):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = conllu.blocks(spark, str(tmp_path / "*.conllu")).orderBy("file", "ord").collect()
+        assert [r.lines for r in got] == blocks * 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "empty.conllu").write_text("\n\n")
+    assert conllu.blocks(spark, str(tmp_path / "empty.conllu")).count() == 0
+
+
+def test_conllu_strict_and_widths(spark, tmp_path):
+    path = tmp_path / "x.conllu"
+    path.write_text("# text = a\n# text = b\n" + "\t".join("1abcdef0hi") + "\n")
+    assert conllu.read_conllu(spark, str(path)).first().text == "a"
+    with pytest.raises(Exception, match="two texts"):
+        conllu.read_conllu(spark, str(path), strict=True).collect()
+    path.write_text("1\ta\tb\n\n" + "\t".join("1abcdef0hi") + "\n1\tZ" + "\t_" * 8 + "\n")
+    b = conllu.blocks(spark, str(path)).orderBy("ord").select(conllu.wrong_width("lines").alias("w"), conllu.structural(F.col("lines")[0]).alias("s")).collect()
+    assert [r.w for r in b] == [True, False] and len(b[1].s) == 9
+    assert [[t.form for t in r.tokens] for r in conllu.read_conllu(spark, str(path)).orderBy("ord").collect()] == [[], ["Z"]]  # the last row of an id wins
+
+
+def test_chunk_writer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(conllu, "RANGE", 4)
+    (tmp_path / "x.conllu").write_text("".join(f"{k}\tword\n\n" for k in range(10, 40)))
+    b = conllu.blocks(spark, str(tmp_path / "x.conllu"))
+    chunks = {r.lines[0]: r.chunk for r in conllu.chunk_ids(b, 27).collect()}
+    assert chunks == {f"{k}\tword": (k - 10) * 9 // 27 for k in range(10, 40)}
+    conllu.write_chunks(b, str(tmp_path / "out"), 27)
+    for c in range(10):
+        (file,) = (tmp_path / "out" / "name=x" / f"chunk={c}").glob("part-*")
+        assert file.read_text() == "".join(f"{k}\tword\n\n" for k in range(10 + 3 * c, 13 + 3 * c))
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from treeloom.sources import scratch
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch.shared_dir(unset)
+    path = scratch.own_folder(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert scratch.exists(spark, path) and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    scratch.remove(spark, path)
+    assert not scratch.exists(spark, path)
+
+
 def test_conllu_round_trip_and_tagger(spark, tmp_path):
     (tmp_path / "a.conllu").write_text(CONLLU)
     s = conllu.read_conllu(spark, str(tmp_path / "a.conllu"))
@@ -232,7 +415,7 @@ def test_splits_and_chunks(spark, tmp_path):
         (tmp_path / f"x-{name}.conllu").write_text(f"{k}\ta\n\n{k}\tb\n")
     got = conllu.merge_splits(spark, str(tmp_path)).orderBy("split", "ord")
     assert [r.lines[0] for r in got.collect()] == ["0\ta", "0\tb", "1\ta", "1\tb", "2\ta", "2\tb"]
-    assert sorted(r.chunk for r in conllu.chunk_ids(got, 5, ["ord"]).collect()) == [0, 0, 0, 1, 1, 1]
+    assert sorted(r.chunk for r in conllu.chunk_ids(got, 5).collect()) == [0, 0, 0, 1, 1, 1]
     (tmp_path / "y-dev.conllu").write_text("1\ta\n")
     with pytest.raises(ValueError, match="2 files"):
         conllu.merge_splits(spark, str(tmp_path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from ..schema import PATTERNS
 
 ORACLES: dict[str, str] = {}
@@ -108,36 +110,41 @@ O["fisher_2x2"] = """WITH t AS (SELECT count(*) FILTER (quality = 0 AND toxic =
 x AS (SELECT *, unnest(range(greatest(0, (a + b) + (a + c) - (a + b + c + e)), least(a + b, a + c) + 1)) AS k FROM t),
 q AS (SELECT *, exp(lgamma(a + b + 1) + lgamma(c + e + 1) + lgamma(a + c + 1) + lgamma(b + e + 1) - lgamma(a + b + c + e + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(e - a + k + 1)) AS pr FROM x)
 SELECT a, b, c, e, round(a * e / (b * c)::DOUBLE, 6) AS odds_ratio, round(least(1, sum(pr) FILTER (pr <= (SELECT pr FROM q WHERE k = a) * (1 + 1e-7))), 6) AS p FROM q GROUP BY ALL"""
-_PERM = """SELECT round(c0, 6) AS chi2, hits, reps AS replicates, round((hits + 1) / (reps + 1)::DOUBLE, 6) AS p FROM (
-  SELECT max(c0) AS c0, count(*) FILTER (replicate > 0 AND round(chi2, 9) >= c0) AS hits, count(*) FILTER (replicate > 0) AS reps FROM ch, (SELECT round(chi2, 9) AS c0 FROM ch WHERE replicate = 0))"""
+def _perm(*by: str) -> str:
+    keys = "".join(f"{k}, " for k in by)
+    own = f" JOIN (SELECT {keys}round(chi2, 9) AS c0 FROM ch WHERE replicate = 0) USING ({', '.join(by)})" if by else ", (SELECT round(chi2, 9) AS c0 FROM ch WHERE replicate = 0)"
+    return f"""SELECT {keys}round(c0, 6) AS chi2, hits, reps AS replicates, round((hits + 1) / (reps + 1)::DOUBLE, 6) AS p FROM (
+  SELECT {keys}max(c0) AS c0, count(*) FILTER (replicate > 0 AND round(chi2, 9) >= c0) AS hits, count(*) FILTER (replicate > 0) AS reps FROM ch{own}{' GROUP BY ' + ', '.join(by) if by else ''})"""
 
 
-def _shuffled(units: str, group: str, reps: int) -> str:
+def _shuffled(units: str, group: str, reps: int, by: str = "") -> str:
     return f"""rp AS (SELECT *, unnest(range(1, {reps + 1})) AS replicate FROM {units}),
-pl AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY md5(concat(replicate, '-', doc_id)), doc_id) AS place, row_number() OVER (PARTITION BY replicate ORDER BY {group}, doc_id) AS slot FROM rp),
-dr AS (SELECT a.* EXCLUDE (place, slot), b.{group} AS drawn FROM pl a JOIN pl b ON a.replicate = b.replicate AND a.place = b.slot UNION ALL BY NAME SELECT *, 0 AS replicate, {group} AS drawn FROM {units})"""
+pl AS (SELECT *, row_number() OVER (PARTITION BY {by}replicate ORDER BY md5(concat(replicate, '-', doc_id)), doc_id) AS place, row_number() OVER (PARTITION BY {by}replicate ORDER BY {group}, doc_id) AS slot FROM rp),
+dr AS (SELECT a.* EXCLUDE (place, slot), b.drawn FROM pl a JOIN (SELECT {by}replicate, slot AS place, {group} AS drawn FROM pl) b USING ({by}replicate, place) UNION ALL BY NAME SELECT *, 0 AS replicate, {group} AS drawn FROM {units})"""
 
 
-O["perm_chi2_hash"] = f"""WITH un AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id), {_shuffled('un', 'quality', 50)},
-cells AS (SELECT replicate, drawn AS x, toxic AS y, count(*) AS n FROM dr GROUP BY ALL), {chi_table('cells', 'replicate')} {_PERM}"""
-_cells6 = " UNION ALL ".join(f"SELECT replicate, drawn AS x, '{p}' AS y, sum(n_{p}) AS n FROM dr GROUP BY ALL" for p in PATTERNS)
-O["cluster_perm_hash"] = f"""WITH {INST}, un AS (SELECT doc_id, lang, {_SUMS} FROM inst WHERE lang IN ('de', 'fr') GROUP BY doc_id, lang), {_shuffled('un', 'lang', 30)},
-cells AS ({_cells6}), {chi_table('cells', 'replicate')} {_PERM}"""
+O["perm_chi2_hash"] = f"""WITH un AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id), {_shuffled('un', 'quality', 1000)},
+cells AS (SELECT replicate, drawn AS x, toxic AS y, count(*) AS n FROM dr GROUP BY ALL), {chi_table('cells', 'replicate')} {_perm()}"""
+_cells6 = " UNION ALL ".join(f"SELECT group_a, group_b, replicate, drawn AS x, '{p}' AS y, sum(n_{p}) AS n FROM dr GROUP BY ALL" for p in PATTERNS)
+O["cluster_perm_hash"] = f"""WITH {INST}, cl AS (SELECT doc_id, lang, {_SUMS} FROM inst GROUP BY doc_id, lang), lg AS (SELECT DISTINCT lang AS l FROM documents),
+un AS (SELECT doc_id, lang, least(lang, l) AS group_a, greatest(lang, l) AS group_b, {', '.join(_NS)} FROM cl JOIN lg ON l <> lang), {_shuffled('un', 'lang', 200, 'group_a, group_b, ')},
+cells AS ({_cells6}), {chi_table('cells', 'group_a, group_b, replicate')} {_perm('group_a', 'group_b')}"""
 _SIDES = """sd AS (SELECT conv_id, count(*) FILTER (role = 'user' AND length(text) % 2 = 0) AS u0, count(*) FILTER (role = 'user' AND length(text) % 2 = 1) AS u1,
   count(*) FILTER (role = 'assistant' AND length(text) % 2 = 0) AS a0, count(*) FILTER (role = 'assistant' AND length(text) % 2 = 1) AS a1,
   coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_len, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_len
   FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"""
-O["paired_swap_hash"] = f"""WITH {_SIDES}, rp AS (SELECT *, unnest(range(0, 51)) AS replicate FROM sd),
+O["paired_swap_hash"] = f"""WITH {_SIDES}, rp AS (SELECT *, unnest(range(0, 1001)) AS replicate FROM sd),
 sw AS (SELECT *, replicate > 0 AND substr(md5(concat(replicate, '-', conv_id)), 1, 1) < '8' AS swap FROM rp),
 cells AS (SELECT replicate, 'u' AS x, 0 AS y, sum(CASE WHEN swap THEN a0 ELSE u0 END) AS n FROM sw GROUP BY ALL UNION ALL SELECT replicate, 'u', 1, sum(CASE WHEN swap THEN a1 ELSE u1 END) FROM sw GROUP BY ALL
-  UNION ALL SELECT replicate, 'a', 0, sum(CASE WHEN swap THEN u0 ELSE a0 END) FROM sw GROUP BY ALL UNION ALL SELECT replicate, 'a', 1, sum(CASE WHEN swap THEN u1 ELSE a1 END) FROM sw GROUP BY ALL), {chi_table('cells', 'replicate')} {_PERM}"""
+  UNION ALL SELECT replicate, 'a', 0, sum(CASE WHEN swap THEN u0 ELSE a0 END) FROM sw GROUP BY ALL UNION ALL SELECT replicate, 'a', 1, sum(CASE WHEN swap THEN u1 ELSE a1 END) FROM sw GROUP BY ALL), {chi_table('cells', 'replicate')} {_perm()}"""
 _tot = " + ".join(_NS)
-O["bootstrap_ci_hash"] = f"""WITH {INST}, cl AS (SELECT doc_id, {_SUMS} FROM inst WHERE lang = 'de' GROUP BY doc_id), nb AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM cl),
-m AS (SELECT count(*) AS m FROM nb), dw AS (SELECT m, replicate, unnest(range(0, m)) AS draw FROM (SELECT m, unnest(range(1, 101)) AS replicate FROM m)),
-pk AS (SELECT replicate, ('0x' || substr(md5(concat(replicate, '-', draw)), 1, 8))::BIGINT % m AS i FROM dw),
-b AS (SELECT replicate, {', '.join(f'sum({n})::DOUBLE AS {n}' for n in _NS)} FROM pk JOIN nb USING (i) GROUP BY replicate),
-e AS (SELECT n_SVO / ({_tot}) AS svo, {ent(_NS, f'({_tot})')} AS en FROM b)
-SELECT round(quantile_cont(svo, 0.025), 6) AS svo_lo, round(quantile_cont(svo, 0.975), 6) AS svo_hi, round(quantile_cont(en, 0.025), 6) AS entropy_lo, round(quantile_cont(en, 0.975), 6) AS entropy_hi FROM e"""
+_CDF = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+_TAKEN = " + ".join(f"(u >= {x!r})::INT" for x in _CDF)
+O["bootstrap_ci_hash"] = f"""WITH {INST}, cl AS (SELECT doc_id, lang, {_SUMS} FROM inst GROUP BY doc_id, lang),
+dw AS (SELECT *, ('0x' || substr(md5(concat(replicate, '-', doc_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(1, 1001)) AS replicate FROM cl)),
+b AS (SELECT lang, replicate, {', '.join(f'sum({n} * ({_TAKEN}))::DOUBLE AS {n}' for n in _NS)} FROM dw GROUP BY lang, replicate),
+e AS (SELECT lang, n_SVO / ({_tot}) AS svo, {ent(_NS, f'({_tot})')} AS en FROM b WHERE {_tot} > 0)
+SELECT lang, round(quantile_cont(svo, 0.025), 6) AS svo_lo, round(quantile_cont(svo, 0.975), 6) AS svo_hi, round(quantile_cont(en, 0.025), 6) AS entropy_lo, round(quantile_cont(en, 0.975), 6) AS entropy_hi FROM e GROUP BY lang"""
 O["sign_test"] = f"""WITH {_SIDES}, t AS (SELECT count(*) FILTER (user_len > assistant_len) AS positive, count(*) AS n FROM sd WHERE user_len > 0 AND assistant_len > 0 AND user_len <> assistant_len),
 q AS (SELECT *, unnest(range(0, n + 1)) AS k FROM t), p AS (SELECT *, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)) AS pr FROM q)
 SELECT positive, n, round(least(1, sum(pr) FILTER (pr <= (SELECT pr FROM p WHERE k = positive) * (1 + 1e-7))), 6) AS p FROM p GROUP BY ALL"""
@@ -145,6 +152,21 @@ O["wilcoxon_w"] = f"""WITH {_SIDES}, d AS (SELECT user_len - assistant_len AS d
 r AS (SELECT d, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS r FROM z),
 s AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus FROM r)
 SELECT n, w_plus, w_minus, least(w_plus, w_minus) AS w, (SELECT round(avg(d), 6) FROM d) AS mean_difference FROM s"""
+
+
+def _upper_gamma(a: str, x: str) -> str:
+    """The regularised upper incomplete gamma function by the series of the lower one, for arguments of some hundreds at most."""
+    return f"CASE WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum([exp(({a}) * ln({x}) - ({x}) - lgamma(({a}) + k + 1) + k * ln({x})) for k in range(0, 4000)])) END"
+
+
+O["chi2_pvalue"] = f"""WITH {PAIR}, e AS (SELECT group_a, group_b, a[i] AS o, (a[i] + b[i]) * ta / (ta + tb) AS e, a[i] + b[i] AS c FROM pr UNION ALL SELECT group_a, group_b, b[i], (a[i] + b[i]) * tb / (ta + tb), a[i] + b[i] FROM pr),
+q AS (SELECT group_a, group_b, sum((o - e) * (o - e) / e) / 2 AS x, (count(*) // 2 - 1) / 2 AS a FROM e WHERE c > 0 GROUP BY ALL)
+SELECT group_a, group_b, round({_upper_gamma('a', 'x')}, 6) AS p FROM q"""
+O["wilcoxon_p"] = f"""WITH {_SIDES}, d AS (SELECT user_len - assistant_len AS d FROM sd WHERE user_len > 0 AND assistant_len > 0), z AS (SELECT d, abs(d) AS a FROM d WHERE d <> 0),
+r AS (SELECT d, a, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS r FROM z),
+s AS (SELECT count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM r), t AS (SELECT sum(k::DOUBLE ** 3 - k) AS ties FROM (SELECT count(*) AS k FROM z GROUP BY a)),
+v AS (SELECT w, (w - n * (n + 1) / 4) ** 2 / 2 / (n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS x FROM s, t)
+SELECT 'all' AS g, round(w, 6) AS w, round({_upper_gamma('0.5', 'x')}, 6) AS p FROM v"""
 O["exact_dedup_counts"] = """WITH x AS (SELECT 'text' AS unit, lang, text AS k FROM documents UNION ALL SELECT 'line', lang, unnest(string_split(text, chr(10))) FROM documents)
 SELECT unit, lang, count(*) AS total, count(DISTINCT k) AS unique_n, count(*) - count(DISTINCT k) AS duplicates, round(100 * (count(*) - count(DISTINCT k)) / count(*)::DOUBLE, 6) AS pct FROM x GROUP BY ALL"""
 _BA = f"""{INST}, fo AS (SELECT lang, doc_id, line_no, row_number() OVER (PARTITION BY lang, line ORDER BY doc_id, line_no) AS rn FROM ln),
@@ -170,22 +192,48 @@ _MG = f"""{_BA}, mg AS (SELECT t.lang, unnest(['highest', 'lowest']) AS claim, u
   unnest([any_value(t.q_n_SVO) - max(o.q_n_SVO), min(o.q_n_SVO) - any_value(t.q_n_SVO)]) AS after FROM ba t JOIN ba o ON t.lang <> o.lang GROUP BY t.lang)"""
 O["claim_margins"] = f"WITH {_MG} SELECT lang, claim, round(before, 6) AS before, round(after, 6) AS after FROM mg"
 O["claim_verdicts"] = f"WITH {_MG} SELECT lang, claim, CASE WHEN before <= 1e-12 THEN 'UNRESOLVED' WHEN after <= 1e-12 THEN 'NOT STABLE' ELSE 'STABLE' END AS verdict FROM mg"
-_ALT = "alt AS (SELECT * REPLACE (CASE WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'nsubj' THEN 'obj' WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'obj' THEN 'nsubj' ELSE deprel END AS deprel) FROM dep)"
+_ALT = """alt AS (SELECT * REPLACE (CASE WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'nsubj' THEN 'obj' WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'obj' THEN 'nsubj' ELSE deprel END AS deprel,
+  CASE WHEN (doc_id + tok_id) % 89 = 0 THEN 'ADJ' ELSE upos END AS upos, CASE WHEN (doc_id + tok_id) % 83 = 0 THEN 0 ELSE head END AS head) FROM dep)"""
 _K = "doc_id, line_no, v"
 _AL = f"""{INST}, {_ALT}, au AS ({_inst('alt', NOUN)}), g AS (SELECT {_K}, s, o, pattern AS gold FROM inst), a AS (SELECT {_K}, s, o, pattern AS auto FROM au),
-ex AS (SELECT 'same' AS kind, gold, auto FROM g JOIN a USING ({_K}, s, o)),
+ex AS (SELECT {_K}, gold, auto FROM g JOIN a USING ({_K}, s, o)),
 g1 AS (SELECT * FROM g ANTI JOIN a USING ({_K}, s, o)), a1 AS (SELECT * FROM a ANTI JOIN g USING ({_K}, s, o)),
 tn AS (SELECT {_K}, s AS o, o AS s, auto FROM a1), sw AS (SELECT * FROM g1 JOIN tn USING ({_K}, s, o)),
-g2 AS (SELECT * FROM g1 ANTI JOIN sw USING ({_K}, s, o)), a2 AS (SELECT * FROM a1 WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.doc_id = a1.doc_id AND sw.line_no = a1.line_no AND sw.v = a1.v AND sw.s = a1.o AND sw.o = a1.s)),
+g2 AS (SELECT * FROM g1 ANTI JOIN sw USING ({_K}, s, o)), a2 AS (SELECT * FROM a1 ANTI JOIN (SELECT {_K}, s AS o, o AS s FROM sw) USING ({_K}, s, o)),
 nr AS (SELECT x.doc_id, x.line_no, x.v, x.s AS gs, x.o AS go, y.s AS ys, y.o AS yo, gold, auto FROM g2 x JOIN a2 y ON x.doc_id = y.doc_id AND x.line_no = y.line_no AND x.v = y.v AND (x.s = y.s OR x.o = y.o OR x.s = y.o OR x.o = y.s)),
-ov AS (SELECT CASE WHEN count(DISTINCT (gs, go)) = 1 THEN min(gold) END AS gold, CASE WHEN count(DISTINCT (ys, yo)) = 1 THEN min(auto) END AS auto FROM nr GROUP BY {_K}),
-al AS (SELECT * FROM ex UNION ALL SELECT 'changed', gold, auto FROM sw UNION ALL SELECT 'unclear', gold, auto FROM ov
-  UNION ALL SELECT 'gold_only', gold, NULL FROM g2 WHERE NOT EXISTS (SELECT 1 FROM nr WHERE nr.doc_id = g2.doc_id AND nr.line_no = g2.line_no AND nr.v = g2.v AND nr.gs = g2.s AND nr.go = g2.o)
-  UNION ALL SELECT 'auto_only', NULL, auto FROM a2 WHERE NOT EXISTS (SELECT 1 FROM nr WHERE nr.doc_id = a2.doc_id AND nr.line_no = a2.line_no AND nr.v = a2.v AND nr.ys = a2.s AND nr.yo = a2.o))"""
+dn AS (SELECT *, count(*) OVER (PARTITION BY {_K}, gs, go) = 1 AND count(*) OVER (PARTITION BY {_K}, ys, yo) = 1 AS lone FROM nr),
+gl AS (SELECT {_K}, count(*) AS n_gold, CASE WHEN count(*) = 1 THEN min(gold) END AS gold FROM (SELECT DISTINCT {_K}, gs, go, gold FROM dn WHERE NOT lone) GROUP BY {_K}),
+aa AS (SELECT {_K}, count(*) AS n_auto, CASE WHEN count(*) = 1 THEN min(auto) END AS auto FROM (SELECT DISTINCT {_K}, ys, yo, auto FROM dn WHERE NOT lone) GROUP BY {_K}),
+al AS (SELECT {_K}, 'same' AS kind, gold, auto, 1 AS n_gold, 1 AS n_auto, NULL::INT AS s, NULL::INT AS o FROM ex UNION ALL SELECT {_K}, 'changed', gold, auto, 1, 1, NULL, NULL FROM sw UNION ALL SELECT {_K}, 'unclear', gold, auto, 1, 1, NULL, NULL FROM dn WHERE lone
+  UNION ALL SELECT {_K}, 'unclear', gold, auto, n_gold, n_auto, NULL, NULL FROM gl JOIN aa USING ({_K})
+  UNION ALL SELECT {_K}, 'gold_only', gold, NULL, 1, 0, s, o FROM g2 ANTI JOIN (SELECT {_K}, gs AS s, go AS o FROM nr) USING ({_K}, s, o)
+  UNION ALL SELECT {_K}, 'auto_only', NULL, auto, 0, 1, s, o FROM a2 ANTI JOIN (SELECT {_K}, ys AS s, yo AS o FROM nr) USING ({_K}, s, o))"""
 O["agreement_matrix"] = f"WITH {_AL} SELECT gold, auto, count(*) AS n FROM al WHERE kind IN ('same', 'changed') GROUP BY ALL"
-O["agreement_rates"] = f"""WITH {_AL}, c AS (SELECT {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ('same', 'changed', 'unclear', 'gold_only', 'auto_only'))} FROM al)
-SELECT *, round(same::DOUBLE / (same + changed + gold_only), 6) AS recall, round(same::DOUBLE / (same + changed), 6) AS same_among_aligned, round((changed + gold_only)::DOUBLE / (same + changed + gold_only), 6) AS changed_or_lost FROM c"""
-O["agreement_reasons"] = f"WITH {_AL} SELECT kind, count(*) AS n, (SELECT count(*) FROM al) AS population, round(100 * count(*) / (SELECT count(*) FROM al)::DOUBLE, 6) AS pct FROM al GROUP BY kind"
+O["agreement_rates"] = f"""WITH {_AL}, c AS (SELECT {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ('same', 'changed', 'unclear', 'gold_only', 'auto_only'))},
+  coalesce(sum(n_gold) FILTER (kind = 'unclear'), 0)::BIGINT AS unclear_gold, coalesce(sum(n_auto) FILTER (kind = 'unclear'), 0)::BIGINT AS unclear_auto FROM al),
+n AS (SELECT (SELECT count(*) FROM inst) AS gold_n, (SELECT count(*) FROM au) AS auto_n)
+SELECT c.*, gold_n, auto_n, same + changed AS aligned, gold_only + auto_only + changed + unclear AS to_review, round((same + changed)::DOUBLE / gold_n, 6) AS recall,
+  round(same::DOUBLE / (same + changed), 6) AS same_among_aligned, round((gold_n - same)::DOUBLE / gold_n, 6) AS changed_or_lost FROM c, n"""
+O["agreement_margins"] = f"""WITH {_AL}, {PAT}, m AS (SELECT gold, auto, count(*) AS n FROM al WHERE kind IN ('same', 'changed') GROUP BY ALL),
+x AS (SELECT pattern, (SELECT count(*) FROM inst i WHERE i.pattern = pat.pattern) AS gold_n, (SELECT count(*) FROM au i WHERE i.pattern = pat.pattern) AS auto_n, coalesce((SELECT sum(n) FROM m WHERE gold = pattern), 0)::BIGINT AS gold_aligned,
+  coalesce((SELECT sum(n) FROM m WHERE auto = pattern), 0)::BIGINT AS auto_aligned, coalesce((SELECT sum(n) FROM m WHERE gold = pattern AND auto = pattern), 0)::BIGINT AS diagonal FROM pat)
+SELECT *, gold_aligned - diagonal AS off_diagonal, gold_aligned <= gold_n AND auto_aligned <= auto_n AS within FROM x"""
+
+
+def _reasons(kind: str, other: str) -> str:
+    at = lambda c, t: f"LEFT JOIN {other} {t} ON {t}.doc_id = x.doc_id AND {t}.line_no = x.line_no AND {t}.tok_id = x.{c}"
+    return f"""SELECT kind, tv.upos IS NOT NULL AND ts.upos IS NOT NULL AND tt.upos IS NOT NULL AS found, coalesce(ts.deprel = 'nsubj', false) AS sr, coalesce(tt.deprel = 'obj', false) AS orl,
+      coalesce(ts.upos = 'NOUN', false) AS sp, coalesce(tt.upos = 'NOUN', false) AS op, coalesce(tv.upos = 'VERB', false) AS vp, coalesce(ts.deprel = 'nsubj' AND ts.head <> x.v OR tt.deprel = 'obj' AND tt.head <> x.v, false) AS moved
+    FROM (SELECT * FROM al WHERE kind = '{kind}') x {at('v', 'tv')} {at('s', 'ts')} {at('o', 'tt')}"""
+
+
+_TESTS = {
+    "relevant_dependency_relation_differs": "found AND NOT (sr AND orl)", "subject_relation_differs": "found AND NOT sr", "object_relation_differs": "found AND NOT orl", "required_relation_retained_but_head_changes": "found AND moved",
+    "any_relevant_pos_mismatch": "found AND NOT (sp AND op AND vp)", "subject_pos_mismatch": "found AND NOT sp", "object_pos_mismatch": "found AND NOT op", "predicate_verb_mismatch": "found AND NOT vp",
+    "missing_sentence_token_or_unexplained_residual": "NOT (found AND (NOT (sr AND orl) OR moved OR NOT (sp AND op AND vp)))",
+}
+O["agreement_reasons"] = f"WITH {_AL}, w AS ({_reasons('gold_only', 'alt')} UNION ALL {_reasons('auto_only', 'dep')}), " + f"""f AS ({' UNION ALL '.join(f"SELECT kind AS direction, '{k}' AS reason, count(*) AS population, count(*) FILTER ({t}) AS n FROM w GROUP BY kind" for k, t in _TESTS.items())})
+SELECT direction, population, reason, n, round(100 * n / population::DOUBLE, 6) AS pct FROM f"""
 O["contract_violations"] = f"""WITH {INST}, {PAT}, g AS (SELECT lang, count(*) AS total FROM inst GROUP BY lang), c AS (SELECT lang, pattern, count(*) AS n FROM inst GROUP BY ALL),
 z AS (SELECT lang, pattern, coalesce(n, 0) AS m, total, coalesce(n, 0)::DOUBLE / total AS pr FROM g CROSS JOIN pat LEFT JOIN c USING (lang, pattern) WHERE NOT (lang = 'fr' AND pattern = 'VSO')),
 s AS (SELECT *, CASE WHEN lang = 'de' AND pattern = 'SVO' THEN m + 1 ELSE m END AS n FROM z)
@@ -194,7 +242,8 @@ _pct = ", ".join(f"((2000 * n_{p} + total) // (2 * total)) / 10 AS pct_{p}" for
 O["master_table"] = f"""WITH {CNT}, {_ranked('w', 'lang')} SELECT row_number() OVER (ORDER BY lang) AS row, lang, total, {_pct}, round(round({ent(_NS, 'total')}, 6)::DECIMAL(18, 6), 2)::DOUBLE AS entropy,
   CASE WHEN n2 = 0 OR n1 > 2 * n2 THEN dominant_order ELSE 'none' END AS note FROM w JOIN dm USING (lang)"""
 O["register_sorted"] = f"""WITH {INST}, s AS (SELECT source, round(count(*) FILTER (pattern = 'SVO') / count(*)::DOUBLE, 6) AS svo FROM inst GROUP BY source) SELECT source, svo, row_number() OVER (ORDER BY svo DESC, source) AS place FROM s"""
-O["jsd_matrix"] = f"WITH {PAIR}, {_JSD} SELECT group_b AS lang, {', '.join(f'max(round(d, 6)) FILTER (group_a = {chr(39)}{g}{chr(39)}) AS {g}' for g in ('de', 'en', 'es', 'fr'))} FROM js GROUP BY group_b"
+O["jsd_matrix"] = f"""WITH {PAIR}, {_JSD}, pl AS (SELECT lang, row_number() OVER (ORDER BY lang) AS k FROM (SELECT DISTINCT lang FROM documents))
+SELECT group_b AS row_lang, group_a AS column_lang, y.k AS row, x.k AS column, round(d, 6) AS jsd FROM js JOIN pl x ON x.lang = group_a JOIN pl y ON y.lang = group_b"""
 O["share_entropy_union"] = f"""WITH {INST}, u AS (SELECT 'language' AS kind, lang AS name, {_SUMS}, count(*) AS total FROM inst GROUP BY lang UNION ALL SELECT 'register', source, {_SUMS}, count(*) FROM inst GROUP BY source)
 SELECT kind, name, round(n_SVO::DOUBLE / total, 6) AS svo, round({ent(_NS, 'total')}, 6) AS entropy FROM u"""
 O["set_checks"] = """WITH a AS (SELECT DISTINCT source FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT source FROM documents WHERE lang IN ('de', 'es'))
@@ -207,7 +256,7 @@ SELECT *, n_user > 0 AND n_assistant > 0 AS complete, n_user > 0 OR n_assistant
 O["layout_join_checked"] = f"""WITH {CNT}, l(ord, section, lang, label) AS (VALUES (0, 'I', 'en', 'English'), (1, 'I', 'de', 'German'), (2, 'II', 'fr', 'French'), (3, 'II', 'es', 'Spanish'), (4, 'III', 'xx', 'None')),
 j AS (SELECT ord, section, coalesce(l.lang, w.lang) AS lang, label, total FROM l FULL JOIN w ON l.lang = w.lang)
 SELECT row_number() OVER (ORDER BY ord NULLS FIRST) AS row, section, lang, label, total, section IS DISTINCT FROM lag(section) OVER (ORDER BY ord NULLS FIRST) AS new_section, ord IS NULL OR total IS NULL AS unmatched FROM j"""
-O["positional_diff"] = f"WITH {DEP}, {_ALT} SELECT d.deprel AS was, a.deprel AS now, count(*) AS n FROM dep d JOIN alt a USING (doc_id, line_no, tok_id) WHERE d.deprel <> a.deprel GROUP BY ALL"
+O["positional_diff"] = f"WITH {DEP}, {_ALT} SELECT d.deprel AS was, a.deprel AS now, count(*) AS n FROM dep d JOIN alt a USING (doc_id, line_no, tok_id) WHERE d.deprel <> a.deprel OR d.upos <> a.upos OR d.head <> a.head GROUP BY ALL"
 O["cluster_vectors"] = f"""WITH {INST}, pd AS (SELECT doc_id, lang, {_SUMS} FROM inst GROUP BY ALL) SELECT lang, count(*) AS clusters, {', '.join(f'sum(n_{p})::BIGINT AS s_{p}' for p in PATTERNS)}, true AS agrees FROM pd GROUP BY lang"""
 O["ner_role_sum"] = f"WITH {_ROLES} SELECT lang, role, pattern, count(*) AS n, true AS agrees FROM rl GROUP BY ALL"
 O["variant_left_join"] = f"WITH {_VEC} SELECT count(*) AS identities, sum(occurrences)::BIGINT AS occurrences, count(*) FILTER (mismatches > 0) AS with_mismatch, 0::BIGINT AS violations FROM ax"

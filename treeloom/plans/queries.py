@@ -48,21 +48,24 @@ def pseudo_misc(t: Column) -> Column:
     return F.when(named, "A=x|NER=B-x").otherwise("NER=O")
 
 
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+
+
 def sentence_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Six counts of every sentence with its text; each third document's SVO count is blanked, so that parses differ."""
-    per = D.to_wide(M.order_counts(found(spark, d), "doc_id", "line_no"), "doc_id", "line_no").drop("total")
-    base = docs(spark, d).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "lang", (F.col("i") + 1).alias("line_no"), "line")
-    out = base.join(per, ["doc_id", "line_no"], "left").fillna(0, [f"n_{p}" for p in PATTERNS])
+    out = M.count_in_row(treebank.sentences(docs(spark, d), "lang", text=True))
     return out.withColumn("n_SVO", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("n_SVO")))
 
 
 def perturbed(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences in which some subjects and objects have changed places."""
+    """Sentences in which some subjects and objects have changed places, some tags differ and some heads are lost."""
 
     def change(t: Column) -> Column:
-        turn = (F.col("doc_id") + t["id"]) % 97 == 0
-        rel = F.when(turn & (t["deprel"] == "nsubj"), "obj").when(turn & (t["deprel"] == "obj"), "nsubj").otherwise(t["deprel"])
-        return F.struct(t["id"].alias("id"), t["form"].alias("form"), t["upos"].alias("upos"), t["head"].alias("head"), rel.alias("deprel"))
+        key = F.col("doc_id") + t["id"]
+        rel = F.when((key % 97 == 0) & (t["deprel"] == "nsubj"), "obj").when((key % 97 == 0) & (t["deprel"] == "obj"), "nsubj").otherwise(t["deprel"])
+        upos, head = F.when(key % 89 == 0, "ADJ").otherwise(t["upos"]), F.when(key % 83 == 0, 0).otherwise(t["head"])
+        return F.struct(t["id"].alias("id"), t["form"].alias("form"), upos.alias("upos"), head.alias("head"), rel.alias("deprel"))
 
     return sents(spark, d).withColumn("tokens", F.transform("tokens", change))
 
@@ -233,7 +236,7 @@ def cramers_v(spark, d):
 @query
 def chi2_pvalue(spark, d):
     x = D.chi_square([F.col("a"), F.col("b")])
-    return _pairs(spark, d).select("group_a", "group_b", chi2_tail(x["chi2"], x["df"].cast("double")).alias("p"))
+    return _pairs(spark, d).select("group_a", "group_b", r6(chi2_tail(x["chi2"], x["df"].cast("double"))).alias("p"))
 
 
 @query
@@ -249,21 +252,42 @@ def fisher_2x2(spark, d):
     return t.select("a", "b", "c", "e", r6(F.col("a") * F.col("e") / (F.col("b") * F.col("c"))).alias("odds_ratio"), r6(fisher_tail("a", "b", "c", "e")).alias("p"))
 
 
+#: Replicates of the hashed tests, which SQL repeats in full; those of numpy's streams have REPLICATES.
+HASHED = 1000
+
+
+def _perm(statistics, *by):
+    return I.permutation_p(statistics, "chi2", *by).select(*by, r6("chi2").alias("chi2"), "hits", "replicates", r6("p").alias("p"))
+
+
 @query
 def perm_chi2_hash(spark, d):
     units = load(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    drawn = I.hash_permuted(units, "doc_id", "quality", 50)
+    drawn = I.hash_permuted(units, "doc_id", "quality", HASHED)
     cells = drawn.groupBy("replicate", "drawn", "toxic").agg(F.count("*").alias("n"))
-    return I.permutation_p(I.table_chi2(cells, ["replicate"], "drawn", "toxic"), "chi2").select(r6("chi2").alias("chi2"), "hits", "replicates", r6("p").alias("p"))
+    return _perm(I.table_chi2(cells, ["replicate"], "drawn", "toxic"))
+
+
+def clusters(spark, d, *groups: str) -> DataFrame:
+    """The six counts of every document that has instances."""
+    per = M.count_in_row(treebank.sentences(docs(spark, d), *groups)).groupBy("doc_id", *groups).agg(*[F.sum(f"n_{p}").alias(f"n_{p}") for p in PATTERNS])
+    return per.where(sum((F.col(f"n_{p}") for p in PATTERNS), F.lit(0)) > 0)
+
+
+def _long(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"n_{p}").alias("n")) for p in PATTERNS])))
 
 
 @query
 def cluster_perm_hash(spark, d):
-    clusters = D.to_wide(counts(spark, d, "doc_id", "lang").where("lang in ('de', 'fr')"), "doc_id", "lang").drop("total")
-    drawn = I.hash_permuted(clusters, "doc_id", "lang", 30)
-    cells = drawn.groupBy("replicate", "drawn").agg(*[F.sum(f"n_{p}").alias(p) for p in PATTERNS])
-    cells = cells.select("replicate", "drawn", F.inline(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(p).alias("n")) for p in PATTERNS])))
-    return I.permutation_p(I.table_chi2(cells, ["replicate"], "drawn", "pattern"), "chi2").select(r6("chi2").alias("chi2"), "hits", "replicates", r6("p").alias("p"))
+    """Documents of each two languages, permuted whole."""
+    langs = docs(spark, d).agg(F.collect_set("lang").alias("langs"))  # one row
+    pair = F.explode(F.transform(F.filter("langs", lambda x: x != F.col("lang")), lambda x: F.struct(F.least("lang", x).alias("group_a"), F.greatest("lang", x).alias("group_b"))))
+    units = clusters(spark, d, "lang").crossJoin(F.broadcast(langs)).select("*", pair.alias("pair")).select("doc_id", "lang", "pair.*", *[f"n_{p}" for p in PATTERNS])
+    drawn = I.hash_permuted(units, "doc_id", "lang", 200, by=("group_a", "group_b"))
+    keys = ["group_a", "group_b", "replicate"]
+    cells = drawn.groupBy(*keys, "drawn").agg(*[F.sum(f"n_{p}").alias(f"n_{p}") for p in PATTERNS])
+    return _perm(I.table_chi2(_long(cells, *keys, "drawn"), keys, "drawn", "pattern"), "group_a", "group_b")
 
 
 def _sides(spark, d):
@@ -276,22 +300,21 @@ def _sides(spark, d):
 
 @query
 def paired_swap_hash(spark, d):
-    p = _sides(spark, d).select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(50))).alias("replicate"), "u0", "u1", "a0", "a1")
+    p = _sides(spark, d).select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(HASHED))).alias("replicate"), "u0", "u1", "a0", "a1")
     swap = (F.col("replicate") > 0) & (F.substring(I.hash_order(F.col("replicate"), F.col("conv_id")), 1, 1) < "8")
     pick = lambda x, y: F.sum(F.when(swap, F.col(y)).otherwise(F.col(x)))
     t = p.groupBy("replicate").agg(pick("u0", "a0").alias("u0"), pick("u1", "a1").alias("u1"), pick("a0", "u0").alias("a0"), pick("a1", "u1").alias("a1"))
     chi = D.chi_square([F.array(F.col("u0").cast("double"), F.col("u1").cast("double")), F.array(F.col("a0").cast("double"), F.col("a1").cast("double"))])["chi2"]
-    return I.permutation_p(t.select("replicate", chi.alias("chi2")), "chi2").select(r6("chi2").alias("chi2"), "hits", "replicates", r6("p").alias("p"))
+    return _perm(t.select("replicate", chi.alias("chi2")))
 
 
 @query
 def bootstrap_ci_hash(spark, d):
-    clusters = D.to_wide(counts(spark, d, "doc_id", "lang").where("lang = 'de'"), "doc_id").where("total > 0")
-    b = I.hash_bootstrap(clusters, "doc_id", 100)
+    b = I.hash_bootstrap(clusters(spark, d, "lang"), "doc_id", "lang", replicates=HASHED)
     total = sum((F.col(f"n_{p}") for p in PATTERNS), F.lit(0))
-    b = b.select((F.col("n_SVO") / total).alias("svo"), D.entropy(D.shares_of(D.vector())).alias("entropy"))
+    b = b.where(total > 0).select("lang", (F.col("n_SVO") / total).alias("svo"), D.entropy(D.shares_of(D.vector())).alias("entropy"))
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    return b.agg(q("svo").alias("s"), q("entropy").alias("e")).select(*[r6(F.get(c, F.lit(i))).alias(f"{n}_{x}") for c, n in (("s", "svo"), ("e", "entropy")) for i, x in ((0, "lo"), (1, "hi"))])
+    return b.groupBy("lang").agg(q("svo").alias("s"), q("entropy").alias("e")).select("lang", *[r6(F.get(c, F.lit(i))).alias(f"{n}_{x}") for c, n in (("s", "svo"), ("e", "entropy")) for i, x in ((0, "lo"), (1, "hi"))])
 
 
 #: The reference's published counts in the order of PATTERNS, and its tested pairs with their seeds.
@@ -326,6 +349,37 @@ def perm_chi2_exact_rng(spark, d):
     return I.exact_pair_tests(spark.createDataFrame(rows, "group_a string, group_b string, a array<long>, b array<long>, seed long"))
 
 
+#: The seeds of the three-group, cluster, paired and bootstrap streams.
+GROUPS_SEED, CLUSTER_SEED, BOOTSTRAP_SEED = 20260715, 20260828, 20261001
+
+
+@query
+def perm_chi2_three_groups(spark, d):
+    """The three published genres at once."""
+    cells = [PUBLISHED[f"suk-{g}"] for g in ("literary", "publicistic", "professional")]
+    return I.exact_group_tests(spark.createDataFrame([("genres", cells, GROUPS_SEED)], "name string, cells array<array<long>>, seed long"))
+
+
+@query
+def cluster_perm_exact_rng(spark, d):
+    """Documents as clusters: each two languages, and all at once."""
+    langs = sorted(r[0] for r in docs(spark, d).select("lang").distinct().where("lang is not null").collect())  # languages, not rows
+    pairs = [(a, b) for i, a in enumerate(langs) for b in langs[i + 1 :]]
+    families = [(f"{a}-{b}", [a, b], CLUSTER_SEED + 100 + i) for i, (a, b) in enumerate(pairs)] + [("all", langs, CLUSTER_SEED)]
+    return I.exact_cluster_tests(clusters(spark, d, "lang"), spark.createDataFrame(families, "name string, members array<string>, seed long"), "doc_id", "lang")
+
+
+@query
+def paired_swap_exact_rng(spark, d):
+    return I.exact_swap_test(_sides(spark, d), "conv_id", ["u0", "u1"], ["a0", "a1"], CLUSTER_SEED)
+
+
+@query
+def bootstrap_exact_rng(spark, d):
+    langs = tuple(sorted(r[0] for r in docs(spark, d).select("lang").distinct().where("lang is not null").collect()))  # languages, not rows
+    return I.exact_bootstrap(clusters(spark, d, "lang"), langs, "doc_id", "lang", BOOTSTRAP_SEED)
+
+
 @query
 def sign_test(spark, d):
     x = _sides(spark, d).where("user_len > 0 and assistant_len > 0 and user_len <> assistant_len")
@@ -343,7 +397,7 @@ def wilcoxon_w(spark, d):
 @query
 def wilcoxon_p(spark, d):
     x = _sides(spark, d).where("user_len > 0 and assistant_len > 0").select(F.lit("all").alias("g"), (F.col("user_len") - F.col("assistant_len")).cast("double").alias("d"))
-    return I.wilcoxon_p(x, "g", "d")
+    return I.wilcoxon_p(x, "g", "d").select("g", r6("w").alias("w"), r6("p").alias("p"))
 
 
 @query
@@ -354,15 +408,13 @@ def exact_dedup_counts(spark, d):
 
 
 def _before_after(spark, d):
-    s = treebank.sentences(docs(spark, d), "lang")
-    lines = docs(spark, d).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.select("doc_id", "lang", (F.col("i") + 1).alias("line_no"), "line")
-    first = R.first_occurrence(lines, "line", "doc_id", "line_no", scope=("lang",)).where("is_first").select("doc_id", "line_no")
-    per = M.order_counts(M.match(s), "lang", "doc_id", "line_no")
-    before = D.to_wide(per.groupBy("lang", "pattern").agg(F.sum("n").alias("n")), "lang")
-    after = D.to_wide(per.join(first, ["doc_id", "line_no"]).groupBy("lang", "pattern").agg(F.sum("n").alias("n")), "lang")
-    named = lambda x, w: x.select("lang", D.vector().alias(w), F.col("total").alias(f"total_{w}"))
-    return named(before, "before").join(named(after, "after"), "lang", "left").select("lang", "total_before", F.coalesce("total_after", "total_before").alias("total_after"), "before", F.coalesce("after", "before").alias("after"))
+    """One scan and one shuffle of the sentences: an identity's counts and those of its first occurrence come together."""
+    per = M.count_in_row(treebank.sentences(docs(spark, d), "lang", text=True))
+    both = R.counts_before_after(per, "line", "doc_id", "line_no", scope=("lang",))
+    vec = lambda w: F.array(*[F.col(f"{w}_{p}").cast("double") for p in PATTERNS])
+    total = lambda w: sum((F.col(f"{w}_{p}") for p in PATTERNS), F.lit(0)).cast("long")
+    out = both.select("lang", vec("before").alias("before"), total("before").alias("total_before"), vec("after").alias("after"), total("after").alias("total_after"))
+    return out.where("total_before > 0").select("lang", "total_before", "total_after", "before", F.when(F.col("total_after") > 0, F.col("after")).otherwise(F.col("before")).alias("after"))
 
 
 @query
@@ -442,15 +494,18 @@ def agreement_matrix(spark, d):
 @query
 def agreement_rates(spark, d):
     out = agreement.rates(_aligned(spark, d))
-    return out.select("same", "changed", "unclear", "gold_only", "auto_only", *[r6(c).alias(c) for c in ("recall", "same_among_aligned", "changed_or_lost")])
+    return out.select(*agreement.KINDS, "unclear_gold", "unclear_auto", "gold_n", "auto_n", "aligned", "to_review", *[r6(c).alias(c) for c in ("recall", "same_among_aligned", "changed_or_lost")])
+
+
+@query
+def agreement_margins(spark, d):
+    by = lambda i: M.order_counts(i)
+    return agreement.margins(agreement_matrix(spark, d), by(found(spark, d)), by(M.match(perturbed(spark, d))))
 
 
 @query
 def agreement_reasons(spark, d):
-    a = _aligned(spark, d)
-    total = a.agg(F.count("*").alias("population"))
-    by = a.groupBy("kind").agg(F.count("*").alias("n"))
-    return by.crossJoin(total).select("kind", "n", "population", r6(100 * F.col("n") / F.col("population")).alias("pct"))  # one row on the right
+    return agreement.reasons(_aligned(spark, d), sents(spark, d), perturbed(spark, d)).withColumn("pct", r6("pct"))
 
 
 @query
@@ -479,9 +534,11 @@ def register_sorted(spark, d):
 
 @query
 def jsd_matrix(spark, d):
-    x = pairwise_jsd(spark, d)
-    langs = ["de", "en", "es", "fr"]
-    return x.groupBy(F.col("group_b").alias("lang")).pivot("group_a", langs).agg(F.first("jsd"))
+    """The lower triangle in long form, whatever languages there are: row, column, and the places of both in the matrix."""
+    langs = docs(spark, d).agg(F.sort_array(F.collect_set("lang")).alias("langs"))  # one row
+    place = lambda c: F.array_position("langs", F.col(c)).cast("long")
+    x = pairwise_jsd(spark, d).crossJoin(F.broadcast(langs))
+    return x.select(F.col("group_b").alias("row_lang"), F.col("group_a").alias("column_lang"), place("group_b").alias("row"), place("group_a").alias("column"), "jsd")
 
 
 @query
@@ -548,7 +605,7 @@ def positional_diff(spark, d):
 
 @query
 def cluster_vectors(spark, d):
-    per = D.to_wide(counts(spark, d, "doc_id", "lang"), "doc_id", "lang")
+    per = clusters(spark, d, "lang")
     summed = per.groupBy("lang").agg(F.count("*").alias("clusters"), *[F.sum(f"n_{p}").alias(f"s_{p}") for p in PATTERNS])
     total = wide(spark, d)
     return summed.join(total, "lang").select("lang", "clusters", *[f"s_{p}" for p in PATTERNS], F.forall(F.array(*[F.col(f"s_{p}") == F.col(f"n_{p}") for p in PATTERNS]), lambda x: x).alias("agrees"))
