@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import tempfile
-import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import exists, own_folder, remove, shared_dir
 from ..sources.tables import load
 
+__all__ = ["WHITE", "Staged", "buckets", "exists", "free_shuffles", "lower_ascii", "own_folder", "partitions", "shared_dir", "stage", "table", "text_or_empty"]
+
 #: The white space that separates words: space, tab, LF, VT, FF, CR.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -21,27 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load(spark, sf_dir, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or (tests only) a fresh local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-@lru_cache(1)
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="treeloom-")
-
-
-_STAGED: list[Staged] = []
-
-
-@atexit.register
-def _release_all() -> None:
-    """Staged tables serve one application: what is still there goes when it ends."""
-    for made in _STAGED:
-        with contextlib.suppress(Exception):  # the session may be gone already
-            made.release()
-
-
 class Staged:
     """A DataFrame written once as Parquet in the shared folder and read back.
 
@@ -51,15 +28,12 @@ class Staged:
 
     def __init__(self, df: DataFrame, label: str, **options: str) -> None:
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/treeloom-{label}-{uuid.uuid4().hex}"
+        self.path = own_folder(self.spark, label)
         df.write.options(compression="zstd", **options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _STAGED.append(self)
 
     def release(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def stage(df: DataFrame, label: str, **options: str) -> Staged:
@@ -72,9 +46,23 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """How many routing buckets a payload is dealt into: a few for each shuffle partition."""
-    return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input behind a routing bucket and behind a partition, and the most partitions that a plan without known sizes gets.
+BUCKET_BYTES, PART_BYTES, MOST_PARTS = 2 << 20, 8 << 20, 100_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the planner takes ``df`` to hold: the files' bytes where it reads files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def buckets(df: DataFrame) -> int:
+    """How many routing buckets a payload made from ``df`` is dealt into: a few for each shuffle partition, or more where its bytes ask for more."""
+    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-input_bytes(df) // BUCKET_BYTES)))
+
+
+def partitions(df: DataFrame) -> int:
+    """How many partitions a shuffle of ``df`` gets: as the session has it, or more where its bytes ask for more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-input_bytes(df) // PART_BYTES)))
 
 
 def text_or_empty(col: str = "text"):
