@@ -9,6 +9,7 @@ not occur). Inside the chosen container, menus, notices, adverts, comments and t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,99 +32,158 @@ CONTAINERS = frozenset("article main section div td body center blockquote".spli
 ENDS_P = BLOCK - frozenset("body html caption td th tr tbody thead tfoot option legend summary".split())
 #: An open element of the left kind ends where one of the right kinds opens in the same parent.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+ENDERS = frozenset().union(*ENDS.values())
+#: Within which an open item is not looked for.
+SCOPES = frozenset("ul ol dl table select div section article body".split())
 #: Words of class, id or role that mark what is not the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted outbrain taboola nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc sidebar aside rail widget widgets header masthead topbar footer copyright "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond discussion form search skip hidden".split()
 )
+#: Of these, what marks reader comments, which hold headings of their own.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: Words that turn a noise word after them into a matter of layout, as in "has-sidebar" or "overflow-hidden".
+LAYOUT = frozenset("has no with without is not overflow long text visually".split())
+#: Elements whose presence shows that the class of a container around them speaks of layout, not of noise.
+TELLING = frozenset("article main h1".split())
+
+
 class Node:
-    __slots__ = ("children", "classes", "noise", "parent", "tag")
+    """An element; ``paragraph`` and ``item`` are the open p, and the open list or table item, that it stands in or is.
+
+    ``noise`` is True for what is dropped wherever it stands, "worded" if only a class, id or role says so.
+    """
+
+    __slots__ = ("children", "classes", "inside", "item", "name", "noise", "paragraph", "parent", "tag", "told")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.classes, self.noise = (), tag in DROPPED
+        self.paragraph = self if tag == "p" else None if tag in BLOCK or parent is None else parent.paragraph
+        self.item = self if tag in ENDS else None if tag in SCOPES or parent is None else parent.item
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.classes, self.name, self.told, self.noise = (), "", "", tag in DROPPED or (tag == "header" and not self.inside)
         if attributes.strip():
             self._read(attributes)
+        if tag in TELLING:
+            self._reprieve()
 
     def _read(self, attributes: str) -> None:
         found = {}
         for name, a, b, c in _ATTR.findall(attributes):
             found.setdefault(name.lower(), unescape(a or b or c))
         self.classes = tuple(sorted(found.get("class", "").split()))
-        names = [found.get(k, "") for k in ("class", "id", "role")]
-        words = {w.lower() for x in names for w in _WORD.findall(x)}
-        self.noise |= (bool(words & NOISE) and self.tag not in ("body", "html", "article", "main")) or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        self.noise |= "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.name = " ".join([found.get("id", ""), found.get("role", "")])
+        names = [*self.classes, *self.name.split()]
+        if self.tag not in ("body", "html", "article", "main") and any(_is_noise(x) for x in names):
+            self.noise = self.noise or "worded"
+        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+            self.noise = True
+
+    def _reprieve(self) -> None:
+        """A word in a container's class makes no noise of it if it holds an article or a main part, nor does "header" if it
+        holds the heading. Comments and dropped elements keep what is in them from telling."""
+        up, heading = self.parent, self.tag == "h1"
+        while up is not None and not (up.told if heading else up.told == "main") and up.noise is not True:
+            if up.noise == "worded":
+                words = {w for c in (*up.classes, up.name) for w in _words(c)} & NOISE
+                if words & COMMENTS or (heading and words != {"header"}):
+                    return
+                up.noise = False
+            up.told = "h1" if heading else "main"
+            up = up.parent
 
     def step(self) -> str:
         """The tag and its classes, digits generalised, so that pages of one template agree."""
-        return ".".join([self.tag, *(re.sub(r"\d+", "0", c) for c in self.classes)])
+        return ".".join([self.tag, *(re.sub(r"\d+", "0", c).replace(">", "") for c in self.classes)])
 
     def path(self) -> str:
-        return (self.parent.path() + ">" if self.parent and self.parent.tag else "") + self.step()
+        steps, up = [], self
+        while up is not None and up.tag:
+            steps.append(up.step())
+            up = up.parent
+        return ">".join(reversed(steps))
+
+
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(name)]
+
+
+def _is_noise(name: str) -> bool:
+    words = _words(name)
+    return any(w in NOISE and (i == 0 or words[i - 1] not in LAYOUT) for i, w in enumerate(words))
+
+
+class _Parser:
+    """The open element and how many of each tag are open, so that a stray end tag costs no walk up."""
+
+    def __init__(self) -> None:
+        self.root = self.here = Node("", None)
+        self.open = Counter()
+
+    def up_to(self, node: Node) -> None:
+        while self.here is not node:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in ENDS_P and self.here.paragraph is not None:
+            self.up_to(self.here.paragraph.parent)
+        item = self.here.item if tag in ENDERS else None
+        while item is not None:
+            above = item.parent
+            if tag in ENDS[item.tag]:
+                self.up_to(above)
+            item = above.item
+        node = Node(tag, self.here, attributes)
+        self.here.children.append(node)
+        if tag not in VOID and not (attributes.rstrip().endswith("/") and tag not in BLOCK):
+            self.here = node
+            self.open[tag] += 1
+
+    def end(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
+        up = self.here
+        while up.tag != tag:
+            if up.tag in ("article", "main", "body", "table") and tag not in BLOCK:
+                return
+            up = up.parent
+        self.up_to(up.parent)
 
 
 def parse(html: str) -> Node:
     """A forgiving tree: unclosed, stray and cut-off tags do no harm; comments and declarations go."""
-    root = Node("", None)
-    at, here, size = 0, root, len(html)
+    made, at, size = _Parser(), 0, len(html)
     while at < size:
         open_at = html.find("<", at)
         match = _TOKEN.match(html, open_at) if open_at >= 0 else None
         if match is None:
             # Plain text to the end, or up to and with a "<" that opens nothing; a tag cut off by the end goes.
             stop = size if open_at < 0 else open_at if re.match(r"</?[a-zA-Z!]", html[open_at : open_at + 3]) and html.find(">", open_at) < 0 else open_at + 1
-            here.children.append(html[at:stop])
+            made.here.children.append(html[at:stop])
             at = size if open_at < 0 or stop == open_at else stop
             continue
         if open_at > at:
-            here.children.append(html[at:open_at])
+            made.here.children.append(html[at:open_at])
         at = match.end()
         if not match[2]:
             continue
         tag = match[2].lower()
-        here = _close(here, tag) if match[1] else _open(here, tag, match[3])
-        if not match[1] and tag in RAW and here.tag == tag:
+        if match[1]:
+            made.end(tag)
+            continue
+        made.start(tag, match[3])
+        if tag in RAW and made.here.tag == tag:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at, here = end.end() if end else size, here.parent
-    return root
-
-
-def _open(here: Node, tag: str, attributes: str) -> Node:
-    if tag in ENDS_P:
-        here = _close_open_p(here)
-    up = here
-    while up.tag and up.tag not in ("ul", "ol", "dl", "table", "select", "div", "section", "article", "body"):
-        if tag in ENDS.get(up.tag, ()):
-            here = up.parent
-        up = up.parent
-    node = Node(tag, here, attributes)
-    here.children.append(node)
-    return here if tag in VOID or (attributes.rstrip().endswith("/") and tag not in BLOCK) else node
-
-
-def _close_open_p(here: Node) -> Node:
-    up = here
-    while up.tag and (up.tag == "p" or up.tag not in BLOCK):
-        if up.tag == "p":
-            return up.parent
-        up = up.parent
-    return here
-
-
-def _close(here: Node, tag: str) -> Node:
-    up = here
-    while up.tag and up.tag != tag:
-        if up.tag in ("article", "main", "body", "table") and tag not in BLOCK:
-            return here
-        up = up.parent
-    return up.parent if up.tag else here
+            at = end.end() if end else size
+            made.up_to(made.here.parent)
+    return made.root
 
 
 def text_of(root: Node) -> str:
@@ -145,7 +205,7 @@ def text_of(root: Node) -> str:
             flush()
         elif x.tag == "br":
             run.append(" ")
-        elif not x.noise and not _is_menu_header(x):
+        elif not x.noise:
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -154,32 +214,20 @@ def text_of(root: Node) -> str:
     return "\n\n".join(blocks)
 
 
-def _is_menu_header(x: Node) -> bool:
-    """A header that isn't the article's own title block."""
-    if x.tag != "header":
-        return False
-    up = x.parent
-    while up is not None and up.tag:
-        if up.tag in ("article", "main"):
-            return False
-        up = up.parent
-    return True
-
-
 def _walk(root: Node) -> Iterator[Node]:
     stack = [root]
     while stack:
         x = stack.pop()
         if not isinstance(x, str):
-            if not x.noise and not _is_menu_header(x):
+            if not x.noise:
                 yield x
                 stack.extend(reversed(x.children))
 
 
 def scores(root: Node) -> list[tuple[float, Node]]:
-    """Containers by the characters they hold directly outside links; an article that holds any comes before the rest."""
-    held = [(x.tag == "article", _direct(x), x) for x in _walk(root) if x.tag in CONTAINERS]
-    return [(mass, x) for _, mass, x in sorted(((a, m, x) for a, m, x in held if m > 0), key=lambda y: (not y[0], -y[1]))]
+    """Containers by the characters they hold directly outside links, an article's or main part's counted twice."""
+    held = [(_direct(x) * (2 if x.tag in ("article", "main") else 1), x) for x in _walk(root) if x.tag in CONTAINERS]
+    return sorted(((m, x) for m, x in held if m > 0), key=lambda y: -y[0])
 
 
 def _direct(x: Node) -> float:
@@ -189,7 +237,7 @@ def _direct(x: Node) -> float:
         y, linked = stack.pop()
         if isinstance(y, str):
             total += -len(y.strip()) if linked else len(y.strip())
-        elif not y.noise and y.tag not in CONTAINERS - {"blockquote", "center"} and not _is_menu_header(y):
+        elif not y.noise and y.tag not in CONTAINERS - {"blockquote", "center"}:
             stack.extend((c, linked or y.tag == "a") for c in y.children)
     return total
 
@@ -202,23 +250,18 @@ def best_container(root: Node) -> Node:
     best = ranked[0][1]
     if best.tag in ("article", "main"):
         return best
-    while best.parent and best.parent.tag in CONTAINERS - {"body"} and any(n.parent is best.parent and n is not best for _, n in ranked):
+    holders, own = Counter(id(n.parent) for _, n in ranked), {id(n) for _, n in ranked}
+    while best.parent and best.parent.tag in CONTAINERS - {"body"} and holders[id(best.parent)] > (id(best) in own):
         best = best.parent
     return best
 
 
 def find(root: Node, path: str) -> list[Node]:
-    """The outermost containers at a path."""
-    found, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str) or x.noise:
-            continue
-        if x.tag in CONTAINERS and x.path() == path:
-            found.append(x)
-        else:
-            stack.extend(reversed(x.children))
-    return found
+    """The containers at a path, followed down step by step."""
+    at = [root]
+    for step in path.split(">"):
+        at = [c for x in at for c in x.children if not isinstance(c, str) and not c.noise and c.step() == step]
+    return [x for x in at if x.tag in CONTAINERS]
 
 
 def extract(html: str, path: str | None = None) -> str:
