@@ -1,17 +1,20 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
-Templates are cut into words; hashes of GRAM successive words are winnowed (the least of each
-WINDOW successive ones) into an inverted index. A text's hashes that the index knows name
-template and offset; hits on nearby diagonals form a candidate, and a banded local alignment
-of its neighbourhood gives the words matched and the span in the text.
-
-Winnowing finds every common run of GRAM + WINDOW - 1 words. An alignment without two adjacent
-matches scores no more than one match (each further match costs a gap), so the runs that have
-to be found are of RUN = 2 words, whatever the edits and the template's length.
+Templates are cut into words; hashes of a few successive words are winnowed (the least of each
+few successive ones) into an inverted index. A text's hashes that the index knows name template
+and offset; hits on nearby diagonals form a candidate, and a banded local alignment of its
+neighbourhood gives the words matched and the span in the text.
+
+A report needs COVERAGE of a template's words, and a score of DENSITY of what its matches give:
+each stretch of matches beyond the first costs a gap, so m matches lie in at most
+(1 - DENSITY) m + 1 stretches, one of which has a length that follows from m alone. Gram and
+window of each template are such that winnowing finds every stretch of that length (gram +
+window - 1), and the band is as wide as the gaps that the score allows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -20,12 +23,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-RUN = 2
-GRAM, WINDOW = RUN, 1
-#: Half the band's width in words, and words beside a candidate that the alignment may reach into.
-BAND, MARGIN = 8, 4
-#: Least share of a template's words that a report needs.
-COVERAGE = 0.8
+#: The longest gram; shorter where a template guarantees no stretch as long.
+GRAM = 3
+#: Diagonals that form one candidate, and words beside it that the alignment may reach into.
+NEAR, MARGIN = 8, 4
+#: Least share of a template's words that a report needs, and of its matches' score.
+COVERAGE, DENSITY = 0.8, 0.7
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -2, -2
 
@@ -41,53 +44,76 @@ TEMPLATES = {
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 _WORD = re.compile(rb"[0-9a-z]+|[\x80-\xff]+")
 
 
+def least_run(words: int) -> int:
+    """The length of the longest stretch of matches that any reportable alignment of a template of so many words has at least."""
+    matched = math.ceil(COVERAGE * words - 1e-9)
+    return min(-(-m // (drift(m) + 1)) for m in range(matched, words + 1)) if words else 0
+
+
+def drift(matched: int) -> int:
+    """The gaps (words left out, put in or changed) that the score of so many matches allows."""
+    return int((1 - DENSITY) * matched * MATCH / -GAP + 1e-9)
+
+
 @dataclass(frozen=True)
 class Index:
-    """Template names, their words by number, and the inverted index of their winnowed grams."""
+    """Template names, their words by number, and for each length of gram the inverted index of the winnowed ones."""
 
     names: tuple[str, ...]
     words: dict[bytes, int]
     texts: tuple[np.ndarray, ...]
-    postings: dict[int, tuple[tuple[int, int], ...]]
+    postings: dict[int, dict[int, tuple[tuple[int, int], ...]]]
 
     @classmethod
     def build(cls, templates: dict[str, str] = TEMPLATES) -> Index:
         words: dict[bytes, int] = {}
         texts = [np.array([words.setdefault(w, len(words) + 1) for w in _WORD.findall(t.encode().lower())]) for t in templates.values()]
-        postings: dict[int, list[tuple[int, int]]] = {}
+        postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(texts):
-            for at, h in winnow(ids):
-                postings.setdefault(h, []).append((t, at))
-        return cls(tuple(templates), words, tuple(texts), {h: tuple(p) for h, p in postings.items()})
+            run = least_run(len(ids))
+            gram = min(run, GRAM)
+            for at, h in winnow(ids, gram, run - gram + 1):
+                postings.setdefault(gram, {}).setdefault(h, []).append((t, at))
+        return cls(tuple(templates), words, tuple(texts), {g: {h: tuple(p) for h, p in held.items()} for g, held in postings.items()})
 
 
-def winnow(ids: np.ndarray) -> list[tuple[int, int]]:
-    """(place, hash) of the grams kept: in each WINDOW successive ones the least, the last among equals."""
-    grams = [xxhash.xxh64_intdigest(ids[i : i + GRAM].astype("<i4").tobytes()) for i in range(len(ids) - GRAM + 1)]
+def winnow(ids: np.ndarray, gram: int, window: int) -> list[tuple[int, int]]:
+    """(place, hash) of the grams kept: in each ``window`` successive ones the least, the last among equals."""
+    grams = [_hash(ids[i : i + gram]) for i in range(len(ids) - gram + 1)]
     kept: dict[int, int] = {}
-    for lo in range(max(1, len(grams) - WINDOW + 1)):
-        part = range(lo, min(lo + WINDOW, len(grams)))
+    for lo in range(max(1, len(grams) - window + 1)):
+        part = range(lo, min(lo + window, len(grams)))
         if part:
             at = min(part, key=lambda i: (grams[i], -i))
             kept[at] = grams[at]
     return sorted(kept.items())
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment within BAND of a diagonal (text place less template place): score, matched words,
+def _hash(ids: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(ids.astype("<i4").tobytes())
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, half: int) -> tuple[int, int, int, int, int]:
+    """Best local alignment within ``half`` of a diagonal (text place less template place): score, matched words,
     first and last+1 word of the text, words of the template spanned. Of equal scores the one of more words."""
     best = (0, 0, 0, 0, 0)
-    width = 2 * BAND + 1
+    width = 2 * half + 1
     nothing = (0, 0, -1, -1)  # score, matched, text start, template start
     above = [nothing] * (width + 1)
     for i, want in enumerate(template.tolist()):
         row, left = [nothing] * (width + 1), nothing
         for b in range(width):
-            j = i + diagonal + b - BAND
+            j = i + diagonal + b - half
             if not 0 <= j < len(text):
                 left = nothing
                 continue
@@ -115,33 +141,34 @@ def scan(index: Index, text: bytes) -> list[tuple[str, int, float, int, int]]:
     get = index.words.get
     raw = _WORD.findall(lower)
     ids = np.fromiter((get(w, 0) for w in raw), np.int64, len(raw))
-    known = np.flatnonzero(ids)
-    if len(known) < GRAM:
-        return []
     candidates: dict[tuple[int, int], list[int]] = {}
-    for place, h in _grams(ids):
-        for t, offset in index.postings.get(h, ()):
-            candidates.setdefault((t, (place - offset) // BAND), []).append(place - offset)
+    for gram, held in index.postings.items():
+        for place, h in _grams(ids, gram):
+            for t, offset in held.get(h, ()):
+                candidates.setdefault((t, (place - offset) // NEAR), []).append(place - offset)
     spans, found = None, []
     for (t, _), diagonals in sorted(candidates.items()):
         template, middle = index.texts[t], (min(diagonals) + max(diagonals)) // 2
-        lo, hi = max(0, middle - MARGIN - BAND), min(len(ids), middle + len(template) + MARGIN + BAND)
+        half = drift(len(template)) + NEAR // 2 + 1
+        lo, hi = max(0, middle - MARGIN - half), min(len(ids), middle + len(template) + MARGIN + half)
         nearby = set(ids[lo:hi].tolist())
         if sum(w in nearby for w in template.tolist()) < COVERAGE * len(template):  # more can't match
             continue
-        score, matched, first, end, _ = align(template, ids[lo:hi], middle - lo)
+        score, matched, first, end, _ = align(template, ids[lo:hi], middle - lo, half)
         coverage = matched / len(template)
-        if coverage >= COVERAGE and score > MATCH:
+        if coverage >= COVERAGE and score >= DENSITY * MATCH * matched:
             if spans is None:
                 spans = [m.span() for m in _WORD.finditer(lower)]
             found.append((index.names[t], matched, coverage, spans[lo + first][0], spans[lo + end - 1][1]))
     return _distinct(found)
 
 
-def _grams(ids: np.ndarray) -> list[tuple[int, int]]:
+def _grams(ids: np.ndarray, gram: int) -> list[tuple[int, int]]:
     """(place, hash) of the grams of template words; a text's own winnowing could only lose some of them."""
-    whole = np.lib.stride_tricks.sliding_window_view(ids > 0, GRAM).all(axis=1)
-    return [(i, xxhash.xxh64_intdigest(ids[i : i + GRAM].astype("<i4").tobytes())) for i in np.flatnonzero(whole).tolist()]
+    if len(ids) < gram:
+        return []
+    whole = np.lib.stride_tricks.sliding_window_view(ids > 0, gram).all(axis=1)
+    return [(i, _hash(ids[i : i + gram])) for i in np.flatnonzero(whole).tolist()]
 
 
 def _distinct(found: list[tuple]) -> list[tuple]:
@@ -158,8 +185,8 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     start_byte, end_byte (in the UTF-8 text).
 
     Words are runs of ASCII letters and digits, case aside, or of other characters. A notice is
-    reported if COVERAGE of a template's words align; one inside a longer match is not reported
-    apart. Null and empty texts give no rows; repeated rows give repeated rows; other columns
+    reported if COVERAGE of a template's words align, with DENSITY of their score; one inside a
+    longer match is not reported apart. Null and empty texts give no rows; repeated rows give repeated rows; other columns
     are ignored. The index is of the templates' size and goes to every task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Index.build(templates))
