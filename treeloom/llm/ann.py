@@ -2,9 +2,14 @@
 
 A vector's residual from its centroid is normalised, rotated and kept as one sign bit per
 dimension, with two correction scalars: the residual's norm and the inner product of the code
-with the residual it stands for. A query's inner product with a code, divided by the latter,
-estimates the true inner product with an error that shrinks as 1/sqrt(D); a vector is reranked
-on its original components when its distance's lower bound reaches the query's limit.
+with the residual it stands for. A query's rotated residual is quantised to PLANES bits a
+dimension; its inner product with a code is then a sum of bit counts over packed words, and
+divided by the latter scalar it estimates the true one, with an error that shrinks as 1/sqrt(D).
+A vector is reranked on its original components when its distance's lower bound reaches the
+query's limit.
+
+Queries travel as rows. Each goes to the centroids' cells that its limit reaches, in blocks, and
+meets their vectors in bounded pieces; only its nearest of each piece go on.
 """
 
 from __future__ import annotations
@@ -20,12 +25,14 @@ from .common import stage
 #: Rows the centroids are fitted on and the queries' first limits come from; every row is indexed.
 SAMPLE = 4096
 CENTROIDS = 16
-#: Bound on the queries held by a task at a time, in bytes of vectors.
-QUERY_BYTES = 8 << 20
+#: Vectors of a piece of a cell, and queries of a block, that a task holds at a time.
+PIECE, BLOCK = 32_768, 16_384
+#: Bits a dimension of a quantised query.
+PLANES = 4
 #: Standard deviations of the estimate's error that the bounds allow.
 EPSILON = 4.0
 K = 10
-_ROWS, _QUERIES = 2048, 512
+_ROWS, _QUERIES = 4096, 64
 
 
 @dataclass(frozen=True)
@@ -45,29 +52,46 @@ class Coder:
         return cls(rotation, centroids)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Centroid, packed sign bits, norm and code-residual inner product of each row."""
+        """Centroid, sign bits packed into 64-bit words, norm and code-residual inner product of each row."""
         own = _nearest(x, self.centroids)
         residual = x - self.centroids[own]
         norm = np.linalg.norm(residual, axis=1)
         turned = (residual / np.where(norm, norm, 1)[:, None]) @ self.rotation
         inner = np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
-        return own, np.packbits(turned > 0, axis=1), norm, np.where(norm > 0, inner, 1)
-
-    def least(self, codes: tuple, queries: np.ndarray) -> np.ndarray:
-        """Lower bounds of the squared distances, rows by queries."""
-        own, bits, norm, inner = codes
-        dim = queries.shape[1]
-        signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-        out = np.empty((len(norm), len(queries)))
-        slack = EPSILON * np.sqrt(np.maximum(1 - inner**2, 0)) / inner / np.sqrt(max(dim - 1, 1))
-        for c in np.unique(own):
-            on = own == c
-            residual = queries - self.centroids[c]
-            q_norm = np.linalg.norm(residual, axis=1)
-            turned = (residual / np.where(q_norm, q_norm, 1)[:, None]) @ self.rotation
-            upper = np.minimum(signs[on] @ turned.T.astype(np.float32) / inner[on, None] + slack[on, None], 1)
-            out[on] = norm[on, None] ** 2 + q_norm[None, :] ** 2 - 2 * norm[on, None] * q_norm[None, :] * upper
-        return out
+        return own, _packed(turned > 0), norm, np.where(norm > 0, inner, 1)
+
+    def turned(self, cell: int, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The queries' norms from a centroid, bit planes of their rotated residuals, and by query the least value, the step and the sum."""
+        residual = queries - self.centroids[cell]
+        norm = np.linalg.norm(residual, axis=1)
+        turned = (residual / np.where(norm, norm, 1)[:, None]) @ self.rotation
+        low = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - low) / (2**PLANES - 1), 1e-12)
+        level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+        planes = np.stack([_packed((level >> j) & 1) for j in range(PLANES)])
+        return norm, planes, low, step, turned.sum(axis=1)
+
+    def least(self, bits: np.ndarray, norm: np.ndarray, inner: np.ndarray, queries: tuple) -> np.ndarray:
+        """Lower bounds of the squared distances, rows (of one cell) by ``turned`` queries."""
+        q_norm, planes, low, step, total = queries
+        dim = len(self.rotation)
+        ones = np.bitwise_count(bits).sum(axis=1, dtype=np.float64)
+        both = np.zeros((len(bits), len(q_norm)), np.float32)
+        for j in range(PLANES):
+            for w in range(bits.shape[1]):
+                both += np.bitwise_count(bits[:, w, None] & planes[j][None, :, w]).astype(np.float32) * 2**j
+        dot = (2 * (low[None, :] * ones[:, None] + step[None, :] * both) - total[None, :]) / np.sqrt(dim)
+        coding = np.maximum(1 - inner**2, 0) / max(dim - 1, 1)  # of the code, and of the query's rounding
+        rounding = 4 * step[None, :] ** 2 / 12 * ones[:, None] / dim
+        upper = np.minimum(dot / inner[:, None] + EPSILON * np.sqrt(coding[:, None] + rounding) / inner[:, None], 1)
+        return norm[:, None] ** 2 + q_norm[None, :] ** 2 - 2 * norm[:, None] * q_norm[None, :] * upper
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    words = -(-bits.shape[1] // 64)
+    wide = np.zeros((len(bits), words * 64), np.uint8)
+    wide[:, : bits.shape[1]] = bits
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8")
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -90,16 +114,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def build_index(rows: DataFrame, coder: Coder) -> DataFrame:
-    """Codes and scalars of every row beside its vector."""
+    """Codes and scalars of every row beside its vector, and a hash by which a cell's rows are dealt."""
     shared = rows.sparkSession.sparkContext.broadcast(coder)  # D x D and CENTROIDS x D numbers
 
     def run(batches):
         for batch in batches:
             own, bits, norm, inner = shared.value.encode(_matrix(batch.column(1)))
             columns = [batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(norm), pa.array(inner)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "centroid", "code", "norm", "inner"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "cell", "code", "norm", "inner"])
 
-    return rows.mapInArrow(run, "id long, vector array<double>, centroid int, code binary, norm double, inner double")
+    made = rows.mapInArrow(run, "id long, vector array<double>, cell int, code binary, norm double, inner double")
+    return made.withColumn("deal", F.xxhash64("id", "norm"))
 
 
 def _merge(best: tuple, query: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple:
@@ -133,68 +158,93 @@ def _limits(queries: np.ndarray, query_ids: np.ndarray, sample: np.ndarray, samp
     return np.sqrt(np.maximum(out, 0)) * (1 + 1e-6) + 1e-6
 
 
-def search(index: DataFrame, coder: Coder, queries: np.ndarray, query_ids: np.ndarray, limits: np.ndarray, k: int = K) -> DataFrame:
-    """``(query_id, vec_id, score)``: at most k candidates of each query and task, the true nearest among them."""
-    shared = index.sparkSession.sparkContext.broadcast((coder, queries, query_ids, limits))  # QUERY_BYTES at most, in vectors
+def route(asked: DataFrame, coder: Coder, sample: np.ndarray, sample_ids: np.ndarray, reach: np.ndarray, k: int) -> DataFrame:
+    """``(id, vector, limit, cell)``: every query with its first limit, for each cell (of the given reach from its centroid) that has to be looked into."""
+    shared = asked.sparkSession.sparkContext.broadcast((coder, sample, sample_ids, reach))  # SAMPLE vectors at most
 
     def run(batches):
-        coder, queries, query_ids, limits = shared.value
-        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        limit = limits.copy()
+        coder, sample, sample_ids, reach = shared.value
         for batch in batches:
-            for at in range(0, len(batch), _ROWS):
-                part = batch.slice(at, _ROWS)
-                ids, rows = part.column(0).to_numpy(), _matrix(part.column(1))
-                bits = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
-                codes = part.column(2).to_numpy(), bits, part.column(4).to_numpy(), part.column(5).to_numpy()
-                for lo in range(0, len(queries), _QUERIES):
-                    least = coder.least(codes, queries[lo : lo + _QUERIES])
-                    r, q = np.nonzero(least <= (limit[lo : lo + _QUERIES] ** 2 * (1 + 1e-6) + 1e-9)[None, :])
-                    q += lo
-                    other = ids[r] != query_ids[q]
-                    r, q = r[other], q[other]
-                    if len(r):
-                        dist = _exact(rows, queries, r, q)
-                        near = dist <= limit[q]
-                        best = _merge(best, q[near], ids[r[near]], dist[near], k)
-                        full, place = np.unique(best[0], return_index=True)
-                        count = np.diff(np.append(place, len(best[0])))
-                        full, last = full[count == k], (place + k - 1)[count == k]
-                        limit[full] = np.minimum(limit[full], best[2][last])
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+            ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            limits = _limits(vectors, ids, sample, sample_ids, k)
+            apart = np.sqrt(np.maximum(((vectors[:, None, :] - coder.centroids[None, :, :]) ** 2).sum(axis=2), 0))
+            row, cell = np.nonzero(apart - reach[None, :] <= limits[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), batch.column(1).take(pa.array(row)), pa.array(limits[row]), pa.array(cell.astype(np.int32))], ["id", "vector", "limit", "cell"])
+
+    return asked.select("id", "vector").mapInArrow(run, "id long, vector array<double>, limit double, cell int")
+
+
+def search(index: DataFrame, routed: DataFrame, coder: Coder, sizes: dict[int, int], n_queries: int, k: int = K) -> DataFrame:
+    """``(query_id, vec_id, score)``: at most k of each query and piece, the true nearest among them."""
+    shared = index.sparkSession.sparkContext.broadcast(coder)
+    blocks = max(1, -(-n_queries // BLOCK))
+    pieces = F.element_at(F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(max(1, -(-n // PIECE))))]), F.col("cell"))
+    rows = index.withColumn("piece", F.pmod("deal", pieces).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = routed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))))
+
+    def run(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if rows.num_rows and asked.num_rows:
+            best = _piece(shared.value, key[0].as_py(), rows, asked, k)
+        return pa.table({"query_id": pa.array(best[0]), "vec_id": pa.array(best[1]), "score": pa.array(best[2])})
+
+    keys = ["cell", "piece", "block"]
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _piece(coder: Coder, cell: int, rows: pa.Table, asked: pa.Table, k: int) -> tuple:
+    ids, vectors = rows["id"].to_numpy(), _matrix(rows["vector"].combine_chunks())
+    bits = np.frombuffer(b"".join(rows["code"].to_pylist()), "<u8").reshape(len(ids), -1)
+    norm, inner = rows["norm"].to_numpy(), rows["inner"].to_numpy()
+    near_first = np.argsort(norm, kind="stable")  # limits fall early
+    ids, vectors, bits, norm, inner = ids[near_first], vectors[near_first], bits[near_first], norm[near_first], inner[near_first]
+    query_ids, queries, limit = asked["id"].to_numpy(), _matrix(asked["vector"].combine_chunks()), asked["limit"].to_numpy().copy()
+    found = []
+    for lo in range(0, len(queries), _QUERIES):
+        part = slice(lo, lo + _QUERIES)
+        own_ids, own, own_limit = query_ids[part], queries[part], limit[part]
+        turned, best = coder.turned(cell, own), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for at in range(0, len(ids), _ROWS):
+            cut = slice(at, at + _ROWS)
+            least = coder.least(bits[cut], norm[cut], inner[cut], turned)
+            r, q = np.nonzero(least <= (own_limit**2 * (1 + 1e-6) + 1e-9)[None, :])
+            r = r + at
+            other = ids[r] != own_ids[q]
+            r, q = r[other], q[other]
+            if len(r):
+                dist = _exact(vectors, own, r, q)
+                near = dist <= own_limit[q]
+                best = _merge(best, q[near], ids[r[near]], dist[near], k)
+                full, place, count = np.unique(best[0], return_index=True, return_counts=True)
+                own_limit[full[count == k]] = np.minimum(own_limit[full[count == k]], best[2][(place + k - 1)[count == k]])
+        found.append((own_ids[best[0]], best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of each query by Euclidean distance: query_id, rank, vec_id, score.
 
-    Queries are the usable rows for which the column ``is_query`` holds (one for each id);
-    candidates are all usable rows of another id. Rows of null id, null, zero, non-finite or
-    odd-length vectors take no part; fewer than k candidates give fewer rows; equal distances
-    go by id; rows that repeat an id are candidates each. Queries are worked in passes of
-    QUERY_BYTES, each one scan of the codes; only at most k rows a query and task are shuffled.
+    Queries are the usable rows for which the column ``is_query`` holds (of rows that repeat an
+    id the one of least vector, component by component); candidates are all usable rows of
+    another id. Rows of null id, null, zero, non-finite or odd-length vectors take no part; fewer
+    than k candidates give fewer rows; equal distances go by id; rows that repeat an id are
+    candidates each. At most k rows a query and piece are shuffled back.
     """
     rows = usable(vectors, id_col, vector_col)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    picked = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).toPandas()
+    empty = "query_id long, rank int, vec_id long, score double"
     if picked.empty:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], empty)
     sample, sample_ids = np.stack(picked["vector"].to_numpy()), picked["id"].to_numpy()
     coder = Coder.fit(sample)
     index = stage(build_index(rows, coder), "ann-index").df
-    asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").dropDuplicates(["id"])
+    cells = index.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("reach")).collect()  # CENTROIDS rows
+    reach = np.full(len(coder.centroids), -np.inf)  # empty cells are out of reach
+    for c in cells:
+        reach[c["cell"]] = c["reach"]
+    asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").groupBy("id").agg(F.min("vector").alias("vector"))
     asked = stage(asked, "ann-queries").df
-    n = asked.count()
-    passes = max(1, -(-n * sample.shape[1] * 8 // QUERY_BYTES))
-    found = None
-    for i in range(passes):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).orderBy("id").toPandas()
-        if mine.empty:
-            continue
-        queries, query_ids = np.stack(mine["vector"].to_numpy()), mine["id"].to_numpy()
-        part = search(index, coder, queries, query_ids, _limits(queries, query_ids, sample, sample_ids, k), k)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    routed = stage(route(asked, coder, sample, sample_ids, reach * (1 + 1e-9) + 1e-9, k), "ann-routed").df
+    found = search(index, routed, coder, {c["cell"]: c["n"] for c in cells}, asked.count(), k)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
