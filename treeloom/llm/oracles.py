@@ -33,22 +33,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN o USING (rid)
 """
 
-OP10 = r"""
-WITH RECURSIVE p AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-                 coalesce(regexp_extract(rest, '^[^/?#]*([^#]*)', 1), '') AS tail FROM p),
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _rest(url: str) -> str:
+    return f"coalesce(CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) END, '')"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract({_rest(url)}, '^[^/?#]*'), {_AZ})"
+
+
+def _node(url: str) -> str:
+    return f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || regexp_extract({_rest(url)}, '^[^/?#]*([^#]*)', 1) END"
+
+
+def _attribute(name: str) -> str:
+    pattern = r"""'(?i)[\s"''/]NAME\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'""".replace("NAME", name)
+    return "trim(replace(" + " || ".join(f"regexp_extract(tag, {pattern}, {g})" for g in (1, 2, 3)) + ", '&amp;', '&'))"
+
+
+OP10 = (
+    rf"""
+WITH RECURSIVE parts AS (SELECT page_id, url, html, {_host('url')} AS host, regexp_extract({_rest('url')}, '^[^/?#]*([^?#]*)', 1) AS path, {_node('url')} AS node FROM pages),
 rules(rule, said, domain, start) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
                                             ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
-node AS (SELECT DISTINCT host, path, host || tail AS node FROM parts WHERE host <> ''),
-links AS (SELECT host || tail AS a, unnest(regexp_extract_all(html, '(?i)<link[^>]*rel="canonical"[^>]*href="[^":]*://([^"#]*)', 1)
-            || regexp_extract_all(html, '(?i)<meta[^>]*http-equiv="refresh"[^>]*url=[^":]*://([^"#]*)', 1)) AS b FROM parts WHERE host <> ''),
-both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+tags AS (SELECT url, host, path, node, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM parts WHERE node IS NOT NULL),
+said AS (SELECT *, {_attribute('rel')} AS rel, {_attribute('href')} AS href, {_attribute('http-equiv')} AS equiv, {_attribute('content')} AS content FROM tags),
+aim AS (SELECT url, host, path, node, CASE WHEN translate(rel, {_AZ}) = 'canonical' THEN href WHEN translate(equiv, {_AZ}) = 'refresh'
+          THEN trim(regexp_replace(regexp_extract(content, '(?i)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*(.*)$', 1), '^[''"]|[''"]$', '', 'g')) END AS t FROM said),
+whole AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'x://' || host || t WHEN starts_with(t, '?') THEN 'x://' || host || path || t
+            WHEN t = '' OR starts_with(t, '#') THEN NULL ELSE 'x://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS t FROM aim WHERE t IS NOT NULL),
+links AS (SELECT DISTINCT node AS a, {_node('t')} AS b FROM whole WHERE {_node('t')} IS NOT NULL),
+"""
+    + r"""both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+spots AS (SELECT node AS node, host, path FROM parts WHERE node IS NOT NULL UNION SELECT b, regexp_extract(b, '^[^/?#]*'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) FROM both_ways),
 ruled AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS said
-          FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = domain OR suffix(host, '.' || domain)) AND prefix(path, start) GROUP BY host, path),
-near AS (SELECT r.a AS node, bool_or(s.said = 'allow') AS allowed, bool_or(s.said = 'block') AS blocked
-         FROM reach r JOIN node n ON r.b = n.node JOIN ruled s USING (host, path) GROUP BY r.a)
+          FROM (SELECT host, path FROM parts UNION SELECT host, path FROM spots) JOIN rules ON (host = domain OR suffix(host, '.' || domain)) AND prefix(path, start) GROUP BY host, path),
+near AS (SELECT r.a AS node, bool_or(s.said = 'allow') AS allowed, bool_or(s.said = 'block') AS blocked FROM reach r JOIN spots n ON r.b = n.node JOIN ruled s USING (host, path) GROUP BY r.a)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN near.blocked AND NOT near.allowed THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN ruled USING (host, path) LEFT JOIN near ON parts.host || parts.tail = near.node
+FROM parts LEFT JOIN ruled USING (host, path) LEFT JOIN near ON parts.node = near.node
 """
+)
