@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buckets, free_shuffles, stage
+from .common import buckets, free_shuffles, partitions, stage
 
 LENGTH, K = 50, 24
 WINDOWS = LENGTH - K + 1
@@ -385,14 +385,14 @@ def _covered(blobs: list[bytes], n: int, m: int) -> list[tuple[int, bytes]]:
     return [*_dealt(_doc_bucket(ids[on], m), n, id=ids[on], key=keys[on], start=begin[on], end=end[on])]
 
 
-def _routed(df: DataFrame, n: int, m: int, work: Callable[[list[bytes], int, int], list[tuple[int, bytes]]]) -> DataFrame:
+def _routed(df: DataFrame, n: int, m: int, parts: int, work: Callable[[list[bytes], int, int], list[tuple[int, bytes]]]) -> DataFrame:
     """Buckets below n are worked; the others hold results already and pass."""
 
     def run(group):
         bucket, blobs = group["bucket"][0].as_py(), group["blob"].to_pylist()
         return _table([(bucket, b) for b in blobs] if bucket >= n else work(blobs, n, m))
 
-    return df.groupBy("bucket").applyInArrow(run, "bucket int, blob binary")
+    return df.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, "bucket int, blob binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -405,8 +405,9 @@ def spans(docs: DataFrame) -> DataFrame:
     ``_key`` is a hash of the text, which tells rows apart that repeat a doc_id with another text.
     """
     spark = docs.sparkSession
-    n, m = buckets(spark), max(8, buckets(spark) // 8)  # for content and for documents, whose rows are few
     keyed = _keyed(docs).where("_id is not null and _text is not null")
+    n, parts = buckets(keyed), partitions(keyed)
+    m = max(8, n // 8)  # for documents, whose rows are few
 
     def grams(stream):
         for batch in _batches(stream, 3):
@@ -421,7 +422,7 @@ def spans(docs: DataFrame) -> DataFrame:
         order, starts = _by_document(ids, np.zeros_like(ids))
         return _known_table([(int(ids[order[lo]]), None, np.unique(h[order[lo:hi]]).tobytes()) for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True)])
 
-    counted = _routed(keyed.mapInArrow(grams, "bucket int, blob binary"), n, m, _recurring)
+    counted = _routed(keyed.mapInArrow(grams, "bucket int, blob binary"), n, m, parts, _recurring)
     candidates = stage(counted.groupBy("bucket").applyInArrow(known, "cid long, seen long, grams binary"), "suffix-candidates")
     del counted
     free_shuffles(spark)
@@ -446,7 +447,7 @@ def spans(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(["_id", "_key", "_starts", "_ends"], columns, kinds, strict=True)})
 
-    covered = _routed(told.mapInArrow(stretches, "bucket int, blob binary"), n, m, _covered)
+    covered = _routed(told.mapInArrow(stretches, "bucket int, blob binary"), n, m, parts, _covered)
     made = stage(covered.groupBy("bucket").applyInArrow(joined, "_id long, _key int, _starts array<long>, _ends array<long>"), "suffix-spans")
     candidates.release()
     del told, covered
