@@ -84,6 +84,18 @@ def variants_json(kinds: DataFrame, identity: str) -> DataFrame:
     return kinds.groupBy(identity).agg(ordered.alias("_all")).select(identity, F.to_json(F.transform("_all", item)).alias("variants"))
 
 
+def rankings(audited: DataFrame, measures: tuple[str, ...], identity: str, most: int) -> DataFrame:
+    """``(ranking, identity, value, place)``: the ``most`` identities of largest positive value by each measure, ties to the first
+    occurrence. Each task keeps no more than that many of its rows."""
+    out = None
+    for m in measures:
+        best = audited.where(F.col(m) > 0).orderBy(F.desc(m), "first_at").limit(most)
+        place = F.row_number().over(Window.orderBy(F.desc(m), "first_at")).cast("long")
+        ranked = best.select(F.lit(m).alias("ranking"), identity, F.col(m).cast("long").alias("value"), place.alias("place"))
+        out = ranked if out is None else out.union(ranked)
+    return out
+
+
 def concentration(audited: DataFrame, *tops: int) -> DataFrame:
     """``(top, share)``: the share of all excess that the identities of most excess hold."""
     most = max(tops)

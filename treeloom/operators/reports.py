@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: The most rows a rendered table takes to the driver.
 MOST_ROWS = 1000
@@ -75,3 +76,14 @@ def run_each(spark: SparkSession, names: Iterable[str], work: Callable[[str], Da
 def percentages_add_up(df: DataFrame, columns: list[str], within: float = 0.3) -> DataFrame:
     """Rows whose rounded percentages miss 100 by more than ``within``."""
     return df.where(F.abs(sum((F.col(c) for c in columns), F.lit(0.0)) - 100) > within)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of ``metrics``, counted as its rows pass: progress and totals cost no pass of their own."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen
+
+
+def log_line(label: str, seen: Observation) -> str:
+    """A time-stamped line of an observation whose rows have passed."""
+    return f"{datetime.now(UTC).isoformat(timespec='seconds')} {label}: " + ", ".join(f"{k}={v:,}" if isinstance(v, int) else f"{k}={v}" for k, v in seen.get.items())

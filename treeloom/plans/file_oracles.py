@@ -71,4 +71,5 @@ SELECT 'pairwise' AS family, group_a, group_b, round(chi2, 6) AS chi2, df::BIGIN
 UNION ALL SELECT 'omnibus', NULL, NULL, round(chi2, 6), df, NULL, n::BIGINT FROM om"""
 O["ordered_distinct"] = "SELECT source, min(doc_id) AS first_doc, row_number() OVER (ORDER BY min(doc_id), source) AS place FROM documents GROUP BY source"
 O["bytewise_first"] = "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line HAVING count(*) > 1 ORDER BY line LIMIT 30"
-_VJ = "'{{\"occurrences\":' || occurrences || ',\"retained_occurrences\":' || retained || ',\"counts\":{{' || {counts} || '}},\"excess_counts\":{{' || {excess} || '}}}}'"
+O["observed_profile"] = f"""WITH {DEP} SELECT 'sentences' AS metric, (SELECT count(*) FROM ln) AS n UNION ALL SELECT 'tokens', count(*) FROM dep UNION ALL SELECT 'verbs', count(*) FROM dep WHERE upos = 'VERB'"""
+O["joint_publication"] = "SELECT 'a' AS name, (SELECT count(*) FROM region) AS n UNION ALL SELECT 'b', (SELECT count(*) FROM nation) UNION ALL SELECT unnest(['c', 'd']), NULL"

@@ -320,6 +320,34 @@ def run_status(spark, d):
     return states.join(spark.read.parquet(path), "name", "left").select("name", "status", "n")
 
 
+@query
+def observed_profile(spark, d):
+    """Sentences, tokens and verbs counted while the sentences are written, as the log has them."""
+    s, seen = reports.observed(sents(spark, d), "profile", sentences=F.count(F.lit(1)), tokens=F.sum(F.size("tokens")), verbs=F.sum(F.size(F.filter("tokens", lambda t: t["upos"] == "VERB"))))
+    s.select("doc_id").write.parquet(own_folder(spark, "observed"))
+    return spark.createDataFrame([(k, int(v)) for k, v in seen.get.items()], "metric string, n long")
+
+
+@query
+def joint_publication(spark, d):
+    """Two outputs that appear together, and two of which one is refused and neither appears."""
+    path, r, n = own_folder(spark, "published"), load(spark, d, "region").select("r_name"), load(spark, d, "nation").select("n_name")
+    files.publish(spark, {f"{path}/a": r, f"{path}/b": n}, lambda made: None)
+
+    def refuse(made: dict[str, DataFrame]) -> None:
+        if made[f"{path}/d"].count() != 5:
+            raise ValueError("not as many as there should be")
+
+    try:
+        files.publish(spark, {f"{path}/c": r, f"{path}/d": n}, refuse)
+    except ValueError:
+        pass  # as it should
+    from ..sources.scratch import exists
+
+    rows = [(k, spark.read.parquet(f"{path}/{k}").count() if exists(spark, f"{path}/{k}") else None) for k in "abcd"]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
 @query
 def report_lines(spark, d):
     """The text report and the table in LaTeX, line by line."""

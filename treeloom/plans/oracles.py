@@ -185,12 +185,24 @@ au AS (SELECT line, count(*) AS occurrences, count(DISTINCT ({', '.join(_NS)}))
 ax AS (SELECT *, {' + '.join(f'excess_{p}' for p in PATTERNS)} AS excess FROM au)"""
 O["duplicate_audit"] = f"WITH {_VEC} SELECT line, occurrences, variants, mismatches, first_doc, first_line::BIGINT AS first_line, excess::BIGINT AS excess, {', '.join(f'excess_{p}::BIGINT AS excess_{p}, nominal_{p}::BIGINT AS nominal_{p}' for p in PATTERNS)} FROM ax"
 O["duplicate_variants"] = f"""WITH {_VEC} SELECT line, {', '.join(_NS)}, count(*) AS occurrences, count(*) FILTER (rn = 1) AS retained FROM fs WHERE line IN (SELECT line FROM ax) GROUP BY line, {', '.join(_NS)}"""
+_json = lambda cells: " || ',' || ".join(f"'\"{p}\":' || ({c})" for p, c in zip(PATTERNS, cells, strict=True))
+O["duplicate_variants_json"] = f"""WITH {_VEC}, v AS (SELECT line, {', '.join(_NS)}, count(*) AS o, count(*) FILTER (rn = 1) AS r FROM fs WHERE line IN (SELECT line FROM ax) GROUP BY line, {', '.join(_NS)})
+SELECT line, '[' || string_agg('{{"occurrences":' || o || ',"retained_occurrences":' || r || ',"counts":{{' || {_json(_NS)} || '}},"excess_counts":{{' || {_json([f'{n} * (o - r)' for n in _NS])} || '}}}}', ',' ORDER BY {', '.join(_NS)}, o, r) || ']' AS variants FROM v GROUP BY line"""
+_TOPS = " UNION ALL ".join(f"(SELECT '{c}' AS ranking, line, {c}::BIGINT AS value, row_number() OVER (ORDER BY {c} DESC, first_doc, first_line) AS place FROM ax WHERE {c} > 0 QUALIFY place <= 30)" for c in ("excess", "excess_OVS", "excess_SVO"))
+O["topk_rankings"] = f"WITH {_VEC} {_TOPS}"
 O["topk_excess"] = f"WITH {_VEC} SELECT line, excess::BIGINT AS excess, occurrences FROM ax WHERE excess > 0 ORDER BY excess DESC, first_doc, first_line LIMIT 30"
 O["concentration"] = f"""WITH {_VEC}, rk AS (SELECT excess, row_number() OVER (ORDER BY excess DESC, first_doc, first_line) AS r FROM ax)
 SELECT top, round(sum(excess) FILTER (r <= top) / (SELECT sum(excess) FROM ax)::DOUBLE, 6) AS share FROM rk CROSS JOIN (SELECT unnest([5, 10, 20])::BIGINT AS top) GROUP BY top"""
 _MG = f"""{_BA}, mg AS (SELECT t.lang, unnest(['highest', 'lowest']) AS claim, unnest([any_value(t.p_n_SVO) - max(o.p_n_SVO), min(o.p_n_SVO) - any_value(t.p_n_SVO)]) AS before,
   unnest([any_value(t.q_n_SVO) - max(o.q_n_SVO), min(o.q_n_SVO) - any_value(t.q_n_SVO)]) AS after FROM ba t JOIN ba o ON t.lang <> o.lang GROUP BY t.lang)"""
 O["claim_margins"] = f"WITH {_MG} SELECT lang, claim, round(before, 6) AS before, round(after, 6) AS after FROM mg"
+_SH = f"""{_BA}, sh AS (SELECT lang, p_n_SVO AS b, q_n_SVO AS a FROM ba), pr AS (SELECT x.lang AS one, y.lang AS other, x.b - y.b AS before, x.a - y.a AS after FROM sh x JOIN sh y ON x.lang <> y.lang),
+cl AS (SELECT 'direction' AS kind, one, other, before, after FROM pr WHERE one < other
+  UNION ALL SELECT 'majority', one, NULL, count(*) FILTER (before > 0) - count(*) / 2, count(*) FILTER (after > 0) - count(*) / 2 FROM pr GROUP BY one
+  UNION ALL SELECT 'range', one, other, before - (SELECT max(b) - min(b) FROM sh WHERE lang NOT IN (one, other)), after - (SELECT max(a) - min(a) FROM sh WHERE lang NOT IN (one, other)) FROM pr WHERE one < other)"""
+O["claim_checks"] = f"WITH {_SH} SELECT kind, one, other, round(before, 6) AS before, round(after, 6) AS after FROM cl"
+O["claim_overall"] = f"""WITH {_SH} SELECT kind, count(*) AS claims, count(*) FILTER (before <= 1e-12) AS unsupported, count(*) FILTER (after <= 1e-12) AS lost,
+  CASE WHEN count(*) FILTER (before IS NULL OR after IS NULL) > 0 THEN 'INCOMPLETE' WHEN count(*) FILTER (before <= 1e-12) > 0 THEN 'UNRESOLVED' WHEN count(*) FILTER (after <= 1e-12) > 0 THEN 'NOT STABLE' ELSE 'STABLE' END AS verdict FROM cl GROUP BY kind"""
 O["claim_verdicts"] = f"WITH {_MG} SELECT lang, claim, CASE WHEN before <= 1e-12 THEN 'UNRESOLVED' WHEN after <= 1e-12 THEN 'NOT STABLE' ELSE 'STABLE' END AS verdict FROM mg"
 _ALT = """alt AS (SELECT * REPLACE (CASE WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'nsubj' THEN 'obj' WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'obj' THEN 'nsubj' ELSE deprel END AS deprel,
   CASE WHEN (doc_id + tok_id) % 89 = 0 THEN 'ADJ' ELSE upos END AS upos, CASE WHEN (doc_id + tok_id) % 83 = 0 THEN 0 ELSE head END AS head) FROM dep)"""

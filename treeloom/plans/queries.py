@@ -452,6 +452,12 @@ def topk_excess(spark, d):
     return a.orderBy(F.desc("excess"), "first_at").limit(30).select("line", "excess", "occurrences")
 
 
+@query
+def topk_rankings(spark, d):
+    """The thirty identities that hold most by each of three measures; ties go to the first occurrence."""
+    return R.rankings(_audit(spark, d), ("excess", "excess_OVS", "excess_SVO"), "line", 30)
+
+
 @query
 def concentration(spark, d):
     return R.concentration(_audit(spark, d), 5, 10, 20).withColumn("share", r6("share"))
@@ -482,6 +488,30 @@ def claim_verdicts(spark, d):
     return _margins(spark, d).select("lang", "claim", R.verdict(F.col("before"), F.col("after")).alias("verdict"))
 
 
+def _claims(spark, d):
+    """Claims of three more kinds: one language's share exceeds another's; that of more than half of the others; by more than their range."""
+    share = lambda c: F.get(c, F.lit(0)) / F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    rows = _before_after(spark, d).agg(F.collect_list(F.struct("lang", share(F.col("before")).alias("b"), share(F.col("after")).alias("a"))).alias("all"))  # a few groups
+    one = rows.select("all", F.explode("all").alias("x"))
+    two = one.select("all", "x", F.explode("all").alias("y")).where(F.col("x.lang") < F.col("y.lang"))
+    others = lambda w, *not_: F.transform(F.filter("all", lambda o: ~o["lang"].isin(*[F.col(f"{n}.lang") for n in not_])), lambda o: o[w])
+    gap = lambda w: F.col(f"x.{w}") - F.col(f"y.{w}")
+    none = F.lit(None).cast("string")
+    most = one.select(F.lit("majority").alias("kind"), F.col("x.lang").alias("one"), none.alias("other"), *[R.more_than_half(others(w, "x"), F.col(f"x.{w}")).alias(n) for w, n in (("b", "before"), ("a", "after"))])
+    pair = lambda kind, margin: two.select(F.lit(kind), F.col("x.lang"), F.col("y.lang"), margin("b"), margin("a"))
+    return most.union(pair("direction", gap)).union(pair("range", lambda w: R.beyond_range(others(w, "x", "y"), gap(w))))
+
+
+@query
+def claim_checks(spark, d):
+    return _claims(spark, d).select("kind", "one", "other", r6("before").alias("before"), r6("after").alias("after"))
+
+
+@query
+def claim_overall(spark, d):
+    return R.overall(_claims(spark, d), "kind")
+
+
 def _aligned(spark, d):
     return agreement.align(flat(found(spark, d)), flat(M.match(perturbed(spark, d))))
 

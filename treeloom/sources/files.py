@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .scratch import exists, remove, rename
+
 #: The manifest's columns, those that must be filled, and the NER families.
 MANIFEST = (
     "corpus_id", "display_name", "version", "source_input", "prepared_input", "preparation", "expected_sentences",
@@ -42,6 +46,27 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.coalesce(1).write.mode(mode).csv(path, sep="\t", header=True, emptyValue="", nullValue="", quote="", lineSep="\n")
 
 
+def publish(spark: SparkSession, outputs: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], None] | None = None) -> None:
+    """Writes several outputs as Parquet and lets them appear together.
+
+    All are written beside their places first, ``check`` may refuse what it reads there, and only
+    then are they renamed; nothing is overwritten, and after a failure nothing has appeared.
+    """
+    if taken := [p for p in outputs if exists(spark, p)]:
+        raise ValueError(f"{taken[0]} exists")
+    staged = {p: f"{p}.{uuid.uuid4().hex}.tmp" for p in outputs}
+    try:
+        for path, df in outputs.items():
+            df.write.parquet(staged[path])
+        if check is not None:
+            check({p: spark.read.parquet(t) for p, t in staged.items()})
+        for path, temporary in staged.items():
+            rename(spark, temporary, path)
+    finally:
+        for temporary in staged.values():
+            remove(spark, temporary)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """JSON documents, or with ``multi_line`` off a document a line (which splits)."""
     reader = spark.read.option("multiLine", str(multi_line).lower())

@@ -54,3 +54,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     found, system = _file_system(spark, path)
     system.delete(found, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    found, system = _file_system(spark, path)
+    if not system.rename(found, _file_system(spark, to)[0]):
+        raise OSError(f"{path} could not be renamed to {to}")
