@@ -1,10 +1,14 @@
 """Training-order materialisation of token ids.
 
-Texts are tokenised and cut into sequences of a fixed length. The i-th sequence goes to the
-slot a keyed Feistel permutation gives i; values outside the range walk the cycle until they
-are inside, so slots are a permutation of 0..n-1 without any table. Ranges of slots are written
-as shards of fixed-stride records, so that slot s is found by arithmetic alone and a reader
-goes on from any slot.
+Texts are put in order (doc_id, then a hash of the text), tokenised and cut into sequences of a
+fixed length, and a sequence's number is its place in that order, however the input is laid
+out. The i-th sequence goes to the slot a keyed Feistel permutation gives i; values outside the
+range walk the cycle until they are inside, so slots are a permutation of 0..n-1 without any
+table. Ranges of slots are written as plain files of fixed-stride records, a shard each: slot s
+is record s - first of its shard, ``STRIDE`` bytes on, found by arithmetic alone.
+
+Shards are written in passes over ranges of them, which bounds what is shuffled at a time. Each
+pass commits a folder of its own; a run that broke off goes on after the last one committed.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Staged, stage
+from .common import exists, free_shuffles, own_folder, partitions, stage
 
-#: Tokens of a sequence and sequences of a shard.
-LENGTH, PER_SHARD = 512, 1024
-#: A record: doc_id (8 bytes), sequence within the document (4), tokens used (4), then LENGTH 16-bit ids.
-HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")])
+#: Tokens of a sequence, sequences of a shard, passes in which shards are written.
+LENGTH, PER_SHARD, PASSES = 512, 16_384, 4
+#: A record: doc_id (8 bytes), sequence within the document (4), tokens used (4), then LENGTH 16-bit ids, then a line end.
+HEADER = [("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")]
 #: Fills records beyond their tokens; the vocabulary leaves it free.
 PAD = 65_535
 ROUNDS = 6
@@ -67,89 +71,130 @@ def _encoding(vocabulary: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def record(length: int = LENGTH) -> np.dtype:
+    return np.dtype([*HEADER, ("ids", "<u2", (length,)), ("end", "u1")])
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of ``docs`` in partitions that ascend by doc_id and a hash of the text; rows that agree in both are alike."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    return keyed.repartitionByRange(partitions(docs), "doc_id", "_key", "_row").sortWithinPartitions("doc_id", "_key").select("doc_id", "text")
+
+
 def sequences(docs: DataFrame, vocabulary: bytes, pattern: str, length: int = LENGTH) -> DataFrame:
-    """``(doc_id, seq, n, ids)`` for each stretch of ``length`` tokens of ``docs(doc_id, text)``; ids as 16-bit binary."""
+    """``(part, at, doc_id, seq, n, ids)`` for each stretch of ``length`` tokens of ``docs(doc_id, text)``: its partition and its
+    place there, and its ids as 16-bit binary."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of fixed size
-    names = ["doc_id", "seq", "n", "ids"]
+    names = ["part", "at", "doc_id", "seq", "n", "ids"]
 
     def run(batches):
-        encoding = _encoding(shipped.value, pattern)
+        from pyspark import TaskContext
+
+        part, place, encoding = TaskContext.get().partitionId(), 0, _encoding(shipped.value, pattern)
         for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, len(whole), STEP)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoding.encode_to_numpy((text.as_py() or b"").decode("utf-8", "replace"), disallowed_special=()).astype("<u2")
-                for at in range(0, len(ids), length):
-                    part = ids[at : at + length]
-                    rows.append((doc_id, at // length, len(part), part.tobytes()))
+                rows += [(doc_id, at // length, len(ids[at : at + length]), ids[at : at + length].tobytes()) for at in range(0, len(ids), length)]
             columns = [*zip(*rows, strict=True)] or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names)
+            made = [pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part)), pa.array(place + np.arange(len(rows))), *made], names)
+            place += len(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, seq int, n int, ids binary")
+    return in_order(docs).mapInArrow(run, "part long, at long, doc_id long, seq int, n int, ids binary")
 
 
-def materialise(docs: DataFrame, vocabulary: bytes, pattern: str, key: int = 2024, length: int = LENGTH, per_shard: int = PER_SHARD) -> Staged:
-    """Writes the shards of ``docs`` to the shared folder: a table ``(shard, first_slot, n, data)``.
+def materialise(docs: DataFrame, vocabulary: bytes, pattern: str, path: str, key: int = 2024, length: int = LENGTH, per_shard: int = PER_SHARD, passes: int = PASSES) -> DataFrame:
+    """Writes the shards of ``docs`` under ``path``, as ``pass=p/shard=s/`` with one file each, and the manifest, which it returns.
 
-    Sequences are numbered by their place in the staged table of sequences (file, then row), the
-    order of the input's splits, which the written table fixes: a lost executor repeats reads of
-    it and not the numbering. Null and empty texts have no sequence; a null doc_id is written as
-    -1; repeated rows are sequences of their own; other columns are ignored.
+    The manifest has ``(shard, pass, first_slot, n, stride)`` of each shard; slots 0..n-1 are all
+    taken. Null and empty texts have no sequence; a null doc_id is written as -1 and comes first;
+    repeated rows are sequences of their own; other columns are ignored. An empty table gives an
+    empty manifest. Passes already committed under ``path`` are kept, so ``path`` is for one input.
     """
+    spark = docs.sparkSession
     made = stage(sequences(docs, vocabulary, pattern, length), "sequences", **_PLAIN)
-    placed = made.df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    files = stage(placed.groupBy("file").agg(F.count("*").alias("rows")), "sequence-files").df
-    total = files.agg(F.sum("rows")).first()[0] or 0
-    first = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = placed.join(files.select("file", first.alias("first")), "file")
-
-    def number(batches):
-        for batch in batches:
-            index = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            slots = permute(index, total, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(slots), pa.array(slots // per_shard)], ["doc_id", "seq", "n", "ids", "slot", "shard"])
-
-    slotted = placed.select("doc_id", "seq", "n", "ids", "row", "first").mapInArrow(number, "doc_id long, seq int, n int, ids binary, slot long, shard long")
-    record = np.dtype([*HEADER.descr, ("ids", "<u2", (length,))])
-
-    def pack(rows):
-        shard = rows["shard"][0].as_py()
-        out = np.zeros(rows.num_rows, record)
-        out["ids"] = PAD
-        at = rows["slot"].to_numpy() - shard * per_shard
-        out["doc_id"][at] = rows["doc_id"].fill_null(-1).to_numpy()
-        out["seq"][at], out["n"][at] = rows["seq"].to_numpy(), rows["n"].to_numpy()
-        for i, ids in zip(at.tolist(), rows["ids"], strict=True):
-            got = np.frombuffer(ids.as_py(), "<u2")
-            out["ids"][i, : len(got)] = got
-        return pa.table({"shard": pa.array([shard], pa.int64()), "first_slot": pa.array([shard * per_shard], pa.int64()), "n": pa.array([len(out)], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
-
-    shards = stage(slotted.groupBy("shard").applyInArrow(pack, "shard long, first_slot long, n long, data binary"), "shards", **_PLAIN)
+    free_shuffles(spark)
+    counts = stage(made.df.groupBy("part").agg(F.count("*").alias("rows")), "sequence-parts").df
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select(F.col("part").alias("_part"), before.alias("first"))  # a row for each partition
+    shards = -(-total // per_shard)
+    each = -(-shards // passes)  # shards of a pass
+    kind, stride = record(length), record(length).itemsize
+    numbered = made.df.join(firsts, F.col("part") == F.col("_part")).select((F.col("first") + F.col("at")).alias("index"), "doc_id", "seq", "n", "ids")
+
+    def packed(number: int):
+        low, high = number * each * per_shard, (number + 1) * each * per_shard
+
+        def run(batches):
+            for batch in batches:
+                slots = permute(batch.column(0).to_numpy(), total, key)
+                mine = np.flatnonzero((slots >= low) & (slots < high))
+                batch, slots = batch.take(pa.array(mine)), slots[mine]
+                out = np.zeros(len(mine), kind)
+                out["ids"], out["end"] = PAD, ord("\n")
+                out["doc_id"] = batch.column(1).fill_null(-1).to_numpy()
+                out["seq"], out["n"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                for row, ids in zip(out["ids"], batch.column(4), strict=True):
+                    got = np.frombuffer(ids.as_py(), "<u2")
+                    row[: len(got)] = got
+                data = out.tobytes()
+                rows = pa.array([data[i : i + stride - 1] for i in range(0, len(data), stride)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), rows], ["shard", "slot", "record"])
+
+        return run
+
+    for number in range(-(-shards // each) if shards else 0):
+        target = f"{path}/pass={number}"
+        if exists(spark, f"{target}/_SUCCESS"):
+            continue
+        rows = numbered.mapInArrow(packed(number), "shard long, slot long, record binary")
+        rows = rows.repartitionByRange(min(each, shards - number * each), "shard").sortWithinPartitions("shard", "slot")
+        written = rows.select("shard", F.col("record").cast("string").alias("record")).write  # bytes as they are: the cast checks nothing
+        written.partitionBy("shard").mode("overwrite").option("compression", "none").option("lineSep", "\n").text(target)
+        del rows, written
+        free_shuffles(spark)
     made.release()
-    return shards
-
-
-def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """``(slot, shard, offset, doc_id, seq, n_tokens, ids)`` of slots start..stop-1; other shards are not read."""
-    record = np.dtype([*HEADER.descr, ("ids", "<u2", (length,))])
-    wanted = shards.where(F.col("shard") >= start // per_shard)
+    first = F.col("id") * per_shard
+    manifest = spark.range(shards).select(
+        F.col("id").alias("shard"), F.expr(f"id div {max(each, 1)}").alias("pass"), first.alias("first_slot"), F.least(F.lit(per_shard).cast("long"), F.lit(total) - first).alias("n"), F.lit(stride).alias("stride")
+    )
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
+
+
+def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """``(slot, shard, offset, doc_id, seq, n_tokens, ids)`` of slots start..stop-1 under ``path``; other shards' files are not opened."""
+    kind = record(length)
+    manifest = spark.read.parquet(f"{path}/manifest").where(F.col("shard") >= start // per_shard)
     if stop is not None:
-        wanted = wanted.where(F.col("first_slot") < stop)
+        manifest = manifest.where(F.col("first_slot") < stop)
+    bounds = manifest.agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.min("pass").alias("p"), F.max("pass").alias("q")).first()
+    schema = "slot long, shard long, offset long, doc_id long, seq int, n_tokens int, ids binary"
+    if bounds["a"] is None:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/pass={p}" for p in range(bounds["p"], bounds["q"] + 1)]
+    files = spark.read.format("binaryFile").option("basePath", path).load(folders).where(F.col("shard").between(bounds["a"], bounds["b"]))
 
     def run(batches):
         for batch in batches:
-            for shard, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows = np.frombuffer(data.as_py(), record)
-                slots = first + np.arange(len(rows))
-                on = (slots >= start) & (slots < (stop if stop is not None else slots[-1] + 1))
-                rows, slots = rows[on], slots[on]
-                ids = pa.array([r["ids"][: r["n"]].tobytes() for r in rows], pa.binary())
-                columns = [pa.array(slots), pa.array(np.full(len(rows), shard)), pa.array((slots - first) * record.itemsize), pa.array(rows["doc_id"].copy()), pa.array(rows["seq"].copy()), pa.array(rows["n"].copy()), ids]
-                yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids"])
-
-    return wanted.select("shard", "first_slot", "data").mapInArrow(run, "slot long, shard long, offset long, doc_id long, seq int, n_tokens int, ids binary")
-
-
-def training_order(docs: DataFrame, vocabulary: bytes, pattern: str, key: int = 2024) -> DataFrame:
-    """Every sequence as read back from the shards, its ids as a SHA-256."""
-    written = materialise(docs, vocabulary, pattern, key)
-    return read_slots(written.df).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole, first = np.frombuffer(data.as_py(), kind), shard * per_shard
+                for at in range(max(0, start - first) // STEP * STEP, len(whole), STEP):
+                    slots = first + at + np.arange(len(whole[at : at + STEP]))
+                    on = (slots >= start) & (slots < (stop if stop is not None else slots[-1] + 1))
+                    rows, slots = whole[at : at + STEP][on], slots[on]
+                    ids = pa.array([r["ids"][: r["n"]].tobytes() for r in rows], pa.binary())
+                    columns = [pa.array(slots), pa.array(np.full(len(rows), shard)), pa.array((slots - first) * kind.itemsize), *(pa.array(rows[k].copy()) for k in ("doc_id", "seq", "n")), ids]
+                    yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids"])
+
+    return files.select(F.col("shard").cast("long"), "content").mapInArrow(run, schema)
+
+
+def training_order(docs: DataFrame, vocabulary: bytes, pattern: str, key: int = 2024, **sizes) -> DataFrame:
+    """Every sequence as read back from the shards, its ids as a SHA-256; see ``materialise`` for odd rows."""
+    path = own_folder(docs.sparkSession, "shards")
+    materialise(docs, vocabulary, pattern, path, key, **sizes)
+    sizes.pop("passes", None)
+    return read_slots(docs.sparkSession, path, **sizes).withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
