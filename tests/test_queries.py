@@ -31,3 +31,25 @@ def test_stream_equals_batch(spark, tmp_path):
     seen.processAllAvailable()
     seen.stop()
     assert spark.table("first_seen").count() == docs.select("text").distinct().count()
+
+
+def test_first_seen_within_a_horizon(spark, tmp_path):
+    """State on disk, and keys that the watermark has left behind count anew."""
+    import datetime as dt
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    counts.on_disk_state(spark)
+    try:
+        at = lambda day: dt.datetime(2026, 1, day)
+        batches = [[("a", at(1)), ("b", at(1)), ("a", at(2))], [("c", at(20))], [("a", at(21)), ("c", at(21))]]
+        (tmp_path / "in").mkdir()
+        stream = counts.first_seen(spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in")), "k", time="t", horizon="3 days")
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, "k string, t timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        seen = sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert seen == ["a", "a", "b", "c"]
+    finally:
+        for name in (key, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"):
+            spark.conf.unset(name)

@@ -650,11 +650,13 @@ def ner_role_sum(spark, d):
 
 @query
 def variant_left_join(spark, d):
+    """Repeated types with their variants, and how many break the accounting of occurrences and retained copies."""
+    from ..operators.contracts import repetition_violations
+
     a = _audit(spark, d).select("line", "occurrences", "mismatches")
-    v = R.variants(sentence_vectors(spark, d), "line", "doc_id", "line_no").groupBy("line").agg(F.sum("occurrences").alias("seen"), F.sum("retained").alias("kept"))
-    j = a.join(v.withColumnRenamed("line", "l"), F.col("line") == F.col("l"), "left")
-    bad = ~(F.col("seen").eqNullSafe(F.col("occurrences")) & F.col("kept").eqNullSafe(F.lit(1)))
-    return j.agg(F.count("*").alias("identities"), F.sum("occurrences").alias("occurrences"), F.count_if(F.col("mismatches") > 0).alias("with_mismatch"), F.count_if(bad).alias("violations"))
+    v = R.variants(sentence_vectors(spark, d), "line", "doc_id", "line_no")
+    sums = a.agg(F.count("*").alias("identities"), F.sum("occurrences").alias("occurrences"), F.count_if(F.col("mismatches") > 0).alias("with_mismatch"))
+    return sums.crossJoin(repetition_violations(a, v, "line").agg(F.count("*").alias("violations")))  # one row by one row
 
 
 @query
