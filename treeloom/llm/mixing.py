@@ -2,11 +2,11 @@
 
 A source's target divided by its size is every document's expected number of copies; the whole
 part is taken as it is, the fraction is an inclusion probability. The flight phase moves these
-probabilities through the null space of two constraints (words and documents), three documents
-at a time, until each is 0 or 1, so both totals stay where they were. Blocks of a source fly
-apart; what they leave undecided (two documents each at most) flies again in fewer blocks,
-until two documents a source remain for the landing. Long documents fly first; what the landing
-misses the words by is then settled within the last block.
+probabilities through the null space of two constraints (words and documents) until each is 0
+or 1, so both totals stay where they were. Each move is the projection on that space of the
+largest undecided document, so all the others make up for it by a little and the smallest are
+left to the end. Blocks of a source fly apart; what they leave undecided (two documents each at
+most) flies again in fewer blocks, until two small documents a source remain for the landing.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stage
 
+#: What counts as a word.
+WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and how often a source may be repeated.
 SHARE, MOST = 1.5, 2.0
@@ -26,15 +28,10 @@ BLOCK = 4096
 _ZERO = 1e-9
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)`` with the words of each row of ``docs(doc_id, source, text)``."""
-
-    def run(batches):
-        for batch in batches:
-            n = pa.array([len(x.as_py().split()) if x.is_valid else 0 for x in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "source", "size"])
-
-    return docs.select(F.col("doc_id").cast("long"), "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, source string, size long")
+def sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """``(doc_id, source, size, key, keep...)`` of ``docs(doc_id, source, text)``: its words, and a hash of what tells it from others."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("key"), *keep)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -67,86 +64,107 @@ def _draw(*key) -> float:
     return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest()) / 2**64
 
 
-def fly(size: list[int], chance: list[float], seed) -> list[float]:
-    """Moves chances until two at most lie strictly between 0 and 1; keeps the sums of chance and of size * chance."""
-    chance, rng = list(chance), np.random.default_rng(int(_draw(seed) * 2**63))
-    for i in range(len(chance)):
-        if chance[i] < _ZERO or chance[i] > 1 - _ZERO:
-            chance[i] = round(chance[i])
-    waiting, held = (i for i in range(len(chance)) if 0 < chance[i] < 1), []
-    draws = iter(())
-    while True:
-        while len(held) < 3 and (i := next(waiting, None)) is not None:
-            held.append(i)
-        if len(held) < 3:
-            return chance
-        a, b, c = held
-        step = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-        if not any(step):
-            step = (1, -1, 0)
-        up = min((1 - chance[i]) / s if s > 0 else -chance[i] / s for i, s in zip(held, step, strict=True) if s)
-        down = min(chance[i] / s if s > 0 else (chance[i] - 1) / s for i, s in zip(held, step, strict=True) if s)
-        draw = next(draws, None)
-        if draw is None:
-            draws = iter(rng.random(1024).tolist())
-            draw = next(draws)
-        move = up if draw * (up + down) < down else -down
-        for i, s in zip(held, step, strict=True):
-            chance[i] += move * s
-            if chance[i] < _ZERO or chance[i] > 1 - _ZERO:
-                chance[i] = float(round(chance[i]))
-        held = [i for i in held if 0 < chance[i] < 1]
-
-
-def land(chance: list[float], open_: list[int], draw: float) -> list[float]:
+def fly(size, chance, seed) -> np.ndarray:
+    """Moves chances until two at most lie strictly between 0 and 1; keeps the sums of chance and of size * chance.
+
+    ``size`` descends. Each move goes along the projection of the first open document on the null
+    space of both sums (of the next one, where the first can't move), up or down with the odds
+    that keep every document's expected chance as it is, until one document or more is decided.
+    """
+    chance, size = np.array(chance, float), np.asarray(size, float)
+    rng = np.random.default_rng(int(_draw(seed) * 2**63))
+    _settled(chance)
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    while len(open_) > 2:
+        c, s = chance[open_], size[open_]
+        step = _direction(s - s.mean())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(step > 0, (1 - c) / step, np.where(step < 0, -c / step, np.inf)).min()
+            down = np.where(step > 0, c / step, np.where(step < 0, (c - 1) / step, np.inf)).min()
+        c += step * (up if rng.random() * (up + down) < down else -down)
+        _settled(c)
+        chance[open_] = c
+        open_ = open_[(c > 0) & (c < 1)]
+    return chance
+
+
+def _direction(off: np.ndarray) -> np.ndarray:
+    """The projection of the first unit vector that has one on what is orthogonal to ones and to ``off``, which sums to nought."""
+    n, square = len(off), float(off @ off)
+    even = square <= 1e-9
+    for i in range(n):
+        step = np.full(n, -1 / n) if even else -1 / n - off * (off[i] / square)
+        step[i] += 1
+        if step[i] > 1e-9:
+            step[np.abs(step) < 1e-13] = 0
+            return step
+    raise AssertionError("three numbers can't all be fixed by two sums")
+
+
+def _settled(chance: np.ndarray) -> None:
+    chance[chance < _ZERO] = 0
+    chance[chance > 1 - _ZERO] = 1
+
+
+def land(chance: np.ndarray, draw: float) -> np.ndarray:
     """Decides the last one or two, each with its own chance, as seldom both or neither as that allows."""
-    chance = list(chance)
+    chance, open_ = chance.copy(), np.flatnonzero((chance > 0) & (chance < 1))
     if len(open_) == 1:
         chance[open_[0]] = float(draw < chance[open_[0]])
     elif len(open_) == 2:
-        a, b = open_
-        p, q = chance[a], chance[b]
+        p, q = chance[open_]
         both = max(0.0, p + q - 1)
-        takes = (1.0, 1.0) if draw < both else (1.0, 0.0) if draw < p else (0.0, 1.0) if draw < p + q - both else (0.0, 0.0)
-        chance[a], chance[b] = takes
+        chance[open_] = (1, 1) if draw < both else (1, 0) if draw < p else (0, 1) if draw < p + q - both else (0, 0)
     return chance
 
 
-def settle(size: list[int], before: list[float], chance: list[float]) -> list[float]:
-    """After the landing: flips those decisions that best cancel what the words now miss by.
-
-    Only documents whose decision was open take part, so none is taken too often. Each flip is
-    the best there is, and the last is the one after which none helps.
-    """
-    size_, x = np.array(size, np.int64), np.array(chance).round().astype(np.int64)
-    was_open = np.array([_ZERO <= b <= 1 - _ZERO for b in before], bool)
-    missed = float(size_ @ x - np.dot(size_, before))
-    while was_open.any():
-        after = np.where(was_open, np.abs(missed + np.where(x == 0, size_, -size_)), np.inf)
-        i = int(after.argmin())
-        if after[i] >= abs(missed) - 0.5:
-            break
-        missed += float(size_[i] if x[i] == 0 else -size_[i])
-        x[i] = 1 - x[i]
-    return x.astype(float).tolist()
-
-
-def _round(units: DataFrame, landing: bool, turn: int, seed: int) -> DataFrame:
-    """One flight of every block of ``units(doc_id, source, size, whole, chance, block)``."""
+def _round(units: DataFrame, landing: bool, turn: int, seed: int, schema) -> DataFrame:
+    """One flight of every block of ``units(source, size, key, chance, block, ...)``."""
 
     def run(key, block):
         source, number = (k.as_py() for k in key)
-        data = block.select(["doc_id", "size", "chance", "whole"]).to_pydict()
-        order = sorted(range(len(data["size"])), key=lambda i: (-data["size"][i], _draw(seed, turn, data["doc_id"][i]), data["chance"][i]))
-        size = [data["size"][i] for i in order]
-        before = [data["chance"][i] for i in order]
-        chance = fly(size, before, (seed, turn, source, number))
+        keys, size, chance = (block[k].to_numpy() for k in ("key", "size", "chance"))
+        turns = _mixed(keys.view(np.uint64) ^ np.uint64(int(_draw(seed, turn) * 2**63)))
+        order = np.lexsort((chance, turns, -size))
+        flown = fly(size[order], chance[order], (seed, turn, source, number))
         if landing:
-            chance = land(chance, [i for i, x in enumerate(chance) if 0 < x < 1], _draw(seed, "land", source))
-            chance = settle(size, before, chance)
-        return pa.table({"doc_id": pa.array([data["doc_id"][i] for i in order], pa.int64()), "source": pa.array([source] * len(order), pa.string()), "size": pa.array(size, pa.int64()), "whole": pa.array([data["whole"][i] for i in order], pa.int64()), "chance": pa.array(chance, pa.float64())})
+            flown = land(flown, _draw(seed, "land", source))
+        block = block.take(pa.array(order)).drop_columns(["block"])
+        return block.set_column(block.column_names.index("chance"), "chance", pa.array(flown))
+
+    return units.groupBy("source", "block").applyInArrow(run, schema)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    return units.groupBy("source", "block").applyInArrow(run, "doc_id long, source string, size long, whole long, chance double")
+def _decide(sized: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
+    """``sized`` with ``whole`` and ``chance``, now 0 or 1, of each row."""
+    own = goal.select(F.col("source").alias("_source"), "source_size", "target")
+    rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
+    units = sized.join(own, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate)
+    units = stage(units.select(*sized.columns, F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("chance")), "mix-units").df
+    is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
+    decided, rest, turn = [units.where(~is_open)], units.where(is_open), 0
+    while True:
+        counts = rest.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+        most = counts.agg(F.max("_blocks")).first()[0]
+        if most is None:
+            break
+        cut = rest.join(counts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        cut = cut.withColumn("block", F.pmod(F.xxhash64("key", F.lit(turn)), F.col("_blocks"))).drop("_blocks")
+        flown = stage(_round(cut, most == 1, turn, seed, units.schema), "mix-round").df
+        decided.append(flown.where(~is_open))
+        if most == 1:
+            break
+        rest, turn = flown.where(is_open), turn + 1
+    out = decided[0]
+    for more in decided[1:]:
+        out = out.union(more)
+    return out
 
 
 def mix(docs: DataFrame, seed: int = 11, **kind) -> DataFrame:
@@ -159,41 +177,22 @@ def mix(docs: DataFrame, seed: int = 11, **kind) -> DataFrame:
     """
     sized = stage(sizes(docs), "mix-sizes").df
     goal = stage(targets(sized, **kind), "mix-targets").df
-    own = goal.withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = sized.join(own, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate)
-    units = units.select(
-        "doc_id", "source", "size", F.when(F.col("size") > 0, F.floor("rate")).otherwise(0).cast("long").alias("whole"),
-        F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("chance"), "n",
-    )
-    decided, turn = [], 0
-    while True:
-        blocks = F.ceil(F.col("n") / BLOCK)
-        most = units.agg(F.max(blocks)).first()[0] or 1
-        cut = units.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(turn)), blocks)).drop("n")
-        flown = stage(_round(cut, most == 1, turn, seed), "mix-round").df
-        is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
-        decided.append(flown.where(~is_open))
-        if most == 1:
-            break
-        rest = flown.where(is_open)
-        counts = rest.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("n"))
-        units = rest.join(counts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        turn += 1
-    out = decided[0]
-    for more in decided[1:]:
-        out = out.union(more)
     copies = F.col("whole") + F.col("chance").cast("long")
-    out = out.join(own, F.col("source").eqNullSafe(F.col("_source")))
+    own = goal.withColumnRenamed("source", "_source")
+    out = _decide(sized, goal, seed).join(own, F.col("source").eqNullSafe(F.col("_source")))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The mix itself: each row of ``docs``, columns as they came, as often as ``mix`` takes it."""
-    decisions = mix(docs.select("doc_id", "source", "text"), seed).groupBy("doc_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    nested = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = nested.join(decisions, F.col("_id").eqNullSafe(F.col("doc_id"))).select("row", "_id", "_key", "_copies")
-    once = joined.where(F.size("_copies") == 1).select("row", F.col("_copies")[0].alias("_n"))
-    again = joined.where(F.size("_copies") > 1)  # rows that repeat a doc_id share its copies out among them
-    again = again.withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy("_key"))).select("row", F.get("_copies", F.col("_i") - 1).alias("_n"))
-    return once.union(again).where("_n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))).select("row.*")
+    """The mix itself: each row of ``docs``, columns as they came, as often as ``mix`` takes it.
+
+    Rows are staged once with a number, and each decision goes back to the row it was made for,
+    whatever ids or texts repeat. Rows of no words are taken no time; so is all of an empty table.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stage(sizes(docs.select("doc_id", "source", "text", row), "row").select("*", F.monotonically_increasing_id().alias("rid")), "mix-rows").df
+    sized = rows.select("source", "size", "key", "rid")
+    goal = stage(targets(sized), "mix-targets").df
+    taken = _decide(sized, goal, seed).select(F.col("rid").alias("_rid"), (F.col("whole") + F.col("chance").cast("int")).cast("int").alias("_n")).where("_n > 0")
+    joined = rows.select("rid", "row").join(taken, F.col("rid") == F.col("_rid"))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select("row.*")
