@@ -1,7 +1,9 @@
 """The training-data pipeline over ``documents``: quality, near-duplicates, repeats, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents.
+columns of documents, further ones as they came, whatever their names. An empty table gives an
+empty one at every stage; repeated rows and rows without a doc_id are rows like others unless a
+stage says otherwise.
 """
 
 from __future__ import annotations
@@ -12,35 +14,41 @@ from treeloom.llm.common import stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts, and all of under 50 words, fail the base rules."""
     from treeloom.llm.quality import keep_good
 
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least doc_id, of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
-    from treeloom.llm.jaccard import keep_first
+    """One document, the one of least doc_id, of each group of texts whose five-word shingles are similar by 0.8 or more.
+
+    Texts without words are one group; of rows alike in doc_id and text one stays; rows without a doc_id all stay.
+    """
+    from treeloom.llm.simhash import keep_first
 
     return keep_first(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that earlier ones hold; n_chars is counted again."""
+    """Documents without the passages that earlier ones hold; n_chars is counted again.
+
+    Null texts stay null, and a text of which nothing is left stays as an empty one. Rows without a doc_id are left whole.
+    """
     from treeloom.llm.suffix import remove_repeats
 
     return remove_repeats(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: none, one or two times. Null and empty texts are taken no time."""
     from treeloom.llm.mixing import mixed_rows
 
     return mixed_rows(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each row of the mix."""
+    """Token counts and digests of each row of the mix; null and empty texts have no tokens."""
     import public_tokenizers
 
     from treeloom.llm.pieces import encode_documents, load_model

@@ -12,10 +12,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each round rewires every node to the least member of its neighbourhood, so paths
     shrink geometrically. Sizes: a round moves the edge list twice and nothing else;
-    hub nodes are aggregated before the shuffle (partial ``min``) and their edge rows
-    meet the hub's minimum in a sort-merge join that adaptive execution may split.
-    Null endpoints and self-loops carry no link and are left out; repeated edges count
-    once. An empty edge list gives an empty result.
+    hub nodes are aggregated before the shuffle (partial ``min``), and the minima are staged,
+    so that nothing but a shuffle and a sort stands between a hub's edges and their join and
+    adaptive execution splits the hub. Null endpoints and self-loops carry no link and are left
+    out; repeated edges count once. An empty edge list gives an empty result.
     """
     current = stage(
         edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v").distinct(),
@@ -27,9 +27,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if state == before or state[0] == 0:
             break
         before = state
-        step = stage(_small_star(_large_star(current.df)), "cc-step")
+        large = _large_star(current.df)
         current.release()
-        current = step
+        current = _small_star(large.df)
+        large.release()
     stars = current.df  # every edge now runs from a node to its component's least node
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
 
@@ -43,18 +44,20 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame):
     """Links every larger neighbour of a node to the least member of the neighbourhood."""
     near = _both_ways(edges)
-    return near.join(_least(near), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = stage(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+    out = stage(near.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+    least.release()
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame):
     """Links a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+    links = down.join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = stage(links.union(least.df.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+    least.release()
+    return out

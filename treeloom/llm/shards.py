@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import exists, free_shuffles, own_folder, partitions, stage
 
 #: Tokens of a sequence, sequences of a shard, passes in which shards are written.
-LENGTH, PER_SHARD, PASSES = 512, 16_384, 4
+LENGTH, PER_SHARD, PASSES = 512, 16_384, 3
 #: A record: doc_id (8 bytes), sequence within the document (4), tokens used (4), then LENGTH 16-bit ids, then a line end.
 HEADER = [("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")]
 #: Fills records beyond their tokens; the vocabulary leaves it free.
@@ -121,7 +121,7 @@ def materialise(docs: DataFrame, vocabulary: bytes, pattern: str, path: str, key
     firsts = counts.select(F.col("part").alias("_part"), before.alias("first"))  # a row for each partition
     shards = -(-total // per_shard)
     each = -(-shards // passes)  # shards of a pass
-    kind, stride = record(length), record(length).itemsize
+    stride, body = record(length).itemsize, np.dtype([*HEADER, ("ids", "<u2", (length,))])  # the writer adds the line end
     numbered = made.df.join(firsts, F.col("part") == F.col("_part")).select((F.col("first") + F.col("at")).alias("index"), "doc_id", "seq", "n", "ids")
 
     def packed(number: int):
@@ -132,15 +132,13 @@ def materialise(docs: DataFrame, vocabulary: bytes, pattern: str, path: str, key
                 slots = permute(batch.column(0).to_numpy(), total, key)
                 mine = np.flatnonzero((slots >= low) & (slots < high))
                 batch, slots = batch.take(pa.array(mine)), slots[mine]
-                out = np.zeros(len(mine), kind)
-                out["ids"], out["end"] = PAD, ord("\n")
-                out["doc_id"] = batch.column(1).fill_null(-1).to_numpy()
-                out["seq"], out["n"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                for row, ids in zip(out["ids"], batch.column(4), strict=True):
-                    got = np.frombuffer(ids.as_py(), "<u2")
-                    row[: len(got)] = got
-                data = out.tobytes()
-                rows = pa.array([data[i : i + stride - 1] for i in range(0, len(data), stride)], pa.binary())
+                out, used = np.zeros(len(mine), body), batch.column(3).to_numpy()
+                out["doc_id"], out["seq"], out["n"] = batch.column(1).fill_null(-1).to_numpy(), batch.column(2).to_numpy(), used
+                ids = np.full((len(mine), length), PAD, "<u2")
+                if len(mine):
+                    ids[np.arange(length)[None, :] < used[:, None]] = np.frombuffer(batch.column(4).buffers()[2], "<u2")[: used.sum()]
+                out["ids"] = ids
+                rows = pa.Array.from_buffers(pa.binary(body.itemsize), len(mine), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), rows], ["shard", "slot", "record"])
 
         return run
@@ -150,7 +148,8 @@ def materialise(docs: DataFrame, vocabulary: bytes, pattern: str, path: str, key
         if exists(spark, f"{target}/_SUCCESS"):
             continue
         rows = numbered.mapInArrow(packed(number), "shard long, slot long, record binary")
-        rows = rows.repartitionByRange(min(each, shards - number * each), "shard").sortWithinPartitions("shard", "slot")
+        # a partition is one shard's range of slots; known bounds need no sampling pass
+        rows = rows.repartitionById(min(each, shards - number * each), (F.col("shard") - number * each).cast("int")).sortWithinPartitions("shard", "slot")
         written = rows.select("shard", F.col("record").cast("string").alias("record")).write  # bytes as they are: the cast checks nothing
         written.partitionBy("shard").mode("overwrite").option("compression", "none").option("lineSep", "\n").text(target)
         del rows, written
