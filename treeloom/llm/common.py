@@ -51,8 +51,12 @@ BUCKET_BYTES, PART_BYTES, MOST_PARTS = 2 << 20, 8 << 20, 100_000
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the planner takes ``df`` to hold: the files' bytes where it reads files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The bytes of the files that ``df`` reads, as the planner has them; nought where it reads anything else, whose size is not known."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if any(leaves.apply(i).nodeName() != "LogicalRelation" for i in range(leaves.size())):
+        return 0
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def buckets(df: DataFrame) -> int:
