@@ -76,3 +76,25 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN near.blocked AND NOT
 FROM parts LEFT JOIN ruled USING (host, path) LEFT JOIN near ON parts.node = near.node
 """
 )
+
+#: Part positions, then four rounds of (assignment, sums, floored means, next codebook), then the last assignment.
+_ROUNDS = ",\n".join(
+    f"""d{r} AS MATERIALIZED (SELECT x.rid, x.p, min((x.n - 2 * list_dot_product(x.q, c.q) + c.n)::BIGINT * 256 + c.i) AS v FROM x JOIN c{r} c ON x.p = c.p GROUP BY ALL),
+m{r} AS (SELECT p, v % 256 AS i, k, sum(z)::BIGINT AS s, count(*) AS n FROM d{r} JOIN z USING (rid, p) GROUP BY ALL),
+u{r} AS (SELECT p, i, list((s - ((s % n) + n) % n) // n ORDER BY k)::DOUBLE[] AS q FROM m{r} GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT *, list_dot_product(q, q) AS n FROM (SELECT c.p, c.i, coalesce(u.q, c.q) AS q FROM c{r} c LEFT JOIN u{r} u ON u.p = c.p AND u.i = c.i))"""
+    for r in range(4)
+)
+OP12 = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+p AS (SELECT unnest([0, 1, 2, 3]) AS p),
+x AS MATERIALIZED (SELECT *, list_dot_product(q, q) AS n FROM (SELECT rid, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS q FROM k, p)),
+z AS MATERIALIZED (SELECT rid, p, unnest(q)::BIGINT AS z, generate_subscripts(q, 1) AS k FROM x),
+c0 AS MATERIALIZED (SELECT p, rid - 1 AS i, q, n FROM x WHERE rid <= 256),
+{_ROUNDS},
+d4 AS (SELECT x.rid, x.p, min((x.n - 2 * list_dot_product(x.q, c.q) + c.n)::BIGINT * 256 + c.i) AS v FROM x JOIN c4 c ON x.p = c.p GROUP BY ALL),
+e AS (SELECT rid, string_agg(printf('%02x', v % 256), '' ORDER BY p) AS code, sum(v // 256)::BIGINT AS error FROM d4 GROUP BY rid),
+h AS (SELECT sha256(string_agg(z::BIGINT::VARCHAR, ',' ORDER BY p, i, k)) AS codebooks_sha256 FROM (SELECT p, i, unnest(q) AS z, generate_subscripts(q, 1) AS k FROM c4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN e USING (rid), h
+"""

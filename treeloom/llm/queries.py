@@ -74,8 +74,29 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align, load_json
+    from .pieces import load_model
+
+    return align(table(spark, sf_dir, "documents"), load_json(public_tokenizers.path("byte_bpe_50k.json")), load_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codebooks import compress
+
+    return compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece, op5_source_mixing, op6_training_order, op7_quality_rules, op8_licence_scan, op9_html_extraction, op10_url_filters)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece, op5_source_mixing, op6_training_order, op7_quality_rules, op8_licence_scan, op9_html_extraction, op10_url_filters, op11_tokenizer_alignment, op12_vector_codes, op13_personal_data)
 }
 
-ORACLES: dict[str, str] = {"op7_quality_rules": oracles.OP7, "op10_url_filters": oracles.OP10}
+ORACLES: dict[str, str] = {"op7_quality_rules": oracles.OP7, "op10_url_filters": oracles.OP10, "op12_vector_codes": oracles.OP12}
