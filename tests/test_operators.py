@@ -1,11 +1,13 @@
+import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from treeloom.functions.special import chi2_sf, fisher_two_sided, sign_test, wilcoxon
-from treeloom.operators import distributions as D, inference as I, matching as M, repetition as R
+from treeloom.operators import distributions as D, inference as I, matching as M, ordered, repetition as R, resampling as S
 from treeloom.operators.contracts import distribution_violations, grid_violations
 from treeloom.plans import registry
 from treeloom.schema import PATTERNS
@@ -114,7 +116,8 @@ def test_exact_stream_runs_by_pair(spark):
 
 
 def test_groups_clusters_and_pairs_by_numpy_streams(spark):
-    r = registry.QUERIES["perm_chi2_three_groups"](spark, "").first()
+    genres = spark.createDataFrame([("genres", [LITERARY, PUBLICISTIC, PROFESSIONAL], 20260715)], "name string, cells array<array<long>>, seed long")
+    r = I.exact_group_tests(genres).first()
     assert (round(r.chi2, 6), round(r.p, 6)) == (13.765731, 0.183991)  # published
     rng = np.random.default_rng(2)
     rows = [(i, "abc"[i % 3], *rng.integers(0, 9, 6).tolist()) for i in range(60)]
@@ -136,8 +139,6 @@ def test_groups_clusters_and_pairs_by_numpy_streams(spark):
 
 def test_hashed_permutations_keep_group_sizes(spark, monkeypatch):
     monkeypatch.setattr(I, "DIGITS", 1)  # many units a bucket
-    import hashlib
-
     rows = [(i, "xyz"[i % 3], "p" if i < 40 else "q") for i in range(90)]
     df = spark.createDataFrame(rows, "u long, g string, part string")
     drawn = I.hash_permuted(df, "u", "g", 5, by=("part",)).collect()
@@ -148,8 +149,6 @@ def test_hashed_permutations_keep_group_sizes(spark, monkeypatch):
         for k in range(1, 6):
             order = sorted((hashlib.md5(f"{k}-{u}".encode()).hexdigest(), u) for u, _ in own)
             assert [got[k, u] for _, u in order] == sorted(g for _, g in own)
-    b = I.hash_bootstrap(spark.createDataFrame([(i, 1, 0, 0, 0, 0, 0) for i in range(2000)], "u long, " + ", ".join(f"n_{p} long" for p in PATTERNS)), "u", replicates=20).collect()
-    assert len(b) == 20 and abs(np.mean([r.n_SVO for r in b]) - 2000) < 40 and np.std([r.n_SVO for r in b]) > 10
 
 
 def aligned(spark, gold, auto):
@@ -285,17 +284,107 @@ def test_conllu_strict_and_widths(spark, tmp_path):
 
 
 def test_chunk_writer(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(conllu, "RANGE", 4)
+    monkeypatch.setattr(ordered, "RANGE", 4)
     (tmp_path / "x.conllu").write_text("".join(f"{k}\tword\n\n" for k in range(10, 40)))
     b = conllu.blocks(spark, str(tmp_path / "x.conllu"))
-    chunks = {r.lines[0]: r.chunk for r in conllu.chunk_ids(b, 27).collect()}
-    assert chunks == {f"{k}\tword": (k - 10) * 9 // 27 for k in range(10, 40)}
-    conllu.write_chunks(b, str(tmp_path / "out"), 27)
+    chunks = {r.lines[0]: r.chunk for r in conllu.chunk_ids(b, 24).collect()}  # blocks of 8 bytes
+    assert chunks == {f"{k}\tword": (k - 10) // 3 for k in range(10, 40)}
+    assert [r.chunk for r in conllu.chunk_ids(b, 17).orderBy("ord").collect()] == [k // 3 for k in range(30)]  # an excess counts for no other chunk
+    conllu.write_chunks(b, str(tmp_path / "out"), 20)
     for c in range(10):
         (file,) = (tmp_path / "out" / "name=x" / f"chunk={c}").glob("part-*")
         assert file.read_text() == "".join(f"{k}\tword\n\n" for k in range(10 + 3 * c, 13 + 3 * c))
 
 
+def test_greedy_chunks(spark, monkeypatch):
+    """Against a loop: random sizes, rows larger than chunks, sizes of nought, gaps between places, null and single groups, no rows."""
+    monkeypatch.setattr(ordered, "RANGE", 8)
+    rng, rows, want = random.Random(8), [], {}
+    kinds = [lambda: rng.randrange(1, 9), lambda: rng.choice([1, 2, 95]), lambda: rng.choice([0, 0, 7]), lambda: 10, lambda: 333]
+    for g in [None, *range(14)]:
+        kind, place, chunk, held = rng.choice(kinds), 0, 0, 0
+        for _ in range(1 if g == 3 else rng.randrange(2, 90)):
+            place += rng.randrange(1, 4)
+            size = kind()
+            rows.append((g, place, size))
+            want[g, place] = chunk
+            held += size
+            if held >= 20:
+                chunk, held = chunk + 1, 0
+    df = spark.createDataFrame(rows, "g long, at int, size int")
+    got = {(r.g, r.at): r.chunk for r in ordered.greedy_chunks(df.repartition(3), "g", F.col("at"), F.col("size"), 20).collect()}
+    assert got == want
+    assert ordered.greedy_chunks(df.limit(0), "g", F.col("at"), F.col("size"), 20).collect() == []
+
+
+def plain_corpus(lines):
+    """Genres in force, and blocks with the comments that waited for them, line by line."""
+    genre, block, waiting, out = None, [], [], []
+
+    def close():
+        nonlocal block, waiting
+        if block and all(x.startswith("#") for x in block):
+            waiting += block
+        elif block:
+            out.append((genre, waiting + block))
+            waiting = []
+        block = []
+
+    for line in [*lines, ""]:
+        if not line.strip():
+            close()
+            continue
+        block.append(line)
+        if line.startswith("# newdoc"):
+            genre = None
+        elif line.startswith("# term ="):
+            genre = next((g for mark, g in conllu.GENRES if mark in line), genre)
+    return out
+
+
+@pytest.mark.parametrize("size", [60, 200, 100_000])
+def test_state_across_splits(spark, tmp_path, size):
+    """Documents, terms and waiting comments that lie splits before what they hold for."""
+    rng, want = random.Random(size), []
+    for name in ("a", "b", "c"):
+        lines = []
+        for i in range(120):
+            pick = rng.random()
+            if pick < 0.1:
+                lines += [f"# newdoc id = {i}", *[""] * rng.randrange(2)]
+            elif pick < 0.25:
+                lines += ["# term = zvrst / " + rng.choice(["umetnostna", "neumetnostna / strokovna", "druga"]), *["", " \t"][: rng.randrange(3)]]
+            elif pick < 0.35:
+                lines += [f"# c{i}"] * rng.randrange(1, 12) + [""]
+            else:
+                lines += [f"# sent_id = {name}{i}", f"1\t{name}{i}" + "\t_" * 8, *["# late"][: rng.randrange(2)], "", ""]
+        ends = rng.choice(["\n", "\r\n"])
+        (tmp_path / f"{name}.conllu").write_text(ends.join(lines) + rng.choice(["", ends]), newline="")
+        want += [(name, i, g, b) for i, (g, b) in enumerate(plain_corpus(lines))]
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        got = conllu.blocks(spark, str(tmp_path), genres=True, attach=True).orderBy("file", "ord").collect()
+        sentences = conllu.read_conllu(spark, str(tmp_path), genres=True, attach=True).orderBy("file", "ord").collect()
+    finally:
+        spark.conf.set(key, before)
+    seen = {}
+    rows = [(n := r.file[-8], seen.setdefault(n, []).append(1) or len(seen[n]) - 1, r.genre, list(r.lines)) for r in got]
+    assert rows == want
+    assert [r.genre for r in sentences] == [g for _, _, g, _ in want]
+    assert [len(r.comments) for r in sentences] == [sum(x.startswith("#") for x in b) for *_, b in want]
+
+
+def test_cleaned_blocks(spark):
+    """A root without a head is mended; any other head that is no number, or another width, drops the block."""
+    row = lambda head, rel, feats="A=b", deps="1:x": "\t".join(["1", "w", "l", "X", "x", feats, head, rel, deps, "_"])
+    cases = {"ok": [row("0", "root")], "mended": ["# c", row("_", "root", "Ncms", "x")], "word": [row("x", "root")], "none": [row("_", "obj")], "empty": [row("", "nsubj")], "wide": [row("0", "root") + "\t_"], "range": ["1-2" + row("_", "_")[1:]]}
+    df = spark.createDataFrame([(k, 1, v) for k, v in cases.items()], "file string, ord int, lines array<string>")
+    got = {r.file: None if r.dropped else list(r.lines) for r in conllu.cleaned(df).collect()}
+    assert got == {**dict.fromkeys(["word", "none", "empty", "wide"]), "ok": cases["ok"], "mended": ["# c", row("0", "root", "_", "_")], "range": cases["range"]}
+
+
 def test_shared_folder(spark):
     from types import SimpleNamespace
 
@@ -341,7 +430,8 @@ def test_tsv_contracts(spark, tmp_path):
     with pytest.raises(ValueError, match="occurs 2 times"):
         files.read_keyed_tsv(spark, str(tmp_path / "dup.tsv"), "k")
     digest = files.digests(spark, str(tmp_path / "dup.tsv")).first().sha256
-    assert digest == files.digest_local(str(tmp_path / "dup.tsv"))
+    assert digest == hashlib.sha256((tmp_path / "dup.tsv").read_bytes()).hexdigest()
+    assert files.streamed_digests(spark, str(tmp_path / "dup.tsv"), 3).first().sha256 == digest
     for bad in ("/x", "a/../b"):
         with pytest.raises(ValueError):
             files.inside("/base", bad)
@@ -372,12 +462,10 @@ def test_published_permutations(a, b, seed, chi2, p):
     assert round(I.permuted_labels(table, seed), 6) == p
 
 
-def test_every_published_pair_is_tested(spark):
-    got = {(r.group_a, r.group_b): r for r in registry.QUERIES["perm_chi2_exact_rng"](spark, "").collect()}
-    assert len(got) == 10
-    names = [("suk-professional", "suk-literary"), ("suk-professional", "sst"), ("suk-publicistic", "suk-literary"), ("suk-publicistic", "sst")]
-    for pair, (_, _, _, chi2, p) in zip(names, PUBLISHED, strict=True):
-        assert (round(got[pair].chi2, 6), round(got[pair].p, 6)) == (chi2, p)
+def test_published_pairs_side_by_side(spark):
+    rows = [(str(i), "x", a, b, seed) for i, (a, b, seed, _, _) in enumerate(PUBLISHED)]
+    got = {r.group_a: (round(r.chi2, 6), round(r.p, 6)) for r in I.exact_pair_tests(spark.createDataFrame(rows, "group_a string, group_b string, a array<long>, b array<long>, seed long")).collect()}
+    assert got == {str(i): x[3:] for i, x in enumerate(PUBLISHED)}
 
 
 def test_published_distributions(spark):
@@ -415,7 +503,8 @@ def test_splits_and_chunks(spark, tmp_path):
         (tmp_path / f"x-{name}.conllu").write_text(f"{k}\ta\n\n{k}\tb\n")
     got = conllu.merge_splits(spark, str(tmp_path)).orderBy("split", "ord")
     assert [r.lines[0] for r in got.collect()] == ["0\ta", "0\tb", "1\ta", "1\tb", "2\ta", "2\tb"]
-    assert sorted(r.chunk for r in conllu.chunk_ids(got, 5).collect()) == [0, 0, 0, 1, 1, 1]
+    one = got.withColumn("corpus", F.lit("x")).withColumn("ord", F.format_string("%d%s", "split", "ord"))
+    assert [r.chunk for r in conllu.chunk_ids(one, 9, "corpus").orderBy("ord").collect()] == [0, 0, 0, 1, 1, 1]  # blocks of 4 bytes
     (tmp_path / "y-dev.conllu").write_text("1\ta\n")
     with pytest.raises(ValueError, match="2 files"):
         conllu.merge_splits(spark, str(tmp_path))

@@ -32,15 +32,24 @@ def distribution_violations(rows: DataFrame, group: str) -> DataFrame:
     return each.select(group, F.explode(broken).alias("rule"))
 
 
-def grid_violations(rows: DataFrame, expected: DataFrame) -> DataFrame:
-    """Keys missing from, foreign to or repeated in ``rows`` against the ``expected`` grid."""
-    keys = expected.columns
-    have = rows.select(*keys)
-    return (
-        expected.exceptAll(have.distinct()).withColumn("rule", F.lit("missing"))
-        .union(have.distinct().exceptAll(expected).withColumn("rule", F.lit("foreign")))
+def grid_violations(rows: DataFrame, expected: DataFrame, place: str | None = None) -> DataFrame:
+    """Keys missing from, foreign to or repeated in ``rows`` against the ``expected`` grid.
+
+    With ``place``, a column of both that numbers rows in their order, also keys that don't follow
+    the key that the grid has before them: each row is held against the grid's at its place.
+    """
+    keys = [c for c in expected.columns if c != place]
+    have, want = rows.select(*keys), expected.select(*keys)
+    found = (
+        want.exceptAll(have.distinct()).withColumn("rule", F.lit("missing"))
+        .union(have.distinct().exceptAll(want).withColumn("rule", F.lit("foreign")))
         .union(have.groupBy(*keys).count().where("count > 1").drop("count").withColumn("rule", F.lit("repeated")))
     )
+    if place is None:
+        return found
+    at = expected.select(F.col(place).alias("_place"), F.struct(*keys).alias("_want"))
+    placed = rows.select(F.col(place).alias("_at"), F.struct(*keys).alias("_have")).join(at, F.col("_at") == F.col("_place"), "left")
+    return found.union(placed.where(~F.col("_have").eqNullSafe(F.col("_want"))).select("_have.*", F.lit("order")))
 
 
 def structure_violations(before: DataFrame, after: DataFrame, columns: list[str], key: list[str]) -> DataFrame:

@@ -220,15 +220,3 @@ def table_chi2(cells: DataFrame, by: list[str], row: str, column: str, n: str =
 
 #: P(X <= k) of a Poisson distribution of mean 1, k = 0 .. 9.
 POISSON = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
-
-
-def hash_bootstrap(clusters: DataFrame, unit: str, *by: str, replicates: int = REPLICATES) -> DataFrame:
-    """``(by..., replicate, n_SVO ...)``: the sums of a Poisson bootstrap, each cluster taken as often as its hash with the replicate says.
-
-    Clusters need no numbers and no place among one another, so sums are made where the rows lie.
-    """
-    each = clusters.select(unit, *by, *[f"n_{p}" for p in PATTERNS], F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    u = F.conv(F.substring(hash_order(F.col("replicate"), F.col(unit)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    taken = sum((F.when(F.col("_u") >= x, 1).otherwise(0) for x in POISSON), F.lit(0))
-    each = each.withColumn("_u", u).withColumn("_k", taken)
-    return each.groupBy(*by, "replicate").agg(*[F.sum(F.col(f"n_{p}") * F.col("_k")).alias(f"n_{p}") for p in PATTERNS])

@@ -37,19 +37,25 @@ def counts_before_after(rows: DataFrame, identity: str, *order: str, scope: tupl
     return kinds.groupBy(*scope).agg(*[F.sum(c).cast("long").alias(k) for k, c in parts])
 
 
-def repetition_counts(rows: DataFrame, identity: str, *groups: str) -> DataFrame:
-    """``(groups..., total, unique, duplicates, pct)`` exactly, over identities counted first."""
-    kinds = rows.groupBy(*groups, identity).agg(F.count("*").alias("k"))
-    out = kinds.groupBy(*groups).agg(F.sum("k").alias("total"), F.count("*").alias("unique_n"))
+def repetition_counts(rows: DataFrame, identity: str, *groups: str, fallback: str | None = None) -> DataFrame:
+    """``(groups..., total, unique, duplicates, pct)`` exactly, over identities counted first; with ``fallback``, a column that says
+    whether a row's identity was made up from its tokens, also how many were."""
+    more = [F.count_if(F.col(fallback)).alias("f")] if fallback else []
+    kinds = rows.groupBy(*groups, identity).agg(F.count("*").alias("k"), *more)
+    out = kinds.groupBy(*groups).agg(F.sum("k").alias("total"), F.count("*").alias("unique_n"), *([F.sum("f").alias("fallbacks")] if fallback else []))
     return out.withColumn("duplicates", F.col("total") - F.col("unique_n")).withColumn("pct", 100 * F.col("duplicates") / F.col("total"))
 
 
-def audit(rows: DataFrame, identity: str, *order: str) -> DataFrame:
+def audit(rows: DataFrame, identity: str, *order: str, fallback: str | None = None) -> DataFrame:
     """One row for each identity that repeats, of rows with six counts ``n_*``: occurrences, mismatching copies,
-    the first vector, what later copies hold (excess) and what they would hold if all were like the first."""
+    the first vector, what later copies hold (excess) and what they would hold if all were like the first; with ``fallback``,
+    a column that says whether a row's identity was made up from its tokens, also how many copies' were."""
     vector = F.array(*[F.col(f"n_{p}") for p in PATTERNS])
-    kinds = rows.select(identity, F.struct(*order).alias("at"), vector.alias("v")).groupBy(identity, "v").agg(F.count("*").alias("k"), F.min("at").alias("at"))
+    made_up = F.coalesce(F.col(fallback), F.lit(False)) if fallback else F.lit(False)
+    kinds = rows.select(identity, F.struct(*order).alias("at"), vector.alias("v"), made_up.alias("f")).groupBy(identity, "v").agg(F.count("*").alias("k"), F.min("at").alias("at"), F.count_if("f").alias("f"))
     cells = [F.sum(F.col("k") * F.get("v", F.lit(i))).alias(f"all_{p}") for i, p in enumerate(PATTERNS)]
+    if fallback:
+        cells.append(F.sum("f").alias("fallback_occurrences"))
     out = kinds.groupBy(identity).agg(F.sum("k").alias("occurrences"), F.min("at").alias("first_at"), F.min_by("v", "at").alias("first_vector"), F.count("*").alias("variants"), F.min_by("k", "at").alias("like_first"), *cells)
     out = out.where("occurrences > 1").withColumn("mismatches", F.col("occurrences") - F.col("like_first"))
     for i, p in enumerate(PATTERNS):
@@ -70,9 +76,10 @@ def variants(rows: DataFrame, identity: str, *order: str) -> DataFrame:
 
 
 def variants_json(kinds: DataFrame, identity: str) -> DataFrame:
-    """The variants of each identity as one JSON array."""
+    """The variants of each identity as one JSON array: the first occurrence's first, the others by their vector as written."""
     names = F.array(*[F.lit(p) for p in PATTERNS])
-    ordered = F.sort_array(F.collect_list(F.struct("vector", "occurrences", "retained")))
+    written = F.concat(F.lit("["), F.array_join("vector", ","), F.lit("]"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("retained")).alias("place"), written.alias("written"), "vector", "occurrences", "retained")))
 
     def item(x):
         excess = F.transform(x["vector"], lambda n: n * (x["occurrences"] - x["retained"]))
@@ -84,6 +91,22 @@ def variants_json(kinds: DataFrame, identity: str) -> DataFrame:
     return kinds.groupBy(identity).agg(ordered.alias("_all")).select(identity, F.to_json(F.transform("_all", item)).alias("variants"))
 
 
+def examples(rows: DataFrame, identity: str, index: str, fallback: str) -> DataFrame:
+    """The export of repeated identities: one row each with its first sentence's ``index``, copies, fallbacks, whether all counts agree,
+    its variants as JSON, and the first, excess and nominal counts with their totals."""
+    found = audit(rows, identity, index, fallback=fallback)
+    listed = variants_json(variants(rows, identity, index), identity).select(F.col(identity).alias("_i"), F.col("variants").alias("_json"))
+    first = {p: F.get("first_vector", F.lit(i)) for i, p in enumerate(PATTERNS)}
+    total = lambda columns: sum(columns, F.lit(0)).cast("long")
+    joined = found.join(listed, F.col(identity).eqNullSafe(F.col("_i")))
+    return joined.select(
+        F.col(identity).alias("sentence_text"), F.col(f"first_at.{index}").alias("first_sentence_index"), "occurrences", "fallback_occurrences",
+        F.when(F.col("mismatches") == 0, 1).otherwise(0).cast("long").alias("count_vectors_identical"), F.col("mismatches").alias("later_occurrences_with_different_counts"), F.col("_json").alias("pattern_count_variants_json"),
+        total(first.values()).alias("first_total"), F.col("excess").cast("long").alias("excess_total"), total(F.col(f"nominal_{p}") for p in PATTERNS).alias("nominal_excess_total"),
+        *[first[p].alias(f"first_{p}") for p in PATTERNS], *[f"excess_{p}" for p in PATTERNS], *[F.col(f"nominal_{p}").alias(f"nominal_excess_{p}") for p in PATTERNS],
+    )
+
+
 def rankings(audited: DataFrame, measures: tuple[str, ...], identity: str, most: int) -> DataFrame:
     """``(ranking, identity, value, place)``: the ``most`` identities of largest positive value by each measure, ties to the first
     occurrence. Each task keeps no more than that many of its rows."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..schema import PATTERNS
-from .oracles import _JSD, _NS, _STATUS, _SUMS, CNT, DEP, INST, ORACLES as O, PAIR, ent
+from .oracles import _JSD, _NS, _STATUS, _SUMS, CNT, DEP, INST, ORACLES as O, PAIR, chunked, ent
 
 #: Sentences of at least one token in a known language.
 _SN = f"""{DEP}, ok AS (SELECT * FROM dep WHERE lang IS NOT NULL), sn AS (SELECT lang, doc_id, line_no, doc_id + line_no AS key, count(*) AS tokens, string_agg(form, ' ' ORDER BY tok_id) AS forms FROM ok GROUP BY ALL)"""
@@ -27,11 +27,32 @@ O["sanitised_features"] = f"WITH {_SN} SELECT upos, CASE WHEN upos = 'VERB' THEN
 O["ner_presence"] = f"""WITH {_SN}, c AS (SELECT lang, count(*) AS n FROM sn GROUP BY lang) SELECT lang AS name, 'sentences' AS rule FROM c WHERE lang = 'de' AND n <> 1 UNION ALL SELECT lang, 'no NER tags' FROM c WHERE lang = 'es'
 UNION ALL SELECT lang, 'missing' FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) ANTI JOIN c USING (lang)"""
 O["split_merge"] = f"WITH {_SN} SELECT (doc_id % 3)::BIGINT AS split, count(*) AS blocks, sum(tokens)::BIGINT AS tokens FROM sn GROUP BY ALL"
-O["chunk_files"] = f"""WITH {_SN}, tb AS (SELECT doc_id, line_no, sum(strlen(concat_ws(chr(9), tok_id, form, '_', upos, '_', CASE WHEN upos = 'VERB' THEN 'VerbForm' ELSE 'A=b' END, head, deprel, '_',
-    CASE WHEN ({_STATUS.format(u='upos', f='form')}) = 'entity' THEN 'A=x|NER=B-x' ELSE 'NER=O' END)) + 1) AS b FROM ok WHERE lang = 'de' GROUP BY ALL),
-bk AS (SELECT tb.doc_id, tb.line_no, (b + strlen('# sent_id = ' || tb.doc_id || '-' || tb.line_no) + strlen('# lang = de') + strlen('# text = ' || line) + 2 + 2)::BIGINT AS n FROM tb JOIN ln ON ln.doc_id = tb.doc_id AND ln.line_no = tb.line_no),
-ch AS (SELECT n, coalesce(sum(n) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS chunk FROM bk)
-SELECT chunk::BIGINT AS chunk, count(*) AS blocks, sum(n)::BIGINT AS n_bytes FROM ch GROUP BY chunk"""
+#: Sentences with the genre in force, the comments before them and what is wrong with them; ``i`` is their place in the document.
+_FILES = f"""{_SN}, o AS (SELECT sn.*, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) = 1 AS opens,
+  CASE WHEN line_no % 7 = 3 THEN 'strokovno' END AS said, doc_id // 64 AS part FROM sn),
+g AS (SELECT *, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), CASE WHEN doc_id % 3 = 0 THEN 'leposlovno' END) AS genre,
+  3 + (line_no % 7 IN (3, 5))::INT + CASE WHEN opens THEN 1 + (doc_id % 3 = 0)::INT ELSE 0 END AS comments FROM o)"""
+O["genres_from_files"] = f"""WITH {INST.replace(DEP, _FILES, 1)} SELECT genre, pattern, count(*) AS n FROM inst JOIN g USING (doc_id, line_no)
+WHERE NOT (key % 11 = 0 AND 1 IN (s, o)) GROUP BY ALL"""
+O["genre_profile_from_files"] = f"WITH {_FILES} SELECT part, genre, count(*) AS sentences, sum(tokens)::BIGINT AS tokens FROM g GROUP BY ALL"
+O["pending_from_files"] = f"WITH {_FILES} SELECT part, comments::BIGINT AS comments, count(*) AS blocks FROM g GROUP BY ALL"
+O["chunk_files"] = f"""WITH RECURSIVE {_FILES}, tb AS (SELECT doc_id, line_no, bool_or(tok_id = 1 AND deprel <> 'root') AS rooted, bool_or(tok_id = 1) AS first, sum(strlen(concat_ws(chr(9), tok_id, form, '_', upos, '_', CASE WHEN upos = 'VERB' THEN '_' ELSE 'A=b' END, head, deprel, '_',
+    CASE WHEN ({_STATUS.format(u='upos', f='form')}) = 'entity' THEN 'A=x|NER=B-x' ELSE 'NER=O' END)) + 1) AS b FROM ok GROUP BY ALL),
+bk AS (SELECT part, doc_id, line_no, b + strlen('# sent_id = ' || doc_id || '-' || line_no) + strlen('# lang = ' || g.lang) + strlen('# text = ' || line) + 3
+    + CASE line_no % 7 WHEN 3 THEN strlen('# term = zvrst / neumetnostna / strokovna') + 1 WHEN 5 THEN strlen('# term = zvrst / druga') + 1 ELSE 0 END
+    + CASE WHEN opens THEN strlen('# newdoc id = ' || doc_id) + 1 + CASE WHEN doc_id % 3 = 0 THEN strlen('# term = zvrst / umetnostna') + 1 ELSE 0 END ELSE 0 END AS b,
+  CASE WHEN key % 11 = 0 THEN rooted WHEN key % 13 = 0 THEN first ELSE false END AS bad FROM g JOIN tb USING (doc_id, line_no) JOIN ln USING (doc_id, line_no)),
+lb AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, line_no) - 1 AS i, b FROM bk WHERE NOT bad), {chunked('lb', 'part', 20000)}
+SELECT part, chunk, count(*) AS blocks, sum(b)::BIGINT AS n_bytes FROM ck GROUP BY ALL"""
+O["conllu_source_counts"] = O["conllu_roundtrip_counts"]
+O["conllu_source_tokens"] = f"WITH {_SN} SELECT upos, deprel, count(*) AS n FROM ok WHERE upos = 'VERB' GROUP BY ALL"
+O["resumed_runs"] = """WITH c AS (SELECT lang AS name, count(*) AS n FROM documents GROUP BY lang)
+SELECT run::BIGINT AS run, name, status, CASE WHEN status = 'ok' THEN coalesce(c.n, 0) END AS n FROM (VALUES (1, 'de', 'ok'), (1, 'en', 'ok'), (1, 'fr', 'error'), (2, 'de', 'kept'), (2, 'en', 'kept'), (2, 'fr', 'ok')) AS x(run, name, status) LEFT JOIN c USING (name)
+UNION ALL SELECT NULL, name, 'committed', n FROM c WHERE name IN ('de', 'en', 'fr')"""
+O["watched_scan"] = "SELECT unnest(['same', 'changed']) AS input, (SELECT count(*) FROM nation) AS n, unnest([false, true]) AS refused"
+O["first_seen_stream"] = f"""WITH {INST}, pv AS (SELECT doc_id, line_no, {_SUMS} FROM inst GROUP BY doc_id, line_no),
+fs AS (SELECT ln.lang, row_number() OVER (PARTITION BY ln.lang, line ORDER BY ln.doc_id, ln.line_no) = 1 AS first, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _NS)} FROM ln LEFT JOIN pv ON ln.doc_id = pv.doc_id AND ln.line_no = pv.line_no)
+SELECT lang, count(*) AS sentences, count(*) FILTER (first) AS kept, {', '.join(f'sum({n})::BIGINT AS before_{n[2:]}, coalesce(sum({n}) FILTER (first), 0)::BIGINT AS after_{n[2:]}' for n in _NS)} FROM fs GROUP BY lang"""
 O["file_order"] = "SELECT n_regionkey::BIGINT AS region, row_number() OVER (ORDER BY n_regionkey) AS place, count(*) AS n FROM nation GROUP BY n_regionkey"
 O["tsv_roundtrip"] = "SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS name, n_regionkey::BIGINT AS region FROM nation"
 O["header_violation"] = "SELECT unnest(['header', 'key']) AS \"check\", true AS refused"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rows import generated
 from ..operators import contracts, distributions as D, matching as M, reports
 from ..schema import PATTERNS
 from ..sources import conllu, files
-from ..sources.scratch import own_folder
+from ..sources.scratch import own_folder, put_text
 from . import treebank
 from .queries import clusters, counts, docs, load, pseudo_misc, query, r6, sents, wide
 
@@ -175,15 +175,141 @@ def split_merge(spark, d):
     return merged.groupBy("split").agg(F.count("*").alias("blocks"), F.sum(tokens).cast("long").alias("tokens"))
 
 
+#: Documents of a file in the queries below.
+FILE_DOCS = 64
+
+
+def _in_files(spark: SparkSession, d: str, label: str) -> str:
+    """The pseudo-treebank as files of a few documents each, in order, as corpora come: each document opens with a block of
+    comments alone, some name a genre there and some at a sentence, and some rows are broken."""
+    path = own_folder(spark, label)
+    s = _annotated(spark, d)
+    doc, line = F.col("doc_id"), F.col("line_no")
+    opens = line == F.min("line_no").over(Window.partitionBy("doc_id"))  # a document's sentences
+    term = lambda name: F.lit(f"# term = zvrst / {name}")
+    here = F.when(line % 7 == 3, F.array(term("neumetnostna / strokovna"))).when(line % 7 == 5, F.array(term("druga"))).otherwise(F.array())
+    s = generated(s.withColumn("opens", opens), ["doc_id", "line_no", "lang", "tokens", "opens"], comments=F.concat("comments", here))
+    lines = F.split(conllu.rendered(), "\n")
+    spoilt = F.when((doc + line) % 11 == 0, F.transform(lines, lambda x: F.when(x.startswith("1\t"), F.regexp_replace(x, r"^((?:[^\t]*\t){6})[^\t]*", "$1_")).otherwise(x))).when((doc + line) % 13 == 0, F.transform(lines, lambda x: F.when(x.startswith("1\t"), F.concat(x, F.lit("\tmore"))).otherwise(x))).otherwise(lines)
+    newdoc = F.concat(F.concat_ws("", F.lit("# newdoc id = "), "doc_id"), F.when(doc % 3 == 0, F.concat(F.lit("\n"), term("umetnostna"))).otherwise(""), F.lit("\n\n"))
+    value = F.concat(F.when(F.col("opens"), newdoc).otherwise(""), F.array_join(spoilt, "\n"))
+    rows = s.select(F.expr(f"doc_id div {FILE_DOCS}").alias("part"), "doc_id", "line_no", value.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id", "line_no").select("part", "value").write.partitionBy("part").option("lineSep", "\n\n").text(path)
+    return path
+
+
+def _part(file: str = "file") -> Column:
+    return F.regexp_extract(file, "part=([0-9]+)", 1).cast("long")
+
+
+@query
+def genres_from_files(spark, d):
+    """Order counts by the genre in force at each sentence, read from the comments of its file and of the blocks before it."""
+    s = conllu.read_conllu(spark, _in_files(spark, d, "conllu-terms"), recursive=True, genres=True)
+    return M.order_counts(M.match(s.select("genre", "tokens")), "genre")
+
+
+@query
+def genre_profile_from_files(spark, d):
+    """Sentences and tokens by file and genre in force."""
+    s = conllu.read_conllu(spark, _in_files(spark, d, "conllu-terms"), recursive=True, genres=True)
+    return s.groupBy(_part().alias("part"), "genre").agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
+
+
+@query
+def pending_from_files(spark, d):
+    """Blocks by how many comments stand in front of them once blocks of comments alone have been put there."""
+    b = conllu.blocks(spark, _in_files(spark, d, "conllu-pending"), recursive=True, attach=True)
+    n = F.size(F.filter("lines", lambda x: x.startswith("#"))).cast("long")
+    return b.groupBy(_part().alias("part"), n.alias("comments")).agg(F.count("*").alias("blocks"))
+
+
 @query
 def chunk_files(spark, d):
-    """Blocks written in chunk files of a bounded size at block ends, read back and counted."""
-    source, path = own_folder(spark, "conllu-whole"), own_folder(spark, "conllu-chunks")
-    conllu.write_conllu(_annotated(spark, d).where("lang = 'de'").coalesce(1).sortWithinPartitions("doc_id", "line_no"), source)
-    b = conllu.blocks(spark, source)
-    conllu.write_chunks(b, path, 20_000)
+    """Files cleaned and cut as a tree engine takes them: comments attached, broken blocks dropped, chunks closed when full; written and read back."""
+    path = own_folder(spark, "conllu-chunks")
+    b = conllu.cleaned(conllu.blocks(spark, _in_files(spark, d, "conllu-whole"), recursive=True, attach=True)).where("not dropped")
+    named = b.withColumn("file", F.concat(F.lit("part"), _part().cast("string")))
+    conllu.write_chunks(named, path, 20_000)
     back = conllu.blocks(spark, path, recursive=True).withColumn("chunk", F.regexp_extract("file", "chunk=([0-9]+)", 1).cast("long"))
-    return back.groupBy("chunk").agg(F.count("*").alias("blocks"), F.sum(F.octet_length(F.array_join("lines", "\n")) + 2).cast("long").alias("n_bytes"))
+    return back.groupBy(F.regexp_extract("file", "name=part([0-9]+)", 1).cast("long").alias("part"), "chunk").agg(F.count("*").alias("blocks"), F.sum(F.octet_length(F.array_join("lines", "\n")) + 1).cast("long").alias("n_bytes"))
+
+
+@query
+def conllu_source_counts(spark, d):
+    """The corpus files through the data source: order counts by the language in the comments, from small byte ranges."""
+    from ..sources import conllu_source
+
+    conllu_source.register(spark)
+    s = spark.read.format("conllu").option("split", 1 << 20).load(_written(spark, d, "conllu-source"))
+    return M.order_counts(M.match(s.select(_comment("lang").alias("lang"), "tokens")), "lang")
+
+
+@query
+def conllu_source_tokens(spark, d):
+    """Tokens as rows of the data source, two of their columns made."""
+    from ..sources import conllu_source
+
+    conllu_source.register(spark)
+    t = spark.read.format("conllu").schema("upos string, deprel string").option("rows", "tokens").load(_written(spark, d, "conllu-source-tokens"))
+    return t.where("upos = 'VERB'").groupBy("upos", "deprel").agg(F.count("*").alias("n"))
+
+
+@query
+def resumed_runs(spark, d):
+    """Corpora run twice: one fails at first, the others aren't run again; what each run did, and the committed rows."""
+    from ..operators import runs
+
+    path, broken = own_folder(spark, "resumed"), {"fr"}
+
+    def work(name):
+        if name in broken:
+            raise ValueError("broken")
+        return docs(spark, d).where(F.col("lang") == name).select("doc_id")
+
+    inputs, out = [("de", "1"), ("en", "1"), ("fr", "1")], []
+    for k in (1, 2):
+        out.append(runs.run_corpora(spark, inputs, work, path).select(F.lit(k).cast("long").alias("run"), "name", "status", "n"))
+        broken.clear()
+    held = runs.results(spark, path, "doc_id long").groupBy("name").agg(F.count("*").alias("n"))
+    return out[0].union(out[1]).union(held.select(F.lit(None).cast("long"), "name", F.lit("committed"), "n"))
+
+
+@query
+def watched_scan(spark, d):
+    """A scan held against its files: taken while they stay as planned, refused once one has changed after planning."""
+    path = own_folder(spark, "watched")
+    load(spark, d, "nation").select("n_name", F.col("n_regionkey").alias("region")).write.partitionBy("region").text(path)
+    out = []
+    for label in ("same", "changed"):
+        rows, watch = files.watched(spark, path, lambda p: spark.read.option("recursiveFileLookup", "true").text(p))
+        if label == "changed":
+            put_text(spark, f"{path}/region=0/late.txt", "LATE\n")
+        n = rows.count()
+        try:
+            watch.check()
+            out.append((label, n, False))
+        except files.ChangedInput:
+            out.append((label, n, True))
+    return spark.createDataFrame(out, "input string, n long, refused boolean")
+
+
+@query
+def first_seen_stream(spark, d):
+    """Counts before and after removing repeats, kept by a stream that gets the sentences in three batches, the last ones first."""
+    from ..operators.matching import count_in_row
+    from ..streaming import counts as stream, first_seen
+
+    path = own_folder(spark, "first-seen")
+    v = count_in_row(treebank.sentences(docs(spark, d), "lang", text=True)).select("lang", "doc_id", F.col("line_no").cast("long").alias("line_no"), "line", *[F.col(f"n_{p}").cast("long").alias(f"n_{p}") for p in PATTERNS])
+    v.withColumn("part", 2 - F.col("doc_id") % 3).write.partitionBy("part").parquet(f"{path}/whole")
+    for k in range(3):
+        spark.read.parquet(f"{path}/whole/part={k}").write.mode("append").parquet(f"{path}/in")
+        with stream.rocksdb_state(spark):
+            rows = spark.readStream.schema(v.schema).parquet(f"{path}/in")
+            q = first_seen.changes(rows, "lang", "line", "doc_id", "line_no").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start()
+            q.awaitTermination()
+    return first_seen.totals(spark.read.schema(first_seen.CHANGES).parquet(f"{path}/out")).withColumnRenamed("scope", "lang")
 
 
 @query
@@ -193,8 +319,6 @@ def file_order(spark, d):
     load(spark, d, "nation").select("n_name", F.col("n_regionkey").alias("region")).write.partitionBy("region").option("lineSep", "\n").text(path)
     files_ = conllu.read_lines(spark, path, recursive=True).select(F.regexp_extract("file", "region=([0-9]+)", 1).cast("long").alias("region"), "file", "value")
     by = files_.groupBy("region").agg(F.min("file").alias("file"), F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     return by.select("region", F.row_number().over(Window.orderBy("file")).cast("long").alias("place"), "n")  # a row for each folder
 
 

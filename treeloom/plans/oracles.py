@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from ..operators.resampling import FIRST, SECOND, STEP
 from ..schema import PATTERNS
 
 ORACLES: dict[str, str] = {}
@@ -133,15 +134,30 @@ _SIDES = """sd AS (SELECT conv_id, count(*) FILTER (role = 'user' AND length(tex
   count(*) FILTER (role = 'assistant' AND length(text) % 2 = 0) AS a0, count(*) FILTER (role = 'assistant' AND length(text) % 2 = 1) AS a1,
   coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_len, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_len
   FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)"""
-O["paired_swap_hash"] = f"""WITH {_SIDES}, rp AS (SELECT *, unnest(range(0, 1001)) AS replicate FROM sd),
-sw AS (SELECT *, replicate > 0 AND substr(md5(concat(replicate, '-', conv_id)), 1, 1) < '8' AS swap FROM rp),
+_WORD = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(columns: str, source: str, z: str) -> str:
+    """The finalising mix of splitmix64 over ``z``, an unsigned 64-bit number."""
+    step = lambda shift, factor, inner: f"(SELECT {columns}, ((xor(z, z >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {_WORD})::UBIGINT AS z FROM {inner})"
+    return f"SELECT {columns}, xor(z, z >> 31) AS z FROM {step(27, SECOND, step(30, FIRST, f'(SELECT {columns}, {z} AS z FROM {source})'))}"
+
+
+def _drawn(rows: str, key: str, columns: str, counters: int) -> str:
+    """CTEs whose last, ``rd``, has 64 bits ``z`` for each row and counter ``c``."""
+    return f"""rk AS ({_mixed(columns, rows, f'{key}::UBIGINT')}), rc AS (SELECT *, unnest(range(0, {counters})) AS c FROM rk),
+rd AS ({_mixed(f'{columns}, c', 'rc', f'((z::UHUGEINT + (c + 1)::UHUGEINT * {STEP}::UHUGEINT) % {_WORD})::UBIGINT')})"""
+
+
+O["paired_swap_hash"] = f"""WITH {_SIDES}, {_drawn('sd', 'conv_id', 'conv_id, u0, u1, a0, a1', 313)}, rb AS (SELECT *, unnest(range(0, 64)) AS bit FROM rd),
+sw AS (SELECT *, c * 64 + bit + 1 AS replicate, (z >> bit) & 1 = 1 AS swap FROM rb WHERE c * 64 + bit < 20000 UNION ALL SELECT conv_id, u0, u1, a0, a1, 0, 0, 0, 0, false FROM sd),
 cells AS (SELECT replicate, 'u' AS x, 0 AS y, sum(CASE WHEN swap THEN a0 ELSE u0 END) AS n FROM sw GROUP BY ALL UNION ALL SELECT replicate, 'u', 1, sum(CASE WHEN swap THEN a1 ELSE u1 END) FROM sw GROUP BY ALL
   UNION ALL SELECT replicate, 'a', 0, sum(CASE WHEN swap THEN u0 ELSE a0 END) FROM sw GROUP BY ALL UNION ALL SELECT replicate, 'a', 1, sum(CASE WHEN swap THEN u1 ELSE a1 END) FROM sw GROUP BY ALL), {chi_table('cells', 'replicate')} {_perm()}"""
 _tot = " + ".join(_NS)
 _CDF = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
 _TAKEN = " + ".join(f"(u >= {x!r})::INT" for x in _CDF)
-O["bootstrap_ci_hash"] = f"""WITH {INST}, cl AS (SELECT doc_id, lang, {_SUMS} FROM inst GROUP BY doc_id, lang),
-dw AS (SELECT *, ('0x' || substr(md5(concat(replicate, '-', doc_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(1, 1001)) AS replicate FROM cl)),
+O["bootstrap_ci_hash"] = f"""WITH {INST}, cl AS (SELECT doc_id, lang, {_SUMS} FROM inst GROUP BY doc_id, lang), {_drawn('cl', 'doc_id', f"lang, {', '.join(_NS)}", 5000)},
+dw AS (SELECT *, c * 4 + lane + 1 AS replicate, ((z >> (16 * lane)) & 65535) / 65536.0::DOUBLE AS u FROM (SELECT *, unnest(range(0, 4)) AS lane FROM rd)),
 b AS (SELECT lang, replicate, {', '.join(f'sum({n} * ({_TAKEN}))::DOUBLE AS {n}' for n in _NS)} FROM dw GROUP BY lang, replicate),
 e AS (SELECT lang, n_SVO / ({_tot}) AS svo, {ent(_NS, f'({_tot})')} AS en FROM b WHERE {_tot} > 0)
 SELECT lang, round(quantile_cont(svo, 0.025), 6) AS svo_lo, round(quantile_cont(svo, 0.975), 6) AS svo_hi, round(quantile_cont(en, 0.025), 6) AS entropy_lo, round(quantile_cont(en, 0.975), 6) AS entropy_hi FROM e GROUP BY lang"""
@@ -186,8 +202,23 @@ ax AS (SELECT *, {' + '.join(f'excess_{p}' for p in PATTERNS)} AS excess FROM au
 O["duplicate_audit"] = f"WITH {_VEC} SELECT line, occurrences, variants, mismatches, first_doc, first_line::BIGINT AS first_line, excess::BIGINT AS excess, {', '.join(f'excess_{p}::BIGINT AS excess_{p}, nominal_{p}::BIGINT AS nominal_{p}' for p in PATTERNS)} FROM ax"
 O["duplicate_variants"] = f"""WITH {_VEC} SELECT line, {', '.join(_NS)}, count(*) AS occurrences, count(*) FILTER (rn = 1) AS retained FROM fs WHERE line IN (SELECT line FROM ax) GROUP BY line, {', '.join(_NS)}"""
 _json = lambda cells: " || ',' || ".join(f"'\"{p}\":' || ({c})" for p, c in zip(PATTERNS, cells, strict=True))
+_WRITTEN = "'[' || " + " || ',' || ".join(_NS) + " || ']'"
 O["duplicate_variants_json"] = f"""WITH {_VEC}, v AS (SELECT line, {', '.join(_NS)}, count(*) AS o, count(*) FILTER (rn = 1) AS r FROM fs WHERE line IN (SELECT line FROM ax) GROUP BY line, {', '.join(_NS)})
-SELECT line, '[' || string_agg('{{"occurrences":' || o || ',"retained_occurrences":' || r || ',"counts":{{' || {_json(_NS)} || '}},"excess_counts":{{' || {_json([f'{n} * (o - r)' for n in _NS])} || '}}}}', ',' ORDER BY {', '.join(_NS)}, o, r) || ']' AS variants FROM v GROUP BY line"""
+SELECT line, '[' || string_agg('{{"occurrences":' || o || ',"retained_occurrences":' || r || ',"counts":{{' || {_json(_NS)} || '}},"excess_counts":{{' || {_json([f'{n} * (o - r)' for n in _NS])} || '}}}}', ',' ORDER BY r DESC, {_WRITTEN}) || ']' AS variants FROM v GROUP BY line"""
+_LVEC = f"""{INST}, pv AS (SELECT doc_id, line_no, {_SUMS} FROM inst GROUP BY doc_id, line_no),
+sv AS (SELECT concat_ws(chr(9), coalesce(ln.lang, ''), ln.line) AS line, ln.doc_id % 7 = 0 AS fb, row_number() OVER (PARTITION BY coalesce(ln.lang, '') ORDER BY ln.doc_id, ln.line_no) AS idx,
+  CASE WHEN ln.doc_id % 3 = 0 THEN 0 ELSE coalesce(n_SVO, 0) END AS n_SVO, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _NS[1:])} FROM ln LEFT JOIN pv ON ln.doc_id = pv.doc_id AND ln.line_no = pv.line_no),
+fs AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY idx) AS rn FROM sv),
+hd AS (SELECT line AS hl, idx AS first_idx, {', '.join(f'{n} AS f_{n}' for n in _NS)} FROM fs WHERE rn = 1),
+au AS (SELECT line, count(*) AS occurrences, count(*) FILTER (fb) AS fallbacks, count(*) FILTER (({', '.join(_NS)}) <> ({', '.join(f'f_{n}' for n in _NS)})) AS mismatches, any_value(first_idx) AS first_idx,
+  {', '.join(f"any_value(f_{n}) AS f_{n}, sum({n}) - any_value(f_{n}) AS x_{n}, (count(*) - 1) * any_value(f_{n}) AS m_{n}" for n in _NS)} FROM fs JOIN hd ON line = hl GROUP BY line HAVING count(*) > 1),
+va AS (SELECT line, {', '.join(_NS)}, count(*) AS o, count(*) FILTER (rn = 1) AS r FROM fs WHERE line IN (SELECT line FROM au) GROUP BY line, {', '.join(_NS)}),
+vj AS (SELECT line, '[' || string_agg('{{"occurrences":' || o || ',"retained_occurrences":' || r || ',"counts":{{' || {_json(_NS)} || '}},"excess_counts":{{' || {_json([f'{n} * (o - r)' for n in _NS])} || '}}}}', ',' ORDER BY r DESC, {_WRITTEN}) || ']' AS variants FROM va GROUP BY line)"""
+O["duplicate_examples"] = f"""WITH {_LVEC} SELECT line AS sentence_text, first_idx AS first_sentence_index, occurrences, fallbacks AS fallback_occurrences, CASE WHEN mismatches = 0 THEN 1 ELSE 0 END::BIGINT AS count_vectors_identical,
+  mismatches AS later_occurrences_with_different_counts, variants AS pattern_count_variants_json, ({' + '.join(f'f_{n}' for n in _NS)})::BIGINT AS first_total, ({' + '.join(f'x_{n}' for n in _NS)})::BIGINT AS excess_total, ({' + '.join(f'm_{n}' for n in _NS)})::BIGINT AS nominal_excess_total,
+  {', '.join(f'f_{n}::BIGINT AS first_{n[2:]}, x_{n}::BIGINT AS excess_{n[2:]}, m_{n}::BIGINT AS nominal_excess_{n[2:]}' for n in _NS)} FROM au JOIN vj USING (line)"""
+O["repetition_with_fallbacks"] = f"""WITH {DEP} SELECT lang, count(*) AS total, count(DISTINCT line) AS unique_n, count(*) FILTER (doc_id % 7 = 0) AS fallbacks, count(*) - count(DISTINCT line) AS duplicates,
+  round(100 * (count(*) - count(DISTINCT line)) / count(*)::DOUBLE, 6) AS pct FROM ln GROUP BY lang"""
 _TOPS = " UNION ALL ".join(f"(SELECT '{c}' AS ranking, line, {c}::BIGINT AS value, row_number() OVER (ORDER BY {c} DESC, first_doc, first_line) AS place FROM ax WHERE {c} > 0 QUALIFY place <= 30)" for c in ("excess", "excess_OVS", "excess_SVO"))
 O["topk_rankings"] = f"WITH {_VEC} {_TOPS}"
 O["topk_excess"] = f"WITH {_VEC} SELECT line, excess::BIGINT AS excess, occurrences FROM ax WHERE excess > 0 ORDER BY excess DESC, first_doc, first_line LIMIT 30"
@@ -203,6 +234,36 @@ cl AS (SELECT 'direction' AS kind, one, other, before, after FROM pr WHERE one <
 O["claim_checks"] = f"WITH {_SH} SELECT kind, one, other, round(before, 6) AS before, round(after, 6) AS after FROM cl"
 O["claim_overall"] = f"""WITH {_SH} SELECT kind, count(*) AS claims, count(*) FILTER (before <= 1e-12) AS unsupported, count(*) FILTER (after <= 1e-12) AS lost,
   CASE WHEN count(*) FILTER (before IS NULL OR after IS NULL) > 0 THEN 'INCOMPLETE' WHEN count(*) FILTER (before <= 1e-12) > 0 THEN 'UNRESOLVED' WHEN count(*) FILTER (after <= 1e-12) > 0 THEN 'NOT STABLE' ELSE 'STABLE' END AS verdict FROM cl GROUP BY kind"""
+
+
+def _jsd(a: str, b: str) -> str:
+    part = lambda x, y, k: f"CASE WHEN {x}[{k}] > 0 THEN {x}[{k}] * log2(2 * {x}[{k}] / ({x}[{k}] + {y}[{k}])) ELSE 0 END"
+    return f"sqrt(greatest(0, ({' + '.join(f'({part(a, b, k)} + {part(b, a, k)})' for k in range(1, 7))}) / 2))"
+
+
+_B, _A = ", ".join(f"b.{n}::DOUBLE" for n in _NS), ", ".join(f"a0.{n}::DOUBLE" for n in _NS)
+_CAT = f"""{_BA}, vv AS (SELECT lang, 'before' AS state, [{_B}] AS v FROM b WHERE lang IS NOT NULL UNION ALL SELECT b.lang, 'after', CASE WHEN a0.total > 0 THEN [{_A}] ELSE [{_B}] END FROM b LEFT JOIN a0 ON b.lang = a0.lang WHERE b.lang IS NOT NULL),
+sp AS MATERIALIZED (SELECT lang, state, v, list_transform(v, lambda x: x / list_sum(v)) AS p FROM vv),
+ms AS MATERIALIZED (SELECT state, lang AS name, p[1] AS svo, p[6] AS ovs, -({' + '.join(f'CASE WHEN p[{k}] > 0 THEN p[{k}] * ln(p[{k}]) ELSE 0 END' for k in range(1, 7))}) AS h, v[1] - 2 * greatest({', '.join(f'v[{k}]' for k in range(2, 7))}) AS lead FROM sp),
+ds AS MATERIALIZED (SELECT x.state, x.lang AS anchor, y.lang AS name, {_jsd('x.p', 'y.p')} AS d FROM sp x JOIN sp y ON x.state = y.state AND x.lang <> y.lang),
+rk AS (SELECT anchor, name, row_number() OVER (PARTITION BY anchor ORDER BY d, name) AS up, count(*) OVER (PARTITION BY anchor) AS k FROM ds WHERE state = 'before'),
+st AS (SELECT anchor, ': nearest ' || string_agg(name, ', ' ORDER BY name) FILTER (up <= 2) AS near, ': farthest ' || string_agg(name, ', ' ORDER BY name) FILTER (up > k - 2) AS far FROM rk WHERE k > 2 GROUP BY anchor),
+pairs AS (SELECT x.state, x.name AS a, y.name AS b, x.h - y.h AS dh, x.svo - y.svo AS gap FROM ms x JOIN ms y ON x.state = y.state AND x.name < y.name),
+cm AS (SELECT name || ': dominant' AS label, 'positive' AS kind, state, lead::DOUBLE AS margin FROM ms
+  UNION ALL SELECT t.name || ': most OVS', 'above', t.state, any_value(t.ovs) - max(o.ovs) FROM ms t JOIN ms o ON t.state = o.state AND t.name <> o.name GROUP BY t.name, t.state
+  UNION ALL SELECT t.name || ': least entropy', 'below', t.state, min(o.h) - any_value(t.h) FROM ms t JOIN ms o ON t.state = o.state AND t.name <> o.name GROUP BY t.name, t.state
+  UNION ALL SELECT t.name || ': entropy above most', 'majority', t.state, count(*) FILTER (o.h < t.h) - count(*) / 2 FROM ms t JOIN ms o ON t.state = o.state AND t.name <> o.name GROUP BY t.name, t.state
+  UNION ALL SELECT a || ' > ' || b || ': entropy', 'above', state, dh FROM pairs
+  UNION ALL SELECT a || ' < ' || b || ': distance', 'closer', pairs.state, count(*) FILTER (x.d < y.d) - count(*) / 2 FROM pairs JOIN ds x ON x.state = pairs.state AND x.anchor = a AND x.name <> b JOIN ds y ON y.state = pairs.state AND y.anchor = b AND y.name = x.name GROUP BY ALL
+  UNION ALL SELECT a || ' - ' || b || ': SVO beyond range', 'range', pairs.state, gap - (max(svo) - min(svo)) FROM pairs JOIN ms ON ms.state = pairs.state AND name NOT IN (a, b) GROUP BY a, b, pairs.state, gap
+  UNION ALL SELECT anchor || near, 'below', state, min(d) FILTER (up > 2) - max(d) FILTER (up <= 2) FROM ds JOIN rk USING (anchor, name) JOIN st USING (anchor) GROUP BY anchor, near, state
+  UNION ALL SELECT anchor || far, 'above', state, min(d) FILTER (up > k - 2) - max(d) FILTER (up <= k - 2) FROM ds JOIN rk USING (anchor, name) JOIN st USING (anchor) GROUP BY anchor, far, state
+  UNION ALL SELECT 'xx > en: entropy', 'above', unnest(['before', 'after']), NULL),
+cj AS (SELECT label, kind, round(max(margin) FILTER (state = 'before'), 6) AS before, round(max(margin) FILTER (state = 'after'), 6) AS after FROM cm GROUP BY ALL),
+cv AS (SELECT *, CASE WHEN before IS NULL OR after IS NULL THEN 'INCOMPLETE' WHEN before <= 1e-12 THEN 'UNRESOLVED' WHEN after <= 1e-12 THEN 'NOT STABLE' ELSE 'STABLE' END AS verdict FROM cj)"""
+O["claim_catalogue"] = f"WITH {_CAT} SELECT * FROM cv"
+O["claim_catalogue_overall"] = f"""WITH {_CAT} SELECT kind, count(*) AS claims, count(*) FILTER (verdict = 'UNRESOLVED') AS unsupported, count(*) FILTER (after <= 1e-12) AS lost,
+  CASE WHEN count(*) FILTER (verdict = 'INCOMPLETE') > 0 THEN 'INCOMPLETE' WHEN count(*) FILTER (verdict = 'UNRESOLVED') > 0 THEN 'UNRESOLVED' WHEN count(*) FILTER (after <= 1e-12) > 0 THEN 'NOT STABLE' ELSE 'STABLE' END AS verdict FROM cv GROUP BY kind"""
 O["claim_verdicts"] = f"WITH {_MG} SELECT lang, claim, CASE WHEN before <= 1e-12 THEN 'UNRESOLVED' WHEN after <= 1e-12 THEN 'NOT STABLE' ELSE 'STABLE' END AS verdict FROM mg"
 _ALT = """alt AS (SELECT * REPLACE (CASE WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'nsubj' THEN 'obj' WHEN (doc_id + tok_id) % 97 = 0 AND deprel = 'obj' THEN 'nsubj' ELSE deprel END AS deprel,
   CASE WHEN (doc_id + tok_id) % 89 = 0 THEN 'ADJ' ELSE upos END AS upos, CASE WHEN (doc_id + tok_id) % 83 = 0 THEN 0 ELSE head END AS head) FROM dep)"""
@@ -277,9 +338,18 @@ e AS (SELECT status, pattern, count(*) AS n FROM rl WHERE role = 'object' GROUP
 SELECT 'order' AS dataset, lang AS name, pattern, round(100 * (coalesce(n, 0)::DOUBLE / total), 6) AS pct FROM g CROSS JOIN pat LEFT JOIN c USING (lang, pattern)
 UNION ALL SELECT 'status', status, pattern, round(100 * n / (sum(n) OVER (PARTITION BY status))::DOUBLE, 6) FROM e"""
 O["ner_outcome"] = f"""WITH {_ROLES}, h AS (SELECT lang, role, status, count(*) AS t, count(*) FILTER (CASE WHEN role = 'object' THEN pattern IN ('OVS', 'OSV') ELSE pattern = 'SVO' END) AS outcome FROM rl GROUP BY ALL) SELECT lang, role, status, outcome, t - outcome AS rest FROM h"""
-O["chunk_assignment"] = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-c AS (SELECT doc_id, strlen(line) + 1 AS b, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 AS chunk FROM l)
-SELECT doc_id, chunk::BIGINT AS chunk, count(*) AS n_lines, sum(b)::BIGINT AS n_bytes FROM c GROUP BY ALL"""
+
+
+def chunked(rows: str, key: str, most: int) -> str:
+    """CTEs from ``rows(key, i, b)``, i from 0: ``st`` has the starts of chunks, one found from the one before it, and ``ck`` the rows with their chunk."""
+    return f"""sz AS MATERIALIZED (SELECT *, coalesce(sum(b) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {rows}),
+st({key}, i, s, c) AS (SELECT {key}, 0::BIGINT, 0::HUGEINT, 0::BIGINT FROM sz GROUP BY {key} UNION ALL SELECT st.{key}, min(sz.i), min(sz.s), st.c + 1 FROM st JOIN sz ON sz.{key} = st.{key} AND sz.s >= st.s + {most} GROUP BY st.{key}, st.c),
+ck AS (SELECT sz.*, st.c AS chunk FROM sz ASOF JOIN st ON sz.{key} = st.{key} AND sz.i >= st.i)"""
+
+
+O["chunk_assignment"] = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+lb AS (SELECT doc_id, i, strlen(line) + 1 AS b FROM l), {chunked('lb', 'doc_id', 1000)}
+SELECT doc_id, chunk, count(*) AS n_lines, sum(b)::BIGINT AS n_bytes FROM ck GROUP BY ALL"""
 O["sessionise_blocks"] = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 f AS (SELECT doc_id, i, length(line) < 80 AS sep, coalesce(lag(length(line) < 80) OVER (PARTITION BY doc_id ORDER BY i), true) AS before FROM l),
 b AS (SELECT doc_id, sep, sum(CASE WHEN NOT sep AND before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM f)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.special import chi2_tail, fisher_tail, sign_tail
-from ..operators import agreement, distributions as D, inference as I, matching as M, repetition as R
+from ..operators import agreement, distributions as D, inference as I, matching as M, repetition as R, resampling as S
 from ..schema import PATTERNS, pattern_rank
 from ..sources.tables import load
 from . import treebank
@@ -252,7 +252,7 @@ def fisher_2x2(spark, d):
     return t.select("a", "b", "c", "e", r6(F.col("a") * F.col("e") / (F.col("b") * F.col("c"))).alias("odds_ratio"), r6(fisher_tail("a", "b", "c", "e")).alias("p"))
 
 
-#: Replicates of the hashed tests, which SQL repeats in full; those of numpy's streams have REPLICATES.
+#: Replicates of the permutations by hash, which order every unit in each and which SQL repeats in full; the others have REPLICATES.
 HASHED = 1000
 
 
@@ -300,84 +300,51 @@ def _sides(spark, d):
 
 @query
 def paired_swap_hash(spark, d):
-    p = _sides(spark, d).select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(HASHED))).alias("replicate"), "u0", "u1", "a0", "a1")
-    swap = (F.col("replicate") > 0) & (F.substring(I.hash_order(F.col("replicate"), F.col("conv_id")), 1, 1) < "8")
-    pick = lambda x, y: F.sum(F.when(swap, F.col(y)).otherwise(F.col(x)))
-    t = p.groupBy("replicate").agg(pick("u0", "a0").alias("u0"), pick("u1", "a1").alias("u1"), pick("a0", "u0").alias("a0"), pick("a1", "u1").alias("a1"))
-    chi = D.chi_square([F.array(F.col("u0").cast("double"), F.col("u1").cast("double")), F.array(F.col("a0").cast("double"), F.col("a1").cast("double"))])["chi2"]
-    return _perm(t.select("replicate", chi.alias("chi2")))
+    """Both sides of every conversation change places by bits of a counter-based generator, REPLICATES times."""
+    t = S.swapped_sums(_sides(spark, d), "conv_id", ["u0", "u1"], ["a0", "a1"], [])
+    two = lambda x: F.array(F.col(f"{x}0").cast("double"), F.col(f"{x}1").cast("double"))
+    return _perm(t.select("replicate", D.chi_square([two("u"), two("a")])["chi2"].alias("chi2")))
 
 
 @query
 def bootstrap_ci_hash(spark, d):
-    b = I.hash_bootstrap(clusters(spark, d, "lang"), "doc_id", "lang", replicates=HASHED)
+    """Intervals of SVO share and entropy over documents taken by a counter-based generator, REPLICATES times."""
+    b = S.bootstrap_sums(clusters(spark, d, "lang"), "doc_id", [f"n_{p}" for p in PATTERNS], ["lang"])
     total = sum((F.col(f"n_{p}") for p in PATTERNS), F.lit(0))
     b = b.where(total > 0).select("lang", (F.col("n_SVO") / total).alias("svo"), D.entropy(D.shares_of(D.vector())).alias("entropy"))
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     return b.groupBy("lang").agg(q("svo").alias("s"), q("entropy").alias("e")).select("lang", *[r6(F.get(c, F.lit(i))).alias(f"{n}_{x}") for c, n in (("s", "svo"), ("e", "entropy")) for i, x in ((0, "lo"), (1, "hi"))])
 
 
-#: The reference's published counts in the order of PATTERNS, and its tested pairs with their seeds.
-PUBLISHED = {
-    "suk-professional": [831, 50, 46, 17, 20, 141],
-    "suk-publicistic": [2035, 193, 102, 51, 46, 410],
-    "suk-literary": [112, 8, 6, 4, 4, 28],
-    "sst": [108, 18, 16, 4, 4, 18],
-    "ssj": [1406, 132, 80, 37, 32, 282],
-    "human-essays": [1237, 109, 132, 11, 37, 145],
-    "gpt5-essays": [2902, 125, 45, 5, 25, 146],
-    "aigent-gpt5": [1708, 89, 16, 7, 8, 92],
-    "kdsp": [32121, 2478, 5310, 2103, 1186, 5036],
-}
-PUBLISHED_PAIRS = (
-    ("suk-professional", "suk-publicistic", 20260714),
-    ("suk-professional", "suk-literary", 20260715),
-    ("suk-professional", "sst", 20260716),
-    ("suk-publicistic", "suk-literary", 20260717),
-    ("suk-publicistic", "sst", 20260718),
-    ("suk-literary", "sst", 20260719),
-    ("ssj", "sst", 20260720),
-    ("human-essays", "gpt5-essays", 20260721),
-    ("gpt5-essays", "aigent-gpt5", 20260722),
-    ("suk-literary", "kdsp", 20260723),
-)
+#: The seeds of the count-level and cluster permutations.
+COUNT_SEED, CLUSTER_SEED = 20260715, 20260828
 
 
-@query
-def perm_chi2_exact_rng(spark, d):
-    rows = [(a, b, PUBLISHED[a], PUBLISHED[b], seed) for a, b, seed in PUBLISHED_PAIRS]
-    return I.exact_pair_tests(spark.createDataFrame(rows, "group_a string, group_b string, a array<long>, b array<long>, seed long"))
-
-
-#: The seeds of the three-group, cluster, paired and bootstrap streams.
-GROUPS_SEED, CLUSTER_SEED, BOOTSTRAP_SEED = 20260715, 20260828, 20261001
-
-
-@query
-def perm_chi2_three_groups(spark, d):
-    """The three published genres at once."""
-    cells = [PUBLISHED[f"suk-{g}"] for g in ("literary", "publicistic", "professional")]
-    return I.exact_group_tests(spark.createDataFrame([("genres", cells, GROUPS_SEED)], "name string, cells array<array<long>>, seed long"))
+def _families(spark, d) -> DataFrame:
+    """``(family, lang)``: each two languages, and all of them."""
+    langs = docs(spark, d).where("lang is not null").select("lang").distinct()
+    other = langs.withColumnRenamed("lang", "other")
+    two = langs.join(F.broadcast(other), F.col("lang") < F.col("other"))  # languages
+    name = F.concat_ws("-", "lang", "other")
+    return two.select(name.alias("family"), "lang").union(two.select(name, "other")).union(langs.select(F.lit("all"), "lang"))
 
 
 @query
-def cluster_perm_exact_rng(spark, d):
-    """Documents as clusters: each two languages, and all at once."""
-    langs = sorted(r[0] for r in docs(spark, d).select("lang").distinct().where("lang is not null").collect())  # languages, not rows
-    pairs = [(a, b) for i, a in enumerate(langs) for b in langs[i + 1 :]]
-    families = [(f"{a}-{b}", [a, b], CLUSTER_SEED + 100 + i) for i, (a, b) in enumerate(pairs)] + [("all", langs, CLUSTER_SEED)]
-    return I.exact_cluster_tests(clusters(spark, d, "lang"), spark.createDataFrame(families, "name string, members array<string>, seed long"), "doc_id", "lang")
+def perm_chi2_counts(spark, d):
+    """Order counts of each two languages, and of all, under shuffled labels."""
+    v = wide(spark, d).select("lang", F.array(*[F.col(f"n_{p}") for p in PATTERNS]).alias("v"))
+    tables = _families(spark, d).join(v, "lang").groupBy("family").agg(F.sort_array(F.collect_list(F.struct("lang", "v"))).alias("x"))  # languages
+    out = S.count_permutations(tables.select("family", F.col("x.v").alias("cells")), ["family"], "cells", COUNT_SEED)
+    return out.select("family", r6("chi2").alias("chi2"), "hits", "replicates", r6("p").alias("p"))
 
 
 @query
-def paired_swap_exact_rng(spark, d):
-    return I.exact_swap_test(_sides(spark, d), "conv_id", ["u0", "u1"], ["a0", "a1"], CLUSTER_SEED)
-
-
-@query
-def bootstrap_exact_rng(spark, d):
-    langs = tuple(sorted(r[0] for r in docs(spark, d).select("lang").distinct().where("lang is not null").collect()))  # languages, not rows
-    return I.exact_bootstrap(clusters(spark, d, "lang"), langs, "doc_id", "lang", BOOTSTRAP_SEED)
+def cluster_perm(spark, d):
+    """Whole documents of each two languages, and of all, dealt to the languages anew."""
+    names = [f"n_{p}" for p in PATTERNS]
+    units = clusters(spark, d, "lang").join(F.broadcast(_families(spark, d)), "lang")  # a few rows of families
+    t = S.permuted_sums(units.select("family", "doc_id", "lang", *names), "doc_id", names, ["family"], "lang", CLUSTER_SEED)
+    return _perm(S.table_statistics(t, ["family", "replicate"], names), "family")
 
 
 @query
@@ -446,6 +413,25 @@ def duplicate_variants_json(spark, d):
     return R.variants_json(R.variants(sentence_vectors(spark, d), "line", "doc_id", "line_no"), "line")
 
 
+@query
+def duplicate_examples(spark, d):
+    """The export of repeated sentences of each language, numbered as they stand there; every seventh document's have no text of their own."""
+    from ..operators.ordered import running_sums
+
+    v = sentence_vectors(spark, d).withColumn("lang", F.coalesce("lang", F.lit("")))
+    place = F.col("doc_id") * (1 << 20) + F.col("line_no")
+    numbered = running_sums(v, "lang", place, before=F.lit(1)).withColumn("index", F.col("before") + 1).withColumn("is_fallback", F.col("doc_id") % 7 == 0)
+    keyed = numbered.withColumn("identity", F.concat_ws("\t", "lang", "line"))
+    return R.examples(keyed, "identity", "index", "is_fallback")
+
+
+@query
+def repetition_with_fallbacks(spark, d):
+    """Sentences, distinct ones, repeats and made-up identities by language."""
+    x = sentence_vectors(spark, d).withColumn("is_fallback", F.col("doc_id") % 7 == 0)
+    return R.repetition_counts(x, "line", "lang", fallback="is_fallback").withColumn("pct", r6("pct"))
+
+
 @query
 def topk_excess(spark, d):
     a = _audit(spark, d).where("excess > 0")
@@ -512,6 +498,36 @@ def claim_overall(spark, d):
     return R.overall(_claims(spark, d), "kind")
 
 
+def _catalogue(spark, d):
+    """``(claims, long)``: all kinds of claims over the languages there are, and their measures before and after removing repeats."""
+    from ..operators import claims as C
+
+    long = C.measures(_before_after(spark, d).select("lang", "before", "after"), "lang")
+    names = sorted(r[0] for r in docs(spark, d).where("lang is not null").select("lang").distinct().collect())  # languages, not rows
+    made = [c for n in names for c in (C.dominant(f"{n}: dominant", n), C.highest(f"{n}: most OVS", "share_OVS", n, names), C.lowest(f"{n}: least entropy", "entropy", n, names), C.above_majority(f"{n}: entropy above most", "entropy", n, names))]
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            rest = [n for n in names if n not in (a, b)]
+            made += [C.exceeds(f"{a} > {b}: entropy", "entropy", a, b), C.closer_to_majority(f"{a} < {b}: distance", a, b, names), C.gap_beyond_range(f"{a} - {b}: SVO beyond range", "share_SVO", a, b, rest)]
+    made.append(C.exceeds("xx > en: entropy", "entropy", "xx", "en"))  # a group that isn't there
+    return C.catalogue(spark, made).union(C.nearest_sets(long, 2)), long
+
+
+@query
+def claim_catalogue(spark, d):
+    """Margins and verdicts of a catalogue of claims: extremes, dominance, directions, majorities, ranges, and nearest and farthest sets."""
+    from ..operators import claims as C
+
+    return C.judged(*_catalogue(spark, d)).select("label", "kind", r6("before").alias("before"), r6("after").alias("after"), R.verdict(r6("before"), r6("after")).alias("verdict"))
+
+
+@query
+def claim_catalogue_overall(spark, d):
+    from ..operators import claims as C
+
+    return R.overall(C.judged(*_catalogue(spark, d)).select("kind", r6("before").alias("before"), r6("after").alias("after")), "kind")
+
+
 def _aligned(spark, d):
     return agreement.align(flat(found(spark, d)), flat(M.match(perturbed(spark, d))))
 
@@ -679,10 +695,12 @@ CHUNK_BYTES = 1000
 
 @query
 def chunk_assignment(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    before = F.coalesce(F.sum(F.octet_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunked = lines.withColumn("chunk", F.floor(before / CHUNK_BYTES).cast("long"))
-    return chunked.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line") + 1).cast("long").alias("n_bytes"))
+    """Lines of each document in chunks that close at the line which fills them."""
+    from ..operators.ordered import greedy_chunks
+
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", "i", (F.octet_length("line") + 1).alias("b"))
+    chunked = greedy_chunks(lines, "doc_id", F.col("i"), F.col("b"), CHUNK_BYTES)
+    return chunked.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_lines"), F.sum("b").cast("long").alias("n_bytes"))
 
 
 @query

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rows import generated
+from ..operators.ordered import greedy_chunks
 
 #: Substrings of a ``# term =`` line that name a genre, first match wins (fixed values of the corpus format).
 GENRES = (
@@ -30,14 +31,32 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Fal
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
 
 
-def blocks(spark: SparkSession, path: str | list[str], plain: bool = False, recursive: bool = False) -> DataFrame:
+def genre_event(line: Column) -> Column:
+    """What a line does to the genre in force, as ``struct(genre)``: a new document ends it, a mapped term sets it; null for other lines."""
+    genre = genre_of(line)
+    return F.when(line.startswith("# newdoc"), F.struct(F.lit(None).cast("string").alias("genre"))).when(line.startswith("# term =") & genre.isNotNull(), F.struct(genre.alias("genre")))
+
+
+def _carried(splits: DataFrame, value: Column, name: str, back: bool = False) -> DataFrame:
+    """Adds the last ``value`` that is not null of the splits before each (or, ``back``, the first of those after)."""
+    order = Window.partitionBy("file").orderBy(F.desc("start") if back else F.col("start")).rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn(name, F.last(value, ignorenulls=True).over(order))
+
+
+def blocks(spark: SparkSession, path: str | list[str], plain: bool = False, recursive: bool = False, attach: bool = False, genres: bool = False, keep_bom: bool = False) -> DataFrame:
     """``(file, ord, lines)``: the lines of each block; ``ord`` orders the blocks of a file.
 
     Lines of white space part blocks. A line opens a block if the line before it parts, also
     across splits; what a task orders is one split. gz files are decompressed by extension and
     are one split each. ``plain`` promises LF ends and empty separators.
+
+    With ``genres`` there is a column ``genre``: the one in force at a block's last line, which
+    may have been set in an earlier split. With ``attach`` blocks of comments alone are put before
+    the next other block of their file, whichever split it is in, and dropped if there is none.
+    Both are scans: the state is folded within a split, a table of a row for each split is
+    scanned, and what came before (or comes after) a split is applied to its lines.
     """
-    if plain:
+    if plain and not (attach or genres):
         raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n\n").text(path)
         raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("ord"), "value")
         cut = raw.select("file", F.format_string("%016d-%020d", "at", "ord").alias("ord"), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
@@ -46,16 +65,41 @@ def blocks(spark: SparkSession, path: str | list[str], plain: bool = False, recu
     own = Window.partitionBy("file", "start").orderBy("id")
     opens = ~F.col("blank") & F.coalesce(F.lag("blank").over(own), F.lit(False))
     lines = lines.withColumn("opened", F.sum(opens.cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    splits = lines.groupBy("file", "start").agg(F.max("opened").alias("inner"), F.min_by("blank", "id").alias("blank_first"), F.max_by("blank", "id").alias("blank_last"))
+    facts = [F.max("opened").alias("inner"), F.min_by("blank", "id").alias("blank_first"), F.max_by("blank", "id").alias("blank_last")]
+    if genres:
+        event = genre_event(F.col("value") if keep_bom else F.regexp_replace("value", "^\ufeff", ""))
+        lines = lines.withColumn("event", event).withColumn("state", F.last("event", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+        facts.append(F.max_by("event", F.when(F.col("event").isNotNull(), F.col("id"))).alias("event_last"))
+    if attach:
+        row = F.when(~F.col("blank") & ~F.col("value").startswith("#"), F.col("opened"))
+        back = Window.partitionBy("file", "start").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+        lines = lines.withColumn("row", row).withColumn("row_before", F.last("row", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("row_after", F.last("row", ignorenulls=True).over(back))
+        facts += [F.min("row").alias("row_first"), F.max("row").alias("row_last")]
     order = Window.partitionBy("file").orderBy("start")  # of a file's splits
+    splits = lines.groupBy("file", "start").agg(*facts)
     at_edge = ~F.col("blank_first") & F.coalesce(F.lag("blank_last").over(order), F.lit(True))
     splits = splits.withColumn("edge", at_edge.cast("long"))
     before = F.coalesce(F.sum(F.col("inner") + F.col("edge")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select(F.col("file").alias("_file"), F.col("start").alias("_start"), (before + F.col("edge")).alias("_base"))
+    splits, more = splits.withColumn("base", before + F.col("edge")), []
+    if genres:
+        splits = _carried(splits, F.col("event_last"), "event_before")
+        more.append("event_before")
+    if attach:
+        splits = _carried(splits, F.col("base") + F.col("row_last"), "ord_before")
+        splits = _carried(splits, F.col("base") + F.col("row_first"), "ord_after", back=True)
+        more += ["ord_before", "ord_after"]
+    splits = splits.select(F.col("file").alias("_file"), F.col("start").alias("_start"), F.col("base").alias("_base"), *more)
     placed = lines.where("not blank").join(splits, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
-    placed = placed.withColumn("ord", F.format_string("%012d", F.col("_base") + F.col("opened")))
-    held = placed.groupBy("file", "ord").agg(F.sort_array(F.collect_list(F.struct("start", "id", "value"))).alias("held"))
-    return held.select("file", "ord", F.col("held.value").alias("lines"))
+    number = F.col("_base") + F.col("opened")
+    if attach:
+        last, following = F.coalesce(F.col("_base") + F.col("row_before"), F.col("ord_before")), F.coalesce(F.col("_base") + F.col("row_after"), F.col("ord_after"))
+        placed = placed.withColumn("_number", F.when(F.coalesce(last == number, F.lit(False)), number).otherwise(following)).where("_number is not null")
+        number = F.col("_number")
+    placed = placed.withColumn("ord", F.format_string("%012d", number))
+    at = F.struct("start", "id")
+    states = [F.max_by(F.coalesce("state", "event_before"), at).getField("genre").alias("genre")] if genres else []
+    held = placed.groupBy("file", "ord").agg(F.sort_array(F.collect_list(F.struct("start", "id", "value"))).alias("held"), *states)
+    return held.select("file", "ord", F.col("held.value").alias("lines"), *(["genre"] if genres else []))
 
 
 def strip_bom(lines: Column) -> Column:
@@ -76,30 +120,30 @@ def token(line: Column) -> Column:
     )
 
 
-def read_conllu(spark: SparkSession, path: str | list[str], min_cols: int = 8, exact_cols: int | None = None, keep_bom: bool = False, plain: bool = False, recursive: bool = False, strict: bool = False) -> DataFrame:
-    """One row a sentence: file, ord, comments, tokens (last row of a repeated id wins), text, is_fallback.
+def read_conllu(spark: SparkSession, path: str | list[str], min_cols: int = 8, exact_cols: int | None = None, keep_bom: bool = False, plain: bool = False, recursive: bool = False, strict: bool = False, genres: bool = False, attach: bool = False) -> DataFrame:
+    """One row a sentence: file, ord, comments, tokens (last row of a repeated id wins), text, is_fallback; with ``genres`` also genre.
 
     Rows count as tokens if their ID is a whole number and they have ``min_cols`` columns (or
     exactly ``exact_cols``); ranges, empty nodes and other rows are left out. ``text`` is the
     ``# text =`` comment as it stands, or else the forms joined by spaces. With ``strict`` a
-    sentence of two different texts is an error.
+    sentence of two different texts is an error. ``genres`` and ``attach`` are as in ``blocks``.
     """
-    b = blocks(spark, path, plain, recursive)
+    b, more = blocks(spark, path, plain, recursive, attach, genres, keep_bom), ["genre"] if genres else []
     lines = F.col("lines") if keep_bom else strip_bom(F.col("lines"))
     b = b.withColumn("lines", lines)
     wide_enough = (lambda n: n == exact_cols) if exact_cols else (lambda n: n >= min_cols)
     numbered = F.filter("lines", lambda x: ~x.startswith("#") & F.get(fields(x), F.lit(0)).rlike(_ID))
-    b = generated(b, ["file", "ord"], comments=F.filter("lines", lambda x: x.startswith("#")), numbered=numbered).where(F.size("numbered") > 0)
+    b = generated(b, ["file", "ord", *more], comments=F.filter("lines", lambda x: x.startswith("#")), numbered=numbered).where(F.size("numbered") > 0)
     rows = F.transform(F.filter("numbered", lambda x: wide_enough(F.size(fields(x)))), token)
     placed = F.array_sort(F.transform(rows, lambda t, i: F.struct(t["id"].alias("id"), i.alias("i"), t.alias("t"))))
     texts = F.array_distinct(F.filter("comments", lambda x: x.startswith("# text = ")))
     forms = F.array_join(F.transform("numbered", lambda x: F.get(fields(x), F.lit(1))), " ")
-    b = generated(b, ["file", "ord", "comments"], placed=placed, texts=texts, forms=forms)
+    b = generated(b, ["file", "ord", "comments", *more], placed=placed, texts=texts, forms=forms)
     last = F.filter("placed", lambda x, i: F.coalesce(F.get("placed", i + 1)["id"] != x["id"], F.lit(True)))
     said = F.get("texts", F.lit(0))
     if strict:
         said = F.when(F.size("texts") > 1, F.raise_error(F.concat(F.lit("two texts in one sentence: "), F.array_join("texts", " / ")))).otherwise(said)
-    return b.select("file", "ord", "comments", F.transform(last, lambda x: x["t"]).alias("tokens"), F.coalesce(F.substring(said, 10, 1_000_000_000), "forms").alias("text"), said.isNull().alias("is_fallback"))
+    return b.select("file", "ord", "comments", F.transform(last, lambda x: x["t"]).alias("tokens"), F.coalesce(F.substring(said, 10, 1_000_000_000), "forms").alias("text"), said.isNull().alias("is_fallback"), *more)
 
 
 def violations(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -133,8 +177,38 @@ def repair_roots(tokens: str) -> Column:
 
 
 def unattached(tokens: str) -> Column:
-    """Whether any token has no head after repair: such sentences are dropped."""
-    return F.exists(tokens, lambda t: t["head"] == "_")
+    """Whether the (string) head of any token is no number after repair: such sentences are dropped."""
+    return F.exists(tokens, lambda t: ~F.coalesce(t["head"].rlike(_ID), F.lit(False)))
+
+
+def headless(lines: str) -> Column:
+    """Whether any numbered row of a block has a head that is no number, a root's ``_`` apart: such sentences are dropped."""
+
+    def bad(x):
+        f = fields(x)
+        at = lambda i: F.coalesce(F.get(f, F.lit(i)), F.lit(""))
+        return ~x.startswith("#") & at(0).rlike(_ID) & ~at(6).rlike(_ID) & ~((at(6) == "_") & (at(7) == "root"))
+
+    return F.exists(lines, bad)
+
+
+def cleaned(blocks_: DataFrame) -> DataFrame:
+    """Blocks ready for a tree engine, with ``dropped``: rows of another width or without a head drop a block (its lines stay as they are).
+
+    In the others, FEATS without ``=`` and DEPS without ``:`` become ``_`` and a root without a head gets 0.
+    """
+
+    def fixed(x):
+        f = fields(x)
+        at = lambda i: F.get(f, F.lit(i))
+        feats = F.when(at(5).contains("="), at(5)).otherwise("_")
+        head = F.when(at(0).rlike(_ID) & (at(6) == "_") & (at(7) == "root"), "0").otherwise(at(6))
+        deps = F.when(at(8).contains(":"), at(8)).otherwise("_")
+        return F.when(x.startswith("#"), x).otherwise(F.concat_ws("\t", *[at(i) for i in range(5)], feats, head, at(7), deps, at(9)))
+
+    keys = [c for c in blocks_.columns if c != "lines"]
+    judged = generated(blocks_, [*keys, "lines"], dropped=wrong_width("lines") | headless("lines"))
+    return judged.withColumn("lines", F.when(F.col("dropped"), F.col("lines")).otherwise(F.transform("lines", fixed)))
 
 
 def wrong_width(lines: str, width: int = 10) -> Column:
@@ -245,32 +319,19 @@ def merge_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("t
     return out.select("split", "file", "ord", "lines")
 
 
-#: Rows of a range whose running sums one task makes.
-RANGE = 65_536
-
-
-def running_before(rows: DataFrame, value: Column, by: str, place: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows of ``by`` at lesser places (whole numbers, one row each).
+def chunk_ids(blocks_: DataFrame, most_bytes: int, by: str = "file") -> DataFrame:
+    """Blocks with the number of the chunk of ``by`` that each falls into, in the order of ``ord``.
 
-    Ranges of places are summed first, so that no task walks a whole group.
+    A block counts its lines with their ends, not the blank line after it. A chunk closes at the
+    block with which it holds ``most_bytes`` or more, and the next starts empty.
     """
-    made = rows.withColumn("_place", place.cast("long")).withColumn("_value", value).withColumn("_range", F.expr(f"_place div {RANGE}"))
-    sums = made.groupBy(by, "_range").agg(F.sum("_value").alias("_sum"))
-    first = F.coalesce(F.sum("_sum").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), first.alias("_first"))
-    inner = F.coalesce(F.sum("_value").over(Window.partitionBy(by, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    made = made.withColumn("_inner", inner).join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
-    return made.withColumn(name, F.col("_first") + F.col("_inner")).drop("_place", "_value", "_range", "_by", "_of", "_first", "_inner")
-
-
-def chunk_ids(blocks_: DataFrame, most_bytes: int, by: str = "file") -> DataFrame:
-    """Blocks, as ``blocks`` numbers them, with the number of the chunk each falls into: a chunk closes at the block that fills it."""
-    size = F.octet_length(F.array_join("lines", "\n")) + 2
-    return running_before(blocks_, size, by, F.col("ord"), "_before").withColumn("chunk", F.floor(F.col("_before") / most_bytes).cast("long")).drop("_before")
+    size = F.octet_length(F.array_join("lines", "\n")) + 1
+    return greedy_chunks(blocks_, by, F.col("ord"), size, most_bytes)
 
 
 def write_chunks(blocks_: DataFrame, path: str, most_bytes: int = 50 << 20, by: str = "file") -> None:
-    """Writes a file of at least ``most_bytes`` (the last of a file may have less) for each chunk, as ``name=.../chunk=n/``, blocks in order."""
+    """Writes a file for each chunk, as ``name=.../chunk=n/``, blocks in order: each holds at least ``most_bytes``, by one block at
+    most, but for the last of ``by``, which may hold less."""
     named = chunk_ids(blocks_, most_bytes, by).withColumn("name", F.regexp_extract(by, r"([^/]*?)(\.conllu)?(\.gz)?$", 1))
     rows = named.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ord")
     rows.select("name", "chunk", F.array_join("lines", "\n").alias("value")).write.partitionBy("name", "chunk").option("lineSep", "\n\n").text(path)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from .scratch import exists, remove, rename
+from .scratch import exists, remove, rename, statuses
 
 #: The manifest's columns, those that must be filled, and the NER families.
 MANIFEST = (
@@ -50,7 +52,8 @@ def publish(spark: SparkSession, outputs: dict[str, DataFrame], check: Callable[
     """Writes several outputs as Parquet and lets them appear together.
 
     All are written beside their places first, ``check`` may refuse what it reads there, and only
-    then are they renamed; nothing is overwritten, and after a failure nothing has appeared.
+    then are they renamed, one by one; nothing is overwritten. If one can't be renamed, those that
+    were go again, so after a failure nothing has appeared (but for a reader in between).
     """
     if taken := [p for p in outputs if exists(spark, p)]:
         raise ValueError(f"{taken[0]} exists")
@@ -60,8 +63,15 @@ def publish(spark: SparkSession, outputs: dict[str, DataFrame], check: Callable[
             df.write.parquet(staged[path])
         if check is not None:
             check({p: spark.read.parquet(t) for p, t in staged.items()})
-        for path, temporary in staged.items():
-            rename(spark, temporary, path)
+        done = []
+        try:
+            for path, temporary in staged.items():
+                rename(spark, temporary, path)
+                done.append(path)
+        except Exception:
+            for path in done:
+                remove(spark, path)
+            raise
     finally:
         for temporary in staged.values():
             remove(spark, temporary)
@@ -131,18 +141,35 @@ def inside(base: str, path: str) -> str:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, length, sha256)`` of each file of 2 GB at most; contents stay on the executors. ``digest_local`` has no limit."""
+    """``(name, length, sha256)`` of each file of 2 GB at most; contents stay on the executors. ``streamed_digests`` has no limit."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-def digest_local(path: str, chunk: int = 1 << 20) -> str:
-    """SHA-256 of one local file of any size."""
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(chunk):
-            h.update(block)
-    return h.hexdigest()
+def streamed_digests(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """``(name, length, sha256)`` of files of any size, read on the executors ``chunk`` bytes at a time, a task a file.
+
+    Opened through pyarrow, so in stores that it knows (local, HDFS, S3, GCS); an empty file has
+    the digest of nothing.
+    """
+    found = [(p, n) for p, n, _ in statuses(spark, path) if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
+    listed = spark.createDataFrame(found, "path string, length long")
+
+    def run(frames):
+        from pyarrow import fs
+
+        for frame in frames:
+            out = []
+            for where, length in zip(frame["path"], frame["length"], strict=True):
+                system, local = fs.FileSystem.from_uri(where.replace("file:/", "file:///", 1) if re.match("file:/[^/]", where) else where)
+                h = hashlib.sha256()
+                with system.open_input_stream(local) as f:
+                    while block := f.read(chunk):
+                        h.update(block)
+                out.append((where.rsplit("/", 1)[-1], length, h.hexdigest()))
+            yield pd.DataFrame(out, columns=["name", "length", "sha256"])
+
+    return listed.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "name string, length long, sha256 string")
 
 
 def unchanged(spark: SparkSession, path: str, before: DataFrame | None = None):
@@ -151,3 +178,43 @@ def unchanged(spark: SparkSession, path: str, before: DataFrame | None = None):
     if before is None:
         return now
     return now.exceptAll(before).union(before.exceptAll(now))
+
+
+class Watch:
+    """The files that a scan really read, as planned, to be held against the store once its rows have passed.
+
+    A plan keeps the sizes and change times of its listing; rows carry them as they are read, and
+    an observation gathers them, a row a file. ``check`` refuses the result if a file that was
+    read has another size or change time by then, or is gone, or if the listing has other files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str) -> None:
+        self.spark, self.path, self.planned, self.seen = spark, path, statuses(spark, path), Observation(name)
+
+    def check(self) -> list[tuple[str, int, int]]:
+        """The files read; raises ``ChangedInput`` if they aren't those there are now."""
+        read = sorted((r["path"], r["length"], r["changed"]) for r in self.seen.get["files"])
+        plain = lambda rows: {(re.sub("^file:/+", "file:/", p), n, t) for p, n, t in rows}
+        now = plain(statuses(self.spark, self.path))
+        if missing := plain(read) - now:
+            raise ChangedInput(f"changed while it was read: {min(missing)[0]}")
+        if other := now ^ plain(self.planned):
+            raise ChangedInput(f"changed since it was listed: {min(other)[0]}")
+        return read
+
+
+class ChangedInput(ValueError):
+    """The input isn't what the scan was planned on."""
+
+
+def watched(spark: SparkSession, path: str, read: Callable[[str], DataFrame], name: str = "files") -> tuple[DataFrame, Watch]:
+    """``read(path)``, a scan of files, and a watch over it; the columns are the scan's."""
+    watch, rows = Watch(spark, path, f"{name}-{uuid.uuid4().hex}"), read(path)
+    meta = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.unix_millis("_metadata.file_modification_time").alias("changed"))
+    marked = rows.select("*", meta.alias("_from")).observe(watch.seen, F.collect_set("_from").alias("files"))
+    return marked.drop("_from"), watch
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and change times of the files at ``path``."""
+    return hashlib.sha256(repr(statuses(spark, path)).encode()).hexdigest()

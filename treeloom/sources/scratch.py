@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,3 +60,35 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
     found, system = _file_system(spark, path)
     if not system.rename(found, _file_system(spark, to)[0]):
         raise OSError(f"{path} could not be renamed to {to}")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written once in the shared folder and read back: its lineage ends there, and lost executors cost no work before it."""
+    path = own_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def statuses(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(path, length, change time)`` of the file at ``path``, or of all files below it, by path, as the store has them now."""
+    found, system = _file_system(spark, path)
+    out, listed = [], system.listFiles(found, True)
+    while listed.hasNext():
+        x = listed.next()
+        out.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return sorted(out)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that appears whole or not at all; False if there is one already."""
+    found, system = _file_system(spark, path)
+    made, _ = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = system.create(made, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not system.exists(found) and system.rename(made, found):
+        return True
+    system.delete(made, False)
+    return False
