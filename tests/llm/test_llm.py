@@ -622,6 +622,35 @@ def test_layout_words_are_no_noise():
     assert html.extract(f"<body>{story}<div class='comments'><article><h1>Re</h1><p>{'So much to say. ' * 30}</p></article></div></body>") == "Title\n\nThe story itself."
 
 
+def test_comments_are_no_story():
+    """Reader comments in article elements go, marked by class, role or item type, nested or beside the story, however long."""
+    story, long = "<h1>T</h1><p>Body of the story, some words of it.</p>", f"<p>{'So much to say about this. ' * 40}</p>"
+    want = "T\n\nBody of the story, some words of it."
+    for mark in ("class='comment'", "class='comment-body depth-2'", "class='user-comment'", "role='comment'", "itemprop='comment'", "itemtype='https://schema.org/Comment'", "id='comment-17'", "class=reply"):
+        remark = f"<article {mark}>{long}</article>"
+        for page in (f"<main>{story}{remark}{remark}</main>", f"<article>{story}{remark}</article>", f"<main><article>{story}</article>{remark}</main>", f"<div>{story}{remark}</div>", f"<article>{story}<article {mark}><h1>Re</h1>{long}{remark}</article></article>"):
+            assert html.extract(f"<body>{page}</body>") == want, (mark, page[:60])
+    for name in ("post comments-open", "no-comments", "has-comments", "post"):
+        assert html.extract(f"<body><article class='{name}'>{story}</article></body>") == want
+    assert html.extract(f"<body><main>{story}<section id='comments'><article>{long}</article><article>{long}</article></section></main></body>") == want
+    nested = html.extract(f"<body><article>{story}<article>{long}</article></article></body>")
+    assert nested.startswith(want)  # an unmarked inner article is no better than the one around it
+
+
+LABELLED = [
+    ("<div id=wrap><header>Site</header><div class=post><h2>A</h2><p>One two three four five.</p><p>Six seven eight.</p></div><div class=sidebar><p>Links and more links and still more links.</p></div></div>", "A\n\nOne two three four five.\n\nSix seven eight."),
+    ("<main><article><h1>A</h1><p>One two three.</p><figure><img><figcaption>Fig</figcaption></figure><p>Four.</p></article><aside><p>Related things to read right now</p></aside></main>", "A\n\nOne two three.\n\nFig\n\nFour."),
+    ("<table><tr><td class=nav><a href=/>Home</a></td><td><p>One two three four.</p><p>Five six.</p></td></tr></table>", "One two three four.\n\nFive six."),
+    ("<article><p>One two.</p><ol><li>a<li>b</ol><blockquote>said</blockquote><pre>x  y</pre></article><footer>end</footer>", "One two.\n\na\n\nb\n\nsaid\n\nx y"),
+    ("<div class=content><p>One&nbsp;two &#8212; three.</p><div class=ad>Buy now</div><p>Four<sup>2</sup></p></div><div class=comments><p>Nice one, thank you for it all.</p></div>", "One two \u2014 three.\n\nFour2"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), LABELLED)
+def test_labelled_pages(page, want):
+    assert html.extract(f"<!doctype html><html><head><title>t</title></head><body>{page}</body></html>") == want
+
+
 # op10
 
 
@@ -675,6 +704,22 @@ def test_linked_pages(spark):
     assert 3 < got.where("by_alias").count() < 100
 
 
+def test_pages_of_any_size(spark):
+    """Long unquoted values and thousands of attributes end nothing; tags in comments, scripts and other values are none."""
+    block = 'http://bad.net/y'
+    link = f'<link rel="canonical" href="{block}">'
+    rows = [
+        (0, "http://a.org/0", f"<link rel=icon href=data:image/png;base64,{'A' * 1_000_000}>" + link), (1, "http://a.org/1", "<meta " + "a='b\"c' " * 5000 + ">" + link), (2, "http://a.org/2", f"<!-- {link} -->"), (3, "http://a.org/3", f"<script>var x = '{link}'</script>"),
+        (4, "http://a.org/4", f"<!-- open {link}"), (5, "http://a.org/5", f"<textarea>{link}</textarea>{link.upper().replace(block.upper(), block)}"), (6, "http://a.org/6", f"<link title=' rel=\"canonical\"' href='{block}'>"), (7, "http://a.org/7", f"<link rel=canonical rel=icon href={block} href=/x>"),
+        (8, "http://a.org/8", "canonical " + "<link " * 100_000), (9, "http://a.org/9", "<!--x" * 50_000 + link + "canonical"), (10, "http://a.org/10", "<meta http-equiv=refresh content=" + "x" * 500_000 + ">" + link), (11, "http://a.org/11", '"' * 300_000 + link),
+        (12, "http://a.org/12", "<link " + '"' * 200_001 + " canonical>"), (13, "http://a.org/13", "<scripty>" + link), (14, "http://a.org/14", f"<SCRIPT>a</script >{link}"), (15, "http://a.org/15", f"<style>{link}"), (16, "http://a.org/16", f"<link\nrel\n=\n'canonical'\nhref\n=\n'{block}'\n/>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(df).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {0, 1, 5, 7, 10, 11, 13, 14, 16}
+    assert plain_verdicts(df) == collect(urls.judge_urls(df), "page_id", "host", "path", "rule", "verdict")
+
+
 # pipeline
 
 

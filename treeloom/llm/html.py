@@ -42,6 +42,8 @@ NOISE = frozenset(
 )
 #: Of these, what marks reader comments, which hold headings of their own.
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+#: What marks an article element as a comment, and words that may follow it in a name ("comment-body"; not "comments-open").
+REMARKS, REMARK_PARTS = frozenset("comment comments commentlist reply replies disqus".split()), frozenset("item body entry list thread child node box wrap wrapper content container text".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -60,17 +62,18 @@ class Node:
     ``noise`` is True for what is dropped wherever it stands, "worded" if only a class, id or role says so.
     """
 
-    __slots__ = ("children", "classes", "inside", "item", "name", "noise", "paragraph", "parent", "tag", "told")
+    __slots__ = ("article", "children", "classes", "inside", "item", "name", "noise", "paragraph", "parent", "tag", "told")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.paragraph = self if tag == "p" else None if tag in BLOCK or parent is None else parent.paragraph
         self.item = self if tag in ENDS else None if tag in SCOPES or parent is None else parent.item
+        self.article = None if parent is None else parent if parent.tag in ("article", "main") else parent.article
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.classes, self.name, self.told, self.noise = (), "", "", tag in DROPPED or (tag == "header" and not self.inside)
         if attributes.strip():
             self._read(attributes)
-        if tag in TELLING:
+        if tag in TELLING and not self.noise:
             self._reprieve()
 
     def _read(self, attributes: str) -> None:
@@ -82,6 +85,8 @@ class Node:
         names = [*self.classes, *self.name.split()]
         if self.tag not in ("body", "html", "article", "main") and any(_is_noise(x) for x in names):
             self.noise = self.noise or "worded"
+        if (self.tag == "article" and any(_is_remark(x) for x in names)) or found.get("itemprop", "").lower() == "comment" or found.get("itemtype", "").endswith("/Comment"):
+            self.noise = True
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
             self.noise = True
 
@@ -119,6 +124,13 @@ def _is_noise(name: str) -> bool:
     return any(w in NOISE and (i == 0 or words[i - 1] not in LAYOUT) for i, w in enumerate(words))
 
 
+def _is_remark(name: str) -> bool:
+    words = _words(name)
+    while words and words[-1] in REMARK_PARTS:
+        words.pop()
+    return bool(words) and words[-1] in REMARKS and not (len(words) > 1 and words[-2] in LAYOUT)
+
+
 class _Parser:
     """The open element and how many of each tag are open, so that a stray end tag costs no walk up."""
 
@@ -225,9 +237,19 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def scores(root: Node) -> list[tuple[float, Node]]:
-    """Containers by the characters they hold directly outside links, an article's or main part's counted twice."""
-    held = [(_direct(x) * (2 if x.tag in ("article", "main") else 1), x) for x in _walk(root) if x.tag in CONTAINERS]
-    return sorted(((m, x) for m, x in held if m > 0), key=lambda y: -y[0])
+    """Containers by the characters they hold directly outside links.
+
+    An article's or main part's count twice, but not an article's in a main part that holds text
+    itself; an article in an article that does is no candidate, as the syntax means such for remarks.
+    """
+    held = [(_direct(x), x) for x in _walk(root) if x.tag in CONTAINERS]
+    own, out = {id(x): m for m, x in held}, []
+    for m, x in held:
+        below = x.article is not None and own.get(id(x.article), 0) > 0
+        if x.tag == "article" and below and x.article.tag == "article":
+            continue
+        out.append((m * (2 if x.tag == "main" or (x.tag == "article" and not below) else 1), x))
+    return sorted(((m, x) for m, x in out if m > 0), key=lambda y: -y[0])
 
 
 def _direct(x: Node) -> float:
@@ -265,7 +287,11 @@ def find(root: Node, path: str) -> list[Node]:
 
 
 def extract(html: str, path: str | None = None) -> str:
-    """A page's text under its host's winning path, or else from its own best container."""
+    """A page's text under its host's winning path, or else from its own best container.
+
+    Reader comments go wherever they stand: what a class, id, role or item type marks as such,
+    article elements included. An unmarked article within an article is text like the rest of it.
+    """
     root = parse(html)
     texts = [t for n in (find(root, path) if path else []) if (t := text_of(n))]
     return "\n\n".join(texts) or text_of(best_container(root))

@@ -49,16 +49,21 @@ def _node(url: str) -> str:
 
 
 def _attribute(name: str) -> str:
-    pattern = r"""'(?i)[\s"''/]NAME\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'""".replace("NAME", name)
-    return "trim(replace(" + " || ".join(f"regexp_extract(tag, {pattern}, {g})" for g in (1, 2, 3)) + ", '&amp;', '&'))"
+    found = f"coalesce(vals[list_position(names, '{name}')], '')"
+    return f"""trim(replace(regexp_replace({found}, '^["'']|["'']$', '', 'g'), '&amp;', '&'))"""
 
 
+_RAW = "|".join(rf"<{t}\b[^<>]*>(?:.*?</{t}\s*>|.*)" for t in "script style textarea title template noscript iframe xmp noembed noframes".split())
+_TAG = rf"""'(?is)<!--(?:.*?-->|.*)|{_RAW}|<(?:link|meta)\b[^<>"'']*(?:"[^"]*"[^<>"'']*|''[^'']*''[^<>"'']*)*>'"""
+_PAIR = r"""'(?s)([^\s"''<>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?'"""
+
 OP10 = (
     rf"""
 WITH RECURSIVE parts AS (SELECT page_id, url, html, {_host('url')} AS host, regexp_extract({_rest('url')}, '^[^/?#]*([^?#]*)', 1) AS path, {_node('url')} AS node FROM pages),
 rules(rule, said, domain, start) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
                                             ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
-tags AS (SELECT url, host, path, node, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM parts WHERE node IS NOT NULL),
+seen AS (SELECT url, host, path, node, unnest(regexp_extract_all(html, {_TAG})) AS tag FROM parts WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')),
+tags AS (SELECT *, list_transform(regexp_extract_all(tag, {_PAIR}, 1), lambda x: translate(x, {_AZ})) AS names, regexp_extract_all(tag, {_PAIR}, 2) AS vals FROM seen WHERE regexp_matches(tag, '^(?i)<(?:link|meta)')),
 said AS (SELECT *, {_attribute('rel')} AS rel, {_attribute('href')} AS href, {_attribute('http-equiv')} AS equiv, {_attribute('content')} AS content FROM tags),
 aim AS (SELECT url, host, path, node, CASE WHEN translate(rel, {_AZ}) = 'canonical' THEN href WHEN translate(equiv, {_AZ}) = 'refresh'
           THEN trim(regexp_replace(regexp_extract(content, '(?i)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*(.*)$', 1), '^[''"]|[''"]$', '', 'g')) END AS t FROM said),

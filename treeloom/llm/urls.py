@@ -16,8 +16,15 @@ from .components import connected_components
 #: (verdict, host and path) as the contract fixes them.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-_LINK = r"""(?i)<(?:link|meta)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
-_ATTR = r"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: Link and meta tags; comments and elements whose content is no markup are matched first and whole, so nothing in them is a
+#: tag. Possessive throughout, and a tag ends where another opens outside quotes: nothing, however long, makes the matcher
+#: recurse, turn back or read to the end again and again.
+_LINK = (
+    r"""(?is)<!--(?:.*?-->|.*+)|<(script|style|textarea|title|template|noscript|iframe|xmp|noembed|noframes)\b[^<>]*+>(?:.*?</\1\s*+>|.*+)"""
+    r"""|<(?:link|meta)\b[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+)
+#: A name and its value, quotes included, one after the other; the tag's own name comes first.
+_PAIR = r"""(?s)([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,10 +52,10 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, query))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    pattern = _ATTR.replace("{name}", name)
-    value = F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
-    return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
+def _attribute(name: str) -> Column:
+    """The first value of an attribute, from the columns ``names`` and ``values``."""
+    found = F.get("values", F.array_position("names", name).cast("int") - 1)
+    return F.trim(F.replace(F.coalesce(F.regexp_replace(found, r"""^["']|["']$""", ""), F.lit("")), F.lit("&amp;"), F.lit("&")))
 
 
 def _absolute(base: Column, link: Column) -> Column:
@@ -67,11 +74,13 @@ def _absolute(base: Column, link: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` for each canonical link and refresh redirect in a page's HTML."""
     tags = pages.where(F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").isNotNull()).select(
-        "url", F.explode(F.regexp_extract_all("html", F.lit(_LINK), 0)).alias("tag")
+        "url", F.explode(F.filter(F.regexp_extract_all("html", F.lit(_LINK), 0), lambda t: t.rlike("^(?i)<(?:link|meta)"))).alias("tag")
     )
-    content = _attribute(F.col("tag"), "content")
-    target = F.when(lower_ascii(_attribute(F.col("tag"), "rel")) == "canonical", _attribute(F.col("tag"), "href")).when(
-        lower_ascii(_attribute(F.col("tag"), "http-equiv")) == "refresh",
+    pairs = lambda group: F.regexp_extract_all("tag", F.lit(_PAIR), group)
+    tags = tags.select("url", F.transform(pairs(1), lower_ascii).alias("names"), pairs(2).alias("values"))
+    content = _attribute("content")
+    target = F.when(lower_ascii(_attribute("rel")) == "canonical", _attribute("href")).when(
+        lower_ascii(_attribute("http-equiv")) == "refresh",
         F.trim(F.regexp_replace(F.regexp_extract(content, r"(?i)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*(.*)$", 1), "^['\"]|['\"]$", "")),
     )
     found = tags.select("url", target.alias("target")).where("target is not null and target <> ''")
