@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rows import generated
+from ..sources.scratch import staged
 from .inference import POISSON, REPLICATES
 
 #: The increment and multipliers of the splitmix64 generator.
@@ -171,6 +172,7 @@ def permuted_sums(units: DataFrame, unit: str, values: list[str], by: list[str],
     label = F.to_json(F.struct(F.col(group).alias("g"), F.lit(0).alias("_")))
     label_schema = units.select(F.struct(F.col(group).alias("g"), F.lit(0)).alias("x")).schema["x"].dataType
     rows = units.select(name.alias("by"), label.alias("label"), F.coalesce(key_of(F.col(unit), numbers), F.lit(-1)).alias("key"), *[F.col(v).cast("long").alias(f"v{i}") for i, v in enumerate(values)])
+    rows = staged(rows, "permuted")  # read four times
     dealt: dict[str, dict[str, int]] = {}
     for r in rows.groupBy("by", "label").count().collect():  # groups, not units
         dealt.setdefault(r["by"], {})[r["label"]] = r["count"]
