@@ -77,13 +77,16 @@ def test_alignment(spark, vocabularies, kind, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_units_equal_whole_texts(spark, vocabularies):
+def test_units_equal_whole_texts(spark, vocabularies, monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 5000)
+    monkeypatch.setattr(alignment, "ROW", 3000)
     x = alignment.aligner(*vocabularies)
     assert x.splits
-    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
-        whole = x.unit(" " + r.text) if r.text else None
-        n_a, n_b, written, groups = x.align(r.text or "x")
-        assert whole is None or (n_a, n_b, written, groups) == (whole.n_a, whole.n_b, whole.written, Counter(whole.groups))
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text] + [t for t in ODD if t]
+    got = [r for at in range(0, len(texts), 30) for r in x.align(texts[at : at + 30])]
+    for t, (n_a, n_b, written, groups) in zip(texts, got, strict=True):
+        ((whole, each, a, b),) = x.units([t]) or [("", (), 0, 0)]
+        assert (n_a, n_b, written, groups) == (a, b, whole, Counter(each))
 
 
 def test_alignment_of_nothing(spark, vocabularies):

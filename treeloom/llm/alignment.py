@@ -14,7 +14,10 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
+from sys import intern
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,22 +27,20 @@ from .common import stage
 HOT = 1 << 16
 #: Longer groups are interned by their SHA-256, so no key has more characters.
 KEY = 64
-#: Units of text that a worker remembers before it forgets them all, and the characters of the longest.
-REMEMBERED, SHORT = 200_000, 64
+#: Units of text that a worker remembers at most, of 0.4 KB each, and the characters of the longest.
+REMEMBERED, SHORT = 400_000, 64
 
 #: White space and what some engine may take for it: a unit neither ends nor begins with these.
 _DOUBT = r"\s\x00-\x20\x7f-\xa0" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)))
 _CUT = re.compile(f"(?<=[^{_DOUBT}]) (?=[^{_DOUBT}])")
+#: What may stand in a row with others: it begins and ends as a cut would have it.
+_PLAIN = re.compile(f"[^{_DOUBT}](?:.*[^{_DOUBT}])?", re.S)
+#: Characters of a row; the space mark of B.
+ROW, MARK = 100_000, "\u2581"
 
 
-@dataclass(frozen=True)
-class Unit:
-    """What a stretch of text with its leading space gives: numbers of tokens, its groups as written and each."""
-
-    n_a: int
-    n_b: int
-    written: str
-    groups: tuple[str, ...]
+#: What a stretch of text with its leading space gives: its groups as written, each of them, and numbers of A and B tokens.
+Unit = tuple[str, tuple[str, ...], int, int]
 
 
 @dataclass
@@ -48,7 +49,8 @@ class Aligner:
 
     A space between two characters that are no white space ends a token of either: A splits there
     before it merges, and no piece of B holds a space mark after another character (checked when
-    the model is loaded; else texts are taken whole). Units between such places are encoded apart.
+    the model is loaded; else texts are taken whole). Stretches between such places, the units,
+    are encoded once and remembered; new ones are put in a row and encoded together.
     """
 
     a: object
@@ -57,47 +59,75 @@ class Aligner:
     bytes_b: list[bytes]
     splits: bool
     seen: dict[str, Unit | None] = field(default_factory=dict)
+    older: dict[str, Unit | None] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        self.digits = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
-    def unit(self, text: str) -> Unit | None:
-        """The groups of ``text``, which begins with a space; None if a tokenizer doesn't give its bytes back."""
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-        raw = text.encode()
-        if b"".join(self.bytes_a[i] for i in a) != raw or b"".join(self.bytes_b[i] for i in b) != raw:
+    def units(self, parts: list[str]) -> list[Unit | None] | None:
+        """The units of ``parts``, each with a space before it, encoded in a row; None if a tokenizer doesn't give their bytes back."""
+        text = "".join([" " + p for p in parts])
+        raw, a, b = text.encode(), self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
             return None
-        groups, i, j, at, to = [], 0, 0, 0, 0
-        first_a = first_b = 0
-        while i < len(a):
-            if at <= to:
-                at += len(self.bytes_a[a[i]])
-                i += 1
-            while to < at and j < len(b):
-                to += len(self.bytes_b[b[j]])
-                j += 1
-            if at == to:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-        return Unit(len(a), len(b), ";".join(groups), tuple(groups))
-
-    def align(self, text: str) -> tuple[int, int, str, Counter]:
-        """Numbers of A and B tokens, groups as written and how often each occurs; nothing if the bytes aren't kept."""
-        parts = _CUT.split(text) if self.splits else [text]
-        found, n_a, n_b, groups = {}, 0, 0, Counter()
-        for part, k in Counter(parts).items():
-            if part in self.seen:
-                unit = self.seen[part]
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        upto_a, upto_b = (np.searchsorted(ends_a, both) + 1).tolist(), (np.searchsorted(ends_b, both) + 1).tolist()
+        digits = self.digits.__getitem__
+        x, y, groups, i, j = [*map(digits, a)], [*map(digits, b)], [], 0, 0
+        for m, n in zip(upto_a, upto_b, strict=True):
+            groups.append(intern(f"{x[i]}|{y[j]}" if m - i == 1 == n - j else ",".join(x[i:m]) + "|" + ",".join(y[j:n])))
+            i, j = m, n
+        last = np.searchsorted(both, np.cumsum([1 + len(p.encode()) for p in parts])) + 1
+        out, g, i, j = [], 0, 0, 0
+        for h in last.tolist():
+            own = tuple(groups[g:h])
+            out.append((";".join(own), own, upto_a[h - 1] - i, upto_b[h - 1] - j))
+            g, i, j = h, upto_a[h - 1], upto_b[h - 1]
+        return out
+
+    def _learn(self, parts: list[str], out: dict[str, Unit | None]) -> None:
+        """Puts the units of ``parts`` into ``out``; one by one where a row of them fails."""
+        made = self.units(parts)
+        if made is None and len(parts) > 1:
+            made = [(self.units([p]) or [None])[0] for p in parts]
+        out.update(zip(parts, made or [None], strict=True))
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, str, Counter]]:
+        """For each text the numbers of A and B tokens, its groups as written and how often each occurs; nothing if its bytes aren't kept."""
+        cut = [_CUT.split(t) if self.splits else [t] for t in texts]
+        new: dict[str, Unit | None] = {p: None for p in chain.from_iterable(cut) if p not in self.seen}
+        row, size, made = [], 0, {}
+        for p in new:
+            if p in self.older:
+                new[p] = self.older[p]
+                continue
+            if MARK in p:  # B takes it for a space
+                continue
+            if _PLAIN.fullmatch(p):
+                row.append(p)
+                size += len(p)
+                if size > ROW:
+                    self._learn(row, made)
+                    row, size = [], 0
             else:
-                unit = self.unit(" " + part)
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                if len(part) <= SHORT:
-                    self.seen[part] = unit
-            if unit is None:
-                return 0, 0, "", Counter()
-            found[part] = unit.written
-            n_a, n_b = n_a + k * unit.n_a, n_b + k * unit.n_b
-            for g in unit.groups:
-                groups[g] += k
-        return n_a, n_b, ";".join(map(found.__getitem__, parts)), groups
+                self._learn([p], made)
+        if row:
+            self._learn(row, made)
+        new.update(made)
+        out = []
+        for parts in cut:
+            units = [self.seen[p] if p in self.seen else new[p] for p in parts]
+            if None in units:
+                out.append((0, 0, "", Counter()))
+                continue
+            written, groups = ";".join([u[0] for u in units]), Counter(chain.from_iterable([u[1] for u in units]))
+            out.append((sum([u[2] for u in units]), sum([u[3] for u in units]), written, groups))
+        if len(self.seen) > REMEMBERED // 2:  # what the newer half doesn't ask for again goes with the older one
+            self.older, self.seen = self.seen, {}
+        self.seen.update((p, u) for p, u in new.items() if len(p) <= SHORT)
+        return out
 
 
 def _byte_of() -> dict[str, int]:
@@ -132,22 +162,25 @@ def encoded(docs: DataFrame, a_json: str, b_model: bytes, id: str = "doc_id", te
     long = pa.list_(pa.struct([("key", pa.string()), ("written", pa.string())]))
     names, kinds = ["n_a", "n_b", "n_groups", "groups_sha256", "groups", "long"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), key, long]
 
-    def row(x: Aligner, data: bytes | None):
+    def text_of(data: pa.BinaryScalar) -> str:
         try:
-            text = (data or b"").decode()
+            return (data.as_py() or b"").decode()
         except UnicodeDecodeError:
-            text = ""
-        n_a, n_b, written, groups = x.align(text) if text else (0, 0, "", Counter())
+            return ""
+
+    def row(n_a: int, n_b: int, written: str, groups: Counter) -> tuple:
         keyed = [(g if len(g) <= KEY else "#" + hashlib.sha256(g.encode()).hexdigest()[1:], g, k) for g, k in groups.items()]
         sha = hashlib.sha256(written.encode()).hexdigest() if groups else ""
-        return n_a, n_b, sum(groups.values()), sha, [{"key": c, "k": k} for c, _, k in keyed], [{"key": c, "written": g} for c, g, _ in keyed if c[0] == "#"]
+        return n_a, n_b, sum(groups.values()), sha, [(c, k) for c, _, k in keyed], [(c, g) for c, g, _ in keyed if c[0] == "#"]
 
     def run(batches):
         x = aligner(*shipped.value)
         for batch in batches:
             for at in range(0, len(batch), 64):  # a few texts' groups at a time
                 part = batch.slice(at, 64)
-                columns = zip(*[row(x, t.as_py()) for t in part.column(1)], strict=True)
+                texts = [text_of(t) for t in part.column(1)]
+                found = iter(x.align([t for t in texts if t]))
+                columns = zip(*[row(*(next(found) if t else (0, 0, "", Counter()))) for t in texts], strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["id", *names])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
