@@ -103,40 +103,62 @@ def _hash(ids: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(ids.astype("<i4").tobytes())
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, half: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment within ``half`` of a diagonal (text place less template place): score, matched words,
-    first and last+1 word of the text, words of the template spanned. Of equal scores the one of more words."""
-    best = (0, 0, 0, 0, 0)
+def banded(template: np.ndarray, text: np.ndarray, diagonal: int, half: int) -> np.ndarray:
+    """Which words of the text within ``half`` of a diagonal (text place less template place) equal each template word: (words, 2 half + 1)."""
     width = 2 * half + 1
-    nothing = (0, 0, -1, -1)  # score, matched, text start, template start
-    above = [nothing] * (width + 1)
-    for i, want in enumerate(template.tolist()):
-        row, left = [nothing] * (width + 1), nothing
-        for b in range(width):
-            j = i + diagonal + b - half
-            if not 0 <= j < len(text):
-                left = nothing
-                continue
-            hit = text[j] == want
-            score, matched, start, first = above[b]
-            if not matched:
-                score, matched, start, first = 0, 0, j, i
-            options = [(score + (MATCH if hit else MISMATCH), matched + hit, start, first)]
-            for old in (above[b + 1], left):
-                if old[0] > 0:
-                    options.append((old[0] + GAP, *old[1:]))
-            left = max(options, key=lambda x: (x[0], x[1]))
-            if left[0] < 0 or not left[1]:
-                left = nothing
-            row[b] = left
-            if left[:2] > best[:2]:
-                best = (left[0], left[1], left[2], j + 1, i + 1 - left[3])
-        above = row
-    return best
+    padded = np.full(len(template) + width - 1, -1, np.int64)
+    lo = diagonal - half  # the text place of the first cell
+    a, b = max(0, lo), min(len(text), lo + len(padded))
+    if a < b:
+        padded[a - lo : b - lo] = text[a:b]
+    return np.lib.stride_tricks.sliding_window_view(padded, width) == template[:, None]
+
+
+def align(hits: np.ndarray, size: int, diagonal: int) -> tuple[int, int, int, int, int]:
+    """Best local alignment in a band of ``hits`` over a text of ``size`` words: score, matched words, first and last+1 word of
+    the text, words of the template spanned. Of equal scores the one of more words, then the one that ends first.
+
+    Cells whose row and column add up alike (2 row + column) depend on earlier ones only, so each
+    such wave is worked at once. Score and matched words are one number, ordered as the pair is.
+    """
+    n, width = hits.shape
+    half, unit = width // 2, n + 1
+    hit, miss, gap = MATCH * unit + 1, MISMATCH * unit, GAP * unit
+    value, start, first = np.zeros(width + 2, np.int64), np.full(width + 2, -1), np.full(width + 2, -1)  # column b is at b + 1
+    best = (0, 0, 0, 0, 0)  # value, row, column, start, first
+    for wave in range(2 * n - 1 + width):
+        lo = max(wave - 2 * (n - 1), 0)
+        lo += (wave - lo) % 2
+        b = np.arange(lo, min(wave, width - 1) + 1, 2)
+        if not b.size:
+            continue
+        i, c = (wave - b) // 2, b + 1
+        j = i + diagonal + b - half
+        old, s0, f0 = value[c], start[c], first[c]
+        fresh = old % unit == 0
+        new, s1, f1 = np.where(fresh, 0, old) + np.where(hits[i, b], hit, miss), np.where(fresh, j, s0), np.where(fresh, i, f0)
+        for other in (c + 1, c - 1):  # a template word left out, a text word put in
+            moved = np.where(value[other] >= unit, value[other] + gap, np.iinfo(np.int64).min)
+            better = moved > new
+            new, s1, f1 = np.where(better, moved, new), np.where(better, start[other], s1), np.where(better, first[other], f1)
+        none = (new < 0) | (new % unit == 0) | (j < 0) | (j >= size)
+        value[c], start[c], first[c] = np.where(none, 0, new), np.where(none, -1, s1), np.where(none, -1, f1)
+        top = int(value[c].max())
+        if top and top >= best[0]:
+            k = int(np.flatnonzero(value[c] == top)[-1])  # the least row of the wave
+            if top > best[0] or (int(i[k]), int(b[k])) < best[1:3]:
+                best = (top, int(i[k]), int(b[k]), int(s1[k]), int(f1[k]))
+    score, matched = divmod(best[0], unit)
+    return (score, matched, best[3], best[1] + diagonal + best[2] - half + 1, best[1] + 1 - best[4]) if best[0] else (0, 0, 0, 0, 0)
 
 
 def scan(index: Index, text: bytes) -> list[tuple[str, int, float, int, int]]:
-    """(template, matched words, coverage, first byte, end byte) of each match in a text, by place."""
+    """(template, matched words, coverage, first byte, end byte) of each match in a text, by place.
+
+    A candidate on whose diagonals a template stands word for word needs no alignment, nor does
+    one whose band holds such a place: nothing in it scores more. Of the others only those are
+    aligned in whose band enough words of the template occur near enough to their places.
+    """
     lower = text.lower()
     get = index.words.get
     raw = _WORD.findall(lower)
@@ -146,21 +168,30 @@ def scan(index: Index, text: bytes) -> list[tuple[str, int, float, int, int]]:
         for place, h in _grams(ids, gram):
             for t, offset in held.get(h, ()):
                 candidates.setdefault((t, (place - offset) // NEAR), []).append(place - offset)
-    spans, found = None, []
+    spans, found, whole, rest = None, [], {}, []
     for (t, _), diagonals in sorted(candidates.items()):
+        template = index.texts[t]
+        here = [d for d in sorted(set(diagonals)) if d >= 0 and np.array_equal(ids[d : d + len(template)], template)]
+        whole.setdefault(t, []).extend(here)
+        found += [(t, len(template), d, d + len(template)) for d in here]
+        if not here:
+            rest.append((t, diagonals))
+    places = {t: np.array(sorted(d)) for t, d in whole.items()}
+    for t, diagonals in rest:
         template, middle = index.texts[t], (min(diagonals) + max(diagonals)) // 2
         half = drift(len(template)) + NEAR // 2 + 1
+        if np.searchsorted(places[t], middle - half) < np.searchsorted(places[t], middle + half, side="right"):
+            continue
         lo, hi = max(0, middle - MARGIN - half), min(len(ids), middle + len(template) + MARGIN + half)
-        nearby = set(ids[lo:hi].tolist())
-        if sum(w in nearby for w in template.tolist()) < COVERAGE * len(template):  # more can't match
+        hits = banded(template, ids[lo:hi], middle - lo, half)
+        if hits.any(axis=1).sum() < COVERAGE * len(template):  # more can't match
             continue
-        score, matched, first, end, _ = align(template, ids[lo:hi], middle - lo, half)
-        coverage = matched / len(template)
-        if coverage >= COVERAGE and score >= DENSITY * MATCH * matched:
-            if spans is None:
-                spans = [m.span() for m in _WORD.finditer(lower)]
-            found.append((index.names[t], matched, coverage, spans[lo + first][0], spans[lo + end - 1][1]))
-    return _distinct(found)
+        score, matched, first, end, _ = align(hits, hi - lo, middle - lo)
+        if matched >= COVERAGE * len(template) and score >= DENSITY * MATCH * matched:
+            found.append((t, matched, lo + first, lo + end))
+    if found:
+        spans = [m.span() for m in _WORD.finditer(lower)]
+    return _distinct([(index.names[t], matched, matched / len(index.texts[t]), spans[a][0], spans[b - 1][1]) for t, matched, a, b in found])
 
 
 def _grams(ids: np.ndarray, gram: int) -> list[tuple[int, int]]:

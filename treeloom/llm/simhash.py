@@ -7,16 +7,17 @@ fingerprint picks its own thresholds by dynamic programming over estimated candi
 probes the index of each partition within t_i bits, and every candidate is verified on all bits.
 
 Two settings: 64 bits at a small radius, where reach = radius and no link is lost; and wide
-fingerprints, where the radius is that of a Jaccard similarity (``similar``). There a third of
-the way to the radius is guaranteed, and beyond it a pair is missed if it differs in each of the
-m partitions, for which ``Kind.missed`` has the odds.
+fingerprints, which find candidates for a Jaccard similarity (``similar``): as many partitions as
+leave a pair of that similarity a chance of MISS to differ in all of them, whatever the number of
+texts. There the radius only sifts; what links is settled on the shingles themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
-from math import acos, comb, pi, sqrt
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,18 @@ CANDIDATE_COST = 0.05
 HEAVY, TIMES, BLOCK, STEP = 20, 4, 2048, 128
 #: Words hashed at a time, which bounds memory for texts of any length.
 CHUNK = 50_000
-#: Partitions of a wide fingerprint, and those of one block of bits whose correlations are measured.
-PARTS, PER_BLOCK = 80, 4
+#: The chance that a pair of the similarity asked for differs in every partition of a wide fingerprint.
+MISS = 0.01
+#: Texts that chance puts under a key of a wide fingerprint's partition, from this to twice as many.
+CROWD = 32
+#: Partitions of one block of bits whose correlations are measured.
+PER_BLOCK = 4
 #: Bits of a wide fingerprint at least: what the partitions leave over sharpens the estimate.
 LEAST_BITS = 2048
 #: Standard errors of the estimate by which the radius of a similarity is widened.
-SLACK = 1.5
+SLACK = 3.0
+#: Bits of the filter by which the texts whose shingles are wanted are found in one pass over all.
+WANTED = 1 << 26
 #: Standard errors by which two fingerprints' first words may differ more than the radius has it.
 SKETCH_SLACK = 3.0
 #: Partial sums of a wide plan's thresholds stay within so many of nought.
@@ -58,8 +65,11 @@ class Kind:
     radius: int = RADIUS
     #: Whether shingles count once each, however often they occur.
     distinct: bool = False
-    #: Bits of a partition; 0: as is cheapest for an exact join.
+    #: Bits of a partition and how many there are; 0: as is cheapest for an exact join.
     width: int = 0
+    parts: int = 0
+    #: The Jaccard similarity that links; 0: the radius does.
+    similarity: float = 0.0
 
     def sketch_radius(self) -> int:
         if self.bits == WORD:
@@ -69,7 +79,7 @@ class Kind:
 
     def missed(self, similarity: float) -> float:
         """The chance that a pair of a Jaccard similarity differs in every partition (thresholds of nought)."""
-        return (1 - (1 - differing(similarity)) ** self.width) ** PARTS
+        return (1 - (1 - differing(similarity)) ** self.width) ** self.parts
 
 
 def differing(similarity: float) -> float:
@@ -80,12 +90,15 @@ def differing(similarity: float) -> float:
 def similar(n: int, similarity: float = 0.8, shingle: int = 5) -> Kind:
     """Wide fingerprints for n texts that link at a Jaccard similarity of distinct shingles.
 
-    A partition has a bit less than n would fill, so chance fills a key with about two entries; the radius is SLACK standard errors beyond what the similarity makes differ.
+    A partition's keys hold CROWD texts or more by chance, which are cheap to sift, so that partitions are narrow and agree often;
+    there are as many as MISS asks for. The radius is SLACK standard errors beyond what the similarity makes differ.
     """
-    width = max(8, max(n, 1).bit_length() - 1)
-    bits, p = max(width * PARTS, LEAST_BITS), differing(similarity)
+    width, p = max(8, (max(n, 1) // CROWD).bit_length() - 1), differing(similarity)
+    parts = ceil(log(MISS) / log(1 - (1 - p) ** width))
+    parts += -parts % PER_BLOCK
+    bits = max(width * parts, LEAST_BITS)
     bits += -bits % WORD
-    return Kind(shingle, bits, int(bits * p + SLACK * sqrt(bits * p * (1 - p))), True, width)
+    return Kind(shingle, bits, int(bits * p + SLACK * sqrt(bits * p * (1 - p))), True, width, parts, similarity)
 
 
 def fingerprint(text: bytes, kind: Kind = Kind()) -> bytes:
@@ -106,6 +119,19 @@ def fingerprint(text: bytes, kind: Kind = Kind()) -> bytes:
     return np.packbits(2 * ones > total, bitorder="little").tobytes()
 
 
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending; none without words."""
+    words = text.lower().split()
+    parts = [_shingles(words[at : at + CHUNK + size - 1], size) for at in range(0, max(len(words) - size + 1, 1), CHUNK)] if words else []
+    return np.unique(np.concatenate(parts)) if parts else np.array([], np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have that Jaccard similarity; without shingles both or neither."""
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
 def _shingles(words: list[bytes], size: int) -> np.ndarray:
     joined = b" ".join(words)
     if len(words) <= size:
@@ -234,7 +260,7 @@ def _bits(column: pa.Array, at: int, step: int) -> np.ndarray:
 def fit_plan(classes: DataFrame, n: int, kind: Kind = Kind()) -> Plan:
     """Partitions and estimates from all of ``classes(fp)``; what reaches the driver is of fixed size for each block of bits."""
     size = kind.width * PER_BLOCK or kind.bits
-    blocks = [(lo, min(lo + size, kind.width * PARTS or kind.bits)) for lo in range(0, kind.width * PARTS or kind.bits, size)]
+    blocks = [(lo, min(lo + size, kind.width * kind.parts or kind.bits)) for lo in range(0, kind.width * kind.parts or kind.bits, size)]
 
     def pairs(batches):
         total = [np.zeros((hi - lo, hi - lo), np.int64) for lo, hi in blocks]
@@ -311,12 +337,13 @@ def _postings(classes: DataFrame, plan: Plan, probing: bool) -> DataFrame:
     return classes.select("node", "fp").mapInArrow(run, _POSTING)
 
 
-def linked_pairs(classes: DataFrame, plan: Plan) -> DataFrame:
+def linked_pairs(classes: DataFrame, plan: Plan, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(src, dst)`` of nodes of ``classes(node, fp)``, enough of them to connect all that link.
 
-    Under ordinary keys every candidate is verified. Under a key of over HEAVY entries all are
-    first held against one of them, and what links to it needs no look at one another; those
-    that don't are compared with all in bounded blocks.
+    ``sets_of`` gives ``(node, shingles)`` of a table of nodes where a similarity links. Under
+    ordinary keys every candidate is verified. Under a key of over HEAVY entries all are first
+    held against one of them, and what links to it needs no look at one another; those that don't
+    are compared with all in bounded blocks.
     """
     kind = plan.kind
     probes, entries = _postings(classes, plan, True), _postings(classes, plan, False)
@@ -330,73 +357,162 @@ def linked_pairs(classes: DataFrame, plan: Plan) -> DataFrame:
     on = (F.col("p.key") == F.col("e.key")) & (F.col("p.node") < F.col("e.node")) & near(F.col("p.sketch"), F.col("e.sketch"))
     found = light_probes.alias("p").join(light_entries.alias("e"), on).select(F.col("p.node").alias("src"), F.col("e.node").alias("dst"))
     if not some:
-        return _verified(found.distinct(), classes, kind)
+        return _verified(found.distinct(), classes, kind, sets_of)
     # whose own keys they are, and who probes them besides
     met = stage(entries.union(probes.where("not own")).join(heavy, "key").select("key", "n", "node", "first", near(F.col("sketch"), F.col("first_sketch")).alias("near")), "simhash-met").df
     stars = met.where("near and node <> first").select(F.least("node", "first").alias("src"), F.greatest("node", "first").alias("dst"))
-    edges = stage(_verified(found.union(stars).distinct(), classes, kind), "simhash-links").df
+    edges = stage(_verified(found.union(stars).distinct(), classes, kind, sets_of), "simhash-links").df
     tied = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
     met = met.join(tied, (F.least("node", "first") == F.col("_a")) & (F.greatest("node", "first") == F.col("_b")), "left")
     met = stage(met.select("key", "n", "node", (F.col("_a").isNull() & (F.col("node") != F.col("first"))).alias("free")), "simhash-split").df
-    return edges.union(_block_links(met, classes, kind))
+    return edges.union(_block_links(met, classes, kind, sets_of))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, kind: Kind) -> DataFrame:
-    """The pairs that differ in ``radius`` bits at most; 64 bits were compared in the join."""
+def _verified(pairs: DataFrame, classes: DataFrame, kind: Kind, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The pairs that differ in ``radius`` bits at most (64 bits were compared in the join) and are as alike as is asked for."""
     if kind.bits == WORD:
         return pairs
 
-    def run(batches):
+    def near(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(len(batch), -1) for k in (2, 3))
             keep = pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= kind.radius)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["src", "dst"])
 
-    a, b = (classes.select(F.col("node").alias(k), F.col("fp").alias(f"{k}_fp")) for k in ("src", "dst"))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_fp", "dst_fp").mapInArrow(run, "src long, dst long")
-
-
-def _block_links(met: DataFrame, classes: DataFrame, kind: Kind) -> DataFrame:
-    """Links of the free rows of ``met(key, n, node, free)`` to all others of their key, which has n entries: each two blocks
-    of a key meet in a task, which gives a spanning forest of them. Keys without free rows need none."""
-    wanted = stage(met.where("free").select("key").distinct(), "simhash-wanted").df
-    dealt = met.join(wanted, "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "free")
-
-    def forest(block):
-        nodes, free = block["node"].to_numpy(), np.flatnonzero(block["free"].to_numpy())
-        if not len(free):
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
-        fps = np.frombuffer(b"".join(block["fp"].to_pylist()), "<u8").reshape(len(nodes), -1)
-        cuts = [slice(at, at + STEP) for at in range(0, len(free), STEP)]
-        near, far, low = np.empty((len(free), len(nodes)), bool), np.iinfo(np.int64).max, nodes.copy()
-        for cut in cuts:
-            apart = np.zeros((len(free[cut]), len(nodes)), np.int16)
-            for k in range(fps.shape[1]):
-                apart += np.bitwise_count(fps[free[cut], k][:, None] ^ fps[:, k][None, :])
-            near[cut] = apart <= kind.radius
+    def both(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        a, b = (facts.toDF(k, f"{k}_fact") for k in ("src", "dst"))
+        return rows.join(a, "src").join(b, "dst").select("src", "dst", "src_fact", "dst_fact")
+
+    sifted = both(pairs, classes.select("node", "fp")).mapInArrow(near, "src long, dst long")
+    if not kind.similarity:
+        return sifted
+
+    def linked(batches):
+        for batch in batches:
+            sets = [[np.frombuffer(x, "<u8") for x in batch.column(k).to_pylist()] for k in (2, 3)]
+            keep = pa.array([alike(a, b, kind.similarity) for a, b in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["src", "dst"])
+
+    sifted = stage(sifted, "simhash-sifted").df
+    sets = stage(sets_of(sifted.select(F.col("src").alias("node")).union(sifted.select("dst")).distinct()), "simhash-sets").df
+    return both(sifted, sets).mapInArrow(linked, "src long, dst long")
+
+
+def _near(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """For STEP of the ``left`` rows at a time, which of the ``right`` differ from them in ``radius`` bits at most."""
+    for cut in (slice(at, at + STEP) for at in range(0, len(left), STEP)):
+        apart = np.zeros((len(left[cut]), len(right)), np.int16)
+        for k in range(fps.shape[1]):
+            apart += np.bitwise_count(fps[left[cut], k][:, None] ^ fps[right, k][None, :])
+        yield cut, apart <= radius
+
+
+def _block_links(met: DataFrame, classes: DataFrame, kind: Kind, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links of the free rows of ``met(key, n, node, free)`` to all others of their key, which has n entries.
+
+    Both the free rows of a key and all its rows are dealt into blocks of about BLOCK, and each
+    two blocks meet in a task, which gives a spanning forest of them: a free row goes to all
+    blocks of rows, any row to all blocks of free ones. Keys without free rows need none.
+    """
+    wanted = stage(met.where("free").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("teams")), "simhash-wanted").df
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = met.join(wanted, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    asked = dealt.where("free").select("key", own(F.col("teams")).alias("team"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(True).alias("asks"))
+    held = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team"), own(F.col("blocks")).alias("block"), "node", F.lit(False).alias("asks"))
+    cells = asked.union(held).join(classes.select("node", "fp"), "node")
+
+    def sides(cell):
+        nodes, asks = cell["node"].to_numpy(), cell["asks"].to_numpy(zero_copy_only=False)
+        return nodes, np.frombuffer(b"".join(cell["fp"].to_pylist()), "<u8").reshape(len(nodes), -1), np.flatnonzero(asks), np.flatnonzero(~asks)
+
+    def forest(cell):
+        nodes, fps, left, right = sides(cell)
+        low, far = nodes.copy(), np.iinfo(np.int64).max
+        pairs = [*_near(fps, left, right, kind.radius)]
         while True:
             new = low.copy()
-            for cut in cuts:
-                mine = np.where(near[cut], new[None, :], far).min(axis=1)
-                new[free[cut]] = np.minimum(new[free[cut]], mine)
-                new = np.minimum(new, np.where(near[cut], new[free[cut], None], far).min(axis=0))
+            for cut, close in pairs:
+                new[left[cut]] = np.minimum(new[left[cut]], np.where(close, new[right][None, :], far).min(axis=1, initial=far))
+                new[right] = np.minimum(new[right], np.where(close, new[left[cut]][:, None], far).min(axis=0, initial=far))
             if (new == low).all():
                 break
             low = new
         return pa.table({"src": nodes[nodes != low], "dst": low[nodes != low]})
 
-    return dealt.join(classes.select("node", "fp"), "node").groupBy("key", "lo", "hi").applyInArrow(forest, "src long, dst long")
+    if not kind.similarity:
+        return cells.groupBy("key", "team", "block").applyInArrow(forest, "src long, dst long")
+
+    def involved(cell):
+        """The rows of a cell that are near one of the other side."""
+        nodes, fps, left, right = sides(cell)
+        keep = np.zeros(len(nodes), bool)
+        for cut, close in _near(fps, left, right, kind.radius):
+            close &= nodes[left[cut]][:, None] != nodes[right][None, :]
+            keep[left[cut]] |= close.any(axis=1)
+            keep[right] |= close.any(axis=0)
+        return cell.filter(pa.array(keep)).select(["key", "team", "block", "node", "asks", "fp"])
+
+    def alike_forest(cell):
+        """A spanning forest of what is alike: rows that are connected already need no look."""
+        nodes, fps, left, right = sides(cell)
+        sets, out = [np.frombuffer(x, "<u8") for x in cell["shingles"].to_pylist()], []
+        names, root = np.unique(nodes, return_inverse=True)
+        group = np.arange(len(names))
+        for cut, close in _near(fps, left, right, kind.radius):
+            for i, near in zip(left[cut].tolist(), close, strict=True):
+                rest = right[near]
+                while (rest := rest[group[root[rest]] != group[root[i]]]).size:
+                    j, rest = int(rest[0]), rest[1:]
+                    if alike(sets[i], sets[j], kind.similarity):
+                        out.append((int(nodes[i]), int(nodes[j])))
+                        group[group == group[root[j]]] = group[root[i]]
+        src, dst = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    kinds = "key long, team int, block int, node long, asks boolean, fp binary"
+    close = stage(cells.groupBy("key", "team", "block").applyInArrow(involved, kinds), "simhash-close").df
+    sets = stage(sets_of(close.select("node").distinct()), "simhash-close-sets").df
+    links = close.join(sets, "node").groupBy("key", "team", "block").applyInArrow(alike_forest, "src long, dst long")
+    return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
+def shingle_sets(docs: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
+    """``(node, shingles)`` of ``reps(node, doc_id, row)``: the sorted hashes of each one's text.
+
+    The texts are found in one pass over ``docs`` by a filter of WANTED bits, which is all that
+    reaches the driver and the tasks, so only texts that are wanted (and few others) are shuffled.
+    """
+    place = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(WANTED)).cast("int")
+    marked = np.zeros(WANTED, bool)
+    for batch in reps.select(place("doc_id", "row").alias("at")).distinct().toArrow().to_batches():
+        marked[batch.column(0).to_numpy()] = True
+    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+
+    def run(batches):
+        bits = shipped.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            some = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)) & 1)
+            for k in range(0, len(some), 256):
+                part = batch.take(pa.array(some[k : k + 256]))
+                sets = [shingles(x.as_py() or b"", kind.shingle).astype("<u8").tobytes() for x in part.column(3)]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(sets, pa.binary())], ["doc_id", "row", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
+    made = texts.select(place("doc_id", "row").alias("at"), "doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, shingles binary")
+    return made.join(reps, ["doc_id", "row"]).select("node", "shingles").dropDuplicates(["node"])
 
 
 def _judged(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     """The fingerprinted rows, and ``(node, rep, component)`` of each class: its least doc_id and its component's name."""
     made = stage(fingerprints(docs, kind), "fingerprints").df
-    classes = stage(made.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "simhash-classes").df
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+    classes = made.groupBy("node").agg(least.alias("least"), F.first("fp").alias("fp"))
+    classes = stage(classes.select("node", F.col("least.doc_id").alias("rep"), F.col("least.row").alias("rep_row"), "fp"), "simhash-classes").df
     named = classes.where("rep is not null")
     plan = fit_plan(named, named.count(), kind)
-    edges = stage(linked_pairs(named, plan).distinct(), "simhash-edges").df
+    reps = named.select("node", F.col("rep").alias("doc_id"), F.col("rep_row").alias("row"))
+    edges = stage(linked_pairs(named, plan, lambda nodes: shingle_sets(docs, reps.join(nodes, "node", "left_semi"), kind)).distinct(), "simhash-edges").df
     free_shuffles(docs.sparkSession)
     merged = connected_components(edges).withColumnRenamed("node", "member")
     of_class = classes.select("node", "rep").join(merged, classes.node == merged.member, "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
@@ -424,8 +540,9 @@ def keep_first(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
     """One row of ``docs``, that of the least doc_id, for each group of texts whose distinct five-word
     shingles have a Jaccard similarity of 0.8 or more (or of another ``kind``), columns as they came.
 
-    The similarity is estimated from the fingerprints: at 0.8 its standard error is 0.017, and the
-    radius allows 1.5 of these, so most pairs down to 0.775 and few below 0.75 link as well. Texts of equal shingles count as one,
+    Candidates come from wide fingerprints, of which a pair at 0.8 is missed with a chance of MISS
+    and of SLACK standard errors whatever the table's size; what links is settled on the shingles
+    themselves. Groups are connected by such pairs. Texts of equal shingles count as one,
     texts without words too. Rows that agree in doc_id and text are copies, of which one stays;
     rows that share a doc_id only are told apart by their texts. Rows without a doc_id stay. An
     empty table gives an empty one.
