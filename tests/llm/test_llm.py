@@ -433,10 +433,29 @@ def test_flight_keeps_totals():
         assert sum(0 < x < 1 for x in chance) <= 2
 
 
-def test_flight_keeps_inclusion_probabilities():
-    size, chance = [900, 60, 50, 41, 30, 30, 12, 5, 3, 2], [0.3, 0.5, 0.3, 0.7, 0.3, 0.2, 0.6, 0.3, 0.5, 0.4]
-    runs = np.mean([mixing.land(mixing.fly(size, chance, k), mixing._draw(k)) for k in range(6000)], axis=0)
-    assert set(np.unique(mixing.land(mixing.fly(size, chance, 1), 0.5))) <= {0.0, 1.0} and np.abs(runs - chance).max() < 0.025
+def test_flight_and_landing_keep_inclusion_probabilities():
+    rng = random.Random(5)
+    size = sorted((rng.randrange(5, 90) for _ in range(30)), reverse=True)
+    chance = [rng.choice([0.2, 0.37, 0.5, 0.8]) for _ in size]
+    flights = np.array([mixing.fly(size, chance, k) for k in range(2500)])
+    assert np.abs(flights.mean(axis=0) - chance).max() < 0.04
+    runs = np.array([mixing.land(size, mixing.fly(size, chance, k, mixing.KEEP), k) for k in range(2500)])
+    assert set(np.unique(runs)) <= {0.0, 1.0} and np.abs(runs.mean(axis=0) - chance).max() < 0.04
+    off = np.abs(runs @ size - np.dot(size, chance)) / np.dot(size, chance)
+    assert np.median(off) < 0.005 and off.max() < 0.05
+    assert mixing.land([5], [0.0], 1).tolist() == [0.0] and mixing.land([], [], 1).tolist() == []
+
+
+def test_large_documents_give_way_to_the_words():
+    """Half of a source's words in one document: the words taken come near all the same."""
+    size, chance = [900, 160, 150, 141, 130, 130, 112, 75, 33, 22, 9, 4], [0.8] * 12
+    for k in range(50):
+        assert abs(mixing.land(size, mixing.fly(size, chance, k, mixing.KEEP), k) @ size - 0.8 * sum(size)) <= 0.02 * sum(size)
+
+
+def test_every_source_lands_near_its_target(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) > 10 and max(abs(r.taken - r.target) / r.target for r in got) < 0.01
 
 
 # op6

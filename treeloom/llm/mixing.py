@@ -6,7 +6,8 @@ probabilities through the null space of two constraints (words and documents) un
 or 1, so both totals stay where they were. Each move is the projection on that space of the
 largest undecided document, so all the others make up for it by a little and the smallest are
 left to the end. Blocks of a source fly apart; what they leave undecided (two documents each at
-most) flies again in fewer blocks, until two small documents a source remain for the landing.
+most) flies again in fewer blocks, until KEEP documents a source remain for the landing: of the
+outcomes that miss the words by little one is drawn, with odds that keep every document's chance.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and how often a source may be repeated.
 SHARE, MOST = 1.5, 2.0
 BLOCK = 4096
+#: Documents that land at a time (two to that power of outcomes are weighed), and by which share of their words an outcome may
+#: miss: the least that leaves outcomes enough to keep all chances, or else FAR.
+KEEP, OFF, FAR = 12, (0.005, 0.01, 0.02), 0.01
 _ZERO = 1e-9
 
 
@@ -64,8 +68,8 @@ def _draw(*key) -> float:
     return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest()) / 2**64
 
 
-def fly(size, chance, seed) -> np.ndarray:
-    """Moves chances until two at most lie strictly between 0 and 1; keeps the sums of chance and of size * chance.
+def fly(size, chance, seed, stop: int = 2) -> np.ndarray:
+    """Moves chances until ``stop`` (two or more) at most lie strictly between 0 and 1; keeps the sums of chance and of size * chance.
 
     ``size`` descends. Each move goes along the projection of the first open document on the null
     space of both sums (of the next one, where the first can't move), up or down with the odds
@@ -75,7 +79,7 @@ def fly(size, chance, seed) -> np.ndarray:
     rng = np.random.default_rng(int(_draw(seed) * 2**63))
     _settled(chance)
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
-    while len(open_) > 2:
+    while len(open_) > stop:
         c, s = chance[open_], size[open_]
         step = _direction(s - s.mean())
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -106,18 +110,57 @@ def _settled(chance: np.ndarray) -> None:
     chance[chance > 1 - _ZERO] = 1
 
 
-def land(chance: np.ndarray, draw: float) -> np.ndarray:
-    """Decides the last one or two, each with its own chance, as seldom both or neither as that allows."""
-    chance, open_ = chance.copy(), np.flatnonzero((chance > 0) & (chance < 1))
-    if len(open_) == 1:
-        chance[open_[0]] = float(draw < chance[open_[0]])
-    elif len(open_) == 2:
-        p, q = chance[open_]
-        both = max(0.0, p + q - 1)
-        chance[open_] = (1, 1) if draw < both else (1, 0) if draw < p else (0, 1) if draw < p + q - both else (0, 0)
+def land(size, chance, seed) -> np.ndarray:
+    """Decides the KEEP documents at most that are open: one of the outcomes that miss their words by little, each document with its own chance.
+
+    Where no odds of such outcomes keep all chances, as with a document of a good part of all
+    words, the words go first and the odds are those that come nearest to the chances.
+    """
+    size, chance = np.asarray(size, float), np.array(chance, float)
+    _settled(chance)
+    open_ = np.flatnonzero((chance > 0) & (chance < 1))
+    if not len(open_):
+        return chance
+    c, s = chance[open_], size[open_]
+    every = (np.arange(2 ** len(c))[:, None] >> np.arange(len(c)) & 1).astype(float)
+    miss = np.abs(every @ s - c @ s)
+    for off in (*OFF, FAR):
+        near = every[miss <= max(off * s.sum(), float(miss.min()) + _ZERO)]
+        odds, wrong = _odds(near, c)
+        if wrong < 1e-4:
+            break
+    at = int(np.searchsorted(np.cumsum(odds) / odds.sum(), _draw(seed), side="right"))
+    chance[open_] = near[min(at, len(near) - 1)]
     return chance
 
 
+def _odds(outcomes: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, float]:
+    """The most even odds of outcomes under which each document's chance is as given, and by how much they miss that: Newton's method on the tilt."""
+    tilt = np.log(chance / (1 - chance))
+
+    def tilted(t: np.ndarray) -> tuple[np.ndarray, float]:
+        power = outcomes @ t
+        weight = np.exp(power - power.max())
+        return weight / weight.sum(), float(t @ chance - power.max() - np.log(weight.sum()))
+
+    odds, height = tilted(tilt)
+    for _ in range(60):
+        off = chance - odds @ outcomes
+        if np.abs(off).max() < 1e-9:
+            break
+        spread = (outcomes * odds[:, None]).T @ outcomes - np.outer(odds @ outcomes, odds @ outcomes)
+        step, part = np.linalg.solve(spread + 1e-9 * np.eye(len(chance)), off), 1.0
+        while part > 1e-6:
+            new, higher = tilted(tilt + part * step)
+            if higher > height:
+                break
+            part /= 2
+        else:
+            break
+        tilt, odds, height = tilt + part * step, new, higher
+    return odds, float(np.abs(chance - odds @ outcomes).max())
+
+
 def _round(units: DataFrame, landing: bool, turn: int, seed: int, schema) -> DataFrame:
     """One flight of every block of ``units(source, size, key, chance, block, ...)``."""
 
@@ -126,9 +169,9 @@ def _round(units: DataFrame, landing: bool, turn: int, seed: int, schema) -> Dat
         keys, size, chance = (block[k].to_numpy() for k in ("key", "size", "chance"))
         turns = _mixed(keys.view(np.uint64) ^ np.uint64(int(_draw(seed, turn) * 2**63)))
         order = np.lexsort((chance, turns, -size))
-        flown = fly(size[order], chance[order], (seed, turn, source, number))
+        flown = fly(size[order], chance[order], (seed, turn, source, number), KEEP if landing else 2)
         if landing:
-            flown = land(flown, _draw(seed, "land", source))
+            flown = land(size[order], flown, (seed, "land", source))
         block = block.take(pa.array(order)).drop_columns(["block"])
         return block.set_column(block.column_names.index("chance"), "chance", pa.array(flown))
 
