@@ -1,12 +1,10 @@
-"""Report sinks over small results: LaTeX and text tables, checksum lists, per-corpus runs with status rows."""
+"""Report sinks over small results: LaTeX and text tables, checksum lists; observed counts."""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterable
-from datetime import UTC, datetime
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 #: The most rows a rendered table takes to the driver.
 MOST_ROWS = 1000
@@ -51,28 +49,6 @@ def checksum_list(digests: DataFrame) -> str:
     return "".join(f"{r.sha256}  {r.name}\n" for r in _rows(digests.orderBy("name")))
 
 
-def write_checksums(digests: DataFrame, path: str) -> bool:
-    """Replaces a local checksum file in one step; leaves it alone if there is nothing to list."""
-    text = checksum_list(digests)
-    if text:
-        with open(f"{path}.new", "w") as f:
-            f.write(text)
-        os.replace(f"{path}.new", path)
-    return bool(text)
-
-
-def run_each(spark: SparkSession, names: Iterable[str], work: Callable[[str], DataFrame], path: str) -> DataFrame:
-    """Appends each corpus's rows as they are done, and a status row also where one fails: ``name, status, error``."""
-    states = []
-    for name in names:
-        try:
-            work(name).withColumn("name", F.lit(name)).write.mode("append").parquet(path)
-            states.append((name, "ok", None))
-        except Exception as e:  # one corpus's failure is a result and doesn't end the others
-            states.append((name, "error", str(e).splitlines()[0][:500]))
-    return spark.createDataFrame(states, "name string, status string, error string")
-
-
 def percentages_add_up(df: DataFrame, columns: list[str], within: float = 0.3) -> DataFrame:
     """Rows whose rounded percentages miss 100 by more than ``within``."""
     return df.where(F.abs(sum((F.col(c) for c in columns), F.lit(0.0)) - 100) > within)
@@ -82,8 +58,3 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Ob
     """``df`` and an observation of ``metrics``, counted as its rows pass: progress and totals cost no pass of their own."""
     seen = Observation(name)
     return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen
-
-
-def log_line(label: str, seen: Observation) -> str:
-    """A time-stamped line of an observation whose rows have passed."""
-    return f"{datetime.now(UTC).isoformat(timespec='seconds')} {label}: " + ", ".join(f"{k}={v:,}" if isinstance(v, int) else f"{k}={v}" for k, v in seen.get.items())

@@ -432,7 +432,9 @@ def checksum_lines(spark, d):
 
 @query
 def run_status(spark, d):
-    """Rows appended by language as they are done, and the status of each run, failed ones included."""
+    """Rows committed by language as they are done, and the status of each run, failed ones included."""
+    from ..operators import runs
+
     path = own_folder(spark, "runs")
 
     def work(lang: str) -> DataFrame:
@@ -440,8 +442,8 @@ def run_status(spark, d):
             raise ValueError("no such corpus")
         return docs(spark, d).where(F.col("lang") == lang).agg(F.count("*").alias("n"))
 
-    states = reports.run_each(spark, ["de", "xx", "fr"], work, path)
-    return states.join(spark.read.parquet(path), "name", "left").select("name", "status", "n")
+    states = runs.run_corpora(spark, [(name, "1") for name in ("de", "xx", "fr")], work, path).select("name", "status")
+    return states.join(runs.results(spark, path, "n long").select("name", "n"), "name", "left").select("name", "status", "n")
 
 
 @query
