@@ -25,8 +25,8 @@ from .common import stage
 #: Rows the centroids are fitted on and the queries' first limits come from; every row is indexed.
 SAMPLE = 4096
 CENTROIDS = 16
-#: Vectors of a piece of a cell, and queries of a block, that a task holds at a time.
-PIECE, BLOCK = 32_768, 16_384
+#: Vectors of a piece of a cell, and bytes of a block's queries, that a task holds at a time.
+PIECE, BLOCK = 32_768, 64 << 20
 #: Bits a dimension of a quantised query.
 PLANES = 4
 #: Standard deviations of the estimate's error that the bounds allow.
@@ -100,8 +100,9 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vector)`` of the rows that take part: of the commonest length, whole, finite, not all zero."""
-    x = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    x, kind = F.col("vector"), vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats are shuffled as such
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     broken = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & x.isNotNull() & ~F.coalesce(broken, F.lit(False)) & F.exists(x, lambda v: v != 0))
     lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
@@ -109,10 +110,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _typed(rows: DataFrame) -> str:
+    return f"vector {rows.schema['vector'].dataType.simpleString()}"
+
+
 def build_index(rows: DataFrame, coder: Coder) -> DataFrame:
     """Codes and scalars of every row beside its vector, and a hash by which a cell's rows are dealt."""
     shared = rows.sparkSession.sparkContext.broadcast(coder)  # D x D and CENTROIDS x D numbers
@@ -123,7 +128,7 @@ def build_index(rows: DataFrame, coder: Coder) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(norm), pa.array(inner)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "vector", "cell", "code", "norm", "inner"])
 
-    made = rows.mapInArrow(run, "id long, vector array<double>, cell int, code binary, norm double, inner double")
+    made = rows.mapInArrow(run, f"id long, {_typed(rows)}, cell int, code binary, norm double, inner double")
     return made.withColumn("deal", F.xxhash64("id", "norm"))
 
 
@@ -171,13 +176,13 @@ def route(asked: DataFrame, coder: Coder, sample: np.ndarray, sample_ids: np.nda
             row, cell = np.nonzero(apart - reach[None, :] <= limits[:, None])
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), batch.column(1).take(pa.array(row)), pa.array(limits[row]), pa.array(cell.astype(np.int32))], ["id", "vector", "limit", "cell"])
 
-    return asked.select("id", "vector").mapInArrow(run, "id long, vector array<double>, limit double, cell int")
+    return asked.select("id", "vector").mapInArrow(run, f"id long, {_typed(asked)}, limit double, cell int")
 
 
 def search(index: DataFrame, routed: DataFrame, coder: Coder, sizes: dict[int, int], n_queries: int, k: int = K) -> DataFrame:
     """``(query_id, vec_id, score)``: at most k of each query and piece, the true nearest among them."""
     shared = index.sparkSession.sparkContext.broadcast(coder)
-    blocks = max(1, -(-n_queries // BLOCK))
+    blocks = max(1, -(-n_queries * 8 * len(coder.rotation) // BLOCK))
     pieces = F.element_at(F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(max(1, -(-n // PIECE))))]), F.col("cell"))
     rows = index.withColumn("piece", F.pmod("deal", pieces).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = routed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))))
@@ -235,7 +240,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     empty = "query_id long, rank int, vec_id long, score double"
     if picked.empty:
         return vectors.sparkSession.createDataFrame([], empty)
-    sample, sample_ids = np.stack(picked["vector"].to_numpy()), picked["id"].to_numpy()
+    sample, sample_ids = np.stack(picked["vector"].to_numpy()).astype(np.float64), picked["id"].to_numpy()
     coder = Coder.fit(sample)
     index = stage(build_index(rows, coder), "ann-index").df
     cells = index.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("reach")).collect()  # CENTROIDS rows

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import exists, own_folder, remove, shared_dir
 from ..sources.tables import load
 
-__all__ = ["WHITE", "Staged", "buckets", "exists", "free_shuffles", "lower_ascii", "own_folder", "partitions", "shared_dir", "stage", "table", "text_or_empty"]
+__all__ = ["WHITE", "Staged", "buckets", "exists", "free_shuffles", "lower_ascii", "own_folder", "partitions", "shared_dir", "stage", "staging", "table", "text_or_empty"]
 
 #: The white space that separates words: space, tab, LF, VT, FF, CR.
 WHITE = " \t\n\x0b\x0c\r"
@@ -36,8 +38,25 @@ class Staged:
         remove(self.spark, self.path)
 
 
+_COLLECTORS: list[list[Staged]] = []
+
+
 def stage(df: DataFrame, label: str, **options: str) -> Staged:
-    return Staged(df, label, **options)
+    made = Staged(df, label, **options)
+    for held in _COLLECTORS:
+        held.append(made)
+    return made
+
+
+@contextmanager
+def staging() -> Iterator[list[Staged]]:
+    """Gathers the tables that are staged within, for those of them to be released that nothing needs any more."""
+    held: list[Staged] = []
+    _COLLECTORS.append(held)
+    try:
+        yield held
+    finally:
+        _COLLECTORS[:] = [x for x in _COLLECTORS if x is not held]
 
 
 def free_shuffles(spark: SparkSession) -> None:

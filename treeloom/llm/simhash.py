@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_shuffles, stage
+from .common import Staged, free_shuffles, stage, staging
 from .components import connected_components
 
 SHINGLE, RADIUS, WORD, SEED = 4, 4, 64, 42
@@ -74,7 +74,7 @@ class Kind:
     def sketch_radius(self) -> int:
         if self.bits == WORD:
             return self.radius
-        p = self.radius / self.bits
+        p = differing(self.similarity) if self.similarity else self.radius / self.bits
         return int(WORD * p + SKETCH_SLACK * sqrt(WORD * p * (1 - p)))
 
     def missed(self, similarity: float) -> float:
@@ -362,6 +362,7 @@ def linked_pairs(classes: DataFrame, plan: Plan, sets_of: Callable[[DataFrame],
     met = stage(entries.union(probes.where("not own")).join(heavy, "key").select("key", "n", "node", "first", near(F.col("sketch"), F.col("first_sketch")).alias("near")), "simhash-met").df
     stars = met.where("near and node <> first").select(F.least("node", "first").alias("src"), F.greatest("node", "first").alias("dst"))
     edges = stage(_verified(found.union(stars).distinct(), classes, kind, sets_of), "simhash-links").df
+    free_shuffles(classes.sparkSession)
     tied = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
     met = met.join(tied, (F.least("node", "first") == F.col("_a")) & (F.greatest("node", "first") == F.col("_b")), "left")
     met = stage(met.select("key", "n", "node", (F.col("_a").isNull() & (F.col("node") != F.col("first"))).alias("free")), "simhash-split").df
@@ -503,20 +504,25 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
     return made.join(reps, ["doc_id", "row"]).select("node", "shingles").dropDuplicates(["node"])
 
 
-def _judged(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, kind: Kind) -> tuple[Staged, Staged]:
     """The fingerprinted rows, and ``(node, rep, component)`` of each class: its least doc_id and its component's name."""
-    made = stage(fingerprints(docs, kind), "fingerprints").df
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
-    classes = made.groupBy("node").agg(least.alias("least"), F.first("fp").alias("fp"))
-    classes = stage(classes.select("node", F.col("least.doc_id").alias("rep"), F.col("least.row").alias("rep_row"), "fp"), "simhash-classes").df
-    named = classes.where("rep is not null")
-    plan = fit_plan(named, named.count(), kind)
-    reps = named.select("node", F.col("rep").alias("doc_id"), F.col("rep_row").alias("row"))
-    edges = stage(linked_pairs(named, plan, lambda nodes: shingle_sets(docs, reps.join(nodes, "node", "left_semi"), kind)).distinct(), "simhash-edges").df
-    free_shuffles(docs.sparkSession)
-    merged = connected_components(edges).withColumnRenamed("node", "member")
-    of_class = classes.select("node", "rep").join(merged, classes.node == merged.member, "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    return made, stage(of_class, "simhash-merged").df
+    with staging() as held:
+        fingerprinted = stage(fingerprints(docs, kind), "fingerprints")
+        least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+        classes = fingerprinted.df.groupBy("node").agg(least.alias("least"), F.first("fp").alias("fp"))
+        classes = stage(classes.select("node", F.col("least.doc_id").alias("rep"), F.col("least.row").alias("rep_row"), "fp"), "simhash-classes").df
+        named = classes.where("rep is not null")
+        plan = fit_plan(named, named.count(), kind)
+        reps = named.select("node", F.col("rep").alias("doc_id"), F.col("rep_row").alias("row"))
+        edges = stage(linked_pairs(named, plan, lambda nodes: shingle_sets(docs, reps.join(nodes, "node", "left_semi"), kind)).distinct(), "simhash-edges").df
+        free_shuffles(docs.sparkSession)
+        merged = connected_components(edges).withColumnRenamed("node", "member")
+        of_class = classes.select("node", "rep").join(merged, classes.node == merged.member, "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+        done = stage(of_class, "simhash-merged")
+    for x in held:
+        if x is not fingerprinted and x is not done:
+            x.release()
+    return fingerprinted, done
 
 
 def near_duplicates(docs: DataFrame, kind: Kind = Kind()) -> DataFrame:
@@ -529,7 +535,7 @@ def near_duplicates(docs: DataFrame, kind: Kind = Kind()) -> DataFrame:
     no member has an id). Repeated rows give repeated rows; rows of one doc_id with different
     texts are classes of their own.
     """
-    made, of_class = _judged(docs, kind)
+    made, of_class = (x.df for x in _judged(docs, kind))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "component").select("node", "component_id")
     shown = F.hex("node") if kind.bits == WORD else F.hex("fp")
@@ -548,10 +554,13 @@ def keep_first(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
     empty table gives an empty one.
     """
     named = docs.where("doc_id is not null")
-    made, of_class = _judged(named.select("doc_id", "text"), kind or similar(named.count()))
+    judged = _judged(named.select("doc_id", "text"), kind or similar(named.count()))
+    made, of_class = (x.df for x in judged)
     ranked = made.groupBy("node", "doc_id", "row").agg(F.count("*").alias("copies")).join(of_class.select("node", "component"), "node")
     first = ranked.groupBy("component").agg(F.min(F.struct("doc_id", "row", "copies")).alias("first")).select("first.*")
     first = stage(first.select(F.col("doc_id").alias("_kept"), F.col("row").alias("_row"), F.col("copies").alias("_copies")), "simhash-first").df
+    for x in judged:
+        x.release()
     nested = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     pick = lambda test: nested.join(first.where(test), (F.col("_id") == F.col("_kept")) & (F.col("_text") == F.col("_row")), "left_semi")
     kept = pick("_copies = 1").select("row.*").union(docs.where("doc_id is null"))
