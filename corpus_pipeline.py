@@ -8,11 +8,38 @@ stage says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from treeloom.llm.common import stage, table
+from treeloom.llm.common import Staged, stage, staging, table
+
+_EARLIER: list[Staged] = []
+
+
+def _freeing(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Releases what the stage before it staged, whose rows have been written and are read again by now.
+
+    Nothing goes while ``docs`` still reads from it, as when stages are chained without writing.
+    """
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        if not any(x.path.split(":", 1)[-1].strip("/") in f for x in _EARLIER for f in read):
+            for x in _EARLIER:
+                x.release()
+            _EARLIER.clear()
+        with staging() as held:
+            out = step(spark, docs, sf_dir)
+        _EARLIER.extend(held)
+        return out
+
+    return run
 
 
+@_freeing
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null and empty texts, and all of under 50 words, fail the base rules."""
     from treeloom.llm.quality import keep_good
@@ -20,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+@_freeing
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least doc_id, of each group of texts whose five-word shingles are similar by 0.8 or more.
 
@@ -30,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_first(docs)
 
 
+@_freeing
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones hold; n_chars is counted again.
 
@@ -40,6 +69,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return remove_repeats(docs)
 
 
+@_freeing
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or two times. Null and empty texts are taken no time."""
     from treeloom.llm.mixing import mixed_rows
@@ -47,6 +77,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_rows(docs)
 
 
+@_freeing
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each row of the mix; null and empty texts have no tokens."""
     import public_tokenizers
@@ -64,7 +95,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}").df
+        made = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            before.release()
+        docs, before = made.df, made
     return STAGES[-1][1](spark, docs, sf_dir)
