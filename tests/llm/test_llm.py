@@ -834,6 +834,24 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(ids["encoding"])
 
 
+def test_stages_release_what_was_written(spark, tmp_path):
+    """What a stage staged goes once another reads its written rows, not while it is read from, nor for the same stage or documents."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    made = [" ".join(f"w{rng.randrange(3000)}" for _ in range(90)) for _ in range(30)]
+    documents(spark, [*made, made[0], "short"]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    good, again = corpus_pipeline.quality(spark, df, ""), corpus_pipeline.quality(spark, df, "")
+    chained, beside = corpus_pipeline.near_duplicates(spark, good, ""), corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(r.doc_id for r in chained.collect()) == list(range(30)) and beside.count() == 31
+    assert good.count() == again.count() == 31
+    held = [x.path for name, _, x in corpus_pipeline._EARLIER if name == "quality"]
+    good.write.parquet(str(tmp_path / "good"))
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "good")), "")
+    assert held and not any(common.exists(spark, p) for p in held)
+
+
 def test_pipeline_on_odd_tables(spark):
     """Null, empty, repeated and clashing: no stage fails, and each gives what its docstring says."""
     import corpus_pipeline
