@@ -15,25 +15,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.common import Staged, stage, staging, table
 
-_EARLIER: list[Staged] = []
+#: What stages have staged: whose it is, and the files that its documents were read from.
+_EARLIER: list[tuple[str, frozenset[str], Staged]] = []
 
 
 def _freeing(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Releases what the stage before it staged, whose rows have been written and are read again by now.
 
-    Nothing goes while ``docs`` still reads from it, as when stages are chained without writing.
+    Nothing goes while ``docs`` still reads from any of it, as when stages are chained without
+    writing, nor what the same stage made, or another from the same documents: such results may be
+    wanted yet.
     """
 
     @wraps(step)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
-        if not any(x.path.split(":", 1)[-1].strip("/") in f for x in _EARLIER for f in read):
-            for x in _EARLIER:
-                x.release()
-            _EARLIER.clear()
+        read = frozenset(docs.inputFiles())
+        chained = any(x.path.split(":", 1)[-1].strip("/") in f for _, _, x in _EARLIER for f in read)
+        over = lambda name, files, _: read and not chained and name != step.__name__ and files != read
+        kept = []
+        for x in _EARLIER:
+            if over(*x):
+                x[2].release()
+            else:
+                kept.append(x)
         with staging() as held:
             out = step(spark, docs, sf_dir)
-        _EARLIER.extend(held)
+        _EARLIER[:] = [*kept, *((step.__name__, read, x) for x in held)]
         return out
 
     return run
