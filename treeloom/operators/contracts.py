@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import PATTERNS
 
 TOLERANCE = 5.1e-7
 
 
-def distribution_violations(rows: DataFrame, group: str) -> DataFrame:
-    """``(group, rule)`` for six-row distributions ``(group, pattern, n, total, proportion)``."""
+def distribution_violations(rows: DataFrame, group: str, tolerance: Column | None = None) -> DataFrame:
+    """``(group, rule)`` for six-row distributions ``(group, pattern, n, total, proportion)``; proportions may be out by ``tolerance``."""
+    most = F.lit(TOLERANCE) if tolerance is None else tolerance
     each = rows.groupBy(group).agg(
         F.count_if(F.col("n") < 0).alias("negative"),
         F.count_if(F.col("total") <= 0).alias("empty"),
-        F.count_if(F.abs(F.col("proportion") - F.col("n") / F.col("total")) > TOLERANCE).alias("proportion"),
+        F.count_if(F.abs(F.col("proportion") - F.col("n") / F.col("total")) > most).alias("proportion"),
         F.sort_array(F.collect_list("pattern")).alias("patterns"),
         F.count_distinct("total").alias("totals"),
         F.sum("n").alias("sum"),

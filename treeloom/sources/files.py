@@ -114,19 +114,27 @@ CACHED = ("corpus_id", "corpus", "pattern", "count", "total", "proportion")
 
 
 def read_cached_counts(spark: SparkSession, path: str) -> DataFrame:
-    """``(corpus_id, corpus, pattern, n, total, proportion)`` of cached counts, typed; the header must be as it should."""
+    """``(corpus_id, corpus, pattern, n, total, proportion, places)`` of cached counts, typed; the header must be as it should.
+
+    ``places`` is how many decimals a proportion is written with, 6 at least.
+    """
     rows = read_tsv(spark, path, CACHED)
-    return rows.select("corpus_id", "corpus", "pattern", F.col("count").cast("long").alias("n"), F.col("total").cast("long").alias("total"), F.col("proportion").cast("double").alias("proportion"))
+    places = F.greatest(F.lit(6), F.length(F.regexp_extract("proportion", r"^[0-9]*\.([0-9]+)$", 1)))
+    return rows.select("corpus_id", "corpus", "pattern", F.col("count").cast("long").alias("n"), F.col("total").cast("long").alias("total"), F.col("proportion").cast("double").alias("proportion"), places.alias("places"))
 
 
 def cache_violations(cached: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``(corpus_id, rule)``: corpora the manifest lacks or names otherwise, and distributions that don't hold."""
-    from ..operators.contracts import distribution_violations
+    """``(corpus_id, rule)``: corpora the manifest lacks or names otherwise, and distributions that don't hold.
+
+    Where ``cached`` has ``places``, proportions are held to as many decimals (12 at most, which doubles have for sure).
+    """
+    from ..operators.contracts import TOLERANCE, distribution_violations
 
+    exact = TOLERANCE * F.pow(F.lit(10.0), 6 - F.least("places", F.lit(12))) if "places" in cached.columns else None
     names = cached.select("corpus_id", "corpus").distinct().join(manifest.select("corpus_id", "display_name"), "corpus_id", "left")
     foreign = names.where("display_name is null").select("corpus_id", F.lit("unexpected corpus").alias("rule"))
     other = names.where("display_name <> corpus").select("corpus_id", F.lit("display name"))
-    return foreign.union(other).union(distribution_violations(cached, "corpus_id"))
+    return foreign.union(other).union(distribution_violations(cached, "corpus_id", exact))
 
 
 def with_analysis(manifest: DataFrame, tag: str) -> DataFrame:
