@@ -1,7 +1,10 @@
 """What the third round of review found."""
 
+import hashlib
+
+from treeloom.operators import inference
 from treeloom.schema import PATTERNS
-from treeloom.sources import files
+from treeloom.sources import files, tables
 
 
 def cached(spark, path, write, n):
@@ -17,3 +20,26 @@ def test_one_count_too_many_shows_in_large_totals(spark, tmp_path):
     n = [9_000_001, 4_000_003, 1_000_007, 2_000_003, 5_000_011, 3_000_017]
     assert cached(spark, str(tmp_path / "twelve"), lambda x: f"{x:.12f}", n) == ["proportion", "sum"]
     assert cached(spark, str(tmp_path / "six"), lambda x: f"{x:.6f}", n) == ["sum"]
+
+
+def test_only_buckets_in_which_a_share_ends_are_ordered(spark, monkeypatch):
+    """Labels follow the order of hashes; what is shuffled by bucket is a small part of the drawn rows."""
+    units = spark.range(400).selectExpr("id as u", "id % 3 as g")
+    monkeypatch.setattr(inference, "DIGITS", 2)
+    drawn = inference.hash_permuted(units, "u", "g", 4)
+    for k in range(1, 5):
+        order = sorted(range(400), key=lambda u: hashlib.md5(f"{k}-{u}".encode()).hexdigest())
+        want = dict(zip(order, sorted(u % 3 for u in range(400)), strict=True))
+        assert {r.u: r.drawn for r in drawn.where(f"replicate = {k}").collect()} == want
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    ordered = [x for x in plan.splitlines() if "row_number()" in x]
+    assert len(ordered) == 1 and "Union" in plan  # the rest of the rows passes without a window
+
+
+def test_tables_of_many_files_are_read_as_they_lie(spark, tmp_path):
+    """Rows of a small table in one file are dealt out; those of as many files as cores stay where they are."""
+    rows = spark.range(1000)
+    rows.repartition(4).write.parquet(str(tmp_path / "many.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    planned = lambda name: tables.load(spark, str(tmp_path), name)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in planned("many") and "Repartition" in planned("one")

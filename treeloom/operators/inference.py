@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import signed_rank_tail
 from ..schema import PATTERNS
+from ..sources.scratch import staged
 
 REPLICATES = 20_000
 
@@ -169,32 +170,46 @@ def hash_order(replicate: Column, unit: Column) -> Column:
 
 
 #: Hexadecimal digits of a hash by which units are dealt before they are ordered.
-DIGITS = 3
+DIGITS = 2
 
 
 def hash_permuted(units: DataFrame, unit: str, group: str, replicates: int = REPLICATES, by: tuple[str, ...] = ()) -> DataFrame:
     """``units`` under each replicate with ``drawn``: the group's labels in the order of hashes of (replicate, unit).
 
     Replicate 0 is the observed assignment; with ``by``, units are permuted within each value of
-    these columns. A unit's place is the number of units in lesser buckets of the hash (16 to the
-    power of DIGITS of them, counted) and its place within its own, so no task orders all units
-    of a replicate; its label is the one whose share of places that place falls into.
+    these columns. A unit's label is the one whose share of places its place falls into. Buckets of
+    the hash (16 to the power of DIGITS) are counted; where all places of a bucket have one label
+    its units get that without being ordered or moved, so only buckets in which a share ends, one
+    fewer than there are labels at most, are shuffled and ordered. ``units`` is read several times:
+    stage it where it is dear.
     """
     each = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     h = hash_order(F.col("replicate"), F.col(unit))
-    each = each.select("*", h.alias("_h")).withColumn("_bucket", F.conv(F.substring("_h", 1, DIGITS), 16, 10).cast("int"))
+    each = each.select("*", h.alias("_h")).withColumn("_bucket", F.substring("_h", 1, DIGITS))
     keys = [*by, "replicate"]
     sizes = each.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_h", unit))
-    placed = each.withColumn("_within", place).join(sizes.select(*keys, "_bucket", before.alias("_before")), [*keys, "_bucket"])
     labels = units.groupBy(*by, group).agg(F.count("*").alias("_n"))  # a few rows
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(group))
     cuts = labels.withColumn("_upto", upto).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_upto", F.col(group).alias("_label")))).alias("_cuts"))
-    placed = placed.join(F.broadcast(cuts), list(by)) if by else placed.crossJoin(F.broadcast(cuts))  # one row for each value of ``by``
-    at = F.col("_before") + F.col("_within")
-    drawn = F.get(F.filter("_cuts", lambda c: at <= c["_upto"]), F.lit(0))["_label"]
-    return placed.select(*units.columns, "replicate", drawn.alias("drawn")).unionByName(units.select("*", F.lit(0).alias("replicate"), F.col(group).alias("drawn")))
+    cut = lambda df: df.join(F.broadcast(cuts), list(by)) if by else df.crossJoin(F.broadcast(cuts))  # noqa: E731  # one row for each value of ``by``
+    label = lambda place: F.get(F.filter("_cuts", lambda c: place <= c["_upto"]), F.lit(0))
+    placed = cut(sizes.select(*keys, "_bucket", "_n", before.alias("_before")))
+    first, last = label(F.col("_before") + 1), label(F.col("_before") + F.col("_n"))
+    placed = staged(placed.select(*keys, "_bucket", "_before", first.alias("_first"), (first["_upto"] == last["_upto"]).alias("_one")), "buckets")
+    whole = placed.where("_one").groupBy(*keys, "_first").agg(F.min("_bucket").alias("_low"), F.max("_bucket").alias("_high"))
+    whole = whole.groupBy(*keys).agg(F.collect_list(F.struct("_low", "_high", F.col("_first._label").alias("_label"))).alias("_whole"))
+    ends = placed.where("not _one").groupBy(*keys).agg(F.collect_list(F.struct("_bucket", "_before")).alias("_ends"))
+    plan = cut(whole.join(ends, keys, "full_outer"))  # a row for each replicate and value of ``by``
+    drawn = each.join(F.broadcast(plan), keys)
+    mine = F.get(F.filter("_ends", lambda x: x["_bucket"] == F.col("_bucket")), F.lit(0))
+    share = F.get(F.filter("_whole", lambda x: (x["_low"] <= F.col("_bucket")) & (F.col("_bucket") <= x["_high"])), F.lit(0))
+    ended = F.exists(F.coalesce("_ends", F.array().cast("array<struct<_bucket:string,_before:bigint>>")), lambda x: x["_bucket"] == F.col("_bucket"))
+    settled = drawn.where(~ended).select(*units.columns, "replicate", share["_label"].alias("drawn"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_h", unit))
+    ordered = drawn.where(ended).select(*units.columns, "replicate", "_bucket", "_h", "_cuts", mine["_before"].alias("_before")).withColumn("_at", F.col("_before") + within)
+    ordered = ordered.select(*units.columns, "replicate", label(F.col("_at"))["_label"].alias("drawn"))
+    return settled.unionByName(ordered).unionByName(units.select("*", F.lit(0).alias("replicate"), F.col(group).alias("drawn")))
 
 
 def permutation_p(statistics: DataFrame, value: str, *by: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.special import chi2_tail, fisher_tail, sign_tail
 from ..operators import agreement, distributions as D, inference as I, matching as M, repetition as R, resampling as S
 from ..schema import PATTERNS, pattern_rank
-from ..sources.tables import load
+from ..sources.scratch import staged
+from ..sources.tables import dealt, load
 from . import treebank
 
 QUERIES: dict = {}
@@ -262,9 +263,9 @@ def _perm(statistics, *by):
 
 @query
 def perm_chi2_hash(spark, d):
-    units = load(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    units = dealt(staged(load(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "units"))
     drawn = I.hash_permuted(units, "doc_id", "quality", HASHED)
-    cells = drawn.groupBy("replicate", "drawn", "toxic").agg(F.count("*").alias("n"))
+    cells = staged(drawn.groupBy("replicate", "drawn", "toxic").agg(F.count("*").alias("n")), "cells")
     return _perm(I.table_chi2(cells, ["replicate"], "drawn", "toxic"))
 
 
@@ -283,10 +284,10 @@ def cluster_perm_hash(spark, d):
     """Documents of each two languages, permuted whole."""
     langs = docs(spark, d).agg(F.collect_set("lang").alias("langs"))  # one row
     pair = F.explode(F.transform(F.filter("langs", lambda x: x != F.col("lang")), lambda x: F.struct(F.least("lang", x).alias("group_a"), F.greatest("lang", x).alias("group_b"))))
-    units = clusters(spark, d, "lang").crossJoin(F.broadcast(langs)).select("*", pair.alias("pair")).select("doc_id", "lang", "pair.*", *[f"n_{p}" for p in PATTERNS])
+    units = dealt(staged(clusters(spark, d, "lang"), "units")).crossJoin(F.broadcast(langs)).select("*", pair.alias("pair")).select("doc_id", "lang", "pair.*", *[f"n_{p}" for p in PATTERNS])
     drawn = I.hash_permuted(units, "doc_id", "lang", 200, by=("group_a", "group_b"))
     keys = ["group_a", "group_b", "replicate"]
-    cells = drawn.groupBy(*keys, "drawn").agg(*[F.sum(f"n_{p}").alias(f"n_{p}") for p in PATTERNS])
+    cells = staged(drawn.groupBy(*keys, "drawn").agg(*[F.sum(f"n_{p}").alias(f"n_{p}") for p in PATTERNS]), "cells")
     return _perm(I.table_chi2(_long(cells, *keys, "drawn"), keys, "drawn", "pattern"), "group_a", "group_b")
 
 
