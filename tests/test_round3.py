@@ -4,7 +4,7 @@ import hashlib
 
 from treeloom.operators import inference
 from treeloom.schema import PATTERNS
-from treeloom.sources import files, tables
+from treeloom.sources import conllu, files, tables
 
 
 def cached(spark, path, write, n):
@@ -43,3 +43,12 @@ def test_tables_of_many_files_are_read_as_they_lie(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
     planned = lambda name: tables.load(spark, str(tmp_path), name)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in planned("many") and "Repartition" in planned("one")
+
+
+def test_blocks_within_a_split_are_not_shuffled(spark, tmp_path):
+    """The blocks that lie within a split come straight from the scan, with no window, grouping or sort over their lines."""
+    (tmp_path / "a.conllu").write_text("# x\n\n1\ta\n2\tb\n\n1\tc\n \t\n1\td\n\n# tail\n")
+    b = conllu.blocks(spark, str(tmp_path), attach=True)
+    whole = b._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "MapInArrow" in whole and not any(x in whole for x in ("Window", "Aggregate", "Sort"))
+    assert [r.lines for r in b.orderBy("ord").collect()] == [["# x", "1\ta", "2\tb"], ["1\tc"], ["1\td"]]
