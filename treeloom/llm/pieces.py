@@ -6,7 +6,8 @@ the normalised text, so their ends map straight back through that alignment.
 
 No piece of a supported model has a space mark after another character, so a text falls into
 units (space marks, then other characters) that merge independently; characters that occur in
-no longer piece part them further. Units repeat a lot and are remembered, within a bound.
+no longer piece part them further. Units repeat a lot and are remembered, within a bound; new
+ones of several texts merge together, as rows of a matrix, one merge of each row at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ MARK = "▁"
 _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 BPE = 2
+#: Characters of the longest unit that is merged by looking through all its pairs, units merged together, and bytes of the texts they are gathered from.
+SHORT, ROWS, GATHERED = 48, 4096, 1 << 20
+#: The rank of a pair that makes no piece.
+_NONE = np.iinfo(np.int32).max
 
 
 class CharacterMap:
@@ -120,22 +126,41 @@ def _width(data: bytes, at: int) -> int:
 
 
 class Units(dict):
-    """Remembered units: text -> its ids as packed 32-bit integers. Emptied when full."""
+    """Remembered units: text -> its ids as packed 32-bit integers. When full, they become the older ones, of which what is asked for again comes back."""
 
     BOUND = 300_000
 
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.BOUND:
-            self.clear()
-        parts = [x for x in self.codec.barrier.split(unit) if x]
-        found = b"".join([self[x] for x in parts]) if len(parts) > 1 else self.codec.merge(unit)
+        found = self.older.get(unit)
+        if found is None:
+            parts = [x for x in self.codec.barrier.split(unit) if x]
+            found = b"".join([self[x] for x in parts]) if len(parts) > 1 else self.codec.merge(unit)
         if len(unit) <= 64:
+            self._room(1)
             self[unit] = found
         return found
 
+    def _room(self, more: int) -> None:
+        if len(self) + more > self.BOUND:
+            self.older = dict(self)
+            self.clear()
+
+    def learn(self, units: set[str]) -> None:
+        """Merges those of the units (and of their parts) together that are new and can be; the others are merged when they are asked for."""
+        new = units.difference(self)
+        fresh = new.difference(self.older)
+        self.update((x, self.older[x]) for x in new - fresh)
+        parts = {x for unit in fresh for x in self.codec.barrier.split(unit) if x}
+        fresh = self.codec.plain(parts.difference(self, self.older))
+        for at in range(0, len(fresh), ROWS):
+            part = fresh[at : at + ROWS]
+            self._room(len(part))
+            self.update(zip(part, self.codec.merge_rows(part), strict=True))
+
 
 class Codec:
     """A BPE model with byte fallback: ``encode``, ``decode`` and their string-level parts."""
@@ -161,6 +186,7 @@ class Codec:
         self.normalise = Normaliser(spec, spec.precompiled_charsmap)
         self.strip_first = spec.add_dummy_prefix or spec.remove_extra_whitespaces
         self.units = Units(self)
+        self._index_pairs()
         byte_of = {i: b for b, i in self.bytes_at.items()}
         #: For each id: its digits, its text, its bytes in normalised text, its byte if it stands for one above 127.
         self.digits = [str(i) for i in range(len(self.pieces))]
@@ -173,9 +199,71 @@ class Codec:
             return chr(byte_of[i])
         return {CONTROL: "", UNKNOWN: unknown}.get(self.kinds[i]) if self.kinds[i] != NORMAL else self.pieces[i].replace(MARK, " ")
 
+    def _index_pairs(self) -> None:
+        """The pairs of pieces that make a piece, as sorted keys (the last is none) with that piece and the rank of its score, equal for equal ones; the piece of each character."""
+        self.of_character = np.full(0x110000, -1, np.int32)
+        rank = {x: r for r, x in enumerate(sorted({x for x in self.score.values()}, reverse=True))}
+        n, pairs = len(self.pieces) + 1, []  # one more: what fills rows up
+        for p, (score, i) in self.scores.items():
+            if len(p) == 1:
+                self.of_character[ord(p)] = i
+            for k in range(1, len(p)):
+                if (a := self.scores.get(p[:k])) and (b := self.scores.get(p[k:])):
+                    pairs.append((a[1] * n + b[1], i, rank[score]))
+        keys, pieces, ranks = zip(*sorted(pairs), (np.iinfo(np.int64).max, -1, _NONE), strict=True)
+        self.pair_keys, self.pair_pieces, self.pair_ranks = np.array(keys, np.int64), np.array(pieces, np.int32), np.array(ranks, np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair among the pairs, the last one if it makes no piece."""
+        keys = left.astype(np.int64) * (len(self.pieces) + 1) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, at, len(self.pair_keys) - 1)
+
+    def plain(self, units: set[str]) -> list[str]:
+        """Those of the units that ``merge_rows`` takes, shortest first: of SHORT characters at most, which are pieces all."""
+        short = sorted((u for u in units if len(u) <= SHORT), key=len)
+        if not short:
+            return []
+        known = self.of_character[np.frombuffer("".join(short).encode("utf-32-le"), "<u4")] >= 0
+        starts = np.cumsum([0, *map(len, short)])[:-1]
+        return list(compress(short, np.logical_and.reduceat(known, starts).tolist()))
+
+    def merge_rows(self, units: list[str]) -> list[bytes]:
+        """``merge`` of each, for units as ``plain`` gives them: each round merges every row's best pair."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        width, order, out = int(sizes.max()), np.arange(len(units)), [b""] * len(units)
+        rows = np.full((len(units), width), len(self.pieces), np.int32)
+        rows[np.arange(width) < sizes[:, None]] = self.of_character[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
+        pairs = self._pairs(rows[:, :-1], rows[:, 1:])
+        while True:
+            own, at = np.arange(len(order)), np.zeros(len(order), int)
+            live = np.zeros(len(order), bool)
+            if pairs.shape[1]:
+                ranks = self.pair_ranks[pairs]
+                at = ranks.argmin(axis=1)  # the leftmost of the best
+                live = ranks[own, at] < _NONE
+            if not live.all():
+                done = ~live
+                packed = rows[done][np.arange(rows.shape[1]) < sizes[done][:, None]].astype("<i4").tobytes()
+                ends = (4 * np.cumsum(sizes[done])).tolist()
+                for i, low, high in zip(order[done].tolist(), [0, *ends], ends):
+                    out[i] = packed[low:high]
+                if not live.any():
+                    return out
+                rows, pairs, sizes, order, at = rows[live], pairs[live], sizes[live], order[live], at[live]
+                own = np.arange(len(order))
+            both, sizes, cols = self.pair_pieces[pairs[own, at]], sizes - 1, np.arange(rows.shape[1] - 1)
+            rows = np.take_along_axis(rows, cols + (cols > at[:, None]), axis=1)
+            rows[own, at] = both
+            pairs = np.take_along_axis(pairs, cols[:-1] + (cols[:-1] >= at[:, None]), axis=1)
+            some = np.flatnonzero(at > 0)
+            pairs[some, at[some] - 1] = self._pairs(rows[some, at[some] - 1], both[some])
+            some = np.flatnonzero(at < rows.shape[1] - 1)
+            pairs[some, at[some]] = self._pairs(both[some], rows[some, at[some] + 1])
+
     def merge(self, unit: str) -> bytes:
         """Merges neighbours, best score first and leftmost among equals; packed ids."""
-        parts = self._merge_short(list(unit)) if len(unit) <= 48 else self._merge_long(list(unit))
+        parts = self._merge_short(list(unit)) if len(unit) <= SHORT else self._merge_long(list(unit))
         ids = []
         for piece in parts:
             if hit := self.scores.get(piece):
@@ -237,10 +325,17 @@ class Codec:
                 units.append(MARK * run)
         return [head, *units] if head else units
 
-    def encode_array(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a text and each piece's end in its bytes."""
-        normal, align = self.normalise(data)
-        units = self.split(normal.decode())
+    def encode_arrays(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text and each piece's end in its bytes; new units of all the texts are merged together."""
+        made = []
+        for data in texts:
+            normal, align = self.normalise(data)
+            made.append((self.split(normal.decode()), align))
+        self.units.learn(set().union(*[units for units, _ in made]))
+        for units, align in made:
+            yield self._joined(units, align)
+
+    def _joined(self, units: list[str], align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(b"".join(map(self.units.__getitem__, units)), "<i4")
         ends = np.cumsum(self.size[ids])
         if self.high[ids].any():  # of the bytes of one character only the last spans it
@@ -253,8 +348,12 @@ class Codec:
 
     def encode(self, data: bytes) -> tuple[list[int], list[int], list[int]]:
         """ids, and the start and end of each piece in the source bytes."""
-        ids, ends = self.encode_array(_valid(data))
-        return ids.tolist(), [0, *ends[:-1].tolist()][: len(ids)], ends.tolist()
+        return next(self.encoded([data]))
+
+    def encoded(self, texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        """``encode`` of each."""
+        for ids, ends in self.encode_arrays([_valid(x) for x in texts]):
+            yield ids.tolist(), [0, *ends[:-1].tolist()][: len(ids)], ends.tolist()
 
     def decode(self, ids) -> str:
         """The text of ids, without the space that encoding put first."""
@@ -320,9 +419,16 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def _texts(batch: pa.RecordBatch, at: int) -> Iterator[bytes]:
+def _texts(batch: pa.RecordBatch, at: int) -> Iterator[list[bytes]]:
+    """The texts in their order, as many at a time as hold GATHERED bytes, one at least."""
+    held, size = [], 0
     for x in batch.column(at):
-        yield x.as_py() or b""
+        held.append(x.as_py() or b"")
+        size += len(held[-1])
+        if size >= GATHERED:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 def encode_documents(docs: DataFrame, model: bytes, digest: bool = False) -> DataFrame:
@@ -332,14 +438,14 @@ def encode_documents(docs: DataFrame, model: bytes, digest: bool = False) -> Dat
     ``decoded``. With it: doc_id, n_tokens and the SHA-256 of the ids joined by commas, of the
     decoded text and of the piece ends (little-endian 32-bit). Null and empty texts have no
     pieces; bytes that are not UTF-8 count as U+FFFD; repeated rows are encoded alike; other
-    columns are ignored. A worker's memory is bounded by its largest text and Units.BOUND.
+    columns are ignored. A worker's memory is bounded by its largest text and twice Units.BOUND.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary, of fixed size
 
     def run(batches):
         c = codec(shipped.value)
         for batch in batches:
-            rows = [_digest(c, x) if digest else (*(found := c.encode(x)), c.decode(found[0])) for x in _texts(batch, 1)]
+            rows = [row for texts in _texts(batch, 1) for row in (_digests(c, texts) if digest else ((*x, c.decode(x[0])) for x in c.encoded(texts)))]
             columns = [*zip(*rows, strict=True)] or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]], ["doc_id", *names])
 
@@ -352,8 +458,8 @@ def encode_documents(docs: DataFrame, model: bytes, digest: bool = False) -> Dat
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def _digest(c: Codec, data: bytes) -> tuple[int, str, str, str]:
-    ids, ends = c.encode_array(_valid(data))
-    written = ",".join(map(c.digits.__getitem__, ids.tolist()))
+def _digests(c: Codec, texts: list[bytes]) -> Iterator[tuple[int, str, str, str]]:
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return len(ids), sha(written.encode()), sha(c.decode(ids).encode()), sha(ends.astype("<i4").tobytes())
+    for ids, ends in c.encode_arrays([_valid(x) for x in texts]):
+        written = ",".join(map(c.digits.__getitem__, ids.tolist()))
+        yield len(ids), sha(written.encode()), sha(c.decode(ids).encode()), sha(ends.astype("<i4").tobytes())
