@@ -3,11 +3,14 @@
 The state of an identity is its copy of least order and that copy's counts. A batch's changes come
 out as sums to be added to both totals; a copy that is earlier than the one kept takes its place,
 and the change says so, so the sum of all changes equals the batch query whatever came when.
+
+``states`` keeps the same state by an aggregation of Spark's own, without Python for each
+identity: what comes out are the states that a batch touched, of which the last ones count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -52,8 +55,36 @@ def changes(rows: DataFrame, scope: str, identity: str, major: str, minor: str)
     lives in RocksDB (``counts.on_disk_state``) and has a row for each identity ever seen. Null
     scopes and identities are values. One row a key and batch is what comes out.
     """
-    keyed = rows.select(F.col(scope).alias("scope"), digest(F.col(identity)).alias("id"), F.col(major).cast("long").alias("major"), F.col(minor).cast("long").alias("minor"), *[F.col(f"n_{p}").cast("long").alias(f"n_{p}") for p in PATTERNS])
-    return keyed.groupBy("scope", "id").transformWithStateInPandas(FirstSeen(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
+    return _keyed(rows, scope, identity, major, minor).groupBy("scope", "id").transformWithStateInPandas(FirstSeen(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
+
+
+def _keyed(rows: DataFrame, scope: str, identity: str, major: str, minor: str) -> DataFrame:
+    return rows.select(F.col(scope).alias("scope"), digest(F.col(identity)).alias("id"), F.col(major).cast("long").alias("major"), F.col(minor).cast("long").alias("minor"), *[F.col(f"n_{p}").cast("long").alias(f"n_{p}") for p in PATTERNS])
+
+
+STATES = "scope string, id binary, sentences long, " + ", ".join(f"{c} long" for c in (*_BEFORE, *_AFTER))
+
+
+def states(rows: DataFrame, scope: str, identity: str, major: str, minor: str) -> DataFrame:
+    """A stream of states (STATES) from rows as ``changes`` takes them, for the update mode and ``appended``."""
+    first = F.min(F.struct("major", "minor", *[f"n_{p}" for p in PATTERNS])).alias("first")
+    made = _keyed(rows, scope, identity, major, minor).groupBy("scope", "id").agg(F.count("*").alias("sentences"), *[F.sum(f"n_{p}").alias(f"before_{p}") for p in PATTERNS], first)
+    return made.select("scope", "id", "sentences", *_BEFORE, *[F.col(f"first.n_{p}").alias(f"after_{p}") for p in PATTERNS])
+
+
+def appended(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each batch's rows in a folder of its own, written anew if the batch is run again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def state_totals(states_: DataFrame) -> DataFrame:
+    """``totals`` from all states that came out: an identity's last one has seen the most sentences."""
+    last = states_.groupBy("scope", "id").agg(F.max(F.struct("sentences", *_BEFORE, *_AFTER)).alias("last")).select("scope", "last.*", F.lit(1).cast("long").alias("kept"))
+    return totals(last)
 
 
 def totals(changes_: DataFrame) -> DataFrame:
