@@ -307,7 +307,7 @@ def fit_plan(classes: DataFrame, n: int, kind: Kind = Kind()) -> Plan:
     return Plan(kind, tuple(parts), tuple(map(tuple, tables)), n, reach, most)
 
 
-_POSTING = "key long, node long, sketch long, own boolean"
+_POSTING = "key long, node long, sketch long, held boolean, asks boolean"
 
 
 def _keys(values: np.ndarray, part: int) -> np.ndarray:
@@ -315,58 +315,116 @@ def _keys(values: np.ndarray, part: int) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, plan: Plan, probing: bool) -> DataFrame:
-    """``(key, node, sketch, own)``: each fingerprint's own key in every partition, or when probing every key within its thresholds."""
-    flips = [[np.array([sum(1 << b for b in bits) for d in range(t + 1) for bits in combinations(range(len(part)), d)], np.uint64) for t in range(plan.most + 1)] for part in plan.parts] if probing else []
+    """``(key, node, sketch, held, asks)``: each fingerprint's own key in every partition, which holds it, and when probing
+    whether it asks there too, and every other key within its thresholds, where it only asks."""
+    flips = [[np.array([sum(1 << b for b in bits) for d in range(1, t + 1) for bits in combinations(range(len(part)), d)], np.uint64) for t in range(plan.most + 1)] for part in plan.parts] if probing else []
 
     def run(batches):
+        def made(keys, nodes, sketch, held, asks):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, nodes, sketch, np.full(len(keys), held), asks)], ["key", "node", "sketch", "held", "asks"])
+
         for batch in batches:
             for at in range(0, len(batch), 1_000):
                 bits, nodes = _bits(batch.column(1), at, 1_000), batch.column(0).slice(at, 1_000).to_numpy()
                 sketch = np.packbits(bits[:, :WORD], axis=1, bitorder="little").view("<i8").ravel()
                 values = plan.values(bits)
-                chosen = plan.thresholds(values) if probing else None
+                chosen = plan.thresholds(values) if probing else np.full(values.shape, -1)
                 for i in range(len(plan.parts)):
-                    for t in range(plan.most + 1) if probing else (0,):
-                        on = np.flatnonzero(chosen[:, i] == t) if probing else np.arange(len(nodes))
+                    yield made(_keys(values[:, i], i), nodes, sketch, True, chosen[:, i] >= 0)
+                    for t in range(1, plan.most + 1) if probing else ():
+                        on = np.flatnonzero(chosen[:, i] == t)
                         if on.size:
-                            keys = _keys(values[on, i][:, None] ^ flips[i][t][None, :] if probing else values[:, i][:, None], i)
-                            own = np.tile(np.arange(keys.shape[1]) == 0, len(on))  # the first flips nothing
-                            columns = [keys.ravel(), np.repeat(nodes[on], keys.shape[1]), np.repeat(sketch[on], keys.shape[1]), own]
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "sketch", "own"])
+                            keys = _keys(values[on, i][:, None] ^ flips[i][t][None, :], i)
+                            yield made(keys.ravel(), np.repeat(nodes[on], keys.shape[1]), np.repeat(sketch[on], keys.shape[1]), False, np.ones(keys.size, bool))
 
     return classes.select("node", "fp").mapInArrow(run, _POSTING)
 
 
+def _sifted(postings: DataFrame, radius: int) -> DataFrame:
+    """``(key, node, other, asks)``: who is near by the sketch under a key.
+
+    Pairs (node, other), or where a key has more of them than rows, as among near copies, its rows that are near
+    any (other is null): so what comes out is never more than what goes in.
+    """
+
+    def near(nodes, sketch, held, asks):
+        left, right, sketch = np.flatnonzero(asks), np.flatnonzero(held), sketch.view(np.uint64)  # of signed numbers the absolute value would be counted
+        close = np.bitwise_count(sketch[left][:, None] ^ sketch[right][None, :]) <= radius
+        close &= nodes[left][:, None] < nodes[right][None, :]
+        i, j = np.nonzero(close)
+        if len(i) <= len(nodes):
+            return nodes[left[i]], nodes[right[j]], np.ones(len(i), bool)
+        one, two = nodes[left[close.any(axis=1)]], nodes[right[close.any(axis=0)]]
+        return np.concatenate([one, two]), None, np.repeat([True, False], [len(one), len(two)])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            cut = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+            yield from done(columns, cut)
+            rest = [x[cut[-1] if len(cut) else 0 :] for x in columns]
+        if rest is not None:
+            yield from done(rest, np.array([len(rest[0])]))
+
+    def done(columns, cut):
+        """What is near under the keys that end at ``cut``."""
+        out = []
+        for lo, hi in zip([0, *cut], cut):
+            if hi - lo > 1:
+                nodes, others, asks = near(*(x[lo:hi] for x in columns[1:]))
+                if len(nodes):
+                    out.append((np.full(len(nodes), columns[0][lo]), nodes, pa.nulls(len(nodes), pa.int64()) if others is None else pa.array(others), asks))
+        if out:
+            key, node, other, asks = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(node)), pa.concat_arrays(other), pa.array(np.concatenate(asks))], ["key", "node", "other", "asks"])
+
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, other long, asks boolean")
+
+
 def linked_pairs(classes: DataFrame, plan: Plan, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(src, dst)`` of nodes of ``classes(node, fp)``, enough of them to connect all that link.
 
     ``sets_of`` gives ``(node, shingles)`` of a table of nodes where a similarity links. Under
-    ordinary keys every candidate is verified. Under a key of over HEAVY entries all are first
-    held against one of them, and what links to it needs no look at one another; those that don't
-    are compared with all in bounded blocks.
+    ordinary keys every candidate is verified: pair by pair, or where a similarity links and a key
+    has more of them than entries, all of the key's at once. Under a key of over HEAVY entries all
+    are first held against one of them, and what links to it needs no look at one another; those
+    that don't are compared with all in bounded blocks.
     """
     kind = plan.kind
     probes, entries = _postings(classes, plan, True), _postings(classes, plan, False)
     usual = plan.n / 2 ** min(map(len, plan.parts))
-    some_entry = F.min(F.struct(F.xxhash64("node").alias("by"), "node", "sketch"))
-    heavy = entries.groupBy("key").agg(F.count("*").alias("n"), some_entry.alias("first")).where(F.col("n") > max(HEAVY, int(TIMES * usual)))
-    heavy = stage(heavy.select("key", "n", F.col("first.node").alias("first"), F.col("first.sketch").alias("first_sketch")), "simhash-heavy").df
+    heavy = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(HEAVY, int(TIMES * usual))), "simhash-heavy").df
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= kind.sketch_radius()
     some = not heavy.isEmpty()
-    light_probes, light_entries = (x.join(heavy.select("key"), "key", "left_anti") if some else x for x in (probes, entries))
-    on = (F.col("p.key") == F.col("e.key")) & (F.col("p.node") < F.col("e.node")) & near(F.col("p.sketch"), F.col("e.sketch"))
-    found = light_probes.alias("p").join(light_entries.alias("e"), on).select(F.col("p.node").alias("src"), F.col("e.node").alias("dst"))
+    light = lambda postings: postings.join(heavy.select("key"), "key", "left_anti") if some else postings
+    dense = None
+    if kind.similarity:
+        sifted = stage(_sifted(light(probes), kind.sketch_radius()), "simhash-near").df
+        found = sifted.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst"))
+        dense = sifted.where("other is null").select("key", F.lit(0).alias("team"), F.lit(0).alias("block"), "node", "asks")
+    else:
+        on = (F.col("p.key") == F.col("e.key")) & (F.col("p.node") < F.col("e.node")) & near(F.col("p.sketch"), F.col("e.sketch"))
+        found = light(probes.where("asks")).alias("p").join(light(entries).alias("e"), on).select(F.col("p.node").alias("src"), F.col("e.node").alias("dst"))
     if not some:
-        return _verified(found.distinct(), classes, kind, sets_of)
+        edges = _verified(found.distinct(), classes, kind, sets_of)
+        return edges if dense is None else edges.union(_cell_links(dense, classes, kind, sets_of))
     # whose own keys they are, and who probes them besides
-    met = stage(entries.union(probes.where("not own")).join(heavy, "key").select("key", "n", "node", "first", near(F.col("sketch"), F.col("first_sketch")).alias("near")), "simhash-met").df
+    met = stage(probes.join(heavy, "key").select("key", "n", "node", "sketch", "held"), "simhash-met").df
+    first = met.where("held").groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "sketch")).alias("first"))
+    first = stage(first.select("key", F.col("first.node").alias("first"), F.col("first.sketch").alias("first_sketch")), "simhash-first").df
+    met = met.join(first, "key").select("key", "n", "node", "first", near(F.col("sketch"), F.col("first_sketch")).alias("near"))
     stars = met.where("near and node <> first").select(F.least("node", "first").alias("src"), F.greatest("node", "first").alias("dst"))
     edges = stage(_verified(found.union(stars).distinct(), classes, kind, sets_of), "simhash-links").df
     free_shuffles(classes.sparkSession)
     tied = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
     met = met.join(tied, (F.least("node", "first") == F.col("_a")) & (F.greatest("node", "first") == F.col("_b")), "left")
     met = stage(met.select("key", "n", "node", (F.col("_a").isNull() & (F.col("node") != F.col("first"))).alias("free")), "simhash-split").df
-    return edges.union(_block_links(met, classes, kind, sets_of))
+    cells = _cells(met)
+    return edges.union(_cell_links(cells if dense is None else cells.union(dense), classes, kind, sets_of))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, kind: Kind, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -408,19 +466,24 @@ def _near(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
         yield cut, apart <= radius
 
 
-def _block_links(met: DataFrame, classes: DataFrame, kind: Kind, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links of the free rows of ``met(key, n, node, free)`` to all others of their key, which has n entries.
+def _cells(met: DataFrame) -> DataFrame:
+    """``(key, team, block, node, asks)``: where the free rows of ``met(key, n, node, free)`` meet all others of their key, which has n entries.
 
     Both the free rows of a key and all its rows are dealt into blocks of about BLOCK, and each
-    two blocks meet in a task, which gives a spanning forest of them: a free row goes to all
-    blocks of rows, any row to all blocks of free ones. Keys without free rows need none.
+    two blocks meet in a cell: a free row goes to all blocks of rows, any row to all blocks of
+    free ones. Keys without free rows need none.
     """
     wanted = stage(met.where("free").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("teams")), "simhash-wanted").df
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     dealt = met.join(wanted, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     asked = dealt.where("free").select("key", own(F.col("teams")).alias("team"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(True).alias("asks"))
     held = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team"), own(F.col("blocks")).alias("block"), "node", F.lit(False).alias("asks"))
-    cells = asked.union(held).join(classes.select("node", "fp"), "node")
+    return asked.union(held)
+
+
+def _cell_links(cells: DataFrame, classes: DataFrame, kind: Kind, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links of the rows of ``cells(key, team, block, node, asks)`` that ask to the others of their cell, which a task makes a spanning forest of."""
+    cells = cells.join(classes.select("node", "fp"), "node")
 
     def sides(cell):
         nodes, asks = cell["node"].to_numpy(), cell["asks"].to_numpy(zero_copy_only=False)
@@ -567,4 +630,7 @@ def keep_first(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
     again = "_copies > 1"
     if not first.where(again).isEmpty():
         kept = kept.union(pick(again).dropDuplicates(["_id", "_text"]).select("row.*"))
-    return kept
+    made = stage(kept, "simhash-kept").df  # packed; the shuffle of whole texts would lie there for as long as its result is held
+    del kept
+    free_shuffles(docs.sparkSession)
+    return made
