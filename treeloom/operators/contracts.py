@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import PATTERNS
+from ..sources.scratch import staged
 
 TOLERANCE = 5.1e-7
 
@@ -59,6 +60,21 @@ def structure_violations(before: DataFrame, after: DataFrame, columns: list[str]
     return a.join(b, key, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def digest(items: str, fields: list[str]) -> Column:
+    """96 bits of hash over ``fields`` of the structs in the array ``items``, in order; null reads as the character NUL."""
+    said = F.transform(items, lambda t: F.struct(*[F.coalesce(t[c].cast("string"), F.lit("\0")).alias(c) for c in fields]))
+    return F.struct(F.xxhash64(said, F.size(items)).alias("a"), F.hash(said).alias("b"))
+
+
+def differing(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:
+    """``key`` of the rows that the two tables don't have alike: a key with a digest that one of them has more often. Staged.
+
+    What is shuffled is a key and a digest a row.
+    """
+    sides = before.select(key, digest, F.lit(1).alias("_n")).union(after.select(key, digest, F.lit(-1).alias("_n")))
+    return staged(sides.groupBy(key, digest).agg(F.sum("_n").alias("_n")).where("_n <> 0").select(key).distinct(), "differing")
+
+
 def repetition_violations(audited: DataFrame, variants: DataFrame, identity: str) -> DataFrame:
     """Identities whose variants don't add up to their occurrences or retain other than one copy."""
     v = variants.groupBy(F.col(identity).alias("_i")).agg(F.sum("occurrences").alias("seen"), F.sum("retained").alias("kept"))
